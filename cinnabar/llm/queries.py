@@ -15,6 +15,22 @@ def word_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .store import Store
+    from .warc import read_archives, write_archives
+
+    packages = write_archives(table(spark, sf_dir, "pages"), Store(spark, "warc"))
+    return read_archives(packages, payloads=False).drop("url")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, joined, personal_data
+
+    out = personal_data(table(spark, sf_dir, "documents"))
+    n = [F.expr(f"CAST(size(filter(base, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *n, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -34,6 +50,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "evidence")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import line_dedup
 
@@ -48,12 +70,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(docs, table(spark, sf_dir, "benchmark")).drop("text", "matches")
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_minhash, op6_toxicity, op9_line_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_best_fit_packing, op4_minhash, op6_toxicity, op8_html, op9_line_dedup, op10_decontamination)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
 ORACLES = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, octet_length(b) AS n, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, n::BIGINT AS payload_bytes, payload_digest, CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to FROM f""",
     "op9_line_dedup": rf"""
         WITH line AS (
             SELECT doc_id, i, t[i] AS line, regexp_replace(translate(t[i], '{UPPER}', '{LOWER}'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key
