@@ -43,6 +43,12 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sketch import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import held_out, toxicity
 
@@ -50,6 +56,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "evidence")
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract
 
@@ -70,7 +82,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(docs, table(spark, sf_dir, "benchmark")).drop("text", "matches")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_best_fit_packing, op4_minhash, op6_toxicity, op8_html, op9_line_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_best_fit_packing, op4_minhash, op5_sketches, op6_toxicity, op7_suffixes, op8_html, op9_line_dedup, op10_decontamination)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"

@@ -23,6 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
 
 
@@ -46,9 +47,14 @@ class Store:
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and returns the frame that reads it back."""
-        schema, to = df.schema, f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(to)
+        """Writes df and returns the frame that reads it back; shuffle files that led to it go at once."""
+        schema, to, conf = df.schema, f"{self.path}/{name}", self.spark.conf
+        before = conf.get(CLEAN, None)
+        conf.set(CLEAN, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(to)
+        finally:
+            conf.set(CLEAN, before) if before is not None else conf.unset(CLEAN)
         return self.spark.read.schema(schema).parquet(to)
 
     def drop(self, *names: str) -> None:
