@@ -278,7 +278,7 @@ def _apply(length: int, anchor: int, bits: int, texts: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 20, batch_bytes: int = 8 << 20, shard_bytes: int = 16 << 20, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 30, batch_bytes: int = 8 << 20, shard_bytes: int = 16 << 20, broadcast_bytes: int = 32 << 20, texts: bool = False) -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes left, if texts)."""
     spark = docs.sparkSession
     store = Store(spark, "suffixes")
@@ -298,7 +298,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 20, batch_by
     def exchange(frame: DataFrame, answer, name: str) -> DataFrame:
         shards = frame.repartition(min(1 << bits, 4 * partitions(spark)), "shard").sortWithinPartitions("shard", "batch")
         replies = store.put(shards.mapInArrow(answer, "batch long, shard int, mask binary"), name)
-        return replies.groupBy("batch").agg(F.collect_list(F.struct("shard", "mask")).alias(name))
+        small = (replies.agg(F.sum(F.octet_length("mask"))).first()[0] or 0) <= broadcast_bytes
+        own = replies.groupBy("batch").agg(F.collect_list(F.struct("shard", "mask")).alias(name))
+        return F.broadcast(own) if small else own  # else the join deals the batches out once more
 
     shared = exchange(dealt.mapInArrow(_sketch(length, anchor, bits), "shard int, batch long, keys binary"), _shared_names, "names")
     told = dealt.join(shared, "batch", "left").select("batch", "docs", "texts", "names")
