@@ -4,9 +4,10 @@ Each permutation gives two signature values, its minimum and its maximum, so hal
 are evaluated. A band holds both values of two permutations: 40 bands of 80 permutations miss a
 pair at similarity 0.75 about once in 4 million. Documents with equal sets are one class and only
 its representative is banded. Every candidate is confirmed on the sets themselves, in two rounds:
-first each member of a bucket against the bucket's least member; then, in the buckets that
-components still cut, all members of different components. So no candidate link that could change
-a component is left out, and pairs inside what is connected already are never made.
+first each member of a bucket against its most central one, which shares most buckets with
+others; then, in the buckets that components still cut, members of different components whose sizes
+allow a link and whose 160 signature values agree to within 0.2 of the similarity (a true pair falls
+short of that once in a hundred million). Pairs inside what is connected already are never made.
 
 Defined cases: null or empty texts, and texts of white space only, have no shingles, link with
 nothing and stay; rows that repeat a doc_id are versions of one document and always share its
@@ -64,10 +65,9 @@ def min_max(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return low, high
 
 
-def band_keys(own: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
+def band_keys(low: np.ndarray, high: np.ndarray, rows: int) -> np.ndarray:
     """A 64-bit key for each band of rows permutations, both of whose values count."""
-    low, high = min_max(own, a, b)
-    key = np.arange(len(a) // rows, dtype=np.uint64)
+    key = np.arange(len(low) // rows, dtype=np.uint64)
     for values in (low.reshape(-1, rows), high.reshape(-1, rows)):
         for i in range(rows):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, i])
@@ -80,10 +80,12 @@ def _sign(size: int, bands: int, rows: int):
         for batch, texts in chunks(batches):
             sets = shingle_sets(texts, size)
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            keys = [band_keys(s, a, b, rows).view(np.int64) if len(s) else None for s in sets]
+            signed = [min_max(s, a, b) if len(s) else None for s in sets]
+            keys = [band_keys(*x, rows).view(np.int64) if x else None for x in signed]
+            short = [np.concatenate(x).astype("<u2").tobytes() if x else None for x in signed]
             first = [int.from_bytes(d[:8], "little", signed=True) for d in digests]
             second = [int.from_bytes(d[8:], "little", signed=True) for d in digests]
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "n", "d1", "d2", "bands"])
+            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["node", "n", "d1", "d2", "bands", "sig"])
 
     return run
 
@@ -92,58 +94,30 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, pa.int64()) for c in columns.values()], list(columns))
 
 
-def _local_stars(batches):
-    """Each batch's buckets as edges to the batch's least member of the bucket, and that member for the other batches."""
-    for batch in batches:
-        keys, lengths = batch.column(1).flatten().to_numpy(), pa.compute.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
-        nodes = np.repeat(batch.column(0).to_numpy(), lengths)
-        order = np.lexsort((nodes, keys))
-        keys, nodes = keys[order], nodes[order]
-        head = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
-        at = np.flatnonzero(head)
-        least = np.repeat(nodes[at], np.diff(np.append(at, len(keys))))
-        other = ~head & (least != nodes)
-        pairs = np.unique(np.stack([least[other], nodes[other]], axis=1), axis=0)
-        yield _rows(kind=np.zeros(len(at), np.int64), x=keys[at], y=nodes[at])
-        yield _rows(kind=np.ones(len(pairs), np.int64), x=pairs[:, 0], y=pairs[:, 1])
-
-
-def _stars(batches):
-    """Rows (key, node), sorted: an edge from each node of a bucket to its first."""
-    key = first = None
-    for batch in batches:
-        keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(keys):
-            continue
-        head = np.concatenate(([keys[0] != key], keys[1:] != keys[:-1]))
-        at = np.flatnonzero(head)
-        starts = nodes[at]
-        group = np.cumsum(head) - 1
-        least = np.where(group >= 0, starts[np.maximum(group, 0)] if len(starts) else 0, first if first is not None else 0)
-        other = ~head & (least != nodes)
-        yield _rows(a=least[other], b=nodes[other])
-        key, first = keys[-1], least[-1]
-
-
-def _crossing(batches):
-    """Rows (key, root, node, n), sorted by key: pairs of nodes of one bucket with different roots and sizes that allow a link."""
-    key, held = None, []
-
-    def flush():
-        if len(held) > 1 and len({r for r, _, _ in held}) > 1:
-            root, node, n = (np.array(c, dtype=np.int64) for c in zip(*held, strict=True))
+def _crossing(agree: float):
+    """Rows (key, root, node, n, sig), sorted by key: pairs of nodes of one bucket with different roots, whose sizes and signatures allow a link."""
+
+    def pairs(held):
+        if len(held) > 1 and len({x[0] for x in held}) > 1:
+            root, node, n = (np.array([x[i] for x in held], dtype=np.int64) for i in range(3))
+            sig = np.frombuffer(b"".join(x[3] for x in held), "<u2").reshape(len(held), -1)
             for i in range(len(held) - 1):
-                fit = (root[i + 1 :] != root[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= 75 * np.maximum(n[i + 1 :], n[i]))
-                if fit.any():
-                    yield _rows(a=np.minimum(node[i], node[i + 1 :][fit]), b=np.maximum(node[i], node[i + 1 :][fit]))
+                fit = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= 75 * np.maximum(n[i + 1 :], n[i])))
+                fit = fit[(sig[fit] == sig[i]).mean(axis=1) >= agree] if len(fit) else fit
+                if len(fit):
+                    yield _rows(a=np.minimum(node[i], node[fit]), b=np.maximum(node[i], node[fit]))
 
-    for batch in batches:
-        for k, r, v, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if k != key:
-                yield from flush()
-                key, held = k, []
-            held.append((r, v, n))
-    yield from flush()
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            for k, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if k != key:
+                    yield from pairs(held)
+                    key, held = k, []
+                held.append(row)
+        yield from pairs(held)
+
+    return run
 
 
 def _confirm(size: int, similarity: int):
@@ -191,16 +165,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 75, bands:
     """A row per row of docs: doc_id, n_shingles, component_id, kept; similarity in per cent of the union."""
     store = Store(docs.sparkSession, "minhash")
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("node"), "text")
-    signed = store.put(source.mapInArrow(_sign(size, bands, rows), "node long, n long, d1 long, d2 long, bands array<long>"), "signed")
+    signed = store.put(source.mapInArrow(_sign(size, bands, rows), "node long, n long, d1 long, d2 long, bands array<long>, sig binary"), "signed")
     classes = signed.where("n > 0").groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.count("*").alias("copies"))
     classes = store.put(classes.where("copies > 1").drop("copies"), "classes")
-    member = store.put(signed.join(classes, ["d1", "d2"], "left").select("node", "n", F.coalesce("rep", "node").alias("rep"), F.when(F.coalesce("rep", "node") == F.col("node"), F.col("bands")).alias("bands")), "member")
+    member = store.put(signed.join(classes, ["d1", "d2"], "left").select("node", "n", F.coalesce("rep", "node").alias("rep"), F.when(F.coalesce("rep", "node") == F.col("node"), F.col("bands")).alias("bands"), F.when(F.coalesce("rep", "node") == F.col("node"), F.col("sig")).alias("sig")), "member")
     banded = member.where("bands is not null and n > 0")
 
-    local = store.put(banded.select("node", "bands").mapInArrow(_local_stars, "kind long, x long, y long"), "local")
     n = partitions(docs.sparkSession)
-    across = local.where("kind = 0").select(F.col("x").alias("key"), F.col("y").alias("node")).repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long")
-    first = store.put(across.unionByName(local.where("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct(), "first")
+    keys = banded.select("node", "n", F.explode("bands").alias("key"))
+    sizes = store.put(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    shared = store.put(keys.join(sizes, "key"), "shared")
+    # a group's centre shares most buckets with the others; as centre of its buckets it links what links at all
+    central = store.put(shared.groupBy("node").agg(F.sum("size").alias("pull")), "central")
+    centers = shared.join(central, "node").groupBy("key").agg(F.max(F.struct("pull", "node")).alias("c")).select("key", F.col("c.node").alias("center"))
+    star = shared.join(store.put(centers, "centers"), "key").where("center <> node")
+    first = store.put(star.select(F.least("center", "node").alias("low"), F.greatest("center", "node").alias("high"), F.col("center").alias("a"), F.col("node").alias("b")).dropDuplicates(["low", "high"]).select("a", "b"), "first")
 
     suspects = store.put(first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct(), "suspects")
     texts = store.put(source.join(suspects, "node").select("node", "text"), "texts")
@@ -208,10 +187,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 75, bands:
     copies = member.where("rep <> node").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     roots = connected_components(links, store, "one")
 
-    open_ = banded.join(suspects, "node", "left_semi").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.explode("bands").alias("key"))
+    open_ = shared.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), "key")
     cut = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = open_.join(store.put(cut, "cut"), "key").select("key", "root", "node", "n").distinct().repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_crossing, "a long, b long")
-    rest = rest.join(first, ["a", "b"], "left_anti")
+    rest = open_.join(store.put(cut, "cut"), "key").select("key", "root", "node", "n").distinct()
+    signatures = member.where("sig is not null and n > 0").select("node", "sig")
+    rest = rest.join(signatures, "node").select("key", "root", "node", "n", "sig").repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_crossing(similarity / 100 - 0.2), "a long, b long")
+    seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = rest.distinct().join(seen, ["a", "b"], "left_anti")
     more = store.put(confirmed(rest, texts, store, "rest", size, similarity), "more")
 
     roots = connected_components(links.unionByName(more).unionByName(copies.distinct()), store, "all")
