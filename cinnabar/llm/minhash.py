@@ -7,7 +7,8 @@ its representative is banded. Every candidate is confirmed on the sets themselve
 first each member of a bucket against its most central one, which shares most buckets with
 others; then, in the buckets that components still cut, members of different components whose sizes
 allow a link and whose 160 signature values agree to within 0.2 of the similarity (a true pair falls
-short of that once in a hundred million). Pairs inside what is connected already are never made.
+short of that once in a hundred million). These are compared inside tasks, block by block of a bucket,
+each pair in the first bucket it shares; only links leave the task, never candidate pairs.
 
 Defined cases: null or empty texts, and texts of white space only, have no shingles, link with
 nothing and stay; rows that repeat a doc_id are versions of one document and always share its
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
@@ -94,32 +95,113 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, pa.int64()) for c in columns.values()], list(columns))
 
 
-def _crossing(agree: float):
-    """Rows (key, root, node, n, sig), sorted by key: pairs of nodes of one bucket with different roots, whose sizes and signatures allow a link."""
+class _Cell:
+    """Rows of one cell: two blocks of a bucket, or one block with itself."""
+
+    def __init__(self, of: tuple, rows: list[tuple]):
+        self.key, self.lo, self.hi = of
+        self.block, self.root, self.node, self.n = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(4))
+        self.sig = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(len(rows), -1)
+        self.bands = np.array([r[5] for r in rows], dtype=np.int64)
+
+    def fits(self, similarity: int, agree: float):
+        """(i, later rows) that may link: other roots, fitting sizes, agreeing signatures, no earlier bucket in common."""
+        for i in range(len(self.node) - 1):
+            n, m = self.n[i], self.n[i + 1 :]
+            ok = (self.root[i + 1 :] != self.root[i]) & (100 * np.minimum(m, n) >= similarity * np.maximum(m, n))
+            if self.lo != self.hi:
+                ok &= self.block[i + 1 :] != self.block[i]
+            fit = i + 1 + np.flatnonzero(ok)
+            fit = fit[(self.sig[fit] == self.sig[i]).mean(axis=1) >= agree] if len(fit) else fit
+            if len(fit):
+                earlier = int(np.argmax(self.bands[i] == self.key))
+                fit = fit[~(self.bands[fit, :earlier] == self.bands[i, :earlier]).any(axis=1)]
+            if len(fit):
+                yield i, fit
+
+
+def _by_cell(batches, read):
+    """(cell, what read gives for its rows) of batches sorted by their first three columns."""
+    of, held = None, []
+    for batch in batches:
+        cells = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        for cell, row in zip(cells, read(batch), strict=True):
+            if cell != of:
+                if len(held) > 1:
+                    yield of, held
+                of, held = cell, []
+            held.append(row)
+    if len(held) > 1:
+        yield of, held
+
+
+def _meeting(similarity: int, agree: float):
+    """Rows (key, lo, hi, block, root, node, n, sig, bands): those nodes of each cell that may link with another of it."""
+
+    def read(batch):
+        return zip(*(batch.column(i).to_pylist() for i in range(3, 9)), strict=True)
 
-    def pairs(held):
-        if len(held) > 1 and len({x[0] for x in held}) > 1:
-            root, node, n = (np.array([x[i] for x in held], dtype=np.int64) for i in range(3))
-            sig = np.frombuffer(b"".join(x[3] for x in held), "<u2").reshape(len(held), -1)
-            for i in range(len(held) - 1):
-                fit = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= 75 * np.maximum(n[i + 1 :], n[i])))
-                fit = fit[(sig[fit] == sig[i]).mean(axis=1) >= agree] if len(fit) else fit
-                if len(fit):
-                    yield _rows(a=np.minimum(node[i], node[fit]), b=np.maximum(node[i], node[fit]))
+    def run(batches):
+        for of, rows in _by_cell(batches, read):
+            if len({r[1] for r in rows}) > 1:
+                cell = _Cell(of, rows)
+                met = np.zeros(len(rows), bool)
+                for i, fit in cell.fits(similarity, agree):
+                    met[i] = met[fit] = True
+                if k := int(met.sum()):
+                    yield _rows(key=[of[0]] * k, lo=[of[1]] * k, hi=[of[2]] * k, block=cell.block[met], root=cell.root[met], node=cell.node[met])
+
+    return run
+
+
+def _linked(size: int, similarity: int, agree: float):
+    """Rows (key, lo, hi, block, root, node, sig, bands, text): links between nodes of a cell, found on their full sets."""
+
+    def read(batch):
+        columns, texts = [batch.column(i).to_pylist() for i in range(3, 8)], batch.column(8)
+        for i in range(0, batch.num_rows, 64):
+            sets = shingle_sets([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in texts.slice(i, 64)], size)
+            for j, own in enumerate(sets, i):
+                block, root, node, sig, bands = (c[j] for c in columns)
+                yield block, root, node, len(own), sig, bands, own
 
     def run(batches):
-        key, held = None, []
-        for batch in batches:
-            for k, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if k != key:
-                    yield from pairs(held)
-                    key, held = k, []
-                held.append(row)
-        yield from pairs(held)
+        for of, rows in _by_cell(batches, read):
+            cell = _Cell(of, rows)
+            for i, fit in cell.fits(similarity, agree):
+                own, others = rows[i][6], [rows[j][6] for j in fit]
+                starts = np.cumsum([0, *map(len, others[:-1])])
+                all_ = np.concatenate(others)
+                at = np.minimum(np.searchsorted(own, all_), len(own) - 1)
+                both = np.add.reduceat((own[at] == all_).astype(np.int64), starts)
+                fit = fit[100 * both >= similarity * (len(own) + cell.n[fit] - both)]
+                if len(fit):
+                    yield _rows(a=np.minimum(cell.node[i], cell.node[fit]), b=np.maximum(cell.node[i], cell.node[fit]))
 
     return run
 
 
+def cells(rest: DataFrame, store: Store, block: int, shingles: int) -> DataFrame:
+    """Rows (key, root, node, n) dealt to the cells of their buckets: (key, lo, hi, block, root, node).
+
+    A bucket is cut into blocks of about so many rows and shingles, and each two blocks make a cell. A
+    component with more than a block of a bucket has blocks of its own, which never meet each other: a
+    bucket that is one component but for a few rows costs a copy of those few for each of its blocks.
+    """
+    need = F.ceil(F.greatest(F.sum("rows") / block, F.sum("n") / shingles)).cast("int")
+    counts = rest.groupBy("key", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    counts = store.put(counts.withColumn("own", F.expr(f"rows > {block} or n > {shingles}")), "counts")
+    layout = counts.withColumn("part", F.when(F.col("own"), F.col("root")).otherwise(0)).groupBy("key", "own", "part").agg(need.alias("blocks"))
+    of = Window.partitionBy("key")
+    layout = layout.select("*", (F.sum("blocks").over(of.orderBy("own", "part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("blocks")).alias("from"), F.sum("blocks").over(of).alias("total"))
+    large = counts.where("own").select("key", "root", "own")
+    dealt = rest.join(large, ["key", "root"], "left").withColumn("own", F.coalesce("own", F.lit(False))).withColumn("part", F.when(F.col("own"), F.col("root")).otherwise(0))
+    dealt = dealt.join(store.put(layout, "layout"), ["key", "own", "part"]).withColumn("block", F.col("from") + F.pmod(F.xxhash64("node"), "blocks"))
+    met = F.explode(F.expr("filter(sequence(0L, total - 1), j -> not own or j < `from` or j >= `from` + blocks)"))
+    dealt = dealt.select("key", "block", "root", "node", met.alias("j"))
+    return dealt.select("key", F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi"), "block", "root", "node")
+
+
 def _confirm(size: int, similarity: int):
     def run(batches):
         block = center = None
@@ -161,8 +243,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, store: Store, name: str, size:
     return sets.mapInArrow(_confirm(size, similarity), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 75, bands: int = 40, rows: int = 2) -> DataFrame:
-    """A row per row of docs: doc_id, n_shingles, component_id, kept; similarity in per cent of the union."""
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 75, bands: int = 40, rows: int = 2, block: int = 256, shingles: int = 1 << 21) -> DataFrame:
+    """A row per row of docs: doc_id, n_shingles, component_id, kept; similarity in per cent of the union.
+
+    block, shingles: about the most rows and shingles of a block of a bucket; they bound a task's memory, not what is found.
+    """
     store = Store(docs.sparkSession, "minhash")
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("node"), "text")
     signed = store.put(source.mapInArrow(_sign(size, bands, rows), "node long, n long, d1 long, d2 long, bands array<long>, sig binary"), "signed")
@@ -189,12 +274,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 75, bands:
 
     open_ = shared.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), "key")
     cut = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = open_.join(store.put(cut, "cut"), "key").select("key", "root", "node", "n").distinct()
-    signatures = member.where("sig is not null and n > 0").select("node", "sig")
-    rest = rest.join(signatures, "node").select("key", "root", "node", "n", "sig").repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_crossing(similarity / 100 - 0.2), "a long, b long")
-    seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = rest.distinct().join(seen, ["a", "b"], "left_anti")
-    more = store.put(confirmed(rest, texts, store, "rest", size, similarity), "more")
+    rest = store.put(open_.join(store.put(cut, "cut"), "key").groupBy("key", "root", "node").agg(F.max("n").alias("n")), "rest")
+    agree, order = similarity / 100 - 0.2, ["key", "lo", "hi", "node"]
+    signatures = member.where("sig is not null and n > 0").select("node", "n", "sig", "bands")
+    dealt = cells(rest, store, block, shingles).join(signatures, "node").where("array_contains(bands, key)")
+    dealt = dealt.select("key", "lo", "hi", "block", "root", "node", "n", "sig", "bands").repartition(n, *order[:3]).sortWithinPartitions(*order)
+    meeting = store.put(dealt.mapInArrow(_meeting(similarity, agree), "key long, lo long, hi long, block long, root long, node long").distinct(), "meeting")
+    full = meeting.join(signatures, "node").where("array_contains(bands, key)").join(texts, "node")
+    full = full.select("key", "lo", "hi", "block", "root", "node", "sig", "bands", "text").repartition(n, *order[:3]).sortWithinPartitions(*order)
+    more = store.put(full.mapInArrow(_linked(size, similarity, agree), "a long, b long").distinct(), "more")
 
     roots = connected_components(links.unionByName(more).unionByName(copies.distinct()), store, "all")
     out = member.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))

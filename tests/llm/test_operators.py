@@ -127,7 +127,8 @@ def test_plan_is_best_fit_decreasing():
         assert packing.plan({n: lengths.count(n) for n in lengths}, capacity)[1] == len(bins)
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("block", [2, 256])
+def test_near_duplicates(spark, block):
     r = random.Random(9)
     base = [[f"w{r.randint(0, 400)}" for _ in range(60)] for _ in range(6)]
     rows = []
@@ -136,6 +137,11 @@ def test_near_duplicates(spark):
         for _ in range(r.randint(0, 2)):
             own[r.randrange(60)] = f"q{r.randint(0, 9)}"
         rows.append((100 + i, " ".join(own)))
+    for i in range(30):  # many just below or at the threshold, of one group
+        own = list(base[0])
+        for j in r.sample(range(4, 56), 2):
+            own[j] = f"z{i}"
+        rows.append((300 + i, " ".join(own)))
     rows += [(90, rows[0][1]), (91, rows[0][1].upper()), (92, "one two"), (93, "ONE\ttwo"), *EDGE]
     sets = {}
     for i, t in rows:
@@ -147,7 +153,7 @@ def test_near_duplicates(spark):
             for b in root:
                 if any(100 * len(x & y) >= 75 * len(x | y) and x and y for x in sets[a] for y in sets[b]):
                     root[a] = root[b] = min(root[a], root[b])
-    got = minhash.near_duplicates(docs(spark, rows)).collect()
+    got = minhash.near_duplicates(docs(spark, rows), block=block).collect()
     assert len(got) == len(rows)
     for g in got:
         if g.doc_id is not None:
