@@ -106,19 +106,26 @@ class Levels:
 
 
 def _batches(limit: int):
-    """Whole documents as rows (batch, docs, texts) of about limit bytes; rows of one doc_id stay together."""
+    """Whole documents as rows (batch, docs, texts) of about limit bytes; rows of one doc_id stay together.
+
+    Rows (doc, digest, kind, text) are sorted; one of kind 0 says that those with its doc and digest, which follow, go.
+    """
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
         docs: list[int] = []
         texts: list[bytes] = []
-        size = 0
+        size, gone = 0, None
 
         def out():
             return pa.record_batch([pa.array([part << 24 | seq], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.binary()))], ["batch", "docs", "texts"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, digest, kind, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                if not kind:
+                    gone = doc, digest
+                if gone == (doc, digest):
+                    continue
                 own = text.as_buffer().to_pybytes() if text.is_valid else b""
                 if docs and size + len(own) > limit and doc != docs[-1]:
                     yield out()
@@ -291,8 +298,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 30, batch_by
     parts = max(1, -(-total // (2 * batch_bytes)))
     # a sketch entry a dozen bytes of text, an indexed string for every few; both at 8 bytes
     bits = max(4, int(total // shard_bytes).bit_length())
-    keyed = own.withColumn("digest", F.md5("text")).join(copies.select("doc", "digest").distinct(), ["doc", "digest"], "left_anti").select("doc", "text")
-    dealt = keyed.repartitionByRange(parts, "doc").sortWithinPartitions("doc").mapInArrow(_batches(batch_bytes), "batch long, docs array<long>, texts array<binary>")
+    # texts move once: what is to be left out travels along as marks, where a join would deal out the texts once more
+    marks = copies.select("doc", F.unhex("digest").alias("digest"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("text")).distinct()
+    keyed = own.select("doc", F.unhex(F.md5("text")).alias("digest"), F.lit(1).alias("kind"), "text").unionByName(marks)
+    dealt = keyed.repartitionByRange(parts, "doc").sortWithinPartitions("doc", "digest", "kind").mapInArrow(_batches(batch_bytes), "batch long, docs array<long>, texts array<binary>")
     dealt = store.put(dealt, "batches")
 
     def exchange(frame: DataFrame, answer, name: str) -> DataFrame:
