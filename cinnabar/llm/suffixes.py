@@ -19,10 +19,10 @@ doc_id count as the largest id; an empty table gives no rows; extra columns are
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,14 +69,18 @@ def names(data: np.ndarray, length: int, anchor: int) -> np.ndarray:
     return sliding_min(rolling(data, anchor), length - anchor + 1) if len(data) >= length else np.zeros(0, np.uint64)
 
 
+def _small(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
 def packed(values: np.ndarray) -> bytes:
     """Sorted distinct values as differences, byte planes apart, compressed."""
     gaps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    return zlib.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return _small(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
@@ -95,14 +99,20 @@ class Levels:
     def found(self, values: np.ndarray) -> np.ndarray:
         """Which of the sorted values some level holds."""
         out = np.zeros(len(values), bool)
+        open_ = np.arange(len(values))
         for level in self.levels:
-            out |= member(level, values)
+            hit = member(level, values[open_])
+            out[open_[hit]] = True
+            open_ = open_[~hit]
         return out
 
     def add(self, values: np.ndarray) -> None:
-        self.levels.append(values)
+        """Adds sorted values that no level holds."""
+        if len(values):
+            self.levels.append(values)
         while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
-            self.levels.append(np.union1d(self.levels.pop(), self.levels.pop()))
+            # two sorted runs: a stable sort only merges them
+            self.levels.append(np.sort(np.concatenate((self.levels.pop(), self.levels.pop())), kind="stable"))
 
 
 def _batches(limit: int):
@@ -151,10 +161,14 @@ def _cells(values: np.ndarray, bits: int):
 KEPT = np.uint64(0xFFFFFFFFFF000000)
 
 
-def _all_names(texts: list[bytes], length: int, anchor: int) -> tuple[list[np.ndarray], np.ndarray]:
-    per = [names(np.frombuffer(t, np.uint8), length, anchor) & KEPT for t in texts]
-    heads = [v[np.concatenate(([True], v[1:] != v[:-1]))] for v in per if len(v)]
-    return per, np.unique(np.concatenate(heads)) if heads else np.zeros(0, np.uint64)
+def _all_names(texts: list[bytes], length: int, anchor: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For each text the names of its strings as runs (name, how many strings), and all names, sorted."""
+    per = []
+    for t in texts:
+        v = names(np.frombuffer(t, np.uint8), length, anchor) & KEPT
+        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(v)), bool), v[1:] != v[:-1])))
+        per.append((v[starts], np.diff(starts, append=len(v))))
+    return per, np.unique(np.concatenate([v for v, _ in per])) if per else np.zeros(0, np.uint64)
 
 
 def _sketch(length: int, anchor: int, bits: int):
@@ -178,7 +192,7 @@ def _by_shard(batches):
 
 
 def _reply(shard: int, batch: int, mask: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([batch], pa.int64()), pa.array([shard], pa.int32()), pa.array([zlib.compress(np.packbits(mask).tobytes(), 1)], pa.binary())], ["batch", "shard", "mask"])
+    return pa.record_batch([pa.array([batch], pa.int64()), pa.array([shard], pa.int32()), pa.array([_small(np.packbits(mask).tobytes())], pa.binary())], ["batch", "shard", "mask"])
 
 
 def _shared_names(batches):
@@ -196,8 +210,9 @@ def _earlier(batches):
     for shard, rows in _by_shard(batches):
         levels = Levels()
         for batch, keys in rows:
-            yield _reply(shard, batch, levels.found(keys))
-            levels.add(keys)
+            found = levels.found(keys)
+            yield _reply(shard, batch, found)
+            levels.add(keys[~found])
 
 
 def _told(replies, values: np.ndarray, bits: int) -> np.ndarray:
@@ -207,52 +222,51 @@ def _told(replies, values: np.ndarray, bits: int) -> np.ndarray:
     at = 0
     for i, own in _cells(values, bits):
         if i in masks:
-            out[at : at + len(own)] = np.unpackbits(np.frombuffer(zlib.decompress(masks[i]), np.uint8), count=len(own)).astype(bool)
+            out[at : at + len(own)] = np.unpackbits(np.frombuffer(zstandard.decompress(masks[i]), np.uint8), count=len(own)).astype(bool)
         at += len(own)
     return out
 
 
 class Strings:
-    """The strings of a batch that may repeat: hash, number of the text, position; order sorts them by hash, then doc_id."""
+    """The strings of a batch that may repeat, in text order: hash, number of the text, position; docs ascend."""
 
     def __init__(self, docs: list[int], texts: list[bytes], replies, length: int, anchor: int, bits: int):
         per, all_ = _all_names(texts, length, anchor)
         wanted = _told(replies, all_, bits)
-        # a name that two different doc_ids of the batch share
-        tops = [np.unique(v) for v in per]
-        ids = np.repeat(np.array(docs, np.int64), [len(v) for v in tops])
-        flat = np.searchsorted(all_, np.concatenate(tops)) if tops else np.zeros(0, np.int64)
-        low, high = np.full(len(all_), 2**63 - 1, np.int64), np.full(len(all_), -(2**63), np.int64)
-        np.minimum.at(low, flat, ids)
-        np.maximum.at(high, flat, ids)
-        often = all_[wanted | (low < high)]
-        hashes, texts_, at = [], [], []
-        for i, v in enumerate(per):
-            pos = np.flatnonzero(member(often, v)) if len(v) else v
-            if len(pos):
+        # a name that two different doc_ids of the batch share; of repeated places the last assignment holds
+        flat = np.searchsorted(all_, np.concatenate([v for v, _ in per]) if per else all_)
+        ids = np.repeat(np.array(docs, np.int64), [len(v) for v, _ in per])
+        low, high = np.zeros(len(all_), np.int64), np.zeros(len(all_), np.int64)
+        high[flat], low[flat[::-1]] = ids, ids[::-1]
+        often = (wanted | (low < high))[flat]
+        hashes, texts_, at, of = [], [], [], 0
+        for i, (v, counts) in enumerate(per):
+            own, of = often[of : of + len(v)], of + len(v)
+            if own.any():
+                pos = np.flatnonzero(np.repeat(own, counts))
                 hashes.append(rolling(np.frombuffer(texts[i], np.uint8), length)[pos])
                 texts_.append(np.full(len(pos), i, np.int32))
                 at.append(pos)
         self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.text = np.concatenate(texts_) if texts_ else np.zeros(0, np.int32)
         self.at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        self.distinct, self.number = np.unique(self.hashes, return_inverse=True)
         self.docs = np.array(docs, np.int64)
 
-    def covered(self, earlier: np.ndarray) -> np.ndarray:
-        """Which strings a smaller doc_id has, in this batch or (earlier, over distinct hashes) in another."""
-        least = np.full(len(self.distinct), 2**63 - 1, np.int64)
-        ids = self.docs[self.text] if len(self.text) else np.zeros(0, np.int64)
-        np.minimum.at(least, self.number, ids)
-        return earlier[self.number] | (least[self.number] < ids)
+    def covered(self, replies, bits: int) -> np.ndarray:
+        """Which strings a smaller doc_id has, in this batch or, as the replies say, in another."""
+        distinct, number = np.unique(self.hashes, return_inverse=True)
+        ids = self.docs[self.text]
+        least = np.zeros(len(distinct), np.int64)
+        least[number[::-1]] = ids[::-1]
+        return _told(replies, distinct, bits)[number] | (least[number] < ids)
 
 
 def _index(length: int, anchor: int, bits: int):
     def run(batches):
         for b in batches:
-            for row in b.to_pylist():
+            for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 own = Strings(row["docs"], row["texts"], row["names"], length, anchor, bits)
-                cells = _cells(own.distinct, bits)
+                cells = _cells(np.unique(own.hashes), bits)
                 yield pa.record_batch([pa.array([i for i, _ in cells], pa.int32()), pa.array([row["batch"]] * len(cells), pa.int64()), pa.array([packed(v) for _, v in cells], pa.binary())], ["shard", "batch", "keys"])
 
     return run
@@ -273,9 +287,9 @@ def _cut(text: bytes, starts: np.ndarray, length: int) -> tuple[int, int, bytes]
 def _apply(length: int, anchor: int, bits: int, texts: bool):
     def run(batches):
         for b in batches:
-            for row in b.to_pylist():
+            for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 own = Strings(row["docs"], row["texts"], row["names"], length, anchor, bits)
-                hit = own.covered(_told(row["strings"], own.distinct, bits))
+                hit = own.covered(row["strings"], bits)
                 text, at = own.text[hit], own.at[hit]
                 cuts = np.searchsorted(text, np.arange(len(row["texts"]) + 1))
                 done = [_cut(t, at[x:y], length) for t, x, y in zip(row["texts"], cuts[:-1], cuts[1:], strict=True)]
