@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Store, partitions
-from .text import BASE, mix, powers
+from .text import BASE, distinct, mix, powers
 
 NONE = 2**63 - 1
 STEP = 1 << 16
@@ -168,7 +168,7 @@ def _all_names(texts: list[bytes], length: int, anchor: int) -> tuple[list[tuple
         v = names(np.frombuffer(t, np.uint8), length, anchor) & KEPT
         starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(v)), bool), v[1:] != v[:-1])))
         per.append((v[starts], np.diff(starts, append=len(v))))
-    return per, np.unique(np.concatenate([v for v, _ in per])) if per else np.zeros(0, np.uint64)
+    return per, distinct(np.concatenate([v for v, _ in per])) if per else np.zeros(0, np.uint64)
 
 
 def _sketch(length: int, anchor: int, bits: int):
@@ -254,11 +254,11 @@ class Strings:
 
     def covered(self, replies, bits: int) -> np.ndarray:
         """Which strings a smaller doc_id has, in this batch or, as the replies say, in another."""
-        distinct, number = np.unique(self.hashes, return_inverse=True)
+        values, number = np.unique(self.hashes, return_inverse=True)
         ids = self.docs[self.text]
-        least = np.zeros(len(distinct), np.int64)
+        least = np.zeros(len(values), np.int64)
         least[number[::-1]] = ids[::-1]
-        return _told(replies, distinct, bits)[number] | (least[number] < ids)
+        return _told(replies, values, bits)[number] | (least[number] < ids)
 
 
 def _index(length: int, anchor: int, bits: int):
@@ -266,7 +266,7 @@ def _index(length: int, anchor: int, bits: int):
         for b in batches:
             for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 own = Strings(row["docs"], row["texts"], row["names"], length, anchor, bits)
-                cells = _cells(np.unique(own.hashes), bits)
+                cells = _cells(distinct(own.hashes), bits)
                 yield pa.record_batch([pa.array([i for i, _ in cells], pa.int32()), pa.array([row["batch"]] * len(cells), pa.int64()), pa.array([packed(v) for _, v in cells], pa.binary())], ["shard", "batch", "keys"])
 
     return run

@@ -40,6 +40,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; numpy's own way hashes them, which is far slower where most differ."""
+    values = np.sort(values)
+    return values[np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1]))]
+
+
 def join_texts(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, each followed by a line feed, and the offsets of texts (one more than texts)."""
     texts = list(texts)
