@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -27,6 +28,7 @@ def main() -> None:
             RULES[name](spark, sf).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)
         took[name] = round(statistics.median(runs), 3)
+        print(name, *(round(x, 3) for x in runs), file=sys.stderr, flush=True)
     print(json.dumps({"metric": "median of 3, sum over headline queries", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf}))
 
 
