@@ -12,9 +12,10 @@ each pair in the first bucket it shares; only links leave the task, never candid
 
 Defined cases: null or empty texts, and texts of white space only, have no shingles, link with
 nothing and stay; rows that repeat a doc_id are versions of one document and always share its
-component; rows without doc_id take part, but never lend their id: among themselves alone, their
-component_id is null and they stay; an empty table gives no rows; of extra columns, those named
-like the added ones are replaced.
+component; rows without doc_id take part, each text as a node of its own, but never lend their id: a
+component with an id has the least of its ids, and its rows without one go; a component without any
+has a null component_id and keeps one row; an empty table gives no rows; of extra columns, those
+named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from .graph import connected_components
 from .store import Store, partitions
 from .text import NOT_SPACE, chunks, join_texts, mix, windows, words
 
-#: Stands for a missing doc_id: larger than any, so never the least of a component with an id.
-NONE = 2**63 - 1
+
+def node_of():
+    """doc_id; for a row without one, a negative number that its text gives, so copies share it and other texts don't."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(-(2**63))))
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -86,7 +89,7 @@ def _sign(size: int, bands: int, rows: int):
             short = [np.concatenate(x).astype("<u2").tobytes() if x else None for x in signed]
             first = [int.from_bytes(d[:8], "little", signed=True) for d in digests]
             second = [int.from_bytes(d[8:], "little", signed=True) for d in digests]
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["node", "n", "d1", "d2", "bands", "sig"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["node", "lost", "n", "d1", "d2", "bands", "sig"])
 
     return run
 
@@ -243,17 +246,25 @@ def confirmed(pairs: DataFrame, texts: DataFrame, store: Store, name: str, size:
     return sets.mapInArrow(_confirm(size, similarity), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 75, bands: int = 40, rows: int = 2, block: int = 256, shingles: int = 1 << 21) -> DataFrame:
-    """A row per row of docs: doc_id, n_shingles, component_id, kept; similarity in per cent of the union.
+def _components(docs: DataFrame, size: int = 5, similarity: int = 75, bands: int = 40, rows: int = 2, block: int = 256, shingles: int = 1 << 21) -> tuple[DataFrame, bool]:
+    """A row per row of docs: node, lost (without doc_id), n, component, kept; and whether any row is lost.
 
     block, shingles: about the most rows and shingles of a block of a bucket; they bound a task's memory, not what is found.
     """
     store = Store(docs.sparkSession, "minhash")
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("node"), "text")
-    signed = store.put(source.mapInArrow(_sign(size, bands, rows), "node long, n long, d1 long, d2 long, bands array<long>, sig binary"), "signed")
+    source = docs.select(node_of().alias("node"), "text", F.col("doc_id").isNull().alias("lost"))
+    signed = source.mapInArrow(_sign(size, bands, rows), "node long, lost boolean, n long, d1 long, d2 long, bands array<long>, sig binary")
+    signed = store.put(signed.withColumn("row", F.when(F.col("lost"), F.monotonically_increasing_id())), "signed")
+    some_lost = bool(signed.where("lost").head(1))
+    # of copies without doc_id the first row stands for the node; a document's rows may differ and all do
+    signed = signed.withColumn("stands", F.lit(True))
+    if some_lost:
+        firsts = store.put(signed.where("lost").groupBy("node").agg(F.min("row").alias("first")), "firsts")
+        signed = signed.where("not lost").unionByName(signed.where("lost").join(firsts, "node").withColumn("stands", F.col("row") == F.col("first")).drop("first"))
     classes = signed.where("n > 0").groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.count("*").alias("copies"))
     classes = store.put(classes.where("copies > 1").drop("copies"), "classes")
-    member = store.put(signed.join(classes, ["d1", "d2"], "left").select("node", "n", F.coalesce("rep", "node").alias("rep"), F.when(F.coalesce("rep", "node") == F.col("node"), F.col("bands")).alias("bands"), F.when(F.coalesce("rep", "node") == F.col("node"), F.col("sig")).alias("sig")), "member")
+    own = (F.coalesce("rep", "node") == F.col("node")) & F.col("stands")
+    member = store.put(signed.join(classes, ["d1", "d2"], "left").select("node", "lost", "stands", "n", F.coalesce("rep", "node").alias("rep"), F.when(own, F.col("bands")).alias("bands"), F.when(own, F.col("sig")).alias("sig")), "member")
     banded = member.where("bands is not null and n > 0")
 
     n = partitions(docs.sparkSession)
@@ -267,7 +278,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 75, bands:
     first = store.put(star.select(F.least("center", "node").alias("low"), F.greatest("center", "node").alias("high"), F.col("center").alias("a"), F.col("node").alias("b")).dropDuplicates(["low", "high"]).select("a", "b"), "first")
 
     suspects = store.put(first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct(), "suspects")
-    texts = store.put(source.join(suspects, "node").select("node", "text"), "texts")
+    texts = source.join(suspects, "node").select("node", "text", "lost")
+    if some_lost:
+        texts = texts.where("not lost").unionByName(texts.where("lost").dropDuplicates(["node"]))
+    texts = store.put(texts.drop("lost"), "texts")
     links = store.put(confirmed(first, texts, store, "first", size, similarity), "links")
     copies = member.where("rep <> node").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     roots = connected_components(links, store, "one")
@@ -285,13 +299,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 75, bands:
     more = store.put(full.mapInArrow(_linked(size, similarity, agree), "a long, b long").distinct(), "more")
 
     roots = connected_components(links.unionByName(more).unionByName(copies.distinct()), store, "all")
-    out = member.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
-    some = F.when(F.col("root") != NONE, F.col("root"))
-    return out.select(F.when(F.col("node") != NONE, F.col("node")).alias("doc_id"), F.col("n").alias("n_shingles"), some.alias("component_id"), (F.col("node") == F.col("root")).alias("kept"))
+    out = member.join(roots, "node", "left").select("node", "lost", "stands", "n", F.coalesce("root", "node").alias("root"))
+    if not some_lost:
+        return out.select("node", "lost", "n", F.col("root").alias("component"), (F.col("node") == F.col("root")).alias("kept")), False
+    # the least id of each component that the number of a row without one leads
+    led = store.put(out.select("root", "node", "lost").distinct(), "led")
+    least = led.groupBy("root").agg(F.min(F.when(~F.col("lost"), F.col("node"))).alias("least"), F.bool_or("lost").alias("mixed")).where("mixed").drop("mixed")
+    out = out.join(store.put(least, "least"), "root", "left")
+    kept = F.when(F.col("lost") & (F.col("n") == 0), True).when(F.col("least").isNotNull(), F.col("node") == F.col("least")).otherwise((F.col("node") == F.col("root")) & F.col("stands"))
+    component = F.coalesce("least", F.when(~F.col("lost"), F.col("root")))
+    return out.select("node", "lost", "n", component.alias("component"), kept.alias("kept")), True
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """A row per row of docs: doc_id, n_shingles, component_id, kept; similarity in per cent of the union."""
+    out, _ = _components(docs, **options)
+    return out.select(F.when(~F.col("lost"), F.col("node")).alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each component: that with the smallest doc_id, all its rows that differ, once each."""
-    kept = near_duplicates(docs, **options).where("kept").select("doc_id").distinct()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))
-    return docs.withColumn("_node", key).join(kept.select(F.coalesce("doc_id", F.lit(NONE)).alias("_node")), "_node", "left_semi").select(*docs.columns)
+    """docs with one document of each component: that with the smallest doc_id, all its rows; one row where no doc_id is."""
+    out, some_lost = _components(docs, **options)
+    named = docs.where("doc_id is not null").withColumn("_node", node_of())
+    rest = named.join(out.where("kept and not lost").select(F.col("node").alias("_node")).distinct(), "_node", "left_semi").select(*docs.columns)
+    if not some_lost:
+        return rest
+    lost = docs.where("doc_id is null").withColumn("_node", node_of())
+    kept = lost.join(out.where("kept and lost").groupBy(F.col("node").alias("_node")).agg((F.max("n") > 0).alias("_one")), "_node")
+    return rest.unionByName(kept.where("not _one").select(*docs.columns)).unionByName(kept.where("_one").dropDuplicates(["_node"]).select(*docs.columns))

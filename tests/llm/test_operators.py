@@ -161,6 +161,25 @@ def test_near_duplicates(spark, block):
     assert minhash.near_duplicates(docs(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 256])
+def test_near_duplicates_without_ids(spark, block):
+    r = random.Random(4)
+    long_ = lambda: [f"w{r.randint(0, 10**6)}" for _ in range(60)]
+    near = lambda own, x: " ".join([*own[:-1], x])
+    five, nine, own, pair = long_(), long_(), long_(), long_()
+    rows = [(5, " ".join(five)), (None, near(five, "x")), (None, near(five, "x")), (9, " ".join(nine)), (None, near(nine, "y"))]
+    rows += [(None, " ".join(own))] * 4 + [(None, " ".join(pair)), (None, near(pair, "z")), (12, " ".join(long_()))]
+    # many near copies, so that buckets are cut
+    rows += [(None if i % 2 else 100 + i, near(five, f"v{i}")) for i in range(12)] + [(None, None), (None, ""), (None, " "), (7, None)]
+    got = minhash.near_duplicates(docs(spark, rows), block=block).collect()
+    assert order((g.doc_id, g.component_id, g.kept) for g in got if g.n_shingles) == order([(5, 5, True), (None, 5, False), (None, 5, False), (9, 9, True), (None, 9, False), (12, 12, True), (None, None, True), *[(None, None, False)] * 3, (None, None, True), (None, None, False), *[(None if i % 2 else 100 + i, 5, False) for i in range(12)]])
+    assert order((g.doc_id, g.component_id, g.kept) for g in got if not g.n_shingles) == order([(None, None, True)] * 3 + [(7, 7, True)])
+    kept = order((x.doc_id, x.text) for x in minhash.drop_near_duplicates(docs(spark, rows), block=block).collect())
+    one = next(x for x in kept if x[0] is None and x[1] and x[1].startswith(pair[0] + " "))
+    assert one[1] in (" ".join(pair), near(pair, "z"))
+    assert kept == order([rows[0], rows[3], rows[5], one, (12, rows[11][1]), (None, None), (None, ""), (None, " "), (7, None)])
+
+
 def test_sketches(spark):
     rows = [(None, None), (None, ""), (5, "a\nb"), (5, "a\nb"), (5, "c"), (1, "\n".join(map(str, range(300)))), (2, "\n".join(map(str, range(150, 300)))), (9, "é"), (None, "a")]
     key = lambda r: (-(r[0] if r[0] is not None else -(2**63)), hashlib.md5((r[1] or "").encode()).hexdigest())
