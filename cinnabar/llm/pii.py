@@ -135,7 +135,7 @@ def bootstrap(found: DataFrame, store: Store, rounds: int, threshold: float, lea
     # patterns that never meet a seed can't induce anything, nor can candidates of such patterns alone
     seeded = store.put(edges.where("kind is not null").groupBy("pattern").agg(F.countDistinct("instance").alias("seeds")).where(F.col("seeds") >= least_seeds).select("pattern"), "seeded")
     edges = store.put(edges.join(seeded, "pattern"), "live")
-    known = store.put(edges.where("kind is not null").groupBy("instance", "kind").agg(F.lit(1.0).alias("belief")), "belief-0")
+    known = store.put(edges.where("kind is not null").groupBy("instance", "kind").agg(F.lit(1.0).alias("belief"), F.lit(True).alias("seed")), "belief-0")
     for i in range(rounds):
         # an instance is counted once a pattern; unknown ones count against every kind
         sizes = edges.groupBy("pattern").agg(F.countDistinct("instance").alias("all"))
@@ -143,10 +143,11 @@ def bootstrap(found: DataFrame, store: Store, rounds: int, threshold: float, lea
         strength = store.put(believed.join(sizes, "pattern").select("pattern", "kind", (F.col("b") / (F.col("all") + 1)).alias("strength")), f"strength-{i}")
         good = strength.where(F.col("strength") >= threshold)
         reached = edges.where("kind is null").select("pattern", "instance").join(good, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("strength"), F.lit(1e-6)))))).alias("belief"))
-        best = reached.groupBy("instance").agg(F.max(F.struct("belief", "kind")).alias("m")).select("instance", "m.kind", "m.belief")
-        seeds = edges.where("kind is not null").groupBy("instance", "kind").agg(F.lit(1.0).alias("belief"))
+        best = reached.groupBy("instance").agg(F.max(F.struct("belief", "kind")).alias("m")).select("instance", "m.kind", "m.belief", F.lit(False).alias("seed"))
+        seeds = edges.where("kind is not null").groupBy("instance", "kind").agg(F.lit(1.0).alias("belief"), F.lit(True).alias("seed"))
         known = store.put(seeds.unionByName(best.join(seeds.select("instance").distinct(), "instance", "left_anti")), f"belief-{i + 1}")
-    return store.put(known.where((F.col("belief") < 1.0) & (F.col("belief") >= threshold)).select("instance", "kind"), "discovered")
+    # a discovery's belief may round to 1.0 as well
+    return store.put(known.where(~F.col("seed") & (F.col("belief") >= threshold)).select("instance", "kind"), "discovered")
 
 
 def personal_data(docs: DataFrame, rounds: int = 2, threshold: float = 0.7, least_seeds: int = 3) -> DataFrame:

@@ -90,6 +90,13 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert pii.personal_data(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_bootstrap_keeps_the_best_supported(spark):
+    # 20 contexts of 30 seeds each: the belief of what stands in all of them rounds to 1
+    seeds = [("phone", 0, 5, 1000 + i, list(range(20))) for i in range(30)]
+    found = spark.createDataFrame([([*seeds, (None, 0, 5, 1, list(range(20))), (None, 0, 5, 2, [3]), (None, 0, 5, 3, [77])],)], f"found {pii.SPANS}")
+    assert order(map(tuple, pii.bootstrap(found, store.Store(spark, "t"), 2, 0.7, 3).collect())) == [(1, "phone"), (2, "phone")]
+
+
 def test_packing(spark):
     path = queries.word_tokenizer()
     from tokenizers import Tokenizer
