@@ -90,11 +90,31 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert pii.personal_data(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_bootstrap_finds_other_spellings(spark):
+    cards = [f"{n} 1111 1111" for n in range(4000_0000, 4000_2000) if pii.luhn(f"{n}11111111")][:15]
+    rows = [f"reach me at phone: +91 (93) 93-94{i:03d} today" for i in range(30)] + [f"write to mail= user{i}@host.org soon" for i in range(15)] + [f"pay by card# {c[:4]} {c[4:]} please" for c in cards] + [f"login from ip= 10.0.0.{i} again" for i in range(15)]
+    planted = {"phone": ("phone: {} today", "555-010-1099", "555 010 1099", "(555) 010 1098", "5550101097", "0044 555 010 10 96"), "email": ("mail= {} soon", "root@localhost", "jane.doe (at) host.org", "joe[at]host[dot]org", "ann at host dot org", "bob @ host.org"), "card": ("card# {} please", "4111.1111.1111.1112", "4111 1111 1111 1113"), "ip": ("ip= {} again", "10.0.0.300", "10 . 0 . 0 . 77", "10[.]0[.]0[.]78", "fe80::1")}
+    want = {}
+    for kind, (frame, *forms) in planted.items():
+        for form in forms:
+            text = "x " + frame.format(form)
+            want[len(rows)] = (text, [(kind, text.index(form), text.index(form) + len(form))])
+            rows.append(text)
+    for text in ("item 555-010-1099x sold", "size 555 010 1234 cm", "phone: abc1234 today", "meet me (at) home"):
+        want[len(rows)] = (text, [])
+        rows.append(text)
+    out = {r.doc_id: r for r in pii.personal_data(docs(spark, [*enumerate(rows)])).collect()}
+    assert {i: (rows[i], [tuple(s) for s in out[i].added]) for i in want} == want
+    assert all(len(r.base) == 1 and not r.added for i, r in out.items() if i not in want)
+    for hard in ("1 " * 100_000 + "x", "1." * 100_000, "(at) " * 50_000, "a:" * 100_000, "@" * 100_000, "1-1 " * 50_000, "a" * 200_000 + "@" + "b." * 50_000):
+        pii._candidates(hard, pii.base_spans(hard))
+
+
 def test_bootstrap_keeps_the_best_supported(spark):
     # 20 contexts of 30 seeds each: the belief of what stands in all of them rounds to 1
-    seeds = [("phone", 0, 5, 1000 + i, list(range(20))) for i in range(30)]
-    found = spark.createDataFrame([([*seeds, (None, 0, 5, 1, list(range(20))), (None, 0, 5, 2, [3]), (None, 0, 5, 3, [77])],)], f"found {pii.SPANS}")
-    assert order(map(tuple, pii.bootstrap(found, store.Store(spark, "t"), 2, 0.7, 3).collect())) == [(1, "phone"), (2, "phone")]
+    seeds = [("phone", 0, 5, 1000 + i, 0, list(range(20))) for i in range(30)]
+    found = spark.createDataFrame([([*seeds, (None, 0, 5, 1, 8, list(range(20))), (None, 0, 5, 2, 8, [3]), (None, 0, 5, 3, 8, [77])],)], f"found {pii.SPANS}")
+    assert order(map(tuple, pii.bootstrap(found, store.Store(spark, "t"), 2, 0.7, 3).select("instance", "kind").collect())) == [(1, "phone"), (2, "phone")]
 
 
 def test_packing(spark):
