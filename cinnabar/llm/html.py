@@ -3,7 +3,7 @@
 Words score positive and tags negative; the weights are log-odds of lying inside the article,
 learned from pages whose markup names it (``<article>`` or ``<main>``), which serve as labelled
 pages: a bounded sample of them is fitted on. One linear scan over a page's tokens finds the
-contiguous region with the largest sum. Blocks the region covers for the most part are kept whole,
+contiguous region with the largest sum; what can never be article counts nothing there. Blocks the region covers for the most part are kept whole,
 less what can never be article: navigation, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments.
 
@@ -121,7 +121,8 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     scores = []
     for kind, value, skipped, _ in whole:
         n = len(value.split()) if kind == "text" else 1
-        scores.append(n * weights.get(_state(kind, value, skipped), -0.1 if kind == "tag" else 0.0))
+        # what is left out anyway never parts an article in two
+        scores.append(0.0 if skipped else n * weights.get(_state(kind, value, skipped), -0.1 if kind == "tag" else 0.0))
     start, end = region(scores)
     if end <= start:
         return ""

@@ -283,6 +283,18 @@ def test_html():
     assert html.region([-1, 2, -1, 3, -5, 4]) == (1, 4)
 
 
+def test_html_blocks_inside_the_article():
+    from collections import Counter
+
+    tail = " ".join(f"word{i}" for i in range(30))
+    for block in (f'<div class="advert"><p>{"buy now " * 60}</p></div>', f"<form><label>{'your name ' * 60}</label></form>", f"<aside>{'<p>see also</p>' * 60}</aside>"):
+        page = f"<html><body><nav><a>x y z</a></nav><article><p>short first one</p>{block}<p>{tail}</p>{block}<p>short last one</p></article><footer>f f</footer></body></html>"
+        a, b = Counter(), Counter()
+        html.count("<html><body><nav><a>x y z</a></nav><article><p>one two</p></article><div>out side</div><footer>f f</footer></body></html>", a, b)
+        for weights in (html.weigh(a, b), html.weigh({}, {})):
+            assert html.main_text(page, weights) == f"short first one\n{tail}\nshort last one"
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, "<article><p>hello big world</p></article>")], "page_id long, url string, html string")
     assert order(map(tuple, html.extract(df).collect())) == order([(1, "u", "", 0), (None, None, "hello big world", 15)])
