@@ -79,7 +79,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return contamination(docs, table(spark, sf_dir, "benchmark")).drop("text", "matches")
+    return contamination(docs, table(spark, sf_dir, "benchmark")).drop("text", "matches", "longest")
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_best_fit_packing, op4_minhash, op5_sketches, op6_toxicity, op7_suffixes, op8_html, op9_line_dedup, op10_decontamination)}
