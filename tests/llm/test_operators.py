@@ -273,25 +273,18 @@ def test_repeats(spark, anchor):
 
 def test_html():
     page = '<html><head><title>t</title></head><body><nav><a>x y z</a></nav><div class="ad">buy now</div><article><h1>A &amp; B</h1><p>one two<br><p>three <b>four</b>  five</p><aside>side</aside></article><div class="comments">bad words here</div><footer>f f</footer></body></html>'
-    from collections import Counter
-
-    a, b = Counter(), Counter()
-    html.count(page, a, b)
-    assert html.main_text(page, html.weigh(a, b)) == "A & B\none two\nthree four five"
+    weights = html.learned([page])
+    assert html.main_text(page, weights) == "A & B\none two\nthree four five"
     for odd in ("", "<p>", "<a " * 1000, "<<>>", "&amp;&#x41;&bogus;"):
-        assert html.main_text(odd, html.weigh(a, b)) in ("", htmllib.unescape(odd), odd.strip())
+        assert html.main_text(odd, weights) in ("", htmllib.unescape(odd), odd.strip())
     assert html.region([-1, 2, -1, 3, -5, 4]) == (1, 4)
 
 
 def test_html_blocks_inside_the_article():
-    from collections import Counter
-
     tail = " ".join(f"word{i}" for i in range(30))
     for block in (f'<div class="advert"><p>{"buy now " * 60}</p></div>', f"<form><label>{'your name ' * 60}</label></form>", f"<aside>{'<p>see also</p>' * 60}</aside>"):
         page = f"<html><body><nav><a>x y z</a></nav><article><p>short first one</p>{block}<p>{tail}</p>{block}<p>short last one</p></article><footer>f f</footer></body></html>"
-        a, b = Counter(), Counter()
-        html.count("<html><body><nav><a>x y z</a></nav><article><p>one two</p></article><div>out side</div><footer>f f</footer></body></html>", a, b)
-        for weights in (html.weigh(a, b), html.weigh({}, {})):
+        for weights in (html.learned(["<html><body><nav><a>x y z</a></nav><article><p>one two</p></article><div>out side</div><footer>f f</footer></body></html>"]), html.learned([])):
             assert html.main_text(page, weights) == f"short first one\n{tail}\nshort last one"
 
 
