@@ -1,204 +1,261 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings of 4, 5 and 6 bytes; those kept are the ones that the labels
-single out (likelihood ratio). Labels are fitted on a bounded sample of labelled rows
-(``train_rows``, the smallest hashes of doc_id); document frequencies are counted over all
-documents, and every document is scored over its whole text. The examples stand in an inverted
-index cut into blocks with each term's largest weight; a query visits blocks by falling upper bound
-and stops when no block left can reach its k nearest, so the neighbours are exact. Their votes
-count with the square of the cosine, beside a small vote of the share of toxic examples, which is
-the whole score of a text without any such term.
-
-Defined cases: null and empty texts get that share as score; labels without doc_id or toxic are no
-examples, of repeated labels of a document the largest counts; without any example the score is 0;
-rows without doc_id are scored and not held out; columns of the input named like the added ones
-are replaced.
+Terms are words and their first five bytes, which stand for inflected forms. Labels are fitted on a bounded
+sample of labelled rows (at most ``train_rows`` rows of ``train_bytes`` bytes, the smallest hashes of doc_id); a fifth
+of it calibrates, and all other rows with all their terms stand in the index. A term weighs
+(1 + log tf) * idf * (floor + association): document frequencies are counted over all documents, and the
+association is how far the term's rows move the share of toxic ones (the divergence of the smoothed share from that of
+all rows), so that telling terms decide and no term is left out. The inverted index is cut into blocks of examples
+with each term's largest weight. A query adds up postings by falling largest contribution until the terms left can't
+lift an unseen example among its k nearest; examples that the block bounds still allow are then scored in full, so the
+neighbours are exact. Votes count with the square of the cosine, beside a small vote of the share of toxic examples;
+isotonic regression on the calibration rows maps the votes' share to a probability.
+
+Defined cases: null and empty texts, and texts without any term of the index, get that share as votes; labels without
+doc_id or toxic are no examples, of repeated labels of a document the largest counts; without examples of both labels
+the score is their share (0 without any); rows without doc_id are scored and not held out; columns of the input
+named like the added ones are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Store
-from .text import ALNUM, chunks, join_texts, mix, powers, words
+from .store import Store, partitions
+from .text import ALNUM, chunks, distinct, join_texts, mix, powers, words
 
 ADDED = "score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
 EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
-PREFIXES = (4, 5, 6)
+PREFIX = 5
 BLOCK = 64
+SLICES = 32
 
 
 def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all terms of the texts, and the text of each."""
     data, offsets = join_texts([t.lower() for t in texts])
     hashes, starts, lengths, first = words(data, offsets, ALNUM)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first))
-    out, owners = [hashes], [owner]
-    if len(hashes):
-        power, sums, at = powers(max(PREFIXES) + 1), np.zeros(len(starts), np.uint64), np.arange(len(starts))
-        for i in range(max(PREFIXES)):
-            long_ = lengths[at] > i + 1
-            at, sums = at[long_], sums[long_]
-            sums = sums + (data[starts[at] + i].astype(np.uint64) + np.uint64(1)) * power[i]
-            if i + 1 in PREFIXES:
-                out.append(mix(sums + np.uint64(i + 1)))
-                owners.append(owner[at])
-    return np.concatenate(out), np.concatenate(owners)
-
-
-class Terms:
-    """A sorted set of term hashes, with a bitmap for a cheap first look."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.unique(hashes.astype(np.uint64))
-        self.bitmap = np.zeros(1 << 20, dtype=bool)
-        self.bitmap[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-
-    def find(self, hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the known terms among hashes, and their owners."""
-        at = np.flatnonzero(self.bitmap[(hashes >> np.uint64(44)).astype(np.int64)])
-        if not len(at) or not len(self.hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int32)
-        place = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
-        good = self.hashes[place] == hashes[at]
-        return place[good], owners[at[good]]
-
-
-def _toxic_terms(batches):
-    """Per task, in how many texts each term is."""
+    owner = np.repeat(np.arange(len(texts)), np.diff(first))
+    at = np.flatnonzero(lengths > PREFIX)
+    sums = np.zeros(len(at), np.uint64)
+    for i in range(PREFIX):
+        sums += (data[starts[at] + i].astype(np.uint64) + np.uint64(1)) * powers(PREFIX)[i]
+    return np.concatenate((hashes, mix(sums + np.uint64(PREFIX)))), np.concatenate((owner, owner[at]))
+
+
+def counted(texts: list[bytes], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term number, how often) of the known terms, sorted by text and number; known: sorted hashes."""
+    hashes, owners = terms(texts)
+    if not len(known) or not len(hashes):
+        return (np.zeros(0, np.int64),) * 3
+    values, number = np.unique(hashes, return_inverse=True)
+    place = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    place[known[place] != values] = -1
+    place = place[number]
+    good = place >= 0
+    keys, tf = np.unique(owners[good] * len(known) + place[good], return_counts=True)
+    return keys // len(known), keys % len(known), tf
+
+
+def _vocabulary(batches):
+    """Per task the distinct terms of its texts."""
     held: list[np.ndarray] = []
-
-    def out():
-        hashes, n = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        return pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(n, pa.int64())], ["term", "n"])
-
-    size = 0
     for _, texts in chunks(batches):
-        hashes, owners = terms(texts)
-        order = np.lexsort((hashes, owners))
-        hashes, owners = hashes[order], owners[order]
-        new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1]))) if len(hashes) else np.zeros(0, bool)
-        held.append(hashes[new])
-        size += int(new.sum())
-        if size > 4_000_000:
-            yield out()
-            size = 0
+        held.append(distinct(terms(texts)[0]))
+        if sum(map(len, held)) > 4_000_000:
+            held = [distinct(np.concatenate(held))]
     if held:
-        yield out()
+        yield pa.record_batch([pa.array(distinct(np.concatenate(held)).view(np.int64))], ["term"])
 
 
 def _frequencies(shared):
-    """Per task, in how many texts each known term is; one row of counts."""
+    """Per task, in how many texts each known term is: compressed slices of counts, and how many texts as slice -1."""
 
     def run(batches):
         known = shared.value
-        counts, n = np.zeros(len(known.hashes), np.int64), 0
-        for _, texts in chunks(batches):
+        counts, n = np.zeros(len(known), "<u4"), 0
+        for _, texts in chunks(batches, limit=1 << 20):
             n += len(texts)
-            number, owners = known.find(*terms(texts))
-            pairs = np.unique(owners.astype(np.int64) * len(known.hashes) + number) if len(number) else number
-            counts += np.bincount(pairs % max(1, len(counts)), minlength=len(counts)) if len(pairs) else 0
-        at = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(counts[at], n), pa.int64())], ["term", "n"])
+            _, number, _ = counted(texts, known)
+            counts += np.bincount(number, minlength=len(known)).astype("<u4")
+        parts = [zlib.compress(x.tobytes(), 1) for x in np.array_split(counts, SLICES)]
+        yield pa.record_batch([pa.array([-1, *range(SLICES)], pa.int32()), pa.array([n, *[0] * SLICES], pa.int64()), pa.array([b"", *parts], pa.binary())], ["slice", "texts", "counts"])
 
     return run
 
 
-def frequencies(docs: DataFrame, known: Terms) -> tuple[np.ndarray, int]:
+def _added(batches):
+    """Sums of the counts of each slice; rows sorted by slice."""
+    now, texts, counts = None, 0, None
+
+    def out():
+        return pa.record_batch([pa.array([now], pa.int32()), pa.array([texts], pa.int64()), pa.array([counts.tobytes()], pa.binary())], ["slice", "texts", "counts"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            own = np.frombuffer(zlib.decompress(row["counts"]) if row["counts"] else b"", "<u4").astype("<i8")
+            if row["slice"] != now:
+                if now is not None:
+                    yield out()
+                now, texts, counts = row["slice"], row["texts"], own
+            else:
+                texts, counts = texts + row["texts"], counts + own
+    if now is not None:
+        yield out()
+
+
+def frequencies(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many of docs each term is, and how many docs there are."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    rows = docs.select("text").mapInArrow(_frequencies(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    out, total = np.zeros(len(known.hashes), np.int64), 0
-    for r in rows:
-        if r["term"] < 0:
-            total = r["n"]
-        else:
-            out[r["term"]] = r["n"]
-    return out, total
-
-
-def vectors(texts: list[bytes], known: Terms, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text its term numbers and weights (1 + log tf) * idf, of length 1."""
-    number, owners = known.find(*terms(texts))
-    keys, tf = np.unique(owners.astype(np.int64) << 32 | number, return_counts=True)
-    number, owners = keys & 0xFFFFFFFF, keys >> 32
-    weights = (1 + np.log(tf)) * idf[number]
-    cuts = np.searchsorted(owners, np.arange(len(texts) + 1))
-    out = []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        length = np.sqrt((weights[a:b] ** 2).sum())
-        out.append((number[a:b], weights[a:b] / length if length else weights[a:b]))
-    return out
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(known)
+    parts = docs.select("text").mapInArrow(_frequencies(shared), "slice int, texts long, counts binary")
+    rows = parts.repartition(min(SLICES, partitions(spark)), "slice").sortWithinPartitions("slice").mapInArrow(_added, "slice int, texts long, counts binary").collect()
+    by = {r["slice"]: r for r in rows}
+    if not by:
+        return np.zeros(len(known), np.int64), 0
+    return np.concatenate([np.frombuffer(by[i]["counts"], "<i8") for i in range(SLICES)]), by[-1]["texts"]
+
+
+def association(n: np.ndarray, toxic: np.ndarray, share: float, smooth: float) -> np.ndarray:
+    """Divergence of the smoothed share of toxic rows with a term from that of all rows; n: rows with it, toxic: those of them."""
+    p = (toxic + smooth * share) / (n + smooth)
+    return p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share))
+
+
+def ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges from lo with n numbers, one range after the other."""
+    return np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
 
 
 class Index:
     """Block-max inverted index over example vectors."""
 
-    def __init__(self, known: Terms, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], prior: float, k: int, prior_votes: float):
-        """examples: (doc_id, toxic, term numbers, weights); prior: the share of toxic labelled rows."""
-        self.known, self.idf, self.prior, self.k, self.prior_votes = known, idf, prior, k, prior_votes
-        examples = sorted((e for e in examples if len(e[2])), key=lambda e: (int(e[2][np.argmax(e[3])]), e[0]))  # like beside like, for tight bounds
-        self.ids, self.labels = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.int32)
-        self.blocks = -(-len(examples) // BLOCK)
-        number = np.concatenate([e[2] for e in examples]) if examples else np.zeros(0, np.int64)
-        weight = np.concatenate([e[3] for e in examples]) if examples else np.zeros(0)
-        doc = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
+    def __init__(self, known: np.ndarray, weights: np.ndarray, ids: np.ndarray, labels: np.ndarray, doc: np.ndarray, number: np.ndarray, tf: np.ndarray, prior: float, k: int = 16, prior_votes: float = 0.25):
+        """known: sorted term hashes with their weights; ids, labels: examples; (doc, number, tf) of their terms; prior: the share of toxic ones."""
+        self.known, self.weights, self.prior, self.k, self.prior_votes = known, weights, prior, k, prior_votes
+        n = len(ids)
+        weight = unit(doc, number, tf, weights, n)
+        # like beside like, for tight bounds: by the example's heaviest term
+        top = np.zeros(n, np.int64)
+        order = np.lexsort((weight, doc))
+        top[doc[order]] = number[order]
+        old = np.lexsort((ids, top))
+        new = np.empty(n, np.int64)
+        new[old] = np.arange(n)
+        self.ids, self.labels, doc = ids[old], labels[old], new[doc]
+        order = np.lexsort((number, doc))
+        self.first = np.searchsorted(doc[order], np.arange(n + 1))
+        self.number, self.weight = number[order].astype(np.int32), weight[order].astype(np.float32)
         order = np.lexsort((doc, number))
-        self.number, self.doc, self.weight = number[order], doc[order], weight[order]
-        self.most = np.zeros((len(known.hashes), self.blocks))
-        np.maximum.at(self.most, (self.number, self.doc // BLOCK), self.weight)
-        self.start = np.searchsorted(self.number * (self.blocks + 1) + self.doc // BLOCK, np.arange(len(known.hashes) * (self.blocks + 1) + 1)) if self.blocks else None
+        self.start = np.searchsorted(number[order], np.arange(len(known) + 1))
+        self.doc, self.posting = doc[order].astype(np.int32), weight[order].astype(np.float32)
+        # the largest weight of each term in each block of examples, and in all
+        block = number[order] * (n // BLOCK + 1) + self.doc // BLOCK
+        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(block)), bool), block[1:] != block[:-1])))
+        self.block = (block[starts] % (n // BLOCK + 1)).astype(np.int32)
+        self.block_most = np.maximum.reduceat(self.posting, starts) if len(starts) else self.posting
+        self.block_start = np.searchsorted(block[starts] // (n // BLOCK + 1), np.arange(len(known) + 1))
+        self.most = np.zeros(len(known), np.float32)
+        np.maximum.at(self.most, number[order], self.posting)
         self.seen: dict[bytes, tuple] = {}
+        self.knots: tuple[np.ndarray, np.ndarray] | None = None
 
     def nearest(self, number: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples with a cosine above 0, by falling cosine, then place in the index."""
-        if not len(number) or not self.blocks:
+        n = len(self.ids)
+        if not len(number) or not n:
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = weight @ self.most[number]
-        docs, scores, kth = [], [], 0.0
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or bound[block] < kth - 1e-9:
-                break
-            own = np.zeros(BLOCK)
-            for t, w in zip(number, weight, strict=True):
-                a, b = self.start[t * (self.blocks + 1) + block], self.start[t * (self.blocks + 1) + block + 1]
-                own[self.doc[a:b] - block * BLOCK] += w * self.weight[a:b]
-            hit = np.flatnonzero(own)
-            docs.append(hit + block * BLOCK)
-            scores.append(own[hit])
-            if sum(map(len, scores)) >= self.k:
-                both = np.concatenate(scores)
-                kth = np.partition(both, -self.k)[-self.k]
-        if not docs:
-            return np.zeros(0, np.int64), np.zeros(0)
-        docs, scores = np.concatenate(docs), np.concatenate(scores)
-        order = np.lexsort((docs, -np.round(scores, 9)))[: self.k]
-        return docs[order], scores[order]
-
-    def score(self, number: np.ndarray, weight: np.ndarray) -> tuple[float, list[dict]]:
+        reach = weight * self.most[number]
+        order = np.argsort(-reach, kind="stable")
+        number, weight = number[order], weight[order]
+        left = np.append(np.cumsum(reach[order][::-1])[::-1], 0.0)  # what terms from here on can add at most
+        lists = self.start[number + 1] - self.start[number]
+        work = np.cumsum(lists)
+        sums, kth, at, step = np.zeros(n), 0.0, 0, 4 * n
+        while at < len(number) and left[at] >= kth - 1e-6:
+            to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + step, "right")))
+            own = ranges(self.start[number[at:to]], lists[at:to])
+            sums += np.bincount(self.doc[own], self.posting[own] * np.repeat(weight[at:to], lists[at:to]), n)
+            at = to
+            if n > self.k:
+                kth = np.partition(sums, -self.k)[-self.k]
+        hit = np.flatnonzero(sums > 0)
+        if at < len(number):
+            hit = hit[sums[hit] + left[at] >= kth - 1e-6]
+            rest = number[at:]
+            blocks = self.block_start[rest + 1] - self.block_start[rest]
+            own = ranges(self.block_start[rest], blocks)
+            bound = np.bincount(self.block[own], self.block_most[own] * np.repeat(weight[at:], blocks), n // BLOCK + 1)
+            hit = hit[sums[hit] + bound[hit // BLOCK] >= kth - 1e-6]
+            query = dict(zip(rest.tolist(), weight[at:].tolist(), strict=True))
+            table = np.sort(rest)
+            value = np.array([query[t] for t in table.tolist()])
+            sizes = self.first[hit + 1] - self.first[hit]
+            own = ranges(self.first[hit], sizes)
+            place = np.minimum(np.searchsorted(table, self.number[own]), len(table) - 1)
+            add = np.where(table[place] == self.number[own], value[place], 0.0) * self.weight[own]
+            sums[hit] += np.bincount(np.repeat(np.arange(len(hit)), sizes), add, len(hit))
+        order = np.lexsort((hit, -np.round(sums[hit], 7)))[: self.k]
+        return hit[order], np.minimum(sums[hit[order]], 1.0)
+
+    def votes(self, number: np.ndarray, weight: np.ndarray) -> tuple[float, list[dict]]:
         """The votes' share for toxic, and the three nearest examples."""
         key = number.tobytes() + weight.tobytes()
         if key not in self.seen:
             docs, near = self.nearest(number, weight)
-            votes = near**2
-            value = (votes @ self.labels[docs] + self.prior_votes * self.prior) / (votes.sum() + self.prior_votes)
+            count = near**2
+            value = (count @ self.labels[docs] + self.prior_votes * self.prior) / (count.sum() + self.prior_votes)
             found = [{"doc_id": int(self.ids[d]), "similarity": float(s), "toxic": int(self.labels[d])} for d, s in zip(docs[:3], near[:3], strict=True)]
-            if len(self.seen) > 20_000:
+            if len(self.seen) > 5_000:
                 self.seen.clear()
             self.seen[key] = float(min(1, max(0, value))), found
         return self.seen[key]
 
+    def score(self, texts: list[bytes]) -> list[tuple[float, list[dict]]]:
+        """Of each text the calibrated probability, and the three nearest examples."""
+        doc, number, tf = counted(texts, self.known)
+        weight = unit(doc, number, tf, self.weights, len(texts))
+        cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
+        own = [self.votes(number[a:b], weight[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return own if self.knots is None else [(float(np.interp(v, *self.knots)), found) for v, found in own]
+
+    def calibrate(self, votes: np.ndarray, toxic: np.ndarray) -> None:
+        """Fits the map from votes to probabilities: isotonic regression, its steps joined by lines."""
+        if not len(votes) or toxic.all() or not toxic.any():
+            return
+        blocks: list[list[float]] = []  # rows, toxic rows, votes
+        for v, t in sorted(zip(votes.tolist(), toxic.tolist(), strict=True)):
+            blocks.append([1.0, float(t), v])
+            while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
+                a, b = blocks.pop(), blocks.pop()
+                blocks.append([x + y for x, y in zip(a, b, strict=True)])
+        # a row of the prior in each step keeps 0 and 1 out of reach of a few rows
+        level = np.maximum.accumulate([(t + self.prior) / (n + 1) for n, t, _ in blocks])
+        self.knots = np.array([v / n for n, _, v in blocks]), level
+
+
+def unit(doc: np.ndarray, number: np.ndarray, tf: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """(1 + log tf) * weight of the terms, of length 1 for each of n texts."""
+    value = (1 + np.log(tf)) * weights[number]
+    length = np.sqrt(np.bincount(doc, value * value, n))
+    return value / np.where(length > 0, length, 1.0)[doc]
+
+
+def _counts(shared):
+    """Labelled rows with the numbers and counts of their terms."""
 
-def _vectors(shared):
     def run(batches):
-        known, idf = shared.value
+        known = shared.value
         for batch, texts in chunks(batches):
-            own = vectors(texts, known, idf)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([n for n, _ in own], pa.list_(pa.int64())), pa.array([w for _, w in own], pa.list_(pa.float64()))], ["doc_id", "toxic", "number", "weight"])
+            doc, number, tf = counted(texts, known)
+            cuts = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x, pa.int32())) for x in (number, tf)]
+            yield pa.record_batch([batch.column(0), batch.column(1), *lists], ["doc_id", "toxic", "number", "tf"])
 
     return run
 
@@ -207,7 +264,7 @@ def _scores(shared, schema: pa.Schema, names: list[str]):
     def run(batches):
         index = shared.value
         for batch, texts in chunks(batches):
-            own = [index.score(n, w) for n, w in vectors(texts, index.known, index.idf)]
+            own = index.score(texts)
             columns = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
             columns |= {"score": pa.array([s for s, _ in own], pa.float64()), "predicted": pa.array([int(s >= 0.5) for s, _ in own], pa.int32()), "evidence": pa.array([e for _, e in own], EVIDENCE)}
             yield pa.RecordBatch.from_arrays([columns[n].cast(schema.field(n).type) for n in schema.names], schema=schema)
@@ -215,47 +272,62 @@ def _scores(shared, schema: pa.Schema, names: list[str]):
     return run
 
 
-def ratio(n_tox: np.ndarray, n_clean: np.ndarray, tox: int, clean: int) -> np.ndarray:
-    """Log-likelihood ratio (G squared) of a term's two-by-two table."""
-
-    def part(x, total, share):
-        expected = total * share
-        return np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(expected, 1e-9)), 0.0)
+def scored(docs: DataFrame, index: Index) -> DataFrame:
+    """docs with what the index says of each text."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
 
-    share = tox / (tox + clean)
-    n, rest = n_tox + n_clean, tox + clean - n_tox - n_clean
-    return 2 * (part(n_tox, n, share) + part(n_clean, n, 1 - share) + part(tox - n_tox, rest, share) + part(clean - n_clean, rest, 1 - share))
+    added = _parse_datatype_string(ADDED)
+    docs = docs.drop(*added.names)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    out = StructType([*docs.schema.fields, *added.fields])
+    return docs.mapInArrow(_scores(shared, to_arrow_schema(out), docs.columns), out)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, most_terms: int = 4096, least_ratio: float = 20.0, k: int = 16, prior_votes: float = 0.25) -> Index:
-    """The index of a bounded sample of labelled rows, of which every fifth doc_id (crc32) is held out."""
-    spark = docs.sparkSession
-    store = Store(spark, "toxicity")
-    marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+def _sample(docs: DataFrame, labels: DataFrame, train_rows: int, train_bytes: int, store: Store) -> tuple[DataFrame, float]:
+    """Labelled rows that aren't held out, with their texts: those with the smallest hashes up to both bounds. And the share of toxic ones."""
+    marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(F.col("toxic").cast("int")) > 0).cast("int").alias("toxic"))
     sample = store.put(marked.where(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "sample")
     # at most train_rows pairs of numbers are broadcast
     train = store.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text"), "train")
-    n = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
-    tox, clean = n.get(1, 0), sum(n.values()) - n.get(1, 0)
-    empty = Terms(np.zeros(0, np.uint64))
-    if not tox or not clean:
-        return Index(empty, np.zeros(0), [], float(bool(tox)), k, prior_votes)
-    found = train.where("toxic = 1").select("text").mapInArrow(_toxic_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where("n >= 3").collect()
-    candidates = Terms(np.array([r["term"] for r in found], dtype=np.int64).view(np.uint64))
-    n_tox = np.zeros(len(candidates.hashes), np.int64)
-    n_tox[np.searchsorted(candidates.hashes, np.array([r["term"] for r in found], dtype=np.int64).view(np.uint64))] = [r["n"] for r in found]
-    n_clean, _ = frequencies(train.where("toxic <> 1"), candidates)
-    value = ratio(n_tox, n_clean, tox, clean)
-    chosen = np.flatnonzero((value >= least_ratio) & (n_tox >= n_clean))
-    chosen = chosen[np.argsort(-value[chosen], kind="stable")][:most_terms]
-    known = Terms(candidates.hashes[chosen])
-    df, total = frequencies(docs, known)
-    idf = np.log((1 + total) / (1 + df)) + 1
-    shared = spark.sparkContext.broadcast((known, idf))
-    rows = train.mapInArrow(_vectors(shared), "doc_id long, toxic int, number array<long>, weight array<double>").where(F.size("number") > 0).collect()
-    examples = [(r["doc_id"], r["toxic"], np.array(r["number"], np.int64), np.array(r["weight"])) for r in rows]
+    rows = sorted(tuple(r) for r in train.select(F.xxhash64("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)), "toxic").collect())
+    within = int((np.cumsum([n for _, n, _ in rows]) <= train_bytes).sum())
+    if within < len(rows):
+        last = rows[max(1, within) - 1][0]
+        rows = [r for r in rows if r[0] <= last]
+        train = train.where(F.xxhash64("doc_id") <= last)
+    return train, sum(t for *_, t in rows) / max(1, len(rows))
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, train_bytes: int = 16 << 20, smooth: float = 8.0, floor: float = 0.02, k: int = 16, prior_votes: float = 0.25) -> Index:
+    """The index of a bounded sample of labelled rows, of which every fifth doc_id (crc32) is held out.
+
+    What comes to the driver is the sample's terms, so train_rows and train_bytes bound it.
+    """
+    spark = docs.sparkSession
+    store = Store(spark, "toxicity")
+    train, share = _sample(docs, labels, train_rows, train_bytes, store)
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0
+    fitted = train.where(~part)
+    found = fitted.select("text").mapInArrow(_vocabulary, "term long").distinct().toArrow().column(0).to_numpy()
+    known = np.sort(found.view(np.uint64))
+    rows = fitted.mapInArrow(_counts(spark.sparkContext.broadcast(known)), "doc_id long, toxic int, number array<int>, tf array<int>").toArrow().combine_chunks()
+    ids, toxic = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy()
+    number, tf = (rows.column(c).combine_chunks() for c in ("number", "tf"))
+    doc = np.repeat(np.arange(len(ids)), number.value_lengths().to_numpy()) if len(ids) else np.zeros(0, np.int64)
+    number, tf = (x.flatten().to_numpy().astype(np.int64) for x in (number, tf))
+    if 0 < share < 1:
+        df, total = frequencies(docs, known)
+        n, with_ = np.bincount(number, minlength=len(known)), np.bincount(number, toxic[doc], len(known))
+        weights = np.log((1 + total) / (1 + np.minimum(df, total))) * (floor + association(n, with_, share, smooth))
+        index = Index(known, weights, ids, toxic, doc, number, tf, share, k, prior_votes)
+        held = scored(train.where(part), index).select("score", "toxic").collect()
+        index.calibrate(np.array([r["score"] for r in held]), np.array([r["toxic"] for r in held], dtype=bool))
+    else:
+        none = np.zeros(0, np.int64)
+        index = Index(none.view(np.uint64), np.zeros(0), none, none, none, none, none, share, k, prior_votes)
     store.drop("train", "sample")
-    return Index(known, idf, examples, tox / (tox + clean), k, prior_votes)
+    return index
 
 
 def held_out(column: str):
@@ -265,14 +337,7 @@ def held_out(column: str):
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs with score (0 to 1), predicted (1 from 0.5 on) and evidence (the three nearest examples)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    added = _parse_datatype_string(ADDED)
-    docs = docs.drop(*added.names)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
-    out = StructType([*docs.schema.fields, *added.fields])
-    return docs.mapInArrow(_scores(shared, to_arrow_schema(out), docs.columns), out)
+    return scored(docs, fit(docs, labels, **options))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -225,19 +225,40 @@ def test_sketches(spark):
 
 def test_block_max_index_is_exact():
     r = np.random.default_rng(4)
-    known = toxicity.Terms(r.integers(1, 2**63, 40, dtype=np.uint64))
-    examples = []
-    for i in range(500):
-        number = np.sort(r.choice(40, r.integers(1, 6), replace=False)).astype(np.int64)
-        weight = r.random(len(number))
-        examples.append((i, int(r.integers(0, 2)), number, weight / np.linalg.norm(weight)))
-    index = toxicity.Index(known, np.ones(40), examples, 0.5, 16, 0.25)
+    known = np.unique(r.integers(1, 2**63, 40, dtype=np.uint64))
+    # some terms are in nearly all examples, most in few, as words are
+    rows = [(i, t, int(r.integers(1, 4))) for i in range(500) for t in range(40) if r.random() < 3 / (t + 3) ** 1.2]
+    doc, number, tf = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    ids, labels, weights = np.arange(500) + 1000, r.integers(0, 2, 500), r.random(40) * np.arange(1, 41)
+    index = toxicity.Index(known, weights, ids, labels, doc, number, tf, 0.5, 16, 0.25)
     dense = np.zeros((500, 40))
-    for i, _, n, w in examples:
-        dense[i, n] = w
-    for _, _, n, w in examples[:100]:
-        _, near = index.nearest(n, w)
-        assert np.allclose(near, np.sort(dense[:, n] @ w)[::-1][: len(near)])
+    dense[doc, number] = toxicity.unit(doc, number, tf, weights, 500)
+    for i in range(500):
+        cosine = dense @ dense[i]
+        at, near = index.nearest(np.flatnonzero(dense[i]), dense[i][dense[i] > 0])
+        want = np.sort(cosine[cosine > 0])[::-1][:16]
+        assert len(near) == len(want) and np.allclose(near, want, atol=1e-6)
+        assert np.allclose(cosine[index.ids[at] - 1000], near, atol=1e-6) and (index.labels[at] == labels[index.ids[at] - 1000]).all()
+
+
+def test_toxicity_is_calibrated(spark):
+    df, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    index = toxicity.fit(df, labels)
+    rows = df.join(labels, "doc_id").where(toxicity.held_out("doc_id")).select("text", "toxic").collect()
+    score, toxic = np.array([s for s, _ in index.score([(r.text or "").encode() for r in rows])]), np.array([r.toxic for r in rows])
+    assert (score >= 0.5)[toxic == 1].mean() >= 0.85 and (score >= 0.5)[toxic == 0].mean() <= 0.01
+    for low in np.arange(0, 1, 0.2):
+        own = (score >= low) & (score < low + 0.2)
+        if own.sum() >= 30:
+            assert abs(score[own].mean() - toxic[own].mean()) <= 0.1
+
+
+def test_toxicity_without_examples_of_both_labels(spark):
+    for toxic, want in ((1, 1.0), (0, 0.0)):
+        labels = spark.createDataFrame([(4, toxic), (5, None), (None, 1)], "doc_id long, toxic int")
+        out = toxicity.toxicity(docs(spark, [(4, "a b"), (4, "c"), *EDGE]), labels)
+        assert out.columns == ["doc_id", "text", "n_lines", "score", "predicted", "evidence"] and {(r.score, r.predicted) for r in out.collect()} == {(want, toxic)}
+    assert toxicity.toxicity(docs(spark, EDGE).limit(0), labels).count() == 0
 
 
 def test_toxicity_on_held_out(spark):
