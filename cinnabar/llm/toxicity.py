@@ -176,11 +176,15 @@ class Index:
         left = np.append(np.cumsum(reach[order][::-1])[::-1], 0.0)  # what terms from here on can add at most
         lists = self.start[number + 1] - self.start[number]
         work = np.cumsum(lists)
-        sums, kth, at, step = np.zeros(n), 0.0, 0, 4 * n
+        sums, kth, at, step = np.zeros(n), 0.0, 0, 8 * n
+
+        def add(to: int) -> None:
+            own = ranges(self.start[number[at:to]], lists[at:to])
+            sums[:] += np.bincount(self.doc[own], self.posting[own] * np.repeat(weight[at:to], lists[at:to]), n)
+
         while at < len(number) and left[at] >= kth - 1e-6:
             to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + step, "right")))
-            own = ranges(self.start[number[at:to]], lists[at:to])
-            sums += np.bincount(self.doc[own], self.posting[own] * np.repeat(weight[at:to], lists[at:to]), n)
+            add(to)
             at = to
             if n > self.k:
                 kth = np.partition(sums, -self.k)[-self.k]
@@ -192,14 +196,16 @@ class Index:
             own = ranges(self.block_start[rest], blocks)
             bound = np.bincount(self.block[own], self.block_most[own] * np.repeat(weight[at:], blocks), n // BLOCK + 1)
             hit = hit[sums[hit] + bound[hit // BLOCK] >= kth - 1e-6]
-            query = dict(zip(rest.tolist(), weight[at:].tolist(), strict=True))
-            table = np.sort(rest)
-            value = np.array([query[t] for t in table.tolist()])
             sizes = self.first[hit + 1] - self.first[hit]
-            own = ranges(self.first[hit], sizes)
-            place = np.minimum(np.searchsorted(table, self.number[own]), len(table) - 1)
-            add = np.where(table[place] == self.number[own], value[place], 0.0) * self.weight[own]
-            sums[hit] += np.bincount(np.repeat(np.arange(len(hit)), sizes), add, len(hit))
+            if sizes.sum() > work[-1] - work[at - 1]:
+                add(len(number))  # the postings left are fewer than the examples' own terms
+            else:
+                order = np.argsort(rest)
+                table, value = rest[order], weight[at:][order]
+                own = ranges(self.first[hit], sizes)
+                place = np.minimum(np.searchsorted(table, self.number[own]), len(table) - 1)
+                more = np.where(table[place] == self.number[own], value[place], 0.0) * self.weight[own]
+                sums[hit] += np.bincount(np.repeat(np.arange(len(hit)), sizes), more, len(hit))
         order = np.lexsort((hit, -np.round(sums[hit], 7)))[: self.k]
         return hit[order], np.minimum(sums[hit[order]], 1.0)
 
