@@ -9,10 +9,10 @@ KEY = ["rxn_idx", "a", "b"]
 
 
 def compose(reactants: DataFrame, products: DataFrame) -> DataFrame:
-    """Full outer join of the sides' bonds (rxn_idx, a, b, ord), made unique by their least order."""
-    left = reactants.groupBy(*KEY).agg(F.min("ord").alias("ord"))
-    right = products.groupBy(*KEY).agg(F.min("ord").alias("p_ord"))
-    return left.join(right, KEY, "full")
+    """Full outer join of the sides' bonds (rxn_idx, a, b, ord), made unique by their least order, as one aggregation of both."""
+    none = F.lit(None).cast(reactants.schema["ord"].dataType)
+    both = reactants.select(*KEY, "ord", none.alias("p_ord")).unionByName(products.select(*KEY, none.alias("ord"), F.col("ord").alias("p_ord")))
+    return both.groupBy(*KEY).agg(F.min("ord").alias("ord"), F.min("p_ord").alias("p_ord"))
 
 
 def changed():
@@ -37,8 +37,44 @@ def dynamic_bonds_reject(low: int, high: int):
 
 
 def broad_class():
-    formed, broken = F.col("formed") > 0, F.col("broken") > 0
-    return F.when(formed & broken, "substitution").when(formed, "bond_formation").when(broken, "bond_breaking").otherwise("other")
+    """other without a change; formation or breaking if nothing else changes; substitution else."""
+    formed, broken, changed = F.col("formed") > 0, F.col("broken") > 0, F.col("changed") > 0
+    return F.when(~formed & ~broken & ~changed, "other").when(~broken & ~changed, "bond_formation").when(~formed & ~changed, "bond_breaking").otherwise("substitution")
+
+
+def change_pairs(bonds: DataFrame) -> DataFrame:
+    """Formed, broken and changed bonds of each reaction as sorted arrays of (a, b); a reaction's bonds are few by nature."""
+    o, p = F.col("ord"), F.col("p_ord")
+    pair = F.struct("a", "b")
+    kind = {"formed_pairs": o.isNull(), "broken_pairs": p.isNull(), "changed_pairs": o.isNotNull() & p.isNotNull() & (o != p)}
+    return bonds.where(changed()).groupBy("rxn_idx").agg(*(F.sort_array(F.collect_list(F.when(c, pair))).alias(n) for n, c in kind.items()))
+
+
+def center_with_charges(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Distinct centre atoms: of changed bonds, and those of atoms (rxn_idx, atom, charge, p_charge) whose charge changes."""
+    charged = atoms.where("charge IS NOT NULL AND p_charge IS NOT NULL AND charge <> p_charge").select("rxn_idx", "atom")
+    return center_atoms(bonds).unionByName(charged).distinct()
+
+
+def components(bonds: DataFrame) -> DataFrame:
+    """(rxn_idx, parts): connected parts of each reaction's bonds, by an Arrow kernel over its pairs."""
+    from ..functions import arrow
+    from ..functions.molecules import components as parts
+
+    def count(pairs) -> tuple:
+        near: dict[int, dict] = {}
+        for x in pairs:
+            near.setdefault(x["a"], {})[x["b"]] = 1
+            near.setdefault(x["b"], {})[x["a"]] = 1
+        return (len(parts(near)),)
+
+    own = bonds.groupBy("rxn_idx").agg(F.collect_list(F.struct("a", "b")).alias("_pairs"))
+    return arrow.add(own, ["_pairs"], "parts long", count).drop("_pairs")
+
+
+def strategic_graph(bonds: DataFrame) -> DataFrame:
+    """Bonds of the strategic-bond graph: those that are there afterwards, with their order then on both sides where it was another."""
+    return bonds.where("p_ord IS NOT NULL").withColumn("ord", F.when(F.col("ord").isNotNull(), F.col("p_ord")))
 
 
 def environment(bonds: DataFrame, atoms: DataFrame, hops: int) -> DataFrame:
@@ -50,6 +86,19 @@ def environment(bonds: DataFrame, atoms: DataFrame, hops: int) -> DataFrame:
     return out
 
 
+def center_environment(bonds: DataFrame, hops: int) -> DataFrame:
+    """(rxn_idx, atom) within hops of the changed bonds; one aggregation, since a reaction's bonds are few by nature."""
+    own = bonds.groupBy("rxn_idx").agg(F.collect_list(F.struct("a", "b")).alias("_bonds"), F.flatten(F.collect_list(F.when(changed(), F.array("a", "b")))).alias("_atoms"))
+
+    def meets(x):
+        return F.array_contains(F.col("_atoms"), x.a) | F.array_contains(F.col("_atoms"), x.b)
+
+    for _ in range(hops):
+        near = F.transform(F.filter("_bonds", meets), lambda x: F.array(x.a, x.b))
+        own = own.withColumn("_atoms", F.array_distinct(F.concat("_atoms", F.flatten(near))))
+    return own.select("rxn_idx", F.explode(F.array_distinct("_atoms")).alias("atom"))
+
+
 def leaving_incoming(bonds: DataFrame) -> DataFrame:
     """Atoms that only one side has: leaving (reactants) or incoming (products); one aggregation stands for both anti joins."""
     sides = F.when(F.col("ord").isNotNull(), 1).otherwise(0) + F.when(F.col("p_ord").isNotNull(), 2).otherwise(0)

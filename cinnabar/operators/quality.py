@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.order import placed
+
 PENALTY = {"compatible": 0.0, "competing": 0.5, "incompatible": 1.0}
 
 
@@ -32,20 +34,34 @@ def lookup(pairs: DataFrame, matrix: DataFrame) -> DataFrame:
     return pairs.join(matrix, ["competing_fg", "reacting_fg"], "left").withColumn("severity", severity(F.coalesce("level", F.lit(0)))).drop("level")
 
 
-def competing_sites(interactions: DataFrame, halogens: DataFrame) -> DataFrame:
-    """max(1 - (sum of each step's worst penalty + halogens) / max(steps, 1), 0) per route."""
-    worst = interactions.groupBy("route_id", "step_id").agg(F.max(penalty(F.col("severity"))).alias("w"))
-    sums = worst.groupBy("route_id").agg(F.sum("w").alias("w"), F.count("*").alias("steps"))
-    h = F.coalesce("halogens", F.lit(0.0))
-    return sums.join(halogens, "route_id", "left").select("route_id", F.round(F.greatest(1 - (F.col("w") + h) / F.greatest("steps", F.lit(1)), F.lit(0.0)), 6).alias("score"))
+def competing_sites(routes: DataFrame, interactions: DataFrame, halogens: DataFrame) -> DataFrame:
+    """max(1 - (sum of each step's worst penalty + halogens) / max(steps, 1), 0) of each of routes (route_id, n_steps).
+
+    All steps count, those without interactions too; a route without any keeps its halogens' penalty.
+    """
+    worst = interactions.groupBy("route_id", "step_id").agg(F.max(penalty(F.col("severity"))).alias("_w"))
+    sums = worst.groupBy("route_id").agg(F.sum("_w").alias("_w"))
+    both = routes.select("route_id", "n_steps").join(sums, "route_id", "left").join(halogens.select("route_id", F.col("halogens").alias("_h")), "route_id", "left")
+    lost = F.coalesce("_w", F.lit(0.0)) + F.coalesce("_h", F.lit(0.0))
+    return both.select("route_id", F.round(F.greatest(1 - lost / F.greatest("n_steps", F.lit(1)), F.lit(0.0)), 6).alias("score"))
 
 
 def rank_routes(routes: DataFrame, scores: DataFrame, weight: float) -> DataFrame:
-    """(1 - weight) * normalised original + weight * site score, ranked; missing scores are 0, a top score of 0 or less normalises by 1."""
+    """(route_id, original, site_score, combined, place): (1 - weight) * normalised original + weight * site score, best first, equal
+    ones in the order of route_id; missing scores are 0, a top score of 0 or less normalises by 1.
+
+    Places come from a range sort and a count per partition, so no task sees all routes.
+    """
     top = routes.agg(F.max("original").alias("m")).select(F.when(F.col("m") > 0, F.col("m")).otherwise(1.0).alias("m"))
-    both = routes.join(scores, "route_id", "left").crossJoin(F.broadcast(top))  # one row
-    mixed = both.withColumn("combined", F.round((1 - weight) * F.col("original") / F.col("m") + weight * F.coalesce("score", F.lit(0.0)), 6))
-    return mixed.select("route_id", "combined")
+    both = routes.select("route_id", "original").join(scores.select("route_id", F.col("score").alias("_s")), "route_id", "left").crossJoin(F.broadcast(top))  # one row
+    site = F.coalesce("_s", F.lit(0.0))
+    mixed = both.select("route_id", "original", site.alias("site_score"), F.round((1 - weight) * F.col("original") / F.col("m") + weight * site, 6).alias("combined"))
+    return placed(mixed, [F.desc("combined"), F.asc("route_id")], "place", 1)
+
+
+def rescored(original: Column, site: Column, weight: float | None = None) -> Column:
+    """original * site, or original * ((1 - weight) + weight * site)."""
+    return original * site if weight is None else original * ((1 - weight) + weight * site)
 
 
 def kinds(interactions: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cgr, clusters, curation, learning, mining, policy, quality, tree
+from ..functions import reactions as kernels
+from ..operators import cgr, clusters, curation, learning, mining, policy, quality, reactions, tree
 
 RULES, ORACLES = {}, {}
 
@@ -44,7 +45,7 @@ rmap AS (SELECT rxn_idx, max(rule_id) AS rule_id FROM (SELECT unnest(reaction_in
 
 
 def ranked_rules(spark, d):
-    return mining.ranked(mining.popularity(pairs(spark, d)), 30)
+    return mining.ranked(mining.key_statistics(pairs(spark, d)), 30)
 
 
 def bonds(spark, d):
@@ -93,14 +94,17 @@ def interactions(spark, d):
 INTER = """inter AS (SELECT l_orderkey AS route_id, l_linenumber::BIGINT AS step_id, p_size % 7 AS c, l_suppkey % 5 AS r, floor(l_quantity)::BIGINT AS overlap, p_name, l_partkey AS place,
     CASE WHEN p_size % 7 = 6 THEN 'compatible' WHEN ((p_size % 7) * (l_suppkey % 5)) % 3 = 2 THEN 'incompatible' WHEN ((p_size % 7) * (l_suppkey % 5)) % 3 = 1 THEN 'competing' ELSE 'compatible' END AS severity
     FROM lineitem JOIN part ON l_partkey = p_partkey),
-worst AS (SELECT route_id, step_id, max(CASE severity WHEN 'incompatible' THEN 1.0::DOUBLE WHEN 'competing' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS w FROM inter GROUP BY 1, 2),
+worst AS (SELECT route_id, step_id, max(CASE severity WHEN 'incompatible' THEN 1.0::DOUBLE WHEN 'competing' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS w FROM inter WHERE route_id % 5 <> 0 GROUP BY 1, 2),
 hal AS (SELECT l_orderkey AS route_id, count(*) * 0.1::DOUBLE AS h FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
-site AS (SELECT s.route_id, round(greatest(1 - (w + coalesce(h, 0)) / greatest(n, 1), 0), 6) AS score FROM (SELECT route_id, sum(w) AS w, count(*) AS n FROM worst GROUP BY 1) s LEFT JOIN hal ON hal.route_id = s.route_id)"""
+site AS (SELECT o_orderkey AS route_id, round(greatest(1 - (coalesce(w, 0) + coalesce(h, 0)) / greatest(7 - o_orderkey % 8, 1), 0), 6) AS score
+    FROM orders LEFT JOIN (SELECT route_id, sum(w) AS w FROM worst GROUP BY 1) s ON s.route_id = o_orderkey LEFT JOIN hal ON hal.route_id = o_orderkey WHERE o_orderkey % 11 <> 0)"""
 
 
 def site_scores(spark, d):
     halogens = read(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("route_id")).agg((F.count("*") * F.lit(0.1)).alias("halogens"))
-    return quality.competing_sites(interactions(spark, d), halogens)
+    # some routes have no interaction, some no halogen, some no step
+    routes = read(spark, d, "orders").where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("route_id"), (7 - F.col("o_orderkey") % 8).alias("n_steps"))
+    return quality.competing_sites(routes, interactions(spark, d).where("route_id % 5 <> 0"), halogens)
 
 
 def role_routes(spark, d):
@@ -165,23 +169,23 @@ def rules_ranked(spark, d):
 
 @query(f"WITH {PAIRS} SELECT count(*) AS total, count(*) FILTER (WHERE validation <> 'passed') AS rejected_validation, count(*) FILTER (WHERE validation = 'passed' AND popularity < 30) AS rejected_popularity, count(*) FILTER (WHERE validation = 'passed' AND popularity >= 30) AS passed FROM rules")
 def rule_filter_stats(spark, d):
-    return mining.statistics(mining.popularity(pairs(spark, d)), 30)
+    return mining.statistics(mining.key_statistics(pairs(spark, d)), 30)
 
 
 @query(f"WITH {PAIRS} SELECT rxn_idx, rule_id FROM rmap")
 def reaction_rule_map(spark, d):
-    return mining.reaction_rules(ranked_rules(spark, d))
+    return mining.reactions_of(pairs(spark, d), ranked_rules(spark, d))
 
 
 @query(f"WITH {PAIRS} SELECT o_orderkey AS rxn_idx, md5(o_orderpriority || o_custkey::VARCHAR) AS product_smiles, rule_id FROM orders JOIN rmap ON rxn_idx = o_orderkey")
 def policy_data(spark, d):
     products = read(spark, d, "orders").select(F.col("o_orderkey").alias("rxn_idx"), F.md5(F.concat("o_orderpriority", F.col("o_custkey").cast("string"))).alias("product_smiles"))
-    return products.join(mining.reaction_rules(ranked_rules(spark, d)), "rxn_idx")
+    return mining.policy_rows(products, mining.reactions_of(pairs(spark, d), ranked_rules(spark, d)))
 
 
 @query(f"WITH {PAIRS} SELECT count(DISTINCT rule_id) AS rules, count(DISTINCT i) AS covered FROM (SELECT rule_id, unnest(reaction_indices) AS i FROM ranked)")
 def rule_coverage(spark, d):
-    return mining.coverage(ranked_rules(spark, d))
+    return mining.coverage(pairs(spark, d), ranked_rules(spark, d))
 
 
 @query(f"WITH {PAIRS} SELECT rule_id, popularity, sum(popularity) OVER (ORDER BY rule_id)::BIGINT AS cumulative, round(sum(popularity) OVER (ORDER BY rule_id) / sum(popularity) OVER (), 6) AS share FROM ranked")
@@ -238,15 +242,14 @@ def bond_change_counts(spark, d):
     return cgr.bond_changes(bonds(spark, d)).withColumn("is_rejected", cgr.dynamic_bonds_reject(1, 6))
 
 
-@query(f"WITH {CHANGES} SELECT rxn_idx, CASE WHEN formed > 0 AND broken > 0 THEN 'substitution' WHEN formed > 0 THEN 'bond_formation' WHEN broken > 0 THEN 'bond_breaking' ELSE 'other' END AS class FROM changes")
+@query(f"WITH {CHANGES} SELECT rxn_idx, CASE WHEN formed + broken + changed = 0 THEN 'other' WHEN broken + changed = 0 THEN 'bond_formation' WHEN formed + changed = 0 THEN 'bond_breaking' ELSE 'substitution' END AS class FROM changes")
 def reaction_class(spark, d):
     return cgr.bond_changes(bonds(spark, d)).select("rxn_idx", cgr.broad_class().alias("class"))
 
 
 @query(f"WITH {BONDS}, c AS (SELECT DISTINCT rxn_idx, unnest([a, b]) AS atom FROM bonds WHERE ord IS DISTINCT FROM p_ord), s AS (SELECT rxn_idx, a AS x, b AS y FROM bonds UNION ALL SELECT rxn_idx, b, a FROM bonds) SELECT rxn_idx, atom FROM c UNION SELECT s.rxn_idx, y FROM s JOIN c ON s.rxn_idx = c.rxn_idx AND s.x = c.atom")
 def environment_1hop(spark, d):
-    own = bonds(spark, d)
-    return cgr.environment(own, cgr.center_atoms(own), 1)
+    return cgr.center_environment(bonds(spark, d), 1)
 
 
 @query(f"WITH {BONDS}, s AS (SELECT rxn_idx, unnest([a, b]) AS atom, ord IS NOT NULL AS l, p_ord IS NOT NULL AS r FROM bonds) SELECT rxn_idx, atom, CASE WHEN bool_or(l) THEN 'leaving' ELSE 'incoming' END AS kind FROM s GROUP BY 1, 2 HAVING NOT (bool_or(l) AND bool_or(r))")
@@ -347,7 +350,7 @@ def competing_sites_score(spark, d):
     return site_scores(spark, d)
 
 
-@query(f"WITH {INTER}, m AS (SELECT CASE WHEN max(o_totalprice) > 0 THEN max(o_totalprice) ELSE 1 END AS m FROM orders) SELECT o_orderkey AS route_id, round(0.5 * o_totalprice / m + 0.5 * coalesce(score, 0), 6) AS combined FROM orders LEFT JOIN site ON route_id = o_orderkey, m")
+@query(f"WITH {INTER}, m AS (SELECT CASE WHEN max(o_totalprice) > 0 THEN max(o_totalprice) ELSE 1 END AS m FROM orders), r AS (SELECT o_orderkey AS route_id, o_totalprice AS original, coalesce(score, 0) AS site_score, round(0.5 * o_totalprice / m + 0.5 * coalesce(score, 0), 6) AS combined FROM orders LEFT JOIN site ON route_id = o_orderkey, m) SELECT *, row_number() OVER (ORDER BY combined DESC, route_id) AS place FROM r")
 def rank_routes_combined(spark, d):
     routes = read(spark, d, "orders").select(F.col("o_orderkey").alias("route_id"), F.col("o_totalprice").alias("original"))
     return quality.rank_routes(routes, site_scores(spark, d), 0.5)
@@ -414,12 +417,13 @@ def topk_accuracy(spark, d):
     return rank.agg(*(F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"top{k}") for k in (1, 5, 10)))
 
 
-@query("WITH s AS (SELECT vec_id, label, list_filter(range(1, 65), lambda i: embedding[i] > 0) AS s FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS tanimoto FROM s a JOIN s b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 20 = 0")
+@query("WITH s AS (SELECT vec_id, label, list_filter(range(1, 65), lambda i: embedding[i] > 0) AS s FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS tanimoto FROM s a JOIN s b ON a.label = b.label AND a.vec_id % 20 = 0 AND (a.vec_id < b.vec_id OR (a.vec_id > b.vec_id AND b.vec_id % 20 <> 0))")
 def tanimoto_pairs(spark, d):
     bits = F.filter(F.transform("embedding", lambda x, i: F.when(x > 0, i + 1)), lambda i: i.isNotNull())
     own = read(spark, d, "embeddings").select("vec_id", "label", bits.alias("s"))
     asked = own.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), "label", F.col("s").alias("x"))
-    both = asked.join(own.withColumnRenamed("vec_id", "b"), "label").where("a < b")
+    # every partner of a query; a pair of two queries once
+    both = asked.join(own.withColumnRenamed("vec_id", "b"), "label").where("a < b OR (a > b AND b % 20 <> 0)")
     return both.select("a", "b", F.round(learning.tanimoto(F.col("x"), F.col("s")), 6).alias("tanimoto"))
 
 
@@ -433,3 +437,185 @@ def solve_rate_rollup(spark, d):
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 def json_props(spark, d):
     return read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+# --- more of curation, mining, graphs and trees ----------------------------------------------
+
+
+@query(f"WITH {CASCADE} SELECT idx, CASE WHEN contains(reason, '/') THEN split_part(reason, '/', 1) END AS stage, CASE WHEN contains(reason, '/') THEN 'ValueError' END AS error_type, CASE WHEN contains(reason, '/') THEN 'at' END AS message, CASE WHEN contains(reason, '/') THEN 'data' ELSE 'pipeline' END AS origin FROM st")
+def reason_split(spark, d):
+    own = reasons(spark, d).select("idx", curation.reason_parts(F.col("reason")).alias("p")).select("idx", "p.*")
+    return own.withColumn("origin", F.coalesce(reactions.fault_origin(F.col("stage"), F.col("error_type")), F.lit("pipeline")))
+
+
+@query(f"WITH {PAIRS}, r AS (SELECT popularity, sum(popularity) OVER (ORDER BY popularity DESC, rule_id) AS upto, sum(popularity) OVER () AS total FROM ranked) SELECT count(*) AS rules, quantile_cont(popularity, 0.25) AS p25, quantile_cont(popularity, 0.5) AS p50, quantile_cont(popularity, 0.75) AS p75, quantile_cont(popularity, 0.9) AS p90, max(popularity) AS top, count(*) FILTER (WHERE upto < 0.8 * total) + 1 AS n_share FROM r")
+def rule_popularity_profile(spark, d):
+    return mining.popularity_profile(ranked_rules(spark, d))
+
+
+@query(f"WITH {PAIRS} SELECT cgr_key, rule_smarts, popularity, first_idx FROM rules")
+def merged_statistics(spark, d):
+    own = pairs(spark, d)
+    parts = [mining.key_statistics(own.where(F.col("rxn_idx") % 3 == i)) for i in range(3)]
+    return mining.merge_statistics(parts[0].unionByName(parts[1]).unionByName(parts[2])).select("cgr_key", "rule_smarts", "popularity", "first_idx")
+
+
+def _pair_list(where: str) -> str:
+    return f"coalesce(string_agg(a::VARCHAR || '-' || b::VARCHAR, ',' ORDER BY a, b) FILTER (WHERE {where}), '')"
+
+
+@query(f"WITH {BONDS} SELECT rxn_idx, {_pair_list('ord IS NULL')} AS formed, {_pair_list('p_ord IS NULL')} AS broken, {_pair_list('ord <> p_ord')} AS changed FROM bonds WHERE ord IS DISTINCT FROM p_ord GROUP BY 1")
+def bond_change_pairs(spark, d):
+    own = cgr.change_pairs(bonds(spark, d))
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x.a.cast("string"), x.b.cast("string"))), ",")
+    return own.select("rxn_idx", *(text(f"{k}_pairs").alias(k) for k in ("formed", "broken", "changed")))
+
+
+@query(f"WITH {BONDS}, q AS (SELECT l_orderkey AS rxn_idx, l_suppkey AS atom, min(l_linenumber % 2) AS charge, max(l_linenumber % 2) AS p_charge FROM lineitem GROUP BY 1, 2) SELECT DISTINCT rxn_idx, unnest([a, b]) AS atom FROM bonds WHERE ord IS DISTINCT FROM p_ord UNION SELECT rxn_idx, atom FROM q WHERE charge <> p_charge")
+def center_with_charges(spark, d):
+    atoms = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("rxn_idx"), F.col("l_suppkey").alias("atom")).agg(F.min(F.col("l_linenumber") % 2).alias("charge"), F.max(F.col("l_linenumber") % 2).alias("p_charge"))
+    return cgr.center_with_charges(bonds(spark, d), atoms)
+
+
+@query(f"""WITH RECURSIVE {BONDS}, e AS (SELECT rxn_idx, a AS x, b AS y FROM bonds WHERE rxn_idx % 10 < 10 UNION SELECT rxn_idx, b, a FROM bonds),
+    r AS (SELECT rxn_idx, x, x AS y FROM e UNION SELECT r.rxn_idx, r.x, e.y FROM r JOIN e ON e.rxn_idx = r.rxn_idx AND e.x = r.y)
+    SELECT rxn_idx, count(DISTINCT m) AS parts FROM (SELECT rxn_idx, x, min(y) AS m FROM r GROUP BY 1, 2) GROUP BY 1""")
+def graph_components(spark, d):
+    return cgr.components(bonds(spark, d))
+
+
+@query(f"WITH {BONDS} SELECT rxn_idx, a, b, CASE WHEN ord IS NOT NULL THEN p_ord END AS ord, p_ord FROM bonds WHERE p_ord IS NOT NULL")
+def strategic_graph(spark, d):
+    return cgr.strategic_graph(bonds(spark, d))
+
+
+@query(f"WITH RECURSIVE {NODES} SELECT parent_id, max(total_value) AS value FROM nodes GROUP BY 1")
+def child_value_max(spark, d):
+    return tree.child_values(nodes(spark, d).withColumnRenamed("total_value", "init_value"))
+
+
+@query(f"WITH RECURSIVE {NODES}, k AS (SELECT parent_id AS node_id, count(*) AS k FROM nodes GROUP BY 1), x AS (SELECT n.*, k.k, n.node_id % 4 <> 0 AS ex, n.node_id % 9 AS target_id FROM nodes n LEFT JOIN k ON k.node_id = n.node_id), kk AS (SELECT target_id, parent_id AS node_id, count(*) AS c FROM (SELECT node_id % 9 AS target_id, parent_id FROM nodes) GROUP BY 1, 2), y AS (SELECT x.target_id, x.node_id % 5 AS depth, solved, CASE WHEN ex THEN coalesce(c, 0) END AS b FROM x LEFT JOIN kk ON kk.target_id = x.target_id AND kk.node_id = x.node_id) SELECT target_id, count(*) AS num_nodes, count(*) FILTER (WHERE solved) AS num_routes, bool_or(solved) AS solved, max(depth) AS tree_depth, coalesce(max(b), 0) AS max_branching_factor, coalesce(round(avg(b), 2), 0) AS mean_branching_factor FROM y GROUP BY 1")
+def tree_statistics(spark, d):
+    own = nodes(spark, d).select((F.col("node_id") % 9).alias("target_id"), "node_id", "parent_id", (F.col("node_id") % 5).alias("depth"), (F.col("node_id") % 4 != 0).alias("is_expanded"), F.col("solved").alias("is_solved"))
+    return tree.tree_statistics(own)
+
+
+@query("SELECT user_id AS node_id, event_id AS seq, avg(value) OVER w AS mean, 0.5 + sum(value) OVER w AS cumulative FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+def running_backup(spark, d):
+    own = tree.running_values(read(spark, d, "events").select(F.col("user_id").alias("node_id"), F.col("event_id").alias("seq"), "value"), 0.5)
+    return own
+
+
+@query(f"WITH RECURSIVE {NODES} SELECT node_id % 17 AS target, node_id, row_number() OVER (PARTITION BY node_id % 17 ORDER BY total_value DESC, node_id) AS place FROM nodes")
+def scored_frontier(spark, d):
+    return tree.frontier(nodes(spark, d).select((F.col("node_id") % 17).alias("target"), "node_id", "total_value"), "target", "total_value").drop("total_value")
+
+
+@query("SELECT o_custkey % 100 AS target_id, count(*) FILTER (WHERE least((o_orderkey % 40) * 4 // 40, 3) = 0) AS q1, count(*) FILTER (WHERE least((o_orderkey % 40) * 4 // 40, 3) = 1) AS q2, count(*) FILTER (WHERE least((o_orderkey % 40) * 4 // 40, 3) = 2) AS q3, count(*) FILTER (WHERE least((o_orderkey % 40) * 4 // 40, 3) = 3) AS q4 FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+def routes_by_quarter(spark, d):
+    found = read(spark, d, "orders").where("o_orderstatus = 'F'").select((F.col("o_custkey") % 100).alias("target_id"), (F.col("o_orderkey") % 40 + 1).alias("iteration"), F.lit(40).alias("iterations"))
+    return tree.found_by_quarter(found)
+
+
+@query("WITH f AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2) SELECT e.user_id AS node_id, e.event_id AS seq FROM events e JOIN f ON f.user_id = e.user_id AND f.event_type = e.event_type AND first = event_id")
+def new_outcomes(spark, d):
+    return tree.new_outcomes(read(spark, d, "events").select(F.col("user_id").alias("node_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("product")))
+
+
+@query("SELECT o_orderkey AS node_id, CASE WHEN o_orderkey > min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderstatus) THEN min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderstatus) END AS same_as FROM orders")
+def redundant_nodes(spark, d):
+    own = read(spark, d, "orders").select(F.col("o_orderkey").alias("node_id"), F.concat_ws(",", "o_custkey", "o_orderstatus").alias("open_parts"))
+    return tree.redundant(own, "open_parts").select("node_id", "same_as")
+
+
+@query(f"WITH {LOGITS} SELECT mol_id, rule_id, round(1 / (1 + exp(-f)), 9) AS sigmoid, round(0.5 * (1 / (1 + exp(-f))) + 0.5 * (rule_id % 2), 9) AS mixed, round(greatest(0, least(1, (f + 1) / 2)), 9) AS rescaled FROM logits")
+def scalar_scores(spark, d):
+    p = tree.sigmoid(F.col("f"))
+    return logits(spark, d).select("mol_id", "rule_id", F.round(p, 9).alias("sigmoid"), F.round(tree.mixed_priority(p, (F.col("rule_id") % 2).cast("double"), 0.5), 9).alias("mixed"), F.round(tree.rescaled(F.col("f"), -1.0, 1.0), 9).alias("rescaled"))
+
+
+@query("SELECT o_orderkey AS route_id, round(o_totalprice * (o_orderkey % 11 / 10.0), 6) AS full_weight, round(o_totalprice * (0.75 + 0.25 * (o_orderkey % 11 / 10.0)), 6) AS part_weight FROM orders")
+def route_rescore(spark, d):
+    own = read(spark, d, "orders").select(F.col("o_orderkey").alias("route_id"), "o_totalprice", (F.col("o_orderkey") % 11 / 10.0).alias("s"))
+    return own.select("route_id", F.round(quality.rescored(F.col("o_totalprice"), F.col("s")), 6).alias("full_weight"), F.round(quality.rescored(F.col("o_totalprice"), F.col("s"), 0.25), 6).alias("part_weight"))
+
+
+# --- molecules and reactions, spelled out from the tables' numbers ---------------------------
+
+
+def alcohols(spark, d):
+    """Chains of 1 to 12 carbons behind an oxygen, a nitrogen or a chlorine, written from the far end."""
+    part = read(spark, d, "part")
+    return part.select("p_partkey", F.concat(F.element_at(F.array(F.lit("O"), F.lit("N"), F.lit("Cl")), (F.col("p_partkey") % 3 + 1).cast("int")), F.expr("repeat('C', CAST(p_size % 12 + 1 AS INT))")).alias("smiles"))
+
+
+HETERO = "CASE p_partkey % 3 WHEN 0 THEN 'O' WHEN 1 THEN 'N' ELSE 'Cl' END"
+
+
+@query(f"SELECT p_partkey, repeat('C', (p_size % 12 + 1)::INT) || {HETERO} AS canonical, (p_size % 12 + 2)::INT AS n_atoms, (p_size % 12 + 1)::INT AS n_bonds, 0 AS n_rings, (2 * (p_size % 12 + 1) + CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END)::INT AS n_hydrogens FROM part")
+def molecule_table(spark, d):
+    return reactions.distinct_molecules(alcohols(spark, d)).select("p_partkey", "canonical", "n_atoms", "n_bonds", "n_rings", "n_hydrogens")
+
+
+@query(f"SELECT DISTINCT repeat('C', (p_size % 12 + 1)::INT) || {HETERO} AS smiles FROM part")
+def building_block_stock(spark, d):
+    return reactions.building_blocks(alcohols(spark, d))
+
+
+@query("SELECT p_partkey, (p_size % 12 + 2)::BIGINT AS n_atoms, 2 * (p_size % 12 + 1)::BIGINT AS n_edges, (6 * (p_size % 12 + 1) + CASE p_partkey % 3 WHEN 0 THEN 8 WHEN 1 THEN 7 ELSE 17 END)::BIGINT AS numbers FROM part")
+def molecule_features(spark, d):
+    own = reactions.features(alcohols(spark, d))
+    return own.select("p_partkey", F.size("x").cast("long").alias("n_atoms"), F.size("edge_index").cast("long").alias("n_edges"), F.aggregate("x", F.lit(0).cast("long"), lambda s, r: s + r[0]).alias("numbers"))
+
+
+def esterifications(spark, d):
+    """Acids of a + 1 carbons with alcohols of b carbons, mapped: idx, a, b, smiles."""
+    own = read(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), (F.col("o_custkey") % 4 + 1).cast("int").alias("a"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("b"))
+    chain = lambda n, base: F.transform(F.sequence(F.lit(1), F.col(n)), lambda i: F.concat(F.lit("[CH"), F.when(i == 1, "3").otherwise("2"), F.lit(":"), (i + base).cast("string"), F.lit("]")))
+    acid, alcohol = chain("a", 0), chain("b", 30)
+    left = F.concat(F.array_join(acid, ""), F.lit("[C:20](=[O:21])[OH:22]."), F.array_join(alcohol, ""), F.lit("[OH:40]"))
+    right = F.concat(F.array_join(alcohol, ""), F.lit("[O:40][C:20](=[O:21])"), F.array_join(F.reverse(acid), ""), F.lit(".[OH2:22]"))
+    return own.withColumn("smiles", F.concat(left, F.lit(">>"), right))
+
+
+ESTERS = "est AS (SELECT o_orderkey AS idx, o_custkey % 4 + 1 AS a, o_orderkey % 5 + 1 AS b FROM orders)"
+STEPS = {n: {} for n in ("functional_groups", "kekulize", "check_valence", "implicify_hydrogens", "clean_isotopes", "split_ions", "aromatize")}
+
+
+@query(f"WITH {ESTERS} SELECT idx, CASE WHEN a + b <= 3 THEN 'filtered' ELSE 'ok' END AS status, CASE WHEN a + b <= 3 THEN 'SmallMoleculesFilter' END AS reason, 'ester_formation' AS class, 2 AS n_changed, 1 AS n_centers FROM est")
+def reaction_curation(spark, d):
+    return reactions.curate(esterifications(spark, d), steps=STEPS, filters={n: {} for n in kernels.FILTERS}).select("idx", "status", "reason", "class", "n_changed", "n_centers")
+
+
+@query(f"WITH {ESTERS} SELECT idx, 'reactant' AS side, (a + b + 4)::BIGINT AS atoms, (a + b + 2)::BIGINT AS bonds FROM est UNION ALL SELECT idx, 'product', (a + b + 4)::BIGINT, (a + b + 2)::BIGINT FROM est")
+def reaction_tables(spark, d):
+    own = esterifications(spark, d)
+    n = reactions.atoms(own, "smiles", ["idx"]).groupBy("idx", "side").agg(F.count("*").alias("atoms"))
+    return n.join(reactions.bonds(own, "smiles", ["idx"]).groupBy("idx", "side").agg(F.count("*").alias("bonds")), ["idx", "side"])
+
+
+@query(f"WITH {ESTERS} SELECT idx, 20 AS a, 22 AS b, 1 AS ord, NULL::INT AS p_ord FROM est UNION ALL SELECT idx, 20, 40, NULL, 1 FROM est")
+def reaction_changes(spark, d):
+    return reactions.condensed_bonds(esterifications(spark, d), "smiles", ["idx"]).where(cgr.changed())
+
+
+@query(f"WITH {ESTERS} SELECT 'passed' AS validation, count(*) AS popularity, min(idx) AS first_idx FROM est")
+def mined_rules(spark, d):
+    options = kernels.RuleOptions(single_product_only=False)
+    rules = reactions.extract_rules(esterifications(spark, d), "smiles", ["idx"], options).withColumnRenamed("idx", "rxn_idx")
+    return mining.key_statistics(rules).select("validation", "popularity", "first_idx")
+
+
+@query("SELECT p_partkey, 7 AS rule_id, 'CC(=O)O' AS acid, repeat('C', (p_size % 12 + 1)::INT) || 'O' AS alcohol FROM part")
+def rule_application(spark, d):
+    esters = read(spark, d, "part").select("p_partkey", F.concat(F.lit("CC(=O)O"), F.expr("repeat('C', CAST(p_size % 12 + 1 AS INT))")).alias("smiles"))
+    rules = spark.createDataFrame([(7, "[C:1](=[O:2])[O;D2:3][C:4]>>[C:1](=[O:2])[OH:5].[OH:3][C:4]"), (8, "[N:1]>>[O:1]"), (9, "broken(")], "rule_id long, rule_smarts string")
+    out = reactions.apply_rules(esters, "smiles", ["p_partkey"], rules)
+    acid = F.lit("CC(=O)O")
+    return out.select("p_partkey", F.col("rule_id").cast("int").alias("rule_id"), F.when(F.array_contains("products", acid), acid).alias("acid"), F.coalesce(F.get(F.filter("products", lambda p: p != acid), F.lit(0)), acid).alias("alcohol"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'alcohol' WHEN 1 THEN 'amine' ELSE 'chloride' END AS name, CASE p_partkey % 3 WHEN 2 THEN 'halogen' ELSE 'polar' END AS category FROM part")
+def functional_group_matches(spark, d):
+    patterns = spark.createDataFrame([(0, "alcohol", "polar", "[O;D1;$(O[C;X4])]"), (1, "amine", "polar", "[N;D1;!$(N=*)]"), (2, "chloride", "halogen", "[Cl][C]")], "place int, name string, category string, smarts string")
+    return reactions.functional_groups(alcohols(spark, d), "smiles", patterns).select("p_partkey", F.explode("groups").alias("g")).select("p_partkey", "g.name", "g.category")
