@@ -112,6 +112,17 @@ ORACLES = {
         b AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
         r AS (SELECT doc_id AS v, doc_id AS to_ FROM documents UNION SELECT r.v, b.y FROM r JOIN b ON r.to_ = b.x)
         SELECT n.doc_id, n_shingles, m AS component_id, n.doc_id = m AS kept FROM n JOIN (SELECT v, min(to_) AS m FROM r GROUP BY v) ON v = n.doc_id""",
+    "op7_suffixes": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+        s AS (SELECT doc_id, unnest(range(0, n - 49)) AS i, unnest(list_transform(range(0, n - 49), lambda i: substr(h, 2 * i + 1, 100))) AS g FROM d WHERE n >= 50),
+        f AS (SELECT g, min(doc_id) AS m FROM s GROUP BY g),
+        c AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER w + 50 THEN 1 ELSE 0 END AS fresh FROM s JOIN f USING (g) WHERE m < doc_id WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM c) GROUP BY doc_id, k),
+        q AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM r),
+        t AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS last FROM r GROUP BY doc_id),
+        k AS (SELECT q.doc_id, string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS head FROM q JOIN d ON d.doc_id = q.doc_id GROUP BY q.doc_id)
+        SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
     "op10_decontamination": rf"""
         WITH dw AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         bw AS (SELECT item_id, regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -1,15 +1,17 @@
-"""Removal of repeated byte strings with a logarithmic family of suffix indexes.
+"""Removal of repeated byte strings with a logarithmic family of suffix arrays.
 
-Documents are dealt into batches in doc_id order. A batch's suffixes, as fingerprints of their first
-``length`` bytes in sorted order, are merge-scanned against the levels of all earlier batches, and
-levels of like size merge geometrically, so each entry is merged a logarithmic number of times. Both
-the index and its batches are cut by fingerprint into shards of a bounded size, one a task.
+Documents are dealt into batches in doc_id order. The suffixes of a batch, bytes and all, are put into a suffix array, which is
+merge-scanned against those of all earlier batches for matches of ``length`` bytes; arrays of like size merge geometrically,
+so each suffix is merged a logarithmic number of times. A match ends at ``length`` bytes, so suffixes are ordered by that many.
+The family is cut into shards of a bounded size, one at a time in a task.
 
-Indexing every suffix would cost eight times the text. So a sketch of anchors goes first: each string of
-``length`` bytes is named by the least hash of its inner ``anchor``-byte strings; equal strings have
-equal names, names change every dozen bytes, and only strings whose name is in two batches, or in two
-documents of a batch, are indexed. Neither step loses a match; strings match by 64-bit fingerprint.
-Exact copies of a text are settled by digest: all but the smallest doc_id are removed whole.
+Sending every suffix would cost many times the text. So a sketch of anchors goes first: each string of ``length`` bytes is
+named by the least hash of its inner ``anchor``-byte strings; equal strings have equal names, and only strings whose name is in
+two batches, or in two documents of a batch, are looked at further. Neighbours with one name go as one segment of text to the
+shard of the name, about as many bytes as half a fingerprint each; names of more than ``common`` batches are split, each of
+their strings going to the shard of its own fingerprint, so that no shard holds all that stands around a frequent passage.
+Hashes only ever send strings somewhere: equal bytes decide. Exact copies of a text are settled by digest: all but the smallest
+doc_id are removed whole.
 
 Defined cases: null and empty texts have no bytes; a text shorter than length keeps all; rows that
 repeat a doc_id never match each other, but rows of larger doc_ids match any of them; rows without
@@ -90,33 +92,53 @@ def member(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
 
 
+def windows(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The strings of size bytes at the places, as fixed-width keys that sort and compare by bytes."""
+    if not len(at):
+        return np.zeros(0, f"S{size}")
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, size)[at]).view(f"S{size}").ravel()
+
+
+def ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges from lo with n numbers, one range after the other."""
+    return np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+
+
 class Levels:
-    """Sorted arrays of geometrically growing size."""
+    """Suffix arrays of geometrically growing size: sorted distinct strings, each with the least document that has it."""
 
     def __init__(self):
-        self.levels: list[np.ndarray] = []
-
-    def found(self, values: np.ndarray) -> np.ndarray:
-        """Which of the sorted values some level holds."""
-        out = np.zeros(len(values), bool)
-        open_ = np.arange(len(values))
-        for level in self.levels:
-            hit = member(level, values[open_])
-            out[open_[hit]] = True
-            open_ = open_[~hit]
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def earliest(self, keys: np.ndarray) -> np.ndarray:
+        """Of sorted distinct strings the least document with it, NONE if there is none."""
+        out = np.full(len(keys), NONE, np.int64)
+        for level, docs in self.levels:
+            if len(level) <= 8 * len(keys):  # like sizes: one scan over both
+                both = np.concatenate((level, keys))
+                order = np.argsort(both, kind="stable")  # two sorted runs, which are only merged
+                same = np.flatnonzero(both[order[1:]] == both[order[:-1]])
+                at, hit = order[same], order[same + 1] - len(level)
+            else:
+                place = np.minimum(np.searchsorted(level, keys), len(level) - 1)
+                hit = np.flatnonzero(level[place] == keys)
+                at = place[hit]
+            out[hit] = np.minimum(out[hit], docs[at])
         return out
 
-    def add(self, values: np.ndarray) -> None:
-        """Adds sorted values that no level holds."""
-        if len(values):
-            self.levels.append(values)
-        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
-            # two sorted runs: a stable sort only merges them
-            self.levels.append(np.sort(np.concatenate((self.levels.pop(), self.levels.pop())), kind="stable"))
+    def add(self, keys: np.ndarray, docs: np.ndarray) -> None:
+        """Adds sorted distinct strings that no level holds."""
+        if len(keys):
+            self.levels.append((keys, docs))
+        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
+            two, one = self.levels.pop(), self.levels.pop()
+            keys, docs = (np.concatenate(x) for x in zip(one, two, strict=True))
+            order = np.argsort(keys, kind="stable")
+            self.levels.append((keys[order], docs[order]))
 
 
 def _batches(limit: int):
-    """Whole documents as rows (batch, docs, texts) of about limit bytes; rows of one doc_id stay together.
+    """Whole documents as rows (batch, docs, texts) of about limit bytes.
 
     Rows (doc, digest, kind, text) are sorted; one of kind 0 says that those with its doc and digest, which follow, go.
     """
@@ -137,7 +159,7 @@ def _batches(limit: int):
                 if gone == (doc, digest):
                     continue
                 own = text.as_buffer().to_pybytes() if text.is_valid else b""
-                if docs and size + len(own) > limit and doc != docs[-1]:
+                if docs and size + len(own) > limit:
                     yield out()
                     seq, docs, texts, size = seq + 1, [], [], 0
                 docs.append(doc)
@@ -182,92 +204,172 @@ def _sketch(length: int, anchor: int, bits: int):
     return run
 
 
-def _by_shard(batches):
-    """Rows sorted by shard, then batch, as (shard, iterator of (batch, keys)) without holding a shard's rows."""
+def _by_shard(batches, read):
+    """Rows sorted by shard, then batch, as (shard, iterator of (batch, read of the others)) without holding a shard's rows."""
     import itertools
 
-    rows = ((s, b, k) for x in batches for s, b, k in zip(*(x.column(i).to_pylist() for i in range(3)), strict=True))
+    rows = (row for x in batches for row in zip(*(x.column(i).to_pylist() for i in range(x.num_columns)), strict=True))
     for shard, own in itertools.groupby(rows, key=lambda r: r[0]):
-        yield shard, ((b, unpacked(k)) for _, b, k in own)
+        yield shard, ((b, read(*rest)) for _, b, *rest in own)
+
+
+def _mask(bits: np.ndarray) -> bytes:
+    return _small(np.packbits(bits).tobytes())
 
 
-def _reply(shard: int, batch: int, mask: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([batch], pa.int64()), pa.array([shard], pa.int32()), pa.array([_small(np.packbits(mask).tobytes())], pa.binary())], ["batch", "shard", "mask"])
+def _bits(mask: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.decompress(mask), np.uint8), count=n).astype(bool)
 
 
-def _shared_names(batches):
-    """Which names of each batch other batches have too; a shard's names are held at once, and there are enough shards for that."""
-    for shard, rows in _by_shard(batches):
-        held = list(rows)
-        values, counts = np.unique(np.concatenate([k for _, k in held]), return_counts=True)
-        often = values[counts > 1]
-        for batch, keys in held:
-            yield _reply(shard, batch, member(often, keys))
+def _reply(shard: int, batch: int, mask: np.ndarray, often: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([batch], pa.int64()), pa.array([shard], pa.int32()), pa.array([_mask(mask)], pa.binary()), pa.array([_mask(often)], pa.binary())], ["batch", "shard", "mask", "often"])
 
 
-def _earlier(batches):
-    """Which strings of each batch an earlier batch has: the logarithmic index of the shard."""
-    for shard, rows in _by_shard(batches):
-        levels = Levels()
-        for batch, keys in rows:
-            found = levels.found(keys)
-            yield _reply(shard, batch, found)
-            levels.add(keys[~found])
+def _shared_names(common: int):
+    """Which names of each batch other batches have too, and which more than common batches have.
 
+    A shard's names are held at once, and there are enough shards for that.
+    """
+
+    def run(batches):
+        for shard, rows in _by_shard(batches, unpacked):
+            held = list(rows)
+            values, counts = np.unique(np.concatenate([k for _, k in held]), return_counts=True)
+            shared, often = values[counts > 1], values[counts > common]
+            for batch, keys in held:
+                yield _reply(shard, batch, member(shared, keys), member(often, keys))
+
+    return run
 
-def _told(replies, values: np.ndarray, bits: int) -> np.ndarray:
+
+def _segments(counts: bytes, docs: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(zstandard.decompress(x), t) for x, t in ((counts, "<u4"), (docs, "<i8"), (data, np.uint8)))
+
+
+def _earlier(length: int):
+    """Which strings of each batch an earlier batch has for a smaller doc_id: the logarithmic family of the shard."""
+
+    def run(batches):
+        for shard, rows in _by_shard(batches, _segments):
+            levels = Levels()
+            for batch, (counts, docs, data) in rows:
+                counts = counts.astype(np.int64)
+                sizes = counts + length - 1
+                keys = windows(data, ranges(np.cumsum(sizes) - sizes, counts), length)
+                order = np.argsort(keys, kind="stable")  # the batch's suffix array; of equal strings the least document's is first
+                sorted_ = keys[order]
+                new = np.concatenate((np.ones(min(1, len(keys)), bool), sorted_[1:] != sorted_[:-1]))
+                own = np.repeat(docs, counts)[order][new]
+                before = levels.earliest(sorted_[new])
+                found = np.zeros(len(keys), bool)
+                found[order] = (before < own)[np.cumsum(new) - 1]
+                yield _reply(shard, batch, found, found[:0])
+                levels.add(sorted_[new][before == NONE], own[before == NONE])
+
+    return run
+
+
+def _told(replies, values: np.ndarray, bits: int, field: str = "mask") -> np.ndarray:
     """The mask over the sorted values that the shards' replies put together."""
-    masks = {r["shard"]: r["mask"] for r in replies or ()}
+    masks = {r["shard"]: r[field] for r in replies or ()}
     out = np.zeros(len(values), bool)
     at = 0
     for i, own in _cells(values, bits):
         if i in masks:
-            out[at : at + len(own)] = np.unpackbits(np.frombuffer(zstandard.decompress(masks[i]), np.uint8), count=len(own)).astype(bool)
+            out[at : at + len(own)] = _bits(masks[i], len(own))
         at += len(own)
     return out
 
 
 class Strings:
-    """The strings of a batch that may repeat, in text order: hash, number of the text, position; docs ascend."""
+    """The strings of a batch that may repeat, as distinct segments of text by shard; docs ascend."""
 
     def __init__(self, docs: list[int], texts: list[bytes], replies, length: int, anchor: int, bits: int):
+        self.length, self.docs = length, np.array(docs, np.int64)
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.starts = np.cumsum(sizes) - sizes
         per, all_ = _all_names(texts, length, anchor)
-        wanted = _told(replies, all_, bits)
+        runs = np.array([len(v) for v, _ in per], np.int64)
+        names_ = np.concatenate([v for v, _ in per]) if per else all_
+        counts = np.concatenate([c for _, c in per]) if per else np.zeros(0, np.int64)
+        text = np.repeat(np.arange(len(texts)), runs)
+        first = np.cumsum(counts) - counts
+        own = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))[np.cumsum(runs) - runs] if len(runs) else first
+        at = first - np.repeat(own, runs)
         # a name that two different doc_ids of the batch share; of repeated places the last assignment holds
-        flat = np.searchsorted(all_, np.concatenate([v for v, _ in per]) if per else all_)
-        ids = np.repeat(np.array(docs, np.int64), [len(v) for v, _ in per])
+        flat = np.searchsorted(all_, names_)
+        ids = self.docs[text]
         low, high = np.zeros(len(all_), np.int64), np.zeros(len(all_), np.int64)
         high[flat], low[flat[::-1]] = ids, ids[::-1]
-        often = (wanted | (low < high))[flat]
-        hashes, texts_, at, of = [], [], [], 0
-        for i, (v, counts) in enumerate(per):
-            own, of = often[of : of + len(v)], of + len(v)
-            if own.any():
-                pos = np.flatnonzero(np.repeat(own, counts))
-                hashes.append(rolling(np.frombuffer(texts[i], np.uint8), length)[pos])
-                texts_.append(np.full(len(pos), i, np.int32))
-                at.append(pos)
-        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.text = np.concatenate(texts_) if texts_ else np.zeros(0, np.int32)
-        self.at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        self.docs = np.array(docs, np.int64)
-
-    def covered(self, replies, bits: int) -> np.ndarray:
-        """Which strings a smaller doc_id has, in this batch or, as the replies say, in another."""
-        values, number = np.unique(self.hashes, return_inverse=True)
-        ids = self.docs[self.text]
-        least = np.zeros(len(values), np.int64)
-        least[number[::-1]] = ids[::-1]
-        return _told(replies, values, bits)[number] | (least[number] < ids)
+        wanted = (_told(replies, all_, bits) | (low < high))[flat]
+        often = _told(replies, all_, bits, "often")[flat][wanted]
+        text, at, counts, route = text[wanted], at[wanted], counts[wanted], names_[wanted]
+        if often.any():
+            # strings of common names go one by one, by their own fingerprints
+            places = ranges((self.starts[text] + at)[often], counts[often])
+            one = np.repeat(text[often], counts[often])
+            prints = np.concatenate([rolling(self.data[p : p + n + length - 1], length) for p, n in zip((self.starts[text] + at)[often].tolist(), counts[often].tolist(), strict=True)])
+            text, at = np.concatenate((text[~often], one)), np.concatenate((at[~often], places - self.starts[one]))
+            counts, route = np.concatenate((counts[~often], np.ones(len(one), np.int64))), np.concatenate((route[~often], prints))
+            order = np.lexsort((at, text))
+            text, at, counts, route = text[order], at[order], counts[order], route[order]
+        self.text, self.at, self.counts = text, at, counts
+        # equal segments once, in the order of the least document that has them
+        whole, seen = self.data.tobytes(), {}
+        places = (self.starts[text] + at).tolist()
+        self.segment = np.array([seen.setdefault(whole[p : p + n], len(seen)) for p, n in zip(places, (counts + length - 1).tolist(), strict=True)], np.int64)
+        self.bytes = list(seen)
+        fresh = np.zeros(len(seen), np.int64)
+        fresh[self.segment[::-1]] = np.arange(len(self.segment))[::-1]
+        self.least, self.size, shard = self.docs[text[fresh]], counts[fresh], (route[fresh] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(seen), np.int64)
+        self.order = np.argsort(shard, kind="stable")
+        cuts = np.flatnonzero(np.diff(shard[self.order], prepend=-1))
+        self.cells = [(int(shard[self.order[a]]), self.order[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(self.order)), strict=True)]
+
+    def sent(self) -> list[tuple[int, bytes, bytes, bytes]]:
+        """(shard, counts of strings, documents, text) of the segments of each shard."""
+        return [(shard, _small(self.size[own].astype("<u4").tobytes()), _small(self.least[own].astype("<i8").tobytes()), _small(b"".join(self.bytes[i] for i in own))) for shard, own in self.cells]
+
+    def covered(self, replies) -> tuple[np.ndarray, np.ndarray]:
+        """(text, place) of the strings that a smaller doc_id has, in this batch or, as the replies say, in another."""
+        masks = {r["shard"]: r["mask"] for r in replies or ()}
+        parts = [_bits(masks[shard], int(self.size[own].sum())) if shard in masks else np.zeros(int(self.size[own].sum()), bool) for shard, own in self.cells]
+        told = np.concatenate(parts) if parts else np.zeros(0, bool)
+        base = np.zeros(len(self.size), np.int64)
+        base[self.order] = np.cumsum(self.size[self.order]) - self.size[self.order]
+        out = told[ranges(base[self.segment], self.counts)]
+        text = np.repeat(self.text, self.counts)
+        at = ranges(self.at, self.counts)
+        return text, at, out | self._before(text, self.starts[text] + at)
+
+    def _before(self, text: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which strings a smaller doc_id of this batch has; fingerprints group them, bytes decide."""
+        prints = np.concatenate([rolling(self.data[p : p + n + self.length - 1], self.length) for p, n in zip((self.starts[self.text] + self.at).tolist(), self.counts.tolist(), strict=True)]) if len(self.text) else np.zeros(0, np.uint64)
+        _, first, number = np.unique(prints, return_index=True, return_inverse=True)
+        source = first[number]
+        ids = self.docs[text]
+        out = ids[source] < ids
+        hit = np.flatnonzero(out)
+        differ = np.zeros(len(out), bool)
+        for i in range(0, len(hit), STEP):
+            own = hit[i : i + STEP]
+            differ[own] = windows(self.data, place[own], self.length) != windows(self.data, place[source[own]], self.length)
+        if differ.any():  # fingerprints that two strings share: those groups go by bytes alone
+            least: dict[bytes, int] = {}
+            for i in np.flatnonzero(np.isin(prints, prints[differ])).tolist():
+                key = self.data[place[i] : place[i] + self.length].tobytes()
+                out[i] = least.setdefault(key, int(ids[i])) < ids[i]
+        return out
 
 
 def _index(length: int, anchor: int, bits: int):
     def run(batches):
         for b in batches:
             for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
-                own = Strings(row["docs"], row["texts"], row["names"], length, anchor, bits)
-                cells = _cells(distinct(own.hashes), bits)
-                yield pa.record_batch([pa.array([i for i, _ in cells], pa.int32()), pa.array([row["batch"]] * len(cells), pa.int64()), pa.array([packed(v) for _, v in cells], pa.binary())], ["shard", "batch", "keys"])
+                cells = Strings(row["docs"], row["texts"], row["names"], length, anchor, bits).sent()
+                columns = [pa.array([c[0] for c in cells], pa.int32()), pa.array([row["batch"]] * len(cells), pa.int64()), *(pa.array([c[i] for c in cells], pa.binary()) for i in (1, 2, 3))]
+                yield pa.record_batch(columns, ["shard", "batch", "counts", "docs", "data"])
 
     return run
 
@@ -288,9 +390,8 @@ def _apply(length: int, anchor: int, bits: int, texts: bool):
     def run(batches):
         for b in batches:
             for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
-                own = Strings(row["docs"], row["texts"], row["names"], length, anchor, bits)
-                hit = own.covered(row["strings"], bits)
-                text, at = own.text[hit], own.at[hit]
+                text, at, hit = Strings(row["docs"], row["texts"], row["names"], length, anchor, bits).covered(row["strings"])
+                text, at = text[hit], at[hit]
                 cuts = np.searchsorted(text, np.arange(len(row["texts"]) + 1))
                 done = [_cut(t, at[x:y], length) for t, x, y in zip(row["texts"], cuts[:-1], cuts[1:], strict=True)]
                 columns = [pa.array(row["docs"], pa.int64()), pa.array([len(t) for t in row["texts"]], pa.int64()), pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([hashlib.sha256(d[2]).hexdigest() for d in done]), pa.array([d[2] if texts else None for d in done], pa.binary())]
@@ -299,7 +400,7 @@ def _apply(length: int, anchor: int, bits: int, texts: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 30, batch_bytes: int = 8 << 20, shard_bytes: int = 16 << 20, broadcast_bytes: int = 32 << 20, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 30, batch_bytes: int = 8 << 20, shard_bytes: int = 16 << 20, broadcast_bytes: int = 32 << 20, common: int = 16, texts: bool = False) -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes left, if texts)."""
     spark = docs.sparkSession
     store = Store(spark, "suffixes")
@@ -310,7 +411,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 30, batch_by
     copies = store.put(digests.join(classes, "digest").where("doc > least").select("doc", "digest", "n"), "copies")
     total = digests.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // (2 * batch_bytes)))
-    # a sketch entry a dozen bytes of text, an indexed string for every few; both at 8 bytes
+    # a sketch entry of 8 bytes for a dozen bytes of text, an indexed string of length bytes for every few
     bits = max(4, int(total // shard_bytes).bit_length())
     # texts move once: what is to be left out travels along as marks, where a join would deal out the texts once more
     marks = copies.select("doc", F.unhex("digest").alias("digest"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("text")).distinct()
@@ -319,15 +420,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 30, batch_by
     dealt = store.put(dealt, "batches")
 
     def exchange(frame: DataFrame, answer, name: str) -> DataFrame:
-        shards = frame.repartition(min(1 << bits, 4 * partitions(spark)), "shard").sortWithinPartitions("shard", "batch")
-        replies = store.put(shards.mapInArrow(answer, "batch long, shard int, mask binary"), name)
-        small = (replies.agg(F.sum(F.octet_length("mask"))).first()[0] or 0) <= broadcast_bytes
-        own = replies.groupBy("batch").agg(F.collect_list(F.struct("shard", "mask")).alias(name))
+        tasks = min(1 << bits, max(4 * partitions(spark), int(total >> 26)))  # more of them with more text
+        shards = frame.repartition(tasks, "shard").sortWithinPartitions("shard", "batch")
+        replies = store.put(shards.mapInArrow(answer, "batch long, shard int, mask binary, often binary"), name)
+        small = (replies.agg(F.sum(F.octet_length("mask") + F.octet_length("often"))).first()[0] or 0) <= broadcast_bytes
+        own = replies.groupBy("batch").agg(F.collect_list(F.struct("shard", "mask", "often")).alias(name))
         return F.broadcast(own) if small else own  # else the join deals the batches out once more
 
-    shared = exchange(dealt.mapInArrow(_sketch(length, anchor, bits), "shard int, batch long, keys binary"), _shared_names, "names")
+    shared = exchange(dealt.mapInArrow(_sketch(length, anchor, bits), "shard int, batch long, keys binary"), _shared_names(common), "names")
     told = dealt.join(shared, "batch", "left").select("batch", "docs", "texts", "names")
-    earlier = exchange(told.mapInArrow(_index(length, anchor, bits), "shard int, batch long, keys binary"), _earlier, "strings")
+    earlier = exchange(told.mapInArrow(_index(length, anchor, bits), "shard int, batch long, counts binary, docs binary, data binary"), _earlier(length), "strings")
     both = told.join(earlier, "batch", "left").select("batch", "docs", "texts", "names", "strings")
     kept = both.mapInArrow(_apply(length, anchor, bits, texts), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     gone = F.col("n") >= length

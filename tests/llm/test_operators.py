@@ -287,11 +287,47 @@ def test_repeats(spark, anchor):
                 gone[p : p + 20] = b"\1" * 20
         runs = len(re.findall(b"\1+", bytes(gone)))
         want.append((d, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
-    for broadcast in (1 << 20, 0):
-        got = suffixes.remove_repeats(docs(spark, rows), length=20, anchor=anchor, batch_bytes=300, shard_bytes=64, broadcast_bytes=broadcast).collect()
+    for broadcast, common in ((1 << 20, 16), (0, 0)):
+        got = suffixes.remove_repeats(docs(spark, rows), length=20, anchor=anchor, batch_bytes=300, shard_bytes=64, broadcast_bytes=broadcast, common=common).collect()
         assert order(map(tuple, got)) == order(want)
 
 
+def test_equal_bytes_decide_not_equal_fingerprints(monkeypatch):
+    r = random.Random(8)
+    made = suffixes.rolling
+    monkeypatch.setattr(suffixes, "rolling", lambda data, size: made(data, size) & np.uint64(7) << np.uint64(61))
+    for _ in range(20):
+        texts_ = ["".join(r.choice("ab") for _ in range(r.randint(0, 40))).encode() for _ in range(8)]
+        ids = sorted(r.choices(range(6), k=8))
+        text, at, hit = suffixes.Strings(ids, texts_, None, 8, 3, 2).covered(None)
+        got = {(int(t), int(a)) for t, a, h in zip(text, at, hit, strict=True) if h}
+        assert got == {(i, p) for i, t in enumerate(texts_) for p in range(len(t) - 7) if any(ids[j] < ids[i] and t[p : p + 8] in texts_[j] for j in range(8))}
+
+
+def test_levels_keep_the_least_document():
+    r = np.random.default_rng(3)
+    levels, least = suffixes.Levels(), {}
+    for doc in range(60):
+        keys = np.unique(np.array([bytes(r.integers(97, 100, 5, dtype=np.uint8)) for _ in range(r.integers(1, 9))], dtype="S5"))
+        before = levels.earliest(keys)
+        assert before.tolist() == [least.get(k, suffixes.NONE) for k in keys.tolist()]
+        levels.add(keys[before == suffixes.NONE], np.full(int((before == suffixes.NONE).sum()), doc, np.int64))
+        for k in keys.tolist():
+            least.setdefault(k, doc)
+        sizes = [len(k) for k, _ in levels.levels]
+        assert all(a > 2 * b for a, b in zip(sizes, sizes[1:])) and all((np.sort(k) == k).all() for k, _ in levels.levels)
+
+
+def test_repeats_equal_sql(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    want = duckdb.sql(queries.ORACLES["op7_suffixes"])
+    got = queries.QUERIES["op7_suffixes"](spark, d).select(*want.columns).collect()
+    assert order(map(tuple, got)) == order(want.fetchall())
+
+
 def test_html():
     page = '<html><head><title>t</title></head><body><nav><a>x y z</a></nav><div class="ad">buy now</div><article><h1>A &amp; B</h1><p>one two<br><p>three <b>four</b>  five</p><aside>side</aside></article><div class="comments">bad words here</div><footer>f f</footer></body></html>'
     weights = html.learned([page])
