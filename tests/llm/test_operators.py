@@ -362,11 +362,26 @@ def test_line_dedup(spark, broadcast):
         lines = (t or "").encode().split(b"\n")
         kept = [x for x in lines if counts.get(linededup.line_key(x), 0) < 10]
         want.append((d, len(lines), len(lines) - len(kept), b"\n".join(kept).decode()))
-    out = linededup.line_dedup(docs(spark, rows), bloom_bits=1 << 12, broadcast_keys=broadcast)
+    out = linededup.line_dedup(docs(spark, rows), most_bits=1 << 12, broadcast_keys=broadcast)
     assert order((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in out.collect()) == order(want)
     assert out.columns == ["doc_id", "text", "score", "n_lines", "n_dropped"]
 
 
+@pytest.mark.parametrize("broadcast", [1000, 0])
+def test_line_dedup_keeps_one_first(spark, broadcast):
+    rows = [(5, "alpha\nown"), (5, "alpha\nown"), (5, "Alpha\nalpha"), (3, "beta"), (None, "beta\ngamma"), (None, "gamma"), *[(i, "alpha\nbeta") for i in range(10, 14)], (None, "gamma"), (None, None)]
+    out = linededup.line_dedup(docs(spark, rows), min_docs=3, keep_first=True, broadcast_keys=broadcast, most_bits=1 << 12).collect()
+    kept = [(r.doc_id, x.lower()) for r in out for x in (r.text or "").split("\n") if x.lower() in ("alpha", "beta", "gamma")]
+    assert order(kept) == order([(5, "alpha"), (3, "beta"), (None, "gamma")])
+    assert len(out) == len(rows) and sum((r.text or "").count("own") for r in out) == 2
+
+
+def test_filters_grow_with_lines(spark):
+    few, many = docs(spark, [(1, "a\nb"), (2, None)]), docs(spark, [(i, "a\nb\nc") for i in range(3000)])
+    assert linededup.filter_bits(few, 1 << 30, 64) == 512 and linededup.filter_bits(many, 1 << 30, 64) == 1 << 17 and linededup.filter_bits(many, 1 << 12, 64) == 1 << 12
+    assert linededup.line_dedup(few.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("block", [1 << 20, 60])
 def test_decontamination(spark, block):
     items = [(1, " ".join(WORDS * 3)), (2, "zeta eta"), (3, ""), (4, None), (None, "eps eps"), (10, "theta, theta"), (10, "theta, theta")]
