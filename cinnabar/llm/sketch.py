@@ -2,7 +2,7 @@
 
 A text's paragraphs (lines) are hashed, and each distinct hash goes to three of 24 cells of (count,
 xor of hashes, xor of check hashes). Cells of two versions subtract cell by cell; peeling cells that
-hold one hash recovers how many paragraphs differ, and likeness is the share of common ones among all.
+hold one hash recovers the hashes of the paragraphs that differ; likeness is the share of common ones among all.
 If peeling gets stuck, the sketch is made again with four times as many segments of 24 cells, and
 again; differences that a segment count can't hold by their sizes skip it. Beyond 4 ** 10 segments the
 hashes are compared outright.
@@ -23,6 +23,7 @@ from .store import Store, partitions
 TABLE, TABLES = 8, 3
 CELLS = TABLE * TABLES
 LEVELS = 10
+NONE_YET = "CAST(array() AS ARRAY<BIGINT>)"
 NIL = "named_struct('cnt', 0L, 'key', 0L, 'chk', 0L)"
 
 
@@ -47,28 +48,28 @@ def subtract(a: str, b: str) -> str:
 
 
 def peel(difference: str) -> str:
-    """SQL: (ok, n) for cells of a difference: whether all of it was recovered, and how many hashes it has."""
+    """SQL: (ok, got) for cells of a difference: whether all of it was recovered, and its hashes."""
     pure = "transform(filter(st.cells, c -> abs(c.cnt) = 1L AND c.chk = xxhash64(c.key)), c -> named_struct('key', c.key, 'cnt', c.cnt))"
     take = "(s, q) -> named_struct('cnt', s.cnt - q.cnt, 'key', s.key ^ q.key, 'chk', s.chk ^ xxhash64(q.key))"
     new = f"zip_with(w.cells, {CHOICE}, (c, m) -> aggregate(filter(pure, q -> (q.key & m.mask) = m.value), c, {take}))"
-    step = f"aggregate(array(array_distinct({pure})), st, (w, pure) -> named_struct('cells', {new}, 'n', w.n + size(pure), 'on', size(pure) > 0))"
-    start = f"named_struct('cells', {difference}, 'n', 0, 'on', true)"
-    done = "st -> named_struct('ok', forall(st.cells, c -> c.cnt = 0L AND c.key = 0L), 'n', st.n)"
+    step = f"aggregate(array(array_distinct({pure})), st, (w, pure) -> named_struct('cells', {new}, 'got', concat(w.got, transform(pure, q -> q.key)), 'on', size(pure) > 0))"
+    start = f"named_struct('cells', {difference}, 'got', {NONE_YET}, 'on', true)"
+    done = "st -> named_struct('ok', forall(st.cells, c -> c.cnt = 0L AND c.key = 0L), 'got', st.got)"
     return f"aggregate(sequence(1, {2 * CELLS}), {start}, (st, r) -> if(st.on, {step}, st), {done})"
 
 
 def differing(a: str, b: str, cells_a: str, cells_b: str) -> str:
-    """SQL: how many hashes only one of the arrays has, by peeling ever larger sketches."""
+    """SQL: the hashes that only one of the arrays has, by peeling ever larger sketches."""
     # segments are cut twice, by 2 ** k each time, so that no array is looked through once a segment
     outer, inner = ("d -> (shiftrightunsigned(d, 24) & (side - 1L)) = g", "d -> (shiftrightunsigned(d, 44) & (side - 1L)) = h")
-    segment = f"aggregate(array(named_struct('a', filter(o.a, {inner}), 'b', filter(o.b, {inner}))), named_struct('ok', true, 'n', 0), (z, x) -> {peel(subtract(cells('x.a'), cells('x.b')))})"
-    row = f"aggregate(sequence(0L, side - 1L), y, (acc, h) -> if(acc.ok, aggregate(array({segment}), acc, (u, one) -> named_struct('ok', one.ok, 'n', u.n + one.n)), acc))"
-    level = f"aggregate(sequence(0L, side - 1L), named_struct('ok', true, 'n', 0), (top, g) -> if(top.ok, aggregate(array(named_struct('a', filter({a}, {outer}), 'b', filter({b}, {outer}))), top, (y, o) -> {row}), top))"
+    segment = f"aggregate(array(named_struct('a', filter(o.a, {inner}), 'b', filter(o.b, {inner}))), named_struct('ok', true, 'got', {NONE_YET}), (z, x) -> {peel(subtract(cells('x.a'), cells('x.b')))})"
+    row = f"aggregate(sequence(0L, side - 1L), y, (acc, h) -> if(acc.ok, aggregate(array({segment}), acc, (u, one) -> named_struct('ok', one.ok, 'got', concat(u.got, one.got))), acc))"
+    level = f"aggregate(sequence(0L, side - 1L), named_struct('ok', true, 'got', {NONE_YET}), (top, g) -> if(top.ok, aggregate(array(named_struct('a', filter({a}, {outer}), 'b', filter({b}, {outer}))), top, (y, o) -> {row}), top))"
     fits = f"abs(size({a}) - size({b})) <= {CELLS} * side * side"
     retry = f"aggregate(array(shiftleft(1L, k)), res, (v, side) -> if({fits}, {level}, v))"
-    first = f"if(abs(size({a}) - size({b})) <= {CELLS}, {peel(subtract(cells_a, cells_b))}, named_struct('ok', false, 'n', 0))"
-    outright = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"
-    return f"aggregate(sequence(1, {LEVELS}), {first}, (res, k) -> if(res.ok, res, {retry}), res -> if(res.ok, res.n, {outright}))"
+    first = f"if(abs(size({a}) - size({b})) <= {CELLS}, {peel(subtract(cells_a, cells_b))}, named_struct('ok', false, 'got', {NONE_YET}))"
+    outright = f"concat(array_except({a}, {b}), array_except({b}, {a}))"
+    return f"aggregate(sequence(1, {LEVELS}), {first}, (res, k) -> if(res.ok, res, {retry}), res -> if(res.ok, res.got, {outright}))"
 
 
 def shown(cells_: str) -> str:
@@ -93,10 +94,11 @@ def following(keys: DataFrame, store: Store) -> DataFrame:
     return store.put(out.select("k", "g", "n", F.col("to.k").alias("k2"), F.col("to.g").alias("g2")), "order")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, recovered: bool = False) -> DataFrame:
     """A row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars / 2) characters replaced by as many from the start of the next document.
+    recovered: also differ_edited and differ_next, the hashes of the paragraphs that only one of both texts has.
     """
     store = Store(docs.sparkSession, "sketch")
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
@@ -115,5 +117,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     both = both.withColumns({f"cells_{x}": F.expr(cells(x)) for x in "abc"})
     for x, name in (("b", "near_edited"), ("c", "near_next")):
         both = both.withColumn(f"d_{x}", F.expr(differing("a", x, "cells_a", f"cells_{x}")))
-        both = both.withColumn(name, F.expr(f"CAST(size(a) + size({x}) - d_{x} AS DOUBLE) / CAST(size(a) + size({x}) + d_{x} AS DOUBLE)"))
-    return both.select(F.expr(f"if(k = {-(2**63) + 1}L - 1L, NULL, k)").alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", F.expr(shown("cells_a")).alias("fingerprint"), F.expr(shown("cells_b")).alias("edited_fingerprint"), "near_edited", "near_next")
+        both = both.withColumn(name, F.expr(f"CAST(size(a) + size({x}) - size(d_{x}) AS DOUBLE) / CAST(size(a) + size({x}) + size(d_{x}) AS DOUBLE)"))
+    return both.select(F.expr(f"if(k = {-(2**63) + 1}L - 1L, NULL, k)").alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", F.expr(shown("cells_a")).alias("fingerprint"), F.expr(shown("cells_b")).alias("edited_fingerprint"), "near_edited", "near_next", *([F.col("d_b").alias("differ_edited"), F.col("d_c").alias("differ_next")] if recovered else []))

@@ -138,30 +138,31 @@ class Index:
     def __init__(self, known: np.ndarray, weights: np.ndarray, ids: np.ndarray, labels: np.ndarray, doc: np.ndarray, number: np.ndarray, tf: np.ndarray, prior: float, k: int = 16, prior_votes: float = 0.25):
         """known: sorted term hashes with their weights; ids, labels: examples; (doc, number, tf) of their terms; prior: the share of toxic ones."""
         self.known, self.weights, self.prior, self.k, self.prior_votes = known, weights, prior, k, prior_votes
-        n = len(ids)
-        weight = unit(doc, number, tf, weights, n)
+        n, doc, number = len(ids), doc.astype(np.int32), number.astype(np.int32)
+        weight = unit(doc, number, tf, weights, n).astype(np.float32)
         # like beside like, for tight bounds: by the example's heaviest term
         top = np.zeros(n, np.int64)
         order = np.lexsort((weight, doc))
         top[doc[order]] = number[order]
         old = np.lexsort((ids, top))
-        new = np.empty(n, np.int64)
-        new[old] = np.arange(n)
+        new = np.empty(n, np.int32)
+        new[old] = np.arange(n, dtype=np.int32)
         self.ids, self.labels, doc = ids[old], labels[old], new[doc]
         order = np.lexsort((number, doc))
         self.first = np.searchsorted(doc[order], np.arange(n + 1))
-        self.number, self.weight = number[order].astype(np.int32), weight[order].astype(np.float32)
+        self.number, self.weight = number[order], weight[order]
         order = np.lexsort((doc, number))
-        self.start = np.searchsorted(number[order], np.arange(len(known) + 1))
-        self.doc, self.posting = doc[order].astype(np.int32), weight[order].astype(np.float32)
+        number, self.doc, self.posting = number[order], doc[order], weight[order]
+        del order, doc, weight
+        self.start = np.searchsorted(number, np.arange(len(known) + 1))
         # the largest weight of each term in each block of examples, and in all
-        block = number[order] * (n // BLOCK + 1) + self.doc // BLOCK
+        block = number.astype(np.int64) * (n // BLOCK + 1) + self.doc // BLOCK
         starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(block)), bool), block[1:] != block[:-1])))
         self.block = (block[starts] % (n // BLOCK + 1)).astype(np.int32)
         self.block_most = np.maximum.reduceat(self.posting, starts) if len(starts) else self.posting
         self.block_start = np.searchsorted(block[starts] // (n // BLOCK + 1), np.arange(len(known) + 1))
         self.most = np.zeros(len(known), np.float32)
-        np.maximum.at(self.most, number[order], self.posting)
+        np.maximum.at(self.most, number, self.posting)
         self.seen: dict[bytes, tuple] = {}
         self.knots: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -305,7 +306,7 @@ def _sample(docs: DataFrame, labels: DataFrame, train_rows: int, train_bytes: in
     return train, sum(t for *_, t in rows) / max(1, len(rows))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, train_bytes: int = 16 << 20, smooth: float = 8.0, floor: float = 0.02, k: int = 16, prior_votes: float = 0.25) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, train_bytes: int = 8 << 20, smooth: float = 8.0, floor: float = 0.02, k: int = 16, prior_votes: float = 0.25) -> Index:
     """The index of a bounded sample of labelled rows, of which every fifth doc_id (crc32) is held out.
 
     What comes to the driver is the sample's terms, so train_rows and train_bytes bound it.
@@ -320,8 +321,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, train_byte
     rows = fitted.mapInArrow(_counts(spark.sparkContext.broadcast(known)), "doc_id long, toxic int, number array<int>, tf array<int>").toArrow().combine_chunks()
     ids, toxic = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy()
     number, tf = (rows.column(c).combine_chunks() for c in ("number", "tf"))
-    doc = np.repeat(np.arange(len(ids)), number.value_lengths().to_numpy()) if len(ids) else np.zeros(0, np.int64)
-    number, tf = (x.flatten().to_numpy().astype(np.int64) for x in (number, tf))
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), number.value_lengths().to_numpy()) if len(ids) else np.zeros(0, np.int32)
+    number, tf = (x.flatten().to_numpy() for x in (number, tf))
+    del rows
     if 0 < share < 1:
         df, total = frequencies(docs, known)
         n, with_ = np.bincount(number, minlength=len(known)), np.bincount(number, toxic[doc], len(known))

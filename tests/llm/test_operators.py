@@ -223,6 +223,19 @@ def test_sketches(spark):
     assert len({r.fingerprint for r in out if r.doc_id == 5}) == 2
 
 
+def test_sketches_recover_what_differs(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(9, "\n".join(f"p{i}" for i in range(40))), (7, "\n".join(f"p{i}" for i in range(3, 44))), (5, "\n".join(f"x{i}" for i in range(300))), (3, ""), (1, "p1")]
+    of = lambda t: {r[0] for r in spark.createDataFrame([(x,) for x in t.split("\n")], "p string").select(F.xxhash64("p")).collect()}
+    out = {r.doc_id: r for r in sketch.fingerprints(docs(spark, rows), recovered=True).collect()}
+    for i, (d, t) in enumerate(rows):
+        x = rows[(i + 1) % len(rows)][1]
+        e = t[: len(t) - len(t) // 2] + x[: len(t) // 2]
+        assert sorted(out[d].differ_next) == sorted(of(t) ^ of(x)) and sorted(out[d].differ_edited) == sorted(of(t) ^ of(e))
+    assert sketch.fingerprints(docs(spark, rows).limit(0)).count() == 0
+
+
 def test_block_max_index_is_exact():
     r = np.random.default_rng(4)
     known = np.unique(r.integers(1, 2**63, 40, dtype=np.uint64))
