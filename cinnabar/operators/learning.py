@@ -42,3 +42,55 @@ def tanimoto_vectors(a: Column, b: Column) -> Column:
 
     below = dot(a, a) + dot(b, b) - dot(a, b)
     return F.coalesce(dot(a, b) / F.when(below != 0, below), F.lit(0.0))
+
+
+def random_split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """df with part: val for about the share of keys, by a seeded hash, train for the others; the same on every run."""
+    return df.withColumn("part", F.when(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000), "val").otherwise("train"))
+
+
+def path_labels(nodes: DataFrame, smiles: str = "smiles") -> DataFrame:
+    """(smiles, label): 1 if the last node with the molecule, in the order of nodes, lies on the way to a solved node; the root is left out."""
+    from .tree import below
+
+    on_way = below(nodes, F.col("solved").cast("int"))
+    own = nodes.join(nodes.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi").select("node_id", smiles)
+    return last_label(own.join(on_way, "node_id"), smiles, "node_id", (F.col("total") > 0).cast("long"))
+
+
+def balanced(df: DataFrame, label: str, key: str, ratio: float = 0.0, seed: int = 42) -> DataFrame:
+    """All positives, and negatives by a seeded hash so that there are about ratio times as many as positives (none by default)."""
+    positive = F.col(label) == 1
+    if not ratio:
+        return df.where(positive)
+    n = df.agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n")).first()
+    share = min(1.0, ratio * n["p"] / n["n"]) if n["n"] else 0.0
+    return df.where(positive | (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000)))
+
+
+def class_metrics(df: DataFrame, label: str, predicted: str) -> DataFrame:
+    """(accuracy, balanced_accuracy, f1): the latter two as means over the classes of label; classes are few."""
+    counts = df.groupBy(F.col(label).alias("l"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
+    same = F.sum(F.when(F.col("l") == F.col("p"), F.col("n")).otherwise(0))
+    rows = counts.groupBy(F.col("l").alias("c")).agg(same.alias("hit"), F.sum("n").alias("true"))
+    given = counts.groupBy(F.col("p").alias("c")).agg(F.sum("n").alias("given"))
+    per = rows.join(given, "c", "left")
+    recall, f1 = F.col("hit") / F.col("true"), 2 * F.col("hit") / (F.col("true") + F.coalesce("given", F.lit(0)))
+    return per.agg((F.sum("hit") / F.sum("true")).alias("accuracy"), F.avg(recall).alias("balanced_accuracy"), F.avg(f1).alias("f1"))
+
+
+def cross_entropy(prob: Column) -> Column:
+    """Mean of minus the logarithm of the true class's probability."""
+    return F.avg(-F.log(F.greatest(prob, F.lit(1e-12))))
+
+
+def binary_cross_entropy(prob: Column, label: Column) -> Column:
+    p = F.greatest(F.lit(1e-12), F.least(prob, F.lit(1 - 1e-12)))
+    return F.avg(-(label * F.log(p) + (1 - label) * F.log(1 - p)))
+
+
+def rank_accuracy(logits: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """One row: the share of molecules whose true rule is among the k most likely; logits (mol_id, rule_id, f), truth (mol_id, rule_id)."""
+    own = logits.join(truth, ["mol_id", "rule_id"]).select("mol_id", F.col("f").alias("_t"))
+    rank = logits.join(own, "mol_id").groupBy("mol_id").agg((F.count_if(F.col("f") > F.col("_t")) + 1).alias("_r"))
+    return rank.agg(*(F.round(F.avg((F.col("_r") <= k).cast("double")), 6).alias(f"top{k}") for k in ks))

@@ -33,3 +33,8 @@ def combined(logits: DataFrame, weight: float, temperature: float, k: int) -> Da
     """Softmax of (f + weight * r) / temperature, then the k best."""
     mixed = logits.withColumn("prob", softmax((F.col("f") + weight * F.col("r")) / temperature, "mol_id"))
     return top(mixed, "mol_id", "prob", "rule_id", k)
+
+
+def joined_logits(filtering_: DataFrame, ranking_: DataFrame) -> DataFrame:
+    """(mol_id, rule_id, f, r): the logits of two networks side by side, rule by rule; both must know the same rules."""
+    return filtering_.select("mol_id", "rule_id", "f").join(ranking_.select("mol_id", "rule_id", "r"), ["mol_id", "rule_id"])

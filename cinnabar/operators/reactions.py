@@ -352,3 +352,46 @@ def interactions(scanned: DataFrame, matrix: DataFrame, key: tuple[str, ...] = (
     rows = scanned.select(*key, "reacting_fg", F.explode("competing").alias("c")).select(*key, "reacting_fg", F.col("c.fg_name").alias("fg_name"), F.col("c.fg_atoms").alias("fg_atoms"))
     levels = matrix.select(F.col("competing_fg").alias("fg_name"), "reacting_fg", "level")
     return rows.join(levels, ["fg_name", "reacting_fg"], "left").withColumn("severity", severity(F.coalesce("level", F.lit(0)))).select(*key, "fg_name", "fg_atoms", "reacting_fg", "severity")
+
+
+# --- sets of molecules as arrays of texts ---------------------------------------------------
+
+
+def on_both_sides(reactants: Column, products: Column) -> Column:
+    return F.array_intersect(reactants, products)
+
+
+def same_multiset(a: Column, b: Column) -> Column:
+    """Whether two arrays have the same molecules, each as often."""
+    return F.sort_array(a) == F.sort_array(b)
+
+
+def united(smiles: Column) -> Column:
+    """The molecules of an array as one text of parts."""
+    return F.array_join(F.sort_array(smiles), ".")
+
+
+def composed(parts: Column, min_mol_size: int = 6) -> Column:
+    """One text of an array of (smiles, size): parts above the size only, if there is any."""
+    big = F.filter(parts, lambda p: p["size"] > min_mol_size)
+    return united(F.transform(F.when(F.size(big) > 0, big).otherwise(parts), lambda p: p["smiles"]))
+
+
+def reversed_reaction(smiles: Column) -> Column:
+    """R>A>P as P>A>R."""
+    parts = F.split(smiles, ">")
+    return F.concat_ws(">", F.get(parts, F.lit(2)), F.get(parts, F.lit(1)), F.get(parts, F.lit(0)))
+
+
+def rule_hash(smarts: Column) -> Column:
+    """A hash of left>>right that doesn't depend on the order of parts."""
+    side = lambda i: F.sort_array(F.split(F.get(F.split(smarts, ">>"), F.lit(i)), "\\."))
+    return F.xxhash64(side(0), side(1))
+
+
+def first_outcomes(outcomes: Column, top: int = 3, big: int = 6, by_size: bool = False) -> Column:
+    """The first top of an array of outcomes, each an array of (smiles, size); those with the most large parts first if by_size."""
+    if by_size:
+        n = F.transform(outcomes, lambda o, i: F.struct((-F.size(F.filter(o, lambda p: p["size"] > big))).alias("n"), i.alias("i"), o.alias("o")))
+        outcomes = F.transform(F.array_sort(n), lambda x: x["o"])
+    return F.slice(outcomes, 1, top)

@@ -412,9 +412,7 @@ def multi_hot_labels(spark, d):
 @query(f"WITH {LOGITS}, k AS (SELECT mol_id, label, rule_id, rank() OVER (PARTITION BY mol_id ORDER BY f DESC) AS rank FROM logits) SELECT round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS top5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS top10 FROM k WHERE rule_id = label")
 def topk_accuracy(spark, d):
     own = logits(spark, d)
-    truth = own.where("rule_id = label").select("mol_id", F.col("f").alias("t"))
-    rank = own.join(truth, "mol_id").groupBy("mol_id").agg((F.count_if(F.col("f") > F.col("t")) + 1).alias("rank"))
-    return rank.agg(*(F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"top{k}") for k in (1, 5, 10)))
+    return learning.rank_accuracy(own, own.where("rule_id = label").select("mol_id", "rule_id"))
 
 
 @query("WITH s AS (SELECT vec_id, label, list_filter(range(1, 65), lambda i: embedding[i] > 0) AS s FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS tanimoto FROM s a JOIN s b ON a.label = b.label AND a.vec_id % 20 = 0 AND (a.vec_id < b.vec_id OR (a.vec_id > b.vec_id AND b.vec_id % 20 <> 0))")
@@ -619,3 +617,84 @@ def rule_application(spark, d):
 def functional_group_matches(spark, d):
     patterns = spark.createDataFrame([(0, "alcohol", "polar", "[O;D1;$(O[C;X4])]"), (1, "amine", "polar", "[N;D1;!$(N=*)]"), (2, "chloride", "halogen", "[Cl][C]")], "place int, name string, category string, smarts string")
     return reactions.functional_groups(alcohols(spark, d), "smiles", patterns).select("p_partkey", F.explode("groups").alias("g")).select("p_partkey", "g.name", "g.category")
+
+
+# --- clusters, sets and metrics -------------------------------------------------------------
+
+
+def leaving_groups(spark, d):
+    return read(spark, d, "lineitem").where("l_orderkey % 4 = 1").select(F.col("l_orderkey").alias("route_id"), F.col("l_linenumber").cast("long").alias("mark"), F.when(F.col("l_linenumber") == 2, "x").otherwise(F.concat("l_returnflag", "l_linestatus")).alias("lg")).distinct()
+
+
+LGS = "lgs AS (SELECT DISTINCT l_orderkey AS route_id, l_linenumber::BIGINT AS mark, CASE WHEN l_linenumber = 2 THEN 'x' ELSE l_returnflag || l_linestatus END AS lg FROM lineitem WHERE l_orderkey % 4 = 1), sig AS (SELECT route_id, string_agg(mark::VARCHAR || '=' || lg, ';' ORDER BY mark, lg) AS signature, count(*) AS n FROM lgs GROUP BY 1)"
+
+
+@query(f"WITH {LGS} SELECT mark, lg, min(route_id) AS first_route FROM lgs GROUP BY 1, 2")
+def leaving_group_sets(spark, d):
+    return clusters.distinct_groups(leaving_groups(spark, d))
+
+
+@query(f"WITH {LGS} SELECT signature, count(*) AS group_size, min(route_id) AS first_route FROM sig GROUP BY 1")
+def identical_signatures(spark, d):
+    return clusters.identical(leaving_groups(spark, d))
+
+
+@query(f"WITH {LGS}, k AS (SELECT mark, row_number() OVER (ORDER BY mark) AS new FROM lgs GROUP BY mark HAVING min(lg) <> max(lg)) SELECT route_id, new AS mark, lg FROM lgs JOIN k ON k.mark = lgs.mark")
+def varying_leaving_groups(spark, d):
+    return clusters.without_constant(leaving_groups(spark, d))
+
+
+@query(f"WITH {LGS}, g AS (SELECT signature, n, count(*) AS group_size, min(route_id) AS first_route FROM sig GROUP BY 1, 2) SELECT n::VARCHAR || '_' || (row_number() OVER (PARTITION BY n ORDER BY first_route))::VARCHAR AS sub_id, signature, group_size, first_route FROM g")
+def numbered_subclusters(spark, d):
+    own = leaving_groups(spark, d)
+    counted = clusters.signatures(own).join(own.groupBy("route_id").agg(F.count("*").alias("n")), "route_id")
+    return clusters.numbered_subclusters(counted, ["signature"], "n")
+
+
+@query(f"WITH {ROLES}, g AS (SELECT DISTINCT n_bonds, sb_cgr FROM routes), k AS (SELECT *, n_bonds::VARCHAR || '.' || (row_number() OVER (PARTITION BY n_bonds ORDER BY length(sb_cgr), sb_cgr))::VARCHAR AS cluster_key FROM g), m AS (SELECT route_id, cluster_key FROM routes JOIN k ON k.n_bonds = routes.n_bonds AND k.sb_cgr = routes.sb_cgr WHERE route_id % 3 <> 0) SELECT cluster_key, route_id, count(*) OVER (PARTITION BY cluster_key) AS group_size FROM m")
+def filtered_clusters(spark, d):
+    own = role_routes(spark, d)
+    return clusters.without_routes(clusters.membership(own, "sb_cgr", "n_bonds"), own.where("route_id % 3 = 0"))
+
+
+@query("WITH x AS (SELECT o_orderstatus AS l, CASE WHEN o_orderkey % 3 = 0 THEN 'F' ELSE o_orderstatus END AS p FROM orders), c AS (SELECT l AS c, count(*) FILTER (WHERE l = p) AS hit, count(*) AS t FROM x GROUP BY 1), g AS (SELECT p AS c, count(*) AS g FROM x GROUP BY 1) SELECT round(sum(hit) / sum(t), 9) AS accuracy, round(avg(hit / t), 9) AS balanced_accuracy, round(avg(2 * hit / (t + coalesce(g, 0))), 9) AS f1 FROM c LEFT JOIN g ON g.c = c.c")
+def class_metrics(spark, d):
+    own = read(spark, d, "orders").select("o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, "F").otherwise(F.col("o_orderstatus")).alias("p"))
+    m = learning.class_metrics(own, "o_orderstatus", "p")
+    return m.select(*(F.round(c, 9).alias(c) for c in m.columns))
+
+
+@query("SELECT round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 9) AS binary, round(avg(-ln(p)), 9) AS categorical FROM (SELECT l_discount * 5 + 0.1 AS p, l_linenumber % 2 AS y FROM lineitem)")
+def losses(spark, d):
+    own = read(spark, d, "lineitem").select((F.col("l_discount") * 5 + 0.1).alias("p"), (F.col("l_linenumber") % 2).alias("y"))
+    return own.agg(F.round(learning.binary_cross_entropy(F.col("p"), F.col("y")), 9).alias("binary"), F.round(learning.cross_entropy(F.col("p")), 9).alias("categorical"))
+
+
+@query(f"WITH RECURSIVE {NODES}, s AS (SELECT DISTINCT walk.node_id FROM walk JOIN nodes l ON l.node_id = leaf AND l.solved) SELECT n.node_id % 1000 AS smiles, arg_max(CASE WHEN s.node_id IS NULL THEN 0 ELSE 1 END, n.node_id)::BIGINT AS label FROM nodes n LEFT JOIN s ON s.node_id = n.node_id WHERE n.parent_id IN (SELECT node_id FROM nodes) GROUP BY 1")
+def solved_path_labels(spark, d):
+    return learning.path_labels(nodes(spark, d).withColumn("smiles", F.col("node_id") % 1000))
+
+
+@query("SELECT conv_id, string_agg(role, '.' ORDER BY role) AS united, bool_and(role IN ('user', 'assistant', 'system')) AS usual FROM conversations GROUP BY 1")
+def united_parts(spark, d):
+    own = read(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("r"))
+    return own.select("conv_id", reactions.united(F.col("r")).alias("united"), F.expr("forall(r, x -> x IN ('user', 'assistant', 'system'))").alias("usual"))
+
+
+@query(f"WITH {ESTERS} SELECT idx, true AS back FROM est")
+def reversed_reactions(spark, d):
+    own = esterifications(spark, d)
+    turned = reactions.reversed_reaction(F.col("smiles"))
+    return own.select("idx", ((reactions.reversed_reaction(turned) == F.col("smiles")) & F.startswith(turned, F.get(F.split("smiles", ">>"), F.lit(1)))).alias("back"))
+
+
+@query(f"WITH {LOGITS}, m AS (SELECT *, (f + 0.5 * r) / 2.0 AS x FROM logits) SELECT mol_id, round(max(x), 9) AS best, count(*) AS rules FROM m GROUP BY 1")
+def joined_logits(spark, d):
+    own = logits(spark, d)
+    both = policy.joined_logits(own.select("mol_id", "rule_id", "f"), own.select("mol_id", "rule_id", "r"))
+    return both.groupBy("mol_id").agg(F.round(F.max((F.col("f") + 0.5 * F.col("r")) / 2.0), 9).alias("best"), F.count("*").alias("rules"))
+
+
+@query(f"WITH RECURSIVE {NODES}, k AS (SELECT node_id, rank() OVER (PARTITION BY parent_id ORDER BY prob DESC) AS r FROM nodes), w AS (SELECT leaf, node_id FROM walk WHERE leaf IN (SELECT node_id FROM nodes WHERE solved)), s AS (SELECT leaf, sum(n.total_value) / (count(*) * count(*)) AS score FROM w JOIN nodes n ON n.node_id = w.node_id GROUP BY leaf) SELECT (SELECT round(max(score), 6) FROM s) AS best_score, (SELECT round(avg(r), 2) FROM w JOIN k ON k.node_id = w.node_id WHERE w.node_id IN (SELECT node_id FROM nodes WHERE parent_id IN (SELECT node_id FROM nodes))) AS mean_rank")
+def winning_summary(spark, d):
+    return tree.winning_summary(nodes(spark, d))
