@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 import pyarrow as pa
@@ -37,6 +37,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 MARK = re.compile("[0-9@]")
 PART = re.compile(r"[^\s,;:!?\"'|<>]+")
+WORD = re.compile(r"\S+")
+NEAR = 64
 #: Loose forms. A number is digits with up to three separators between them; it is taken whole, so runs are looked at once.
 BETWEEN = r"[ \t\u00a0.()\[\]/_\u00b7\u2010-\u2015-]"
 NUMBER = re.compile(rf"(?<![\w@.\-/+])(?:\(?\+|\()?[0-9](?:{BETWEEN}{{0,3}}[0-9])*+")
@@ -75,7 +77,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, in order; code points, end exclusive."""
-    ips = [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))] if "." in text else []
+    ips = [m.span() for m in IP.finditer(text) if all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in m[0].split("."))] if "." in text else []
     cards = []
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -174,11 +176,19 @@ def _candidates(text: str, base: dict[str, list[tuple[int, int]]]):
     return sorted([*out, *((a, b, None, kinds) for (a, b), kinds in found.items())], key=lambda x: x[:2])
 
 
-def _patterns(text: str, a: int, b: int) -> list[str]:
-    before = text[max(0, a - 40) : a].split()
-    after = text[b : b + 40].split()
-    left, right = before[-1].lower() if before else "^", after[0].lower() if after else "$"
-    return [f"l\t{left}", f"r\t{right}", f"b\t{left}\t{right}"]
+class Context:
+    """The words of a text; of what has no white space for longer than NEAR characters, the NEAR nearest count as the word."""
+
+    def __init__(self, text: str):
+        self.text, spans = text, [m.span() for m in WORD.finditer(text)]
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def patterns(self, a: int, b: int) -> list[str]:
+        """The word before, the word after, and both."""
+        i, j = bisect_left(self.starts, a) - 1, bisect_right(self.ends, b)
+        left = self.text[max(self.starts[i], a - NEAR) : min(self.ends[i], a)].lower() if i >= 0 else "^"
+        right = self.text[max(self.starts[j], b) : min(self.ends[j], b + NEAR)].lower() if j < len(self.ends) else "$"
+        return [f"l\t{left}", f"r\t{right}", f"b\t{left}\t{right}"]
 
 
 SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("kinds", pa.int32()), ("patterns", pa.list_(pa.int64()))]))
@@ -195,8 +205,10 @@ def _find(batches):
         rows = []
         for raw in texts:
             text = raw.decode()
-            base = base_spans(text)
-            found = [{"kind": k, "start": a, "end": b, "instance": _hash(text[a:b].lower()), "kinds": kinds, "patterns": [_hash(p) for p in _patterns(text, a, b)]} for a, b, k, kinds in _candidates(text, base)] if MARK.search(text) or AT.search(text) or ":" in text else []
+            base, context = base_spans(text), None
+            if MARK.search(text) or AT.search(text) or ":" in text:
+                context = Context(text)
+            found = [{"kind": k, "start": a, "end": b, "instance": _hash(text[a:b].lower()), "kinds": kinds, "patterns": [_hash(p) for p in context.patterns(a, b)]} for a, b, k, kinds in _candidates(text, base)] if context else []
             rows.append(found)
         yield pa.record_batch([batch.column(0), pa.array(rows, SPAN)], ["doc_id", "found"])
 

@@ -80,6 +80,21 @@ def test_base_spans():
         t = "".join(r.choice(r.choice(["ab.@-", "0123456789", "1.", "+( )-.1", " é@a.", "4 -"])) for _ in range(r.randint(0, 45)))
         assert pii.base_spans(t) == plain_spans(t)
     assert pii.base_spans("a" * 200_000 + "1" * 200_000)["email"] == []
+    zeros = "0" * 5000
+    assert pii.base_spans(zeros + "1.2.3.4")["ip"] == [(0, 5007)] and pii.base_spans(f"{zeros}.{zeros}.1.{zeros}7")["ip"] == [(0, 15005)] and pii.base_spans(zeros + "256.2.3.4")["ip"] == []
+
+
+def test_contexts_are_whole_words():
+    r = random.Random(5)
+    for _ in range(2000):
+        t = "".join(r.choice("ab =\n") for _ in range(r.randint(0, 30)))
+        a = r.randint(0, len(t))
+        b = r.randint(a, len(t))
+        before, after = t[:a].split(), t[b:].split()
+        left, right = before[-1] if before else "^", after[0] if after else "$"
+        assert pii.Context(t).patterns(a, b) == [f"l\t{left}", f"r\t{right}", f"b\t{left}\t{right}"]
+    long_ = "x" * 50 + "="
+    assert pii.Context(f"{long_} 12 {long_}").patterns(52, 54)[2] == f"b\t{long_}\t{long_}"
 
 
 def test_bootstrap_finds_unseen_identifiers(spark):
