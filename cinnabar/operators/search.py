@@ -613,3 +613,14 @@ def plan_statistics(targets: DataFrame, rules: DataFrame, stock: DataFrame, opti
             return (*[None] * (len(names) - 1), str(e))
 
     return arrow.add(targets, [smiles], STATISTICS, run)
+
+
+def route_steps(nodes: DataFrame) -> DataFrame:
+    """(target_id, route, step_id, smiles, rule_id) of the solved nodes of plan's table: forward reactions, the first one first."""
+    from .tree import walks
+
+    name = lambda c: F.concat_ws(":", F.col("target_id").cast("string"), F.col(c).cast("string"))
+    own = nodes.select("target_id", name("node_id").alias("node_id"), name("parent_id").alias("parent_id"), "molecules", "to_expand", "is_solved", "rule_id")
+    parent = own.select(F.col("node_id").alias("parent_id"), F.get("to_expand", F.lit(0)).alias("_product"))
+    way = walks(own, own.where("is_solved")).join(own.drop("is_solved", "to_expand"), "node_id").join(parent, "parent_id")
+    return way.select("target_id", F.col("leaf").alias("route"), F.col("hop").alias("step_id"), F.concat(F.array_join(F.sort_array("molecules"), "."), F.lit(">>"), "_product").alias("smiles"), "rule_id")
