@@ -87,24 +87,24 @@ LOGITS = """logits AS (SELECT mol_id, label, i - 1 AS rule_id, v[i]::DOUBLE AS f
 def interactions(spark, d):
     line, part = read(spark, d, "lineitem"), read(spark, d, "part")
     matrix = spark.range(7).crossJoin(spark.range(5).withColumnRenamed("id", "j")).select(F.col("id").alias("competing_fg"), F.col("j").alias("reacting_fg"), ((F.col("id") * F.col("j")) % 3).cast("int").alias("level")).where("competing_fg <> 6")
-    rows = line.join(part, line.l_partkey == part.p_partkey).select(F.col("l_orderkey").alias("route_id"), F.col("l_linenumber").cast("long").alias("step_id"), (F.col("p_size") % 7).cast("long").alias("competing_fg"), (F.col("l_suppkey") % 5).alias("reacting_fg"), F.floor("l_quantity").cast("long").alias("overlap"), "p_name", F.col("l_partkey").alias("place"))
+    rows = line.join(part, line.l_partkey == part.p_partkey).select(F.col("l_orderkey").alias("route_id"), F.col("l_linenumber").cast("long").alias("step_id"), (F.col("p_size") % 7).cast("long").alias("competing_fg"), (F.col("l_suppkey") % 5).alias("reacting_fg"), F.floor("l_quantity").cast("long").alias("overlap"), "p_name", F.col("l_partkey").alias("place"), "l_linestatus")
     return quality.lookup(rows, matrix)
 
 
-INTER = """inter AS (SELECT l_orderkey AS route_id, l_linenumber::BIGINT AS step_id, p_size % 7 AS c, l_suppkey % 5 AS r, floor(l_quantity)::BIGINT AS overlap, p_name, l_partkey AS place,
+INTER = """inter AS (SELECT l_orderkey AS route_id, l_linenumber::BIGINT AS step_id, p_size % 7 AS c, l_suppkey % 5 AS r, floor(l_quantity)::BIGINT AS overlap, p_name, l_partkey AS place, l_linestatus,
     CASE WHEN p_size % 7 = 6 THEN 'compatible' WHEN ((p_size % 7) * (l_suppkey % 5)) % 3 = 2 THEN 'incompatible' WHEN ((p_size % 7) * (l_suppkey % 5)) % 3 = 1 THEN 'competing' ELSE 'compatible' END AS severity
     FROM lineitem JOIN part ON l_partkey = p_partkey),
-worst AS (SELECT route_id, step_id, max(CASE severity WHEN 'incompatible' THEN 1.0::DOUBLE WHEN 'competing' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS w FROM inter WHERE route_id % 5 <> 0 GROUP BY 1, 2),
+worst AS (SELECT route_id, step_id, max(CASE severity WHEN 'incompatible' THEN 1.0::DOUBLE WHEN 'competing' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS w FROM inter WHERE l_linestatus = 'F' GROUP BY 1, 2),
 hal AS (SELECT l_orderkey AS route_id, count(*) * 0.1::DOUBLE AS h FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
 site AS (SELECT o_orderkey AS route_id, round(greatest(1 - (coalesce(w, 0) + coalesce(h, 0)) / greatest(7 - o_orderkey % 8, 1), 0), 6) AS score
-    FROM orders LEFT JOIN (SELECT route_id, sum(w) AS w FROM worst GROUP BY 1) s ON s.route_id = o_orderkey LEFT JOIN hal ON hal.route_id = o_orderkey WHERE o_orderkey % 11 <> 0)"""
+    FROM orders LEFT JOIN (SELECT route_id, sum(w) AS w FROM worst GROUP BY 1) s ON s.route_id = o_orderkey LEFT JOIN hal ON hal.route_id = o_orderkey WHERE o_orderstatus <> 'P')"""
 
 
 def site_scores(spark, d):
     halogens = read(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("route_id")).agg((F.count("*") * F.lit(0.1)).alias("halogens"))
     # some routes have no interaction, some no halogen, some no step
-    routes = read(spark, d, "orders").where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("route_id"), (7 - F.col("o_orderkey") % 8).alias("n_steps"))
-    return quality.competing_sites(routes, interactions(spark, d).where("route_id % 5 <> 0"), halogens)
+    routes = read(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("route_id"), (7 - F.col("o_orderkey") % 8).alias("n_steps"))
+    return quality.competing_sites(routes, interactions(spark, d).where("l_linestatus = 'F'"), halogens)
 
 
 def role_routes(spark, d):
@@ -475,7 +475,7 @@ def center_with_charges(spark, d):
     return cgr.center_with_charges(bonds(spark, d), atoms)
 
 
-@query(f"""WITH RECURSIVE {BONDS}, e AS (SELECT rxn_idx, a AS x, b AS y FROM bonds WHERE rxn_idx % 10 < 10 UNION SELECT rxn_idx, b, a FROM bonds),
+@query(f"""WITH RECURSIVE {BONDS}, e AS (SELECT rxn_idx, a AS x, b AS y FROM bonds UNION SELECT rxn_idx, b, a FROM bonds),
     r AS (SELECT rxn_idx, x, x AS y FROM e UNION SELECT r.rxn_idx, r.x, e.y FROM r JOIN e ON e.rxn_idx = r.rxn_idx AND e.x = r.y)
     SELECT rxn_idx, count(DISTINCT m) AS parts FROM (SELECT rxn_idx, x, min(y) AS m FROM r GROUP BY 1, 2) GROUP BY 1""")
 def graph_components(spark, d):
@@ -623,10 +623,10 @@ def functional_group_matches(spark, d):
 
 
 def leaving_groups(spark, d):
-    return read(spark, d, "lineitem").where("l_orderkey % 4 = 1").select(F.col("l_orderkey").alias("route_id"), F.col("l_linenumber").cast("long").alias("mark"), F.when(F.col("l_linenumber") == 2, "x").otherwise(F.concat("l_returnflag", "l_linestatus")).alias("lg")).distinct()
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("route_id"), F.col("l_linenumber").cast("long").alias("mark"), F.when(F.col("l_linenumber") == 2, "x").otherwise(F.concat("l_returnflag", "l_linestatus")).alias("lg")).distinct()
 
 
-LGS = "lgs AS (SELECT DISTINCT l_orderkey AS route_id, l_linenumber::BIGINT AS mark, CASE WHEN l_linenumber = 2 THEN 'x' ELSE l_returnflag || l_linestatus END AS lg FROM lineitem WHERE l_orderkey % 4 = 1), sig AS (SELECT route_id, string_agg(mark::VARCHAR || '=' || lg, ';' ORDER BY mark, lg) AS signature, count(*) AS n FROM lgs GROUP BY 1)"
+LGS = "lgs AS (SELECT DISTINCT l_orderkey AS route_id, l_linenumber::BIGINT AS mark, CASE WHEN l_linenumber = 2 THEN 'x' ELSE l_returnflag || l_linestatus END AS lg FROM lineitem), sig AS (SELECT route_id, string_agg(mark::VARCHAR || '=' || lg, ';' ORDER BY mark, lg) AS signature, count(*) AS n FROM lgs GROUP BY 1)"
 
 
 @query(f"WITH {LGS} SELECT mark, lg, min(route_id) AS first_route FROM lgs GROUP BY 1, 2")
@@ -651,10 +651,10 @@ def numbered_subclusters(spark, d):
     return clusters.numbered_subclusters(counted, ["signature"], "n")
 
 
-@query(f"WITH {ROLES}, g AS (SELECT DISTINCT n_bonds, sb_cgr FROM routes), k AS (SELECT *, n_bonds::VARCHAR || '.' || (row_number() OVER (PARTITION BY n_bonds ORDER BY length(sb_cgr), sb_cgr))::VARCHAR AS cluster_key FROM g), m AS (SELECT route_id, cluster_key FROM routes JOIN k ON k.n_bonds = routes.n_bonds AND k.sb_cgr = routes.sb_cgr WHERE route_id % 3 <> 0) SELECT cluster_key, route_id, count(*) OVER (PARTITION BY cluster_key) AS group_size FROM m")
+@query(f"WITH {ROLES}, g AS (SELECT DISTINCT n_bonds, sb_cgr FROM routes), k AS (SELECT *, n_bonds::VARCHAR || '.' || (row_number() OVER (PARTITION BY n_bonds ORDER BY length(sb_cgr), sb_cgr))::VARCHAR AS cluster_key FROM g), m AS (SELECT route_id, cluster_key FROM routes JOIN k ON k.n_bonds = routes.n_bonds AND k.sb_cgr = routes.sb_cgr WHERE routes.n_bonds >= 3) SELECT cluster_key, route_id, count(*) OVER (PARTITION BY cluster_key) AS group_size FROM m")
 def filtered_clusters(spark, d):
     own = role_routes(spark, d)
-    return clusters.without_routes(clusters.membership(own, "sb_cgr", "n_bonds"), own.where("route_id % 3 = 0"))
+    return clusters.without_routes(clusters.membership(own, "sb_cgr", "n_bonds"), own.where("n_bonds < 3"))
 
 
 @query("WITH x AS (SELECT o_orderstatus AS l, CASE WHEN o_orderkey % 3 = 0 THEN 'F' ELSE o_orderstatus END AS p FROM orders), c AS (SELECT l AS c, count(*) FILTER (WHERE l = p) AS hit, count(*) AS t FROM x GROUP BY 1), g AS (SELECT p AS c, count(*) AS g FROM x GROUP BY 1) SELECT round(sum(hit) / sum(t), 9) AS accuracy, round(avg(hit / t), 9) AS balanced_accuracy, round(avg(2 * hit / (t + coalesce(g, 0))), 9) AS f1 FROM c LEFT JOIN g ON g.c = c.c")
