@@ -293,7 +293,8 @@ class Strings:
         runs = np.array([len(v) for v, _ in per], np.int64)
         names_ = np.concatenate([v for v, _ in per]) if per else all_
         counts = np.concatenate([c for _, c in per]) if per else np.zeros(0, np.int64)
-        text = np.repeat(np.arange(len(texts)), runs)
+        text = np.repeat(np.arange(len(texts), dtype=np.int32), runs)
+        del per
         first = np.cumsum(counts) - counts
         own = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))[np.cumsum(runs) - runs] if len(runs) else first
         at = first - np.repeat(own, runs)
@@ -305,6 +306,7 @@ class Strings:
         wanted = (_told(replies, all_, bits) | (low < high))[flat]
         often = _told(replies, all_, bits, "often")[flat][wanted]
         text, at, counts, route = text[wanted], at[wanted], counts[wanted], names_[wanted]
+        del first, own, flat, ids, low, high, wanted, names_
         if often.any():
             # strings of common names go one by one, by their own fingerprints
             places = ranges((self.starts[text] + at)[often], counts[often])
@@ -314,7 +316,7 @@ class Strings:
             counts, route = np.concatenate((counts[~often], np.ones(len(one), np.int64))), np.concatenate((route[~often], prints))
             order = np.lexsort((at, text))
             text, at, counts, route = text[order], at[order], counts[order], route[order]
-        self.text, self.at, self.counts = text, at, counts
+        self.text, self.at, self.counts = text, at.astype(np.int32), counts
         # equal segments once, in the order of the least document that has them
         whole, seen = self.data.tobytes(), {}
         places = (self.starts[text] + at).tolist()
@@ -325,7 +327,7 @@ class Strings:
         self.least, self.size, shard = self.docs[text[fresh]], counts[fresh], (route[fresh] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(seen), np.int64)
         self.order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.diff(shard[self.order], prepend=-1))
-        self.cells = [(int(shard[self.order[a]]), self.order[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(self.order)), strict=True)]
+        self.cells = [(int(shard[self.order[a]]), self.order[a:b]) for a, b in zip(cuts, np.append(cuts, len(self.order))[1:], strict=True)]
 
     def sent(self) -> list[tuple[int, bytes, bytes, bytes]]:
         """(shard, counts of strings, documents, text) of the segments of each shard."""
@@ -340,16 +342,19 @@ class Strings:
         base[self.order] = np.cumsum(self.size[self.order]) - self.size[self.order]
         out = told[ranges(base[self.segment], self.counts)]
         text = np.repeat(self.text, self.counts)
-        at = ranges(self.at, self.counts)
-        return text, at, out | self._before(text, self.starts[text] + at)
+        at = ranges(self.at.astype(np.int64), self.counts).astype(np.int32)
+        return text, at, out | self._before(text, (self.starts[text] + at).astype(np.int32 if len(self.data) < NONE >> 32 else np.int64))
 
     def _before(self, text: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Which strings a smaller doc_id of this batch has; fingerprints group them, bytes decide."""
         prints = np.concatenate([rolling(self.data[p : p + n + self.length - 1], self.length) for p, n in zip((self.starts[self.text] + self.at).tolist(), self.counts.tolist(), strict=True)]) if len(self.text) else np.zeros(0, np.uint64)
-        _, first, number = np.unique(prints, return_index=True, return_inverse=True)
-        source = first[number]
-        ids = self.docs[text]
-        out = ids[source] < ids
+        order = np.argsort(prints, kind="stable").astype(np.int32)
+        new = np.concatenate((np.ones(min(1, len(prints)), bool), prints[order[1:]] != prints[order[:-1]]))
+        source = np.empty(len(prints), np.int32)
+        source[order] = np.repeat(order[new], np.diff(np.append(np.flatnonzero(new), len(prints))))
+        del order, new
+        ids = self.docs
+        out = ids[text[source]] < ids[text]
         hit = np.flatnonzero(out)
         differ = np.zeros(len(out), bool)
         for i in range(0, len(hit), STEP):
@@ -359,7 +364,8 @@ class Strings:
             least: dict[bytes, int] = {}
             for i in np.flatnonzero(np.isin(prints, prints[differ])).tolist():
                 key = self.data[place[i] : place[i] + self.length].tobytes()
-                out[i] = least.setdefault(key, int(ids[i])) < ids[i]
+                own = int(ids[text[i]])
+                out[i] = least.setdefault(key, own) < own
         return out
 
 
@@ -400,7 +406,7 @@ def _apply(length: int, anchor: int, bits: int, texts: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 30, batch_bytes: int = 8 << 20, shard_bytes: int = 16 << 20, broadcast_bytes: int = 32 << 20, common: int = 16, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 30, batch_bytes: int = 3 << 20, shard_bytes: int = 4 << 20, broadcast_bytes: int = 32 << 20, common: int = 16, texts: bool = False) -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes left, if texts)."""
     spark = docs.sparkSession
     store = Store(spark, "suffixes")
@@ -410,7 +416,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 30, batch_by
     # of a text's rows with its least doc_id all stay; a row without doc_id never yields to another such row
     copies = store.put(digests.join(classes, "digest").where("doc > least").select("doc", "digest", "n"), "copies")
     total = digests.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-total // (2 * batch_bytes)))
+    parts = max(1, -(-total // (5 * batch_bytes)))
     # a sketch entry of 8 bytes for a dozen bytes of text, an indexed string of length bytes for every few
     bits = max(4, int(total // shard_bytes).bit_length())
     # texts move once: what is to be left out travels along as marks, where a join would deal out the texts once more
