@@ -311,7 +311,7 @@ class Strings:
             # strings of common names go one by one, by their own fingerprints
             places = ranges((self.starts[text] + at)[often], counts[often])
             one = np.repeat(text[often], counts[often])
-            prints = np.concatenate([rolling(self.data[p : p + n + length - 1], length) for p, n in zip((self.starts[text] + at)[often].tolist(), counts[often].tolist(), strict=True)])
+            prints = rolling(self.data, length)[places]
             text, at = np.concatenate((text[~often], one)), np.concatenate((at[~often], places - self.starts[one]))
             counts, route = np.concatenate((counts[~often], np.ones(len(one), np.int64))), np.concatenate((route[~often], prints))
             order = np.lexsort((at, text))
@@ -347,7 +347,7 @@ class Strings:
 
     def _before(self, text: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Which strings a smaller doc_id of this batch has; fingerprints group them, bytes decide."""
-        prints = np.concatenate([rolling(self.data[p : p + n + self.length - 1], self.length) for p, n in zip((self.starts[self.text] + self.at).tolist(), self.counts.tolist(), strict=True)]) if len(self.text) else np.zeros(0, np.uint64)
+        prints = rolling(self.data, self.length)[place] if len(place) else np.zeros(0, np.uint64)
         order = np.argsort(prints, kind="stable").astype(np.int32)
         new = np.concatenate((np.ones(min(1, len(prints)), bool), prints[order[1:]] != prints[order[:-1]]))
         source = np.empty(len(prints), np.int32)
