@@ -99,6 +99,19 @@ def windows(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, size)[at]).view(f"S{size}").ravel()
 
 
+def by_bytes(keys: np.ndarray) -> np.ndarray:
+    """The stable order of fixed-width keys: by their first 8 bytes as numbers, then by all of them where those tie."""
+    if not len(keys) or keys.itemsize < 8:
+        return np.argsort(keys, kind="stable")
+    first = np.ascontiguousarray(keys.view(np.uint8).reshape(len(keys), -1)[:, :8]).view(">u8").ravel().astype(np.uint64)
+    order = np.argsort(first, kind="stable")
+    same = first[order[1:]] == first[order[:-1]]
+    slots = np.flatnonzero(np.append(same, False) | np.concatenate((np.zeros(1, bool), same)))
+    tied = order[slots]
+    order[slots] = tied[np.argsort(keys[tied], kind="stable")]
+    return order
+
+
 def ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     """All numbers of the ranges from lo with n numbers, one range after the other."""
     return np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
@@ -256,7 +269,7 @@ def _earlier(length: int):
                 counts = counts.astype(np.int64)
                 sizes = counts + length - 1
                 keys = windows(data, ranges(np.cumsum(sizes) - sizes, counts), length)
-                order = np.argsort(keys, kind="stable")  # the batch's suffix array; of equal strings the least document's is first
+                order = by_bytes(keys)  # the batch's suffix array; of equal strings the least document's is first
                 sorted_ = keys[order]
                 new = np.concatenate((np.ones(min(1, len(keys)), bool), sorted_[1:] != sorted_[:-1]))
                 own = np.repeat(docs, counts)[order][new]
@@ -406,7 +419,7 @@ def _apply(length: int, anchor: int, bits: int, texts: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 30, batch_bytes: int = 3 << 20, shard_bytes: int = 4 << 20, broadcast_bytes: int = 32 << 20, common: int = 16, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 30, batch_bytes: int = 3 << 20, shard_bytes: int = 8 << 20, broadcast_bytes: int = 32 << 20, common: int = 16, texts: bool = False) -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes left, if texts)."""
     spark = docs.sparkSession
     store = Store(spark, "suffixes")

@@ -332,6 +332,13 @@ def test_equal_bytes_decide_not_equal_fingerprints(monkeypatch):
         assert got == {(i, p) for i, t in enumerate(texts_) for p in range(len(t) - 7) if any(ids[j] < ids[i] and t[p : p + 8] in texts_[j] for j in range(8))}
 
 
+def test_order_by_bytes_is_stable():
+    r = np.random.default_rng(5)
+    for n in (0, 1, 2, 500):
+        keys = np.array([bytes(r.integers(0, 3, 12, dtype=np.uint8)) if r.random() < 0.5 else b"same8byt" + bytes(r.integers(0, 2, 4, dtype=np.uint8)) for _ in range(n)], dtype="S12")
+        assert suffixes.by_bytes(keys).tolist() == np.argsort(keys, kind="stable").tolist()
+
+
 def test_levels_keep_the_least_document():
     r = np.random.default_rng(3)
     levels, least = suffixes.Levels(), {}
