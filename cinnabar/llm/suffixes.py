@@ -67,12 +67,18 @@ def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def names(data: np.ndarray, length: int, anchor: int) -> np.ndarray:
-    """The name of each substring of length bytes: the least hash of its substrings of anchor bytes."""
-    return sliding_min(rolling(data, anchor), length - anchor + 1) if len(data) >= length else np.zeros(0, np.uint64)
+    """The name of each substring of length bytes: the least hash of its substrings of anchor bytes.
+
+    The least of many hashes is a small number; it is mixed once more, so that the highest bits deal names evenly.
+    """
+    return mix(sliding_min(rolling(data, anchor), length - anchor + 1)) if len(data) >= length else np.zeros(0, np.uint64)
+
+
+_compressor, _decompressor = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _small(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return _compressor.compress(data)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -82,7 +88,7 @@ def packed(values: np.ndarray) -> bytes:
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(_decompressor.decompress(data), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
@@ -231,11 +237,12 @@ def _mask(bits: np.ndarray) -> bytes:
 
 
 def _bits(mask: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zstandard.decompress(mask), np.uint8), count=n).astype(bool)
+    return np.unpackbits(np.frombuffer(_decompressor.decompress(mask), np.uint8), count=n).astype(bool)
 
 
-def _reply(shard: int, batch: int, mask: np.ndarray, often: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([batch], pa.int64()), pa.array([shard], pa.int32()), pa.array([_mask(mask)], pa.binary()), pa.array([_mask(often)], pa.binary())], ["batch", "shard", "mask", "often"])
+def _replies(shard: int, batches: list[int], masks: list[np.ndarray], often: list[np.ndarray]) -> pa.RecordBatch:
+    columns = [pa.array(batches, pa.int64()), pa.array([shard] * len(batches), pa.int32()), *(pa.array([_mask(x) for x in own], pa.binary()) for own in (masks, often))]
+    return pa.record_batch(columns, ["batch", "shard", "mask", "often"])
 
 
 def _shared_names(common: int):
@@ -249,35 +256,49 @@ def _shared_names(common: int):
             held = list(rows)
             values, counts = np.unique(np.concatenate([k for _, k in held]), return_counts=True)
             shared, often = values[counts > 1], values[counts > common]
-            for batch, keys in held:
-                yield _reply(shard, batch, member(shared, keys), member(often, keys))
+            yield _replies(shard, [batch for batch, _ in held], [member(shared, keys) for _, keys in held], [member(often, keys) for _, keys in held])
 
     return run
 
 
 def _segments(counts: bytes, docs: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(np.frombuffer(zstandard.decompress(x), t) for x, t in ((counts, "<u4"), (docs, "<i8"), (data, np.uint8)))
+    return tuple(np.frombuffer(_decompressor.decompress(x), t) for x, t in ((counts, "<u4"), (docs, "<i8"), (data, np.uint8)))
 
 
-def _earlier(length: int):
-    """Which strings of each batch an earlier batch has for a smaller doc_id: the logarithmic family of the shard."""
+def _earlier(length: int, block: int):
+    """Which strings of each batch a smaller doc_id of its block or of an earlier one has: the logarithmic family of the shard.
+
+    A block is as many batches as have about block strings in the shard; its suffix array is the family's smallest.
+    """
+
+    def replies(shard: int, levels: Levels, held: list) -> pa.RecordBatch:
+        counts, docs, data = (np.concatenate([own[i] for _, own in held]) for i in range(3))
+        counts = counts.astype(np.int64)
+        sizes = counts + length - 1
+        keys = windows(data, ranges(np.cumsum(sizes) - sizes, counts), length)
+        order = by_bytes(keys)  # the block's suffix array; of equal strings the least document's is first
+        keys = keys[order]
+        new = np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
+        keys, docs = keys[new], np.repeat(docs, counts)[order]
+        least, before = docs[new], levels.earliest(keys)
+        found = np.zeros(len(docs), bool)
+        found[order] = np.minimum(least, before)[np.cumsum(new) - 1] < docs
+        fresh = (before == NONE) & (least != NONE)  # what only rows without doc_id have is before nothing
+        levels.add(keys[fresh], least[fresh])
+        cuts = np.cumsum([int(own[0].sum()) for _, own in held])[:-1]
+        return _replies(shard, [batch for batch, _ in held], np.split(found, cuts), [found[:0]] * len(held))
 
     def run(batches):
         for shard, rows in _by_shard(batches, _segments):
-            levels = Levels()
-            for batch, (counts, docs, data) in rows:
-                counts = counts.astype(np.int64)
-                sizes = counts + length - 1
-                keys = windows(data, ranges(np.cumsum(sizes) - sizes, counts), length)
-                order = by_bytes(keys)  # the batch's suffix array; of equal strings the least document's is first
-                sorted_ = keys[order]
-                new = np.concatenate((np.ones(min(1, len(keys)), bool), sorted_[1:] != sorted_[:-1]))
-                own = np.repeat(docs, counts)[order][new]
-                before = levels.earliest(sorted_[new])
-                found = np.zeros(len(keys), bool)
-                found[order] = (before < own)[np.cumsum(new) - 1]
-                yield _reply(shard, batch, found, found[:0])
-                levels.add(sorted_[new][before == NONE], own[before == NONE])
+            levels, held, strings = Levels(), [], 0
+            for batch, own in rows:
+                held.append((batch, own))
+                strings += int(own[0].sum())
+                if strings >= block:
+                    yield replies(shard, levels, held)
+                    held, strings = [], 0
+            if held:
+                yield replies(shard, levels, held)
 
     return run
 
@@ -419,7 +440,7 @@ def _apply(length: int, anchor: int, bits: int, texts: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 30, batch_bytes: int = 3 << 20, shard_bytes: int = 8 << 20, broadcast_bytes: int = 32 << 20, common: int = 16, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 30, batch_bytes: int = 3 << 20, shard_bytes: int = 8 << 20, broadcast_bytes: int = 32 << 20, common: int = 16, block: int = 1 << 18, texts: bool = False) -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes left, if texts)."""
     spark = docs.sparkSession
     store = Store(spark, "suffixes")
@@ -448,7 +469,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 30, batch_by
 
     shared = exchange(dealt.mapInArrow(_sketch(length, anchor, bits), "shard int, batch long, keys binary"), _shared_names(common), "names")
     told = dealt.join(shared, "batch", "left").select("batch", "docs", "texts", "names")
-    earlier = exchange(told.mapInArrow(_index(length, anchor, bits), "shard int, batch long, counts binary, docs binary, data binary"), _earlier(length), "strings")
+    earlier = exchange(told.mapInArrow(_index(length, anchor, bits), "shard int, batch long, counts binary, docs binary, data binary"), _earlier(length, block), "strings")
     both = told.join(earlier, "batch", "left").select("batch", "docs", "texts", "names", "strings")
     kept = both.mapInArrow(_apply(length, anchor, bits, texts), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     gone = F.col("n") >= length

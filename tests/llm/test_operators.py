@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cinnabar.llm import decontam, html, linededup, minhash, packing, pii, queries, sketch, store, suffixes, toxicity, warc
@@ -353,6 +354,49 @@ def test_levels_keep_the_least_document():
         assert all(a > 2 * b for a, b in zip(sizes, sizes[1:])) and all((np.sort(k) == k).all() for k, _ in levels.levels)
 
 
+def test_shards_hold_like_shares_of_names():
+    data = np.random.default_rng(7).integers(97, 123, 200_000, dtype=np.uint8)
+    cells = suffixes._cells(np.unique(suffixes.names(data, 50, 30)), 4)
+    sizes = [len(own) for _, own in cells]
+    assert len(cells) == 16 and max(sizes) <= 1.2 * min(sizes)
+
+
+def shard_rows(rows, length):
+    """Rows of a shard as the operator sends them, of (batch, [(doc, segment)])."""
+    for batch, own in rows:
+        sent = (np.array([len(t) - length + 1 for _, t in own], "<u4"), np.array([d for d, _ in own], "<i8"), np.frombuffer(b"".join(t for _, t in own), np.uint8))
+        yield pa.record_batch([pa.array([3]), pa.array([batch]), *(pa.array([suffixes._small(x.tobytes())], pa.binary()) for x in sent)], ["shard", "batch", "counts", "docs", "data"])
+
+
+@pytest.mark.parametrize("block", [1, 40, 10**6])
+def test_a_shard_says_which_strings_are_earlier(block):
+    r = random.Random(block)
+    ids = sorted(r.choices([*range(40), *[suffixes.NONE] * 30], k=120))
+    rows = [(b, [(d, bytes(r.choices(b"ab", k=r.randint(5, 9)))) for d in ids[8 * b : 8 * b + 8]]) for b in range(15)]
+    got = [x for batch in suffixes._earlier(5, block)(shard_rows(rows, 5)) for x in batch.to_pylist()]
+    assert [x["batch"] for x in got] == list(range(15)) and {x["shard"] for x in got} == {3}
+    seen = {}
+    for _, own in rows:
+        for d, t in own:
+            for p in range(len(t) - 4):
+                seen[t[p : p + 5]] = min(d, seen.get(t[p : p + 5], d))
+    for (batch, own), x in zip(rows, got, strict=True):
+        places = [(d, t[p : p + 5]) for d, t in own for p in range(len(t) - 4)]
+        told = suffixes._bits(x["mask"], len(places))
+        before = {t for b, o in rows[:batch] for _, text in o for t in (text[p : p + 5] for p in range(len(text) - 4))}
+        # repeats within a batch are found by the batch itself
+        assert [bool(v) for v, (_, t) in zip(told, places, strict=True) if t in before] == [seen[t] < d for d, t in places if t in before]
+        assert not any(v and seen[t] >= d for v, (d, t) in zip(told, places, strict=True))
+
+
+@pytest.mark.parametrize("block", [1, 40])
+def test_many_rows_without_doc_id_in_a_shard(block):
+    r = random.Random(block)
+    rows = [(b, [(suffixes.NONE, bytes(r.choices(b"abcd", k=r.randint(5, 9)))) for _ in range(r.choice([1, 8, 30]))]) for b in range(60)]
+    got = [x for batch in suffixes._earlier(5, block)(shard_rows(rows, 5)) for x in batch.to_pylist()]
+    assert len(got) == 60 and not any(suffixes._bits(x["mask"], sum(len(t) - 4 for _, t in own)).any() for (_, own), x in zip(rows, got, strict=True))
+
+
 def test_repeats_equal_sql(spark):
     import duckdb
 
