@@ -3,7 +3,7 @@
 Documents are dealt into batches in doc_id order. The suffixes of a batch, bytes and all, are put into a suffix array, which is
 merge-scanned against those of all earlier batches for matches of ``length`` bytes; arrays of like size merge geometrically,
 so each suffix is merged a logarithmic number of times. A match ends at ``length`` bytes, so suffixes are ordered by that many.
-The family is cut into shards of a bounded size, one at a time in a task.
+Strings are cut into shards and those into parts of a bounded size; each part has its family, one at a time in a task.
 
 Sending every suffix would cost many times the text. So a sketch of anchors goes first: each string of ``length`` bytes is
 named by the least hash of its inner ``anchor``-byte strings; equal strings have equal names, and only strings whose name is in
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Store, partitions
+from .store import Store
 from .text import BASE, distinct, mix, powers
 
 NONE = 2**63 - 1
@@ -261,44 +261,45 @@ def _shared_names(common: int):
     return run
 
 
-def _segments(counts: bytes, docs: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(np.frombuffer(_decompressor.decompress(x), t) for x, t in ((counts, "<u4"), (docs, "<i8"), (data, np.uint8)))
+def _segments(parts: bytes, counts: bytes, docs: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(parts, "<u4"), *(np.frombuffer(_decompressor.decompress(x), t) for x, t in ((counts, "<u4"), (docs, "<i8"), (data, np.uint8)))
 
 
 def _earlier(length: int, block: int):
-    """Which strings of each batch a smaller doc_id of its block or of an earlier one has: the logarithmic family of the shard.
+    """Which strings of each batch a smaller doc_id of another batch has: one logarithmic family after the other for the parts of a shard.
 
-    A block is as many batches as have about block strings in the shard; its suffix array is the family's smallest.
+    Segments that follow each other and have about block strings make a block, whose suffix array is the family's smallest.
     """
 
-    def replies(shard: int, levels: Levels, held: list) -> pa.RecordBatch:
-        counts, docs, data = (np.concatenate([own[i] for _, own in held]) for i in range(3))
-        counts = counts.astype(np.int64)
-        sizes = counts + length - 1
-        keys = windows(data, ranges(np.cumsum(sizes) - sizes, counts), length)
+    def scan(levels: Levels, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
         order = by_bytes(keys)  # the block's suffix array; of equal strings the least document's is first
         keys = keys[order]
         new = np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
-        keys, docs = keys[new], np.repeat(docs, counts)[order]
+        keys, docs = keys[new], docs[order]
         least, before = docs[new], levels.earliest(keys)
         found = np.zeros(len(docs), bool)
         found[order] = np.minimum(least, before)[np.cumsum(new) - 1] < docs
         fresh = (before == NONE) & (least != NONE)  # what only rows without doc_id have is before nothing
         levels.add(keys[fresh], least[fresh])
-        cuts = np.cumsum([int(own[0].sum()) for _, own in held])[:-1]
-        return _replies(shard, [batch for batch, _ in held], np.split(found, cuts), [found[:0]] * len(held))
+        return found
 
     def run(batches):
         for shard, rows in _by_shard(batches, _segments):
-            levels, held, strings = Levels(), [], 0
-            for batch, own in rows:
-                held.append((batch, own))
-                strings += int(own[0].sum())
-                if strings >= block:
-                    yield replies(shard, levels, held)
-                    held, strings = [], 0
-            if held:
-                yield replies(shard, levels, held)
+            held = list(rows)
+            names_, ends = [batch for batch, _ in held], np.cumsum([int(own[1].sum()) for _, own in held])
+            part = np.concatenate([np.repeat(np.arange(len(own[0]), dtype=np.int32), own[0]) for _, own in held])
+            counts, docs, data = (np.concatenate([own[i] for _, own in held]) for i in (1, 2, 3))
+            del held
+            counts = counts.astype(np.int64)
+            sizes = counts + length - 1
+            first, starts = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
+            found = np.zeros(ends[-1], bool)
+            for segments in (np.flatnonzero(part == i) for i in range(part.max(initial=0) + 1)):
+                levels = Levels()
+                for own in np.split(segments, np.flatnonzero(np.diff(np.cumsum(counts[segments]) // block)) + 1):
+                    n = counts[own]
+                    found[ranges(first[own], n)] = scan(levels, windows(data, ranges(starts[own], n), length), np.repeat(docs[own], n))
+            yield _replies(shard, names_, np.split(found, ends[:-1]), [found[:0]] * len(names_))
 
     return run
 
@@ -316,9 +317,9 @@ def _told(replies, values: np.ndarray, bits: int, field: str = "mask") -> np.nda
 
 
 class Strings:
-    """The strings of a batch that may repeat, as distinct segments of text by shard; docs ascend."""
+    """The strings of a batch that may repeat, as distinct segments of text by shard, cut into 2^fine parts; docs ascend."""
 
-    def __init__(self, docs: list[int], texts: list[bytes], replies, length: int, anchor: int, bits: int):
+    def __init__(self, docs: list[int], texts: list[bytes], replies, length: int, anchor: int, bits: int, fine: int = 0):
         self.length, self.docs = length, np.array(docs, np.int64)
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -358,14 +359,16 @@ class Strings:
         self.bytes = list(seen)
         fresh = np.zeros(len(seen), np.int64)
         fresh[self.segment[::-1]] = np.arange(len(self.segment))[::-1]
-        self.least, self.size, shard = self.docs[text[fresh]], counts[fresh], (route[fresh] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(seen), np.int64)
-        self.order = np.argsort(shard, kind="stable")
+        self.least, self.size = self.docs[text[fresh]], counts[fresh]
+        part = (route[fresh] >> np.uint64(64 - bits - fine)).astype(np.int64) if bits + fine else np.zeros(len(seen), np.int64)
+        self.fine, self.part, shard = fine, part & (1 << fine) - 1, part >> fine
+        self.order = np.argsort(part, kind="stable")
         cuts = np.flatnonzero(np.diff(shard[self.order], prepend=-1))
         self.cells = [(int(shard[self.order[a]]), self.order[a:b]) for a, b in zip(cuts, np.append(cuts, len(self.order))[1:], strict=True)]
 
-    def sent(self) -> list[tuple[int, bytes, bytes, bytes]]:
-        """(shard, counts of strings, documents, text) of the segments of each shard."""
-        return [(shard, _small(self.size[own].astype("<u4").tobytes()), _small(self.least[own].astype("<i8").tobytes()), _small(b"".join(self.bytes[i] for i in own))) for shard, own in self.cells]
+    def sent(self) -> list[tuple[int, bytes, bytes, bytes, bytes]]:
+        """(shard, how many segments of each part, their counts of strings, documents, text) of each shard."""
+        return [(shard, np.bincount(self.part[own], minlength=1 << self.fine).astype("<u4").tobytes(), _small(self.size[own].astype("<u4").tobytes()), _small(self.least[own].astype("<i8").tobytes()), _small(b"".join(self.bytes[i] for i in own))) for shard, own in self.cells]
 
     def covered(self, replies) -> tuple[np.ndarray, np.ndarray]:
         """(text, place) of the strings that a smaller doc_id has, in this batch or, as the replies say, in another."""
@@ -403,13 +406,13 @@ class Strings:
         return out
 
 
-def _index(length: int, anchor: int, bits: int):
+def _index(length: int, anchor: int, bits: int, fine: int):
     def run(batches):
         for b in batches:
             for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
-                cells = Strings(row["docs"], row["texts"], row["names"], length, anchor, bits).sent()
-                columns = [pa.array([c[0] for c in cells], pa.int32()), pa.array([row["batch"]] * len(cells), pa.int64()), *(pa.array([c[i] for c in cells], pa.binary()) for i in (1, 2, 3))]
-                yield pa.record_batch(columns, ["shard", "batch", "counts", "docs", "data"])
+                cells = Strings(row["docs"], row["texts"], row["names"], length, anchor, bits, fine).sent()
+                columns = [pa.array([c[0] for c in cells], pa.int32()), pa.array([row["batch"]] * len(cells), pa.int64()), *(pa.array([c[i] for c in cells], pa.binary()) for i in (1, 2, 3, 4))]
+                yield pa.record_batch(columns, ["shard", "batch", "parts", "counts", "docs", "data"])
 
     return run
 
@@ -426,11 +429,11 @@ def _cut(text: bytes, starts: np.ndarray, length: int) -> tuple[int, int, bytes]
     return int(gone.sum()), runs, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
-def _apply(length: int, anchor: int, bits: int, texts: bool):
+def _apply(length: int, anchor: int, bits: int, fine: int, texts: bool):
     def run(batches):
         for b in batches:
             for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
-                text, at, hit = Strings(row["docs"], row["texts"], row["names"], length, anchor, bits).covered(row["strings"])
+                text, at, hit = Strings(row["docs"], row["texts"], row["names"], length, anchor, bits, fine).covered(row["strings"])
                 text, at = text[hit], at[hit]
                 cuts = np.searchsorted(text, np.arange(len(row["texts"]) + 1))
                 done = [_cut(t, at[x:y], length) for t, x, y in zip(row["texts"], cuts[:-1], cuts[1:], strict=True)]
@@ -451,8 +454,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 30, batch_by
     copies = store.put(digests.join(classes, "digest").where("doc > least").select("doc", "digest", "n"), "copies")
     total = digests.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // (5 * batch_bytes)))
-    # a sketch entry of 8 bytes for a dozen bytes of text, an indexed string of length bytes for every few
-    bits = max(4, int(total // shard_bytes).bit_length())
+    # a sketch entry of 8 bytes for a dozen bytes of text, an indexed string of length bytes for every few; a shard's text is
+    # held at once, the family of one of its parts after the other, so that a batch sends few rows
+    bits = max(4, int(total // (4 * shard_bytes)).bit_length())
+    fine = max(0, int(total // shard_bytes).bit_length() - bits)
     # texts move once: what is to be left out travels along as marks, where a join would deal out the texts once more
     marks = copies.select("doc", F.unhex("digest").alias("digest"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("text")).distinct()
     keyed = own.select("doc", F.unhex(F.md5("text")).alias("digest"), F.lit(1).alias("kind"), "text").unionByName(marks)
@@ -460,8 +465,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 30, batch_by
     dealt = store.put(dealt, "batches")
 
     def exchange(frame: DataFrame, answer, name: str) -> DataFrame:
-        tasks = min(1 << bits, max(4 * partitions(spark), int(total >> 26)))  # more of them with more text
-        shards = frame.repartition(tasks, "shard").sortWithinPartitions("shard", "batch")
+        shards = frame.repartitionById(1 << bits, "shard").sortWithinPartitions("shard", "batch")  # hashing would put several into one task
         replies = store.put(shards.mapInArrow(answer, "batch long, shard int, mask binary, often binary"), name)
         small = (replies.agg(F.sum(F.octet_length("mask") + F.octet_length("often"))).first()[0] or 0) <= broadcast_bytes
         own = replies.groupBy("batch").agg(F.collect_list(F.struct("shard", "mask", "often")).alias(name))
@@ -469,9 +473,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 30, batch_by
 
     shared = exchange(dealt.mapInArrow(_sketch(length, anchor, bits), "shard int, batch long, keys binary"), _shared_names(common), "names")
     told = dealt.join(shared, "batch", "left").select("batch", "docs", "texts", "names")
-    earlier = exchange(told.mapInArrow(_index(length, anchor, bits), "shard int, batch long, counts binary, docs binary, data binary"), _earlier(length, block), "strings")
+    earlier = exchange(told.mapInArrow(_index(length, anchor, bits, fine), "shard int, batch long, parts binary, counts binary, docs binary, data binary"), _earlier(length, block), "strings")
     both = told.join(earlier, "batch", "left").select("batch", "docs", "texts", "names", "strings")
-    kept = both.mapInArrow(_apply(length, anchor, bits, texts), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    kept = both.mapInArrow(_apply(length, anchor, bits, fine, texts), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     gone = F.col("n") >= length
     # a copy too short for any string keeps its bytes; the text is needed only then
     short = own.where(F.octet_length("text") < length).withColumn("digest", F.md5("text")).select("digest", "text").distinct()

@@ -361,19 +361,23 @@ def test_shards_hold_like_shares_of_names():
     assert len(cells) == 16 and max(sizes) <= 1.2 * min(sizes)
 
 
-def shard_rows(rows, length):
-    """Rows of a shard as the operator sends them, of (batch, [(doc, segment)])."""
+def shard_rows(rows, length, fine=0):
+    """Rows of a shard as the operator sends them, of (batch, [(doc, segment)]), whose parts are made of the first bytes."""
     for batch, own in rows:
+        own.sort(key=lambda x: x[1][0] % (1 << fine))
+        parts = np.bincount([t[0] % (1 << fine) for _, t in own], minlength=1 << fine).astype("<u4").tobytes()
         sent = (np.array([len(t) - length + 1 for _, t in own], "<u4"), np.array([d for d, _ in own], "<i8"), np.frombuffer(b"".join(t for _, t in own), np.uint8))
-        yield pa.record_batch([pa.array([3]), pa.array([batch]), *(pa.array([suffixes._small(x.tobytes())], pa.binary()) for x in sent)], ["shard", "batch", "counts", "docs", "data"])
+        yield pa.record_batch([pa.array([3]), pa.array([batch]), *(pa.array([x], pa.binary()) for x in (parts, *(suffixes._small(x.tobytes()) for x in sent)))], ["shard", "batch", "parts", "counts", "docs", "data"])
 
 
+@pytest.mark.parametrize("fine", [0, 1, 2])
 @pytest.mark.parametrize("block", [1, 40, 10**6])
-def test_a_shard_says_which_strings_are_earlier(block):
+def test_a_shard_says_which_strings_are_earlier(block, fine):
     r = random.Random(block)
     ids = sorted(r.choices([*range(40), *[suffixes.NONE] * 30], k=120))
-    rows = [(b, [(d, bytes(r.choices(b"ab", k=r.randint(5, 9)))) for d in ids[8 * b : 8 * b + 8]]) for b in range(15)]
-    got = [x for batch in suffixes._earlier(5, block)(shard_rows(rows, 5)) for x in batch.to_pylist()]
+    # equal strings are in one part; here that of their first byte, so that segments are single strings if there are parts
+    rows = [(b, [(d, bytes(r.choices(b"abc", k=5 if fine else r.randint(5, 9)))) for d in ids[8 * b : 8 * b + 8]]) for b in range(15)]
+    got = [x for batch in suffixes._earlier(5, block)(shard_rows(rows, 5, fine)) for x in batch.to_pylist()]
     assert [x["batch"] for x in got] == list(range(15)) and {x["shard"] for x in got} == {3}
     seen = {}
     for _, own in rows:
@@ -397,6 +401,27 @@ def test_many_rows_without_doc_id_in_a_shard(block):
     assert len(got) == 60 and not any(suffixes._bits(x["mask"], sum(len(t) - 4 for _, t in own)).any() for (_, own), x in zip(rows, got, strict=True))
 
 
+@pytest.mark.parametrize("fine", [0, 3])
+def test_parts_change_no_answer_and_send_no_more_rows(fine):
+    r = random.Random(4)
+    passages = ["".join(r.choices("abcdef", k=60)).encode() for _ in range(20)]
+    batches = [(list(range(9 * b, 9 * b + 9)), [b"".join(r.choices(passages, k=3)) for _ in range(9)]) for b in range(12)]
+    every = [[{"shard": i, "mask": suffixes._mask(np.ones(len(own), bool)), "often": suffixes._mask(np.zeros(len(own), bool))} for i, own in suffixes._cells(suffixes._all_names(t, 20, 12)[1], 2)] for _, t in batches]
+    made = [suffixes.Strings(d, t, names, 20, 12, 2, fine) for (d, t), names in zip(batches, every, strict=True)]
+    sent = sorted((c[0], b, *c[1:]) for b, x in enumerate(made) for c in x.sent())
+    assert len(sent) == sum(len(names) for names in every)
+    columns = [pa.array(c, pa.binary() if i > 1 else pa.int64()) for i, c in enumerate(zip(*sent, strict=True))]
+    told = [x for a in suffixes._earlier(20, 50)([pa.record_batch(columns, list("abcdef"))]) for x in a.to_pylist()]
+    first = {}
+    for d, t in ((d, t) for ds, ts in batches for d, t in zip(ds, ts, strict=True)):
+        for p in range(len(t) - 19):
+            first.setdefault(t[p : p + 20], d)
+    for b, (x, (ds, ts)) in enumerate(zip(made, batches, strict=True)):
+        text, at, hit = x.covered([y for y in told if y["batch"] == b])
+        got = {(int(i), int(p)) for i, p, h in zip(text, at, hit, strict=True) if h}
+        assert got == {(i, p) for i, t in enumerate(ts) for p in range(len(t) - 19) if first[t[p : p + 20]] < ds[i]}
+
+
 def test_repeats_equal_sql(spark):
     import duckdb
 
