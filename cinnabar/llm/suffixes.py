@@ -334,14 +334,16 @@ class Strings:
         own = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))[np.cumsum(runs) - runs] if len(runs) else first
         at = first - np.repeat(own, runs)
         # a name that two different doc_ids of the batch share; of repeated places the last assignment holds
-        flat = np.searchsorted(all_, names_)
+        order = np.argsort(names_)
+        flat = np.empty(len(names_), np.int64)
+        flat[order] = np.cumsum(np.diff(names_[order], prepend=names_[order[:1]]) != 0)
         ids = self.docs[text]
         low, high = np.zeros(len(all_), np.int64), np.zeros(len(all_), np.int64)
         high[flat], low[flat[::-1]] = ids, ids[::-1]
         wanted = (_told(replies, all_, bits) | (low < high))[flat]
         often = _told(replies, all_, bits, "often")[flat][wanted]
         text, at, counts, route = text[wanted], at[wanted], counts[wanted], names_[wanted]
-        del first, own, flat, ids, low, high, wanted, names_
+        del first, own, order, flat, ids, low, high, wanted, names_
         if often.any():
             # strings of common names go one by one, by their own fingerprints
             places = ranges((self.starts[text] + at)[often], counts[often])
