@@ -457,7 +457,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 30, batch_by
     total = digests.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // (5 * batch_bytes)))
     # a sketch entry of 8 bytes for a dozen bytes of text, an indexed string of length bytes for every few; a shard's text is
-    # held at once, the family of one of its parts after the other, so that a batch sends few rows
+    # held at once, but one family at a time, of a part of about shard_bytes, so that a batch sends fewer rows
     bits = max(4, int(total // (4 * shard_bytes)).bit_length())
     fine = max(0, int(total // shard_bytes).bit_length() - bits)
     # texts move once: what is to be left out travels along as marks, where a join would deal out the texts once more
