@@ -14,11 +14,12 @@ carried.
 
 from __future__ import annotations
 
-import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,25 +29,44 @@ from .text import chunks
 
 
 class Cache:
-    """A dict of two generations: the older goes when the newer is full, so frequent keys stay and memory is bounded."""
+    """Ids by word in two generations: the older goes when the newer is full, so frequent words stay and memory is bounded."""
 
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
+    def __init__(self, most: int, make: Callable[[str], bytes]):
+        self.most, self.make, self.new, self.old = most, make, {}, {}
 
-    def __getitem__(self, key: str) -> bytes | None:
-        value = self.new.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self[key] = value
-        return value
-
-    def __setitem__(self, key: str, value: bytes) -> None:
+    def look(self, words: list[str]) -> list[bytes]:
         if len(self.new) >= self.most:
             self.old, self.new = self.new, {}
-        self.new[key] = value
+        new, old, out = self.new, self.old, []
+        for word in words:
+            ids = new.get(word)
+            if ids is None:
+                ids = old.get(word)
+                new[word] = ids = self.make(word) if ids is None else ids
+            out.append(ids)
+        return out
 
 
 #: Words of letters whose lower case and composition are themselves one to one, and trailing punctuation.
-SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+SIMPLE = "^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
+
+
+class Ragged:
+    """Rows of ids, one after the other in flat; take gives rows in another order or again."""
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
+        self.flat, self.lengths, self.ends = flat, lengths, np.cumsum(lengths)
+
+    @classmethod
+    def of(cls, rows: list[bytes]) -> Ragged:
+        return cls(np.frombuffer(b"".join(rows), dtype="<u4"), np.fromiter(map(len, rows), np.int64, len(rows)) // 4)
+
+    def take(self, rows: np.ndarray) -> Ragged:
+        lengths = self.lengths[rows]
+        starts = self.ends[rows] - lengths
+        at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+        at += np.arange(len(at))
+        return Ragged(self.flat[at], lengths)
 
 
 def byte_letters() -> dict[int, str]:
@@ -58,46 +78,50 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids of whole texts by a tokenizer whose tokens never cross white space and that drops it.
 
-    Words between spaces and line feeds are encoded once and kept in bounded caches. A word of plain
-    letters is given to the tokenizer's model in the model's byte letters; every other word goes to
-    the tokenizer whole.
+    The distinct words between spaces and line feeds of many texts are found at once. A word of plain
+    letters is given to the tokenizer's model in the model's byte letters; marks behind it and every other
+    word go to the tokenizer whole. Bounded caches keep both.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words, self.stems = Cache(most), Cache(2 * most)
+        self.stems, self.words = Cache(most, self._letters), Cache(most // 2, self._whole)
         letters = byte_letters()
         self.table = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
-    def _encoded(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def word(self, word: str) -> bytes:
-        known = self.words[word]
-        if known is None:
-            if simple := SIMPLE.fullmatch(word):
-                stem, marks = simple[1].lower(), simple[2]
-                known = self.stems[stem]
-                if known is None:
-                    known = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(stem if stem.isascii() else stem.translate(self.table))])
-                    self.stems[stem] = known
-                if marks:
-                    known += self.word(marks)
-            else:
-                known = self._encoded(word)
-            self.words[word] = known
-        return known
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            get, word = self.words.new.get, self.word
-            out.append(np.frombuffer(b"".join([get(w) or word(w) for w in text.replace("\n", " ").split(" ") if w]), dtype="<u4"))
-        return out
-
+    def _letters(self, stem: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(stem if stem.isascii() else stem.translate(self.table))])
+
+    def _distinct(self, words: pa.Array) -> Ragged:
+        parts = pc.extract_regex(words, SIMPLE)
+        simple = parts.is_valid()
+        stems = pc.utf8_lower(parts.field("stem").filter(simple)).dictionary_encode()
+        marks = parts.field("marks").filter(simple).dictionary_encode()
+        listed = [x.to_numpy(zero_copy_only=False).tolist() for x in (stems.dictionary, marks.dictionary, words.filter(pc.invert(simple)))]
+        known = Ragged.of([b"", *self.stems.look(listed[0]), *self.words.look(listed[1]), *self.words.look(listed[2])])
+        rows, of = np.zeros((len(words), 2), np.int64), simple.to_numpy(zero_copy_only=False)
+        rows[of, 0] = 1 + stems.indices.to_numpy()
+        rows[of, 1] = 1 + len(listed[0]) + marks.indices.to_numpy()
+        rows[~of, 0] = 1 + len(listed[0]) + len(listed[1]) + np.arange(len(listed[2]))
+        both = known.take(rows.ravel())
+        return Ragged(both.flat, both.lengths.reshape(-1, 2).sum(axis=1))
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        out = self._distinct(words.dictionary).take(words.indices.to_numpy())
+        ends = np.concatenate(([0], out.ends))[np.cumsum(split.value_lengths().to_numpy())]
+        return np.split(out.flat, ends[:-1])
+
+
+#: About so many bytes of text are encoded at once: enough that most words repeat, and little beside a task's memory.
+CHUNK = 1 << 22
 
 _encoders: dict[str, Encoder] = {}
 
@@ -113,9 +137,9 @@ def _tokenize(path: str, capacity: int, end_id: int):
     def run(batches):
         encoder = encoder_for(path)
         part, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch, texts in chunks(batches):
+        for batch, _ in chunks(batches, limit=CHUNK):
             rows: list[list] = [[] for _ in range(7)]
-            for doc, own in zip(batch.column(0).to_pylist(), encoder.ids([t.decode() for t in texts]), strict=True):
+            for doc, own in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1)), strict=True):
                 ids = np.append(own, np.uint32(end_id)).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     cut = ids[start : start + capacity]

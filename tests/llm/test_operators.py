@@ -155,6 +155,23 @@ def test_packing(spark):
     assert packing.pack(docs(spark, rows).limit(0), path).count() == 0
 
 
+def test_words_of_many_texts_are_encoded_once():
+    from tokenizers import Tokenizer
+
+    path = queries.word_tokenizer()
+    odd = ["", None, " \n ", "Straße, ÉTÉ!! it's x1y2", "a\u0301\u00a0b\x1cc\r\n\x85d", "ẞİ ÿŸ ß×÷ \U0001f600!?", "中文 words\ttab", "don't...", "!!! (a) a) [é]{É}"]
+    own = [*odd, *texts(60, 9), *texts(60, 10, "\n")]
+    encoder = packing.Encoder(path, most=2)  # caches that forget all words from one call to the next
+    seen, letters = [], encoder.stems.make
+    encoder.stems.make = lambda stem: (seen.append(stem), letters(stem))[1]
+    got = encoder.ids(pa.array(own))
+    tokenizer = Tokenizer.from_file(path)
+    assert [x.tolist() for x in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in own]
+    assert len(seen) == len(set(seen)) and {w.lower() for w in WORDS} <= set(seen)
+    assert [x.tolist() for x in encoder.ids(pa.array(own).slice(3, 2))] == [x.tolist() for x in got[3:5]]
+    assert [len(x) for x in encoder.ids(pa.array([None, ""], pa.string()))] == [0, 0]
+
+
 def test_plan_is_best_fit_decreasing():
     r = random.Random(1)
     for _ in range(200):
