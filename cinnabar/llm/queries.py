@@ -82,7 +82,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(docs, table(spark, sf_dir, "benchmark")).drop("text", "matches", "longest")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_best_fit_packing, op4_minhash, op5_sketches, op6_toxicity, op7_suffixes, op8_html, op9_line_dedup, op10_decontamination)}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import longest, periodic_runs, with_repeats
+
+    out = periodic_runs(with_repeats(table(spark, sf_dir, "documents"))).withColumn("best", F.expr(longest()))
+    listed = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    best = [F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"), F.expr("1000 * best.length DIV best.period").alias("exponent_milli")]
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, F.sha2(F.expr(listed), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_best_fit_packing, op4_minhash, op5_sketches, op6_toxicity, op7_suffixes, op8_html, op9_line_dedup, op10_decontamination, op12_periodic_runs)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -136,4 +145,22 @@ ORACLES = {
         SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM dw LEFT JOIN h ON h.doc_id = dw.doc_id LEFT JOIN t ON t.doc_id = dw.doc_id""",
+    "op12_periodic_runs": r"""
+        WITH c AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+                   xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                       lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) AS h FROM documents),
+        o AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM c),
+        p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM o),
+        e AS MATERIALIZED (SELECT row, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM p),
+        g AS (SELECT row, n, i, array_to_string(w[i + 1:i + 5], ' ') AS g FROM (SELECT row, n, w, unnest(range(0, n - 4)) AS i FROM e)),
+        s AS (SELECT x.row, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.row = y.row AND x.g = y.g AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+        f AS (SELECT row, q, min(i) AS start, count(*) + 4 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS k FROM s) GROUP BY row, q, k),
+        r AS (SELECT row, start, length, min(q) AS period FROM f WHERE length >= greatest(6, 4 * q) GROUP BY row, start, length),
+        t AS (SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+                     first(struct_pack(start := start, length := length, period := period) ORDER BY length / period DESC, start, period) AS b FROM r GROUP BY row),
+        d AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM r),
+        l AS (SELECT v.row, string_agg(v.x, ' ' ORDER BY v.i) AS kept FROM (SELECT row, unnest(range(0, n)) AS i, unnest(w) AS x FROM e) v LEFT JOIN d ON v.row = d.row AND v.i = d.i WHERE d.i IS NULL GROUP BY v.row)
+        SELECT e.doc_id, coalesce(n_runs, 0) AS n_runs, b.start AS start, b.length AS length, b.period AS period, (1000 * b.length) // b.period AS exponent_milli,
+               sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM e LEFT JOIN t ON t.row = e.row LEFT JOIN l ON l.row = e.row""",
 }
