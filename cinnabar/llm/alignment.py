@@ -4,10 +4,10 @@ Tokenizer A is a byte-level BPE that encodes a space and the text, tokenizer B a
 itself. Texts are cut before white space runs, but only where neither vocabulary can merge across: ``cut_characters``
 reads both vocabularies and keeps the white space characters that no entry has behind another kind of character. A
 run's first character must be one of them, and the character before it a letter, a digit or printable ASCII, which
-no tokenizer takes for white space. Documents stand in blocks of about ``block_bytes`` (a longer one is a
-block of its own); a block sends each of its segments once, with how often it occurs. Each distinct
+no tokenizer takes for white space. Documents stand in blocks of up to ``block_bytes`` (a longer one is a
+block of its own), each one compressed row; a block sends each of its segments once, with how often it occurs. Each distinct
 segment of the corpus is then encoded by both tokenizers and aligned once; pairs of linked ids are counted from segments and
-their numbers; and alignments go back to the blocks, where documents are composed of them. What is shuffled is a block's distinct
+their numbers; and alignments go back to the blocks, packed to a row for each block and task, where documents are composed of them. What is shuffled is a block's distinct
 segments, not their occurrences. Pairs of ids that are in more than a thousandth of all links of distinct segments (fewer
 than a thousand pairs, so their size is bounded) are broadcast to be looked up, others are joined.
 
@@ -41,7 +41,6 @@ META = "▁"
 GUARD = "a"
 #: Texts whose tokens must be those of their segments, or else no text is cut.
 PROBES = ("two words", "line\none  more\n\n last.\t tab", " lead and trail ", "don't 'll 12 3.5% (x) été 世界   … end", "a\r\nb", "\n")
-LOOKUP = "block long, segment string, ok boolean, n_a long, n_b long, n_links long, groups string, n_best long, count_sum long"
 ADDED = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
@@ -146,52 +145,73 @@ def aligned(pair: Pair, parts: list[str]) -> list[tuple]:
     return out
 
 
+def pack(batches: list[pa.RecordBatch]) -> bytes:
+    """Rows as one compressed binary value, so that shuffles move a few large rows in place of many small ones."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        for batch in batches:
+            writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(blob: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(blob.as_buffer()).read_all()
+
+
 def _blocks(block_bytes: int):
-    """Rows (doc_id, text) with the number of their block, in the order of a task's rows."""
+    """Rows (doc_id, text) as blocks (block, rows), in the order of a task's rows."""
+
+    def out(block, held):
+        return pa.record_batch([pa.array([block], pa.int64()), pa.array([pack(held)], pa.binary())], ["block", "rows"])
 
     def run(batches):
-        block, size = TaskContext.get().partitionId() << 33, 0
+        block, size, held = TaskContext.get().partitionId() << 33, 0, []
         for batch in batches:
-            lengths = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1)], np.int64)
-            blocks = np.empty(len(lengths), np.int64)
-            for i, n in enumerate(lengths.tolist()):
+            start = 0
+            for i, x in enumerate(batch.column(1)):
+                n = len(x.as_buffer()) if x.is_valid else 0
                 if size and size + n > block_bytes:
-                    block, size = block + 1, 0
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
+                    yield out(block, held)
+                    block, size, held, start = block + 1, 0, [], i
                 size += n
-                blocks[i] = block
-            yield pa.record_batch([pa.array(blocks), batch.column(0), batch.column(1)], ["block", "doc_id", "text"])
+            held.append(batch.slice(start))
+        if held:
+            yield out(block, held)
 
     return run
 
 
-def _by_block(batches):
-    """(block, its further columns as lists) of batches sorted by block, a piece of a block at a time."""
+def _packed(batches):
+    """Rows sorted by block, their first column, as (block, rows)."""
+    now, held = None, []
     for batch in batches:
         blocks = batch.column(0).to_numpy()
         cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
         for a, z in zip(cuts[:-1], cuts[1:], strict=True):
             if z > a:
-                yield int(blocks[a]), batch.slice(a, z - a)
+                if held and int(blocks[a]) != now:
+                    yield pa.record_batch([pa.array([now], pa.int64()), pa.array([pack(held)], pa.binary())], ["block", "rows"])
+                    held = []
+                now = int(blocks[a])
+                held.append(batch.slice(a, z - a).select(batch.schema.names[1:]))
+    if held:
+        yield pa.record_batch([pa.array([now], pa.int64()), pa.array([pack(held)], pa.binary())], ["block", "rows"])
 
 
 def _occurrences(cut: str):
-    """(block, segment, n) of rows (block, doc_id, text): how often a block has each of its segments."""
-
-    def out(block, counts):
-        return pa.record_batch([pa.array([block] * len(counts), pa.int64()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["block", "segment", "n"])
+    """(block, segment, n): how often a block has each of its segments."""
 
     def run(batches):
-        now, counts = None, Counter()
-        for block, rows in _by_block(batches):
-            if block != now:
+        for batch in batches:
+            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                counts = Counter()
+                for text in unpack(rows).column("text").to_pylist():
+                    if text:
+                        counts.update(segments(" " + text, cut))
                 if counts:
-                    yield out(now, counts)
-                now, counts = block, Counter()
-            for text in rows.column(2).to_pylist():
-                if text:
-                    counts.update(segments(" " + text, cut))
-        if counts:
-            yield out(now, counts)
+                    yield pa.record_batch([pa.array([block] * len(counts), pa.int64()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["block", "segment", "n"])
 
     return run
 
@@ -210,68 +230,67 @@ def _align(path_a: str, path_b: str):
 
 
 def _taken_off(cut: str):
-    """Rows (block, kind, segment, doc_id, text), a block's bad segments (kind 0) before its documents: (segment, n) of documents that have a bad one."""
+    """Rows (block, kind, rows), a block's bad segments (kind 0) before its documents: (segment, n) of documents that have a bad one."""
 
     def run(batches):
         now, bad = None, set()
-        for block, rows in _by_block(batches):
-            if block != now:
-                now, bad = block, set()
-            off = Counter()
-            for kind, segment, text in zip(*(rows.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
+        for batch in batches:
+            for block, kind, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if block != now:
+                    now, bad = block, set()
                 if kind == 0:
-                    bad.add(segment)
-                elif text:
-                    own = segments(" " + text, cut)
+                    bad.update(unpack(rows).column("segment").to_pylist())
+                    continue
+                off = Counter()
+                for text in unpack(rows).column("text").to_pylist():
+                    own = segments(" " + text, cut) if text else []
                     if not bad.isdisjoint(own):
                         off.update(own)
-            if off:
-                yield pa.record_batch([pa.array(list(off), pa.string()), pa.array([-n for n in off.values()], pa.int64())], ["segment", "n"])
+                if off:
+                    yield pa.record_batch([pa.array(list(off), pa.string()), pa.array([-n for n in off.values()], pa.int64())], ["segment", "n"])
 
     return run
 
 
 def _compose(cut: str):
-    """Rows of LOOKUP (kind 0) before the documents (kind 1) of each block: a row a document."""
+    """Rows (block, kind, rows): what is known of a block's segments (kind 0) before its documents (kind 1); gives a row a document."""
     fields = ("n_a", "n_b", "n_links", "n_best", "count_sum")
 
+    def composed(known: list[pa.Table], rows: pa.Table):
+        known = pa.concat_tables(known) if known else pa.table({n: [] for n in ("segment", "ok", "groups", *fields)})
+        place = {s: i for i, s in enumerate(known.column("segment").to_pylist())}
+        texts, ok = known.column("groups").to_pylist(), known.column("ok").to_numpy()
+        numbers = np.array([known.column(f).to_numpy() for f in fields], np.int64)
+        for batch in rows.to_batches(max_chunksize=1024):
+            sums, groups = [], []
+            for text in batch.column(1).to_pylist():
+                own = list(map(place.__getitem__, segments(" " + text, cut))) if text else []
+                at = np.array(own, np.int64)
+                if own and not ok[at].all():
+                    own, at = [], at[:0]
+                sums.append(numbers[:, at].sum(axis=1))
+                groups.append(";".join(operator.itemgetter(*own)(texts)) if len(own) > 1 else texts[own[0]] if own else "")
+            n_a, n_b, n_links, n_best, count_sum = (pa.array(c) for c in np.array(sums, np.int64).T)
+            # each group ends where one token of either side does
+            yield pa.record_batch([batch.column(0), n_a, n_b, n_links, n_links, n_best, count_sum, pa.array(groups, pa.string())], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
+
     def run(batches):
-        now, place, numbers, ok, texts = None, {}, {}, None, []
-        for block, rows in _by_block(batches):
-            columns = {n: rows.column(i) for i, n in enumerate(rows.schema.names)}
-            if block != now:
-                now, place, ok, texts = block, {}, np.zeros(0, bool), []
-                numbers = {f: np.zeros(0, np.int64) for f in fields}
-            first = int(np.searchsorted(columns["kind"].to_numpy(), 1))
-            if first:
-                new = {n: c.slice(0, first) for n, c in columns.items()}
-                texts += new["groups"].to_pylist()
-                for segment in new["segment"].to_pylist():
-                    place[segment] = len(place)
-                ok = np.concatenate((ok, new["ok"].to_numpy(zero_copy_only=False).astype(bool)))
-                for f in fields:
-                    numbers[f] = np.concatenate((numbers[f], new[f].to_numpy(zero_copy_only=False).astype(np.int64)))
-            if first < rows.num_rows:
-                sums, groups = {f: [] for f in fields}, []
-                for text in columns["text"].slice(first).to_pylist():
-                    at = np.fromiter(map(place.__getitem__, segments(" " + text, cut)), np.int64) if text else np.zeros(0, np.int64)
-                    if not len(at) or not ok[at].all():
-                        at = at[:0]
-                    for f in fields:
-                        sums[f].append(int(numbers[f][at].sum()))
-                    own = at.tolist()
-                    groups.append(";".join(operator.itemgetter(*own)(texts)) if len(own) > 1 else texts[own[0]] if own else "")
-                out = {"doc_id": columns["doc_id"].slice(first), **{f: pa.array(v, pa.int64()) for f, v in sums.items()}, "groups": pa.array(groups, pa.string())}
-                out["n_groups"] = out["n_links"]  # each group ends where one token of either side does
-                order = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
-                yield pa.record_batch([out[n] for n in order], order)
+        now, known = None, []
+        for batch in batches:
+            for block, kind, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if block != now:
+                    now, known = block, []
+                if kind == 0:
+                    known.append(unpack(rows))
+                else:
+                    yield from composed(known, unpack(rows))
 
     return run
 
 
 def _counted(done: DataFrame, store: Store) -> DataFrame:
     """Segments of done with n_best and count_sum, from the corpus-wide counts of their linked pairs."""
-    links = done.where("ok").select("sid", "n", F.explode(F.arrays_zip("linked_a", "linked_b")).alias("l")).select("sid", "n", F.col("l.linked_a").alias("a"), F.col("l.linked_b").alias("b"))
+    links = done.where("ok and n > 0").select("sid", "n", F.explode(F.arrays_zip("linked_a", "linked_b")).alias("l")).select("sid", "n", F.col("l.linked_a").alias("a"), F.col("l.linked_b").alias("b"))
     pairs = store.put(links.groupBy("a", "b").agg(F.sum("n").alias("count"), F.count("*").alias("links")), "pairs")
     most = pairs.groupBy("b").agg(F.max("count").alias("most"))
     pairs = store.put(pairs.join(most, "b").select("a", "b", "count", "links", (F.col("count") == F.col("most")).alias("best")), "best")
@@ -285,7 +304,13 @@ def _counted(done: DataFrame, store: Store) -> DataFrame:
     return done.join(sums, "sid", "left")
 
 
-def align(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, block_bytes: int = 2 << 20) -> DataFrame:
+def _with_rows(first: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
+    """(block, kind, rows): the rows of first (kind 0) before the documents of their block."""
+    both = first.select("block", F.lit(0).alias("kind"), "rows").unionByName(blocks.select("block", F.lit(1).alias("kind"), "rows"))
+    return both.repartition(n, "block").sortWithinPartitions("block", "kind")
+
+
+def align(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, block_bytes: int = 16 << 20) -> DataFrame:
     """A row per row of docs: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups.
 
     tokenizer_a: the file of a byte-level BPE of tokenizers; tokenizer_b: a sentencepiece model. groups: the groups of tokens between
@@ -296,23 +321,25 @@ def align(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, block_bytes: int
     store, n = Store(spark, "alignment"), partitions(docs.sparkSession)
     cut = pair_for(tokenizer_a, tokenizer_b).cut_characters()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = store.put(source.mapInArrow(_blocks(block_bytes), "block long, doc_id long, text string"), "blocks")
+    blocks = store.put(source.mapInArrow(_blocks(block_bytes), "block long, rows binary"), "blocks")
     seen = store.put(blocks.mapInArrow(_occurrences(cut), "block long, segment string, n long"), "seen")
     distinct = seen.groupBy("segment").agg(F.sum("n").alias("n"))
     done = distinct.mapInArrow(_align(tokenizer_a, tokenizer_b), "segment string, n long, ok boolean, n_a long, n_b long, groups string, linked_a array<int>, linked_b array<int>")
     done = store.put(done.withColumn("sid", F.monotonically_increasing_id()), "done")
     bad = done.where("not ok").select("segment")
     if bad.head(1):
-        held = store.put(seen.join(bad, "segment").select("block", "segment"), "bad")
+        held = seen.join(bad, "segment").select("block", "segment").sortWithinPartitions("block")
+        held = store.put(held.mapInArrow(_packed, "block long, rows binary"), "bad")
         theirs = blocks.join(held.select("block").distinct(), "block", "left_semi")
-        both = held.selectExpr("block", "0 AS kind", "segment", "CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text").unionByName(theirs.selectExpr("block", "1 AS kind", "CAST(NULL AS STRING) AS segment", "doc_id", "text"))
-        off = both.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(_taken_off(cut), "segment string, n long")
+        off = _with_rows(held, theirs, n).mapInArrow(_taken_off(cut), "segment string, n long")
         off = store.put(off.groupBy("segment").agg(F.sum("n").alias("off")), "off")
         done = store.put(done.join(off, "segment", "left").withColumn("n", F.col("n") + F.coalesce("off", F.lit(0))).drop("off"), "settled")
-    known = _counted(done.where("n > 0 or not ok"), store)
-    known = known.select("segment", "ok", "n_a", "n_b", F.size("linked_a").cast("long").alias("n_links"), "groups", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"))
-    # segments of documents without tokens alone need no alignment, but their documents must find them
-    lookup = seen.select("block", "segment").join(known, "segment", "left").select("block", F.lit(0).alias("kind"), "segment", F.coalesce("ok", F.lit(True)).alias("ok"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_a", "n_b", "n_links")), "groups", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    texts = blocks.select("block", F.lit(1).alias("kind"), *(F.lit(None).cast(lookup.schema[c].dataType).alias(c) for c in ("segment", "ok", "n_a", "n_b", "n_links", "groups", "n_best", "count_sum")), "doc_id", "text")
-    both = lookup.unionByName(texts).repartition(n, "block").sortWithinPartitions("block", "kind")
-    return both.mapInArrow(_compose(cut), f"doc_id long, {ADDED}")
+        store.drop("bad", "off", "done")
+    known = _counted(done, store)
+    zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")}
+    known = store.put(known.select("segment", "ok", "n_a", "n_b", F.size("linked_a").cast("long").alias("n_links"), "groups", *zero.values()), "known")
+    store.drop("done", "settled", "pairs", "best", "sums")
+    lookup = seen.select("block", "segment").join(known, "segment").select("block", *known.columns).sortWithinPartitions("block")
+    lookup = store.put(lookup.mapInArrow(_packed, "block long, rows binary"), "lookup")
+    store.drop("seen", "known")
+    return _with_rows(lookup, blocks, n).mapInArrow(_compose(cut), f"doc_id long, {ADDED}")
