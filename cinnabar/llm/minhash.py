@@ -2,7 +2,8 @@
 
 Each permutation gives two signature values, its minimum and its maximum, so half as many hashes
 are evaluated. A band holds both values of two permutations: 40 bands of 80 permutations miss a
-pair at similarity 0.75 about once in 4 million. Documents with equal sets are one class and only
+pair at similarity 0.75 about once in 4 million, if minima and maxima are independent. They aren't in small sets, so
+sets of fewer than ``SHORT`` shingles, and those large enough to link with them, are also joined exactly by the trees of ``jaccard``. Documents with equal sets are one class and only
 its representative is banded. Every candidate is confirmed on the sets themselves, in two rounds:
 first each member of a bucket against its most central one, which shares most buckets with
 others; then, in the buckets that components still cut, members of different components whose sizes
@@ -20,36 +21,22 @@ named like the added ones are replaced.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
+from .jaccard import groups_of, point, prefix_of, stored, tree_links
+from .shingles import cells, confirmed, linked, meeting, members, node_of, settled, shingle_sets, texts_of
 from .store import Store, partitions
-from .text import NOT_SPACE, chunks, join_texts, mix, windows, words
-
-
-def node_of():
-    """doc_id; for a row without one, a negative number that its text gives, so copies share it and other texts don't."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(-(2**63))))
+from .text import chunks, mix
 
-
-def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
-    """For each text its sorted distinct shingle hashes."""
-    data, offsets = join_texts([t.lower() for t in texts])
-    hashes, _, _, first = words(data, offsets, NOT_SPACE)
-    whole = windows(hashes, size)
-    out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= size:
-            own = np.sort(whole[a : b - size + 1])
-            out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
-        else:
-            out.append(windows(hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64))
-    return out
+#: Sets of fewer shingles than this are joined exactly.
+SHORT = 32
 
 
 def permutations(n: int, seed: int = 20240229) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +65,10 @@ def band_keys(low: np.ndarray, high: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
-def _sign(size: int, bands: int, rows: int):
+def _sign(size: int, similarity: int, bands: int, rows: int):
+    def is_short(s):
+        return 0 < len(s) <= SHORT * 100 // similarity
+
     def run(batches):
         a, b = permutations(bands * rows)
         for batch, texts in chunks(batches):
@@ -89,33 +79,30 @@ def _sign(size: int, bands: int, rows: int):
             short = [np.concatenate(x).astype("<u2").tobytes() if x else None for x in signed]
             first = [int.from_bytes(d[:8], "little", signed=True) for d in digests]
             second = [int.from_bytes(d[8:], "little", signed=True) for d in digests]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["node", "lost", "n", "d1", "d2", "bands", "sig"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary()), pa.array([prefix_of(s, similarity, None).view(np.int64) if is_short(s) else None for s in sets], pa.list_(pa.int64())), pa.array([stored(point(s, groups_of(len(s)))) if is_short(s) else None for s in sets], pa.binary())], ["node", "lost", "n", "d1", "d2", "bands", "sig", "prefix", "counts"])
 
     return run
 
 
-def _rows(**columns) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, pa.int64()) for c in columns.values()], list(columns))
-
-
 class _Cell:
     """Rows of one cell: two blocks of a bucket, or one block with itself."""
 
-    def __init__(self, of: tuple, rows: list[tuple]):
+    def __init__(self, similarity: int, agree: float, of: tuple, rows: list[tuple]):
+        self.similarity, self.agree = similarity, agree
         self.key, self.lo, self.hi = of
         self.block, self.root, self.node, self.n = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(4))
         self.sig = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(len(rows), -1)
         self.bands = np.array([r[5] for r in rows], dtype=np.int64)
 
-    def fits(self, similarity: int, agree: float):
+    def fits(self):
         """(i, later rows) that may link: other roots, fitting sizes, agreeing signatures, no earlier bucket in common."""
         for i in range(len(self.node) - 1):
             n, m = self.n[i], self.n[i + 1 :]
-            ok = (self.root[i + 1 :] != self.root[i]) & (100 * np.minimum(m, n) >= similarity * np.maximum(m, n))
+            ok = (self.root[i + 1 :] != self.root[i]) & (100 * np.minimum(m, n) >= self.similarity * np.maximum(m, n))
             if self.lo != self.hi:
                 ok &= self.block[i + 1 :] != self.block[i]
             fit = i + 1 + np.flatnonzero(ok)
-            fit = fit[(self.sig[fit] == self.sig[i]).mean(axis=1) >= agree] if len(fit) else fit
+            fit = fit[(self.sig[fit] == self.sig[i]).mean(axis=1) >= self.agree] if len(fit) else fit
             if len(fit):
                 earlier = int(np.argmax(self.bands[i] == self.key))
                 fit = fit[~(self.bands[fit, :earlier] == self.bands[i, :earlier]).any(axis=1)]
@@ -123,129 +110,6 @@ class _Cell:
                 yield i, fit
 
 
-def _by_cell(batches, read):
-    """(cell, what read gives for its rows) of batches sorted by their first three columns."""
-    of, held = None, []
-    for batch in batches:
-        cells = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-        for cell, row in zip(cells, read(batch), strict=True):
-            if cell != of:
-                if len(held) > 1:
-                    yield of, held
-                of, held = cell, []
-            held.append(row)
-    if len(held) > 1:
-        yield of, held
-
-
-def _meeting(similarity: int, agree: float):
-    """Rows (key, lo, hi, block, root, node, n, sig, bands): those nodes of each cell that may link with another of it."""
-
-    def read(batch):
-        return zip(*(batch.column(i).to_pylist() for i in range(3, 9)), strict=True)
-
-    def run(batches):
-        for of, rows in _by_cell(batches, read):
-            if len({r[1] for r in rows}) > 1:
-                cell = _Cell(of, rows)
-                met = np.zeros(len(rows), bool)
-                for i, fit in cell.fits(similarity, agree):
-                    met[i] = met[fit] = True
-                if k := int(met.sum()):
-                    yield _rows(key=[of[0]] * k, lo=[of[1]] * k, hi=[of[2]] * k, block=cell.block[met], root=cell.root[met], node=cell.node[met])
-
-    return run
-
-
-def _linked(size: int, similarity: int, agree: float):
-    """Rows (key, lo, hi, block, root, node, sig, bands, text): links between nodes of a cell, found on their full sets."""
-
-    def read(batch):
-        columns, texts = [batch.column(i).to_pylist() for i in range(3, 8)], batch.column(8)
-        for i in range(0, batch.num_rows, 64):
-            sets = shingle_sets([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in texts.slice(i, 64)], size)
-            for j, own in enumerate(sets, i):
-                block, root, node, sig, bands = (c[j] for c in columns)
-                yield block, root, node, len(own), sig, bands, own
-
-    def run(batches):
-        for of, rows in _by_cell(batches, read):
-            cell = _Cell(of, rows)
-            for i, fit in cell.fits(similarity, agree):
-                own, others = rows[i][6], [rows[j][6] for j in fit]
-                starts = np.cumsum([0, *map(len, others[:-1])])
-                all_ = np.concatenate(others)
-                at = np.minimum(np.searchsorted(own, all_), len(own) - 1)
-                both = np.add.reduceat((own[at] == all_).astype(np.int64), starts)
-                fit = fit[100 * both >= similarity * (len(own) + cell.n[fit] - both)]
-                if len(fit):
-                    yield _rows(a=np.minimum(cell.node[i], cell.node[fit]), b=np.maximum(cell.node[i], cell.node[fit]))
-
-    return run
-
-
-def cells(rest: DataFrame, store: Store, block: int, shingles: int) -> DataFrame:
-    """Rows (key, root, node, n) dealt to the cells of their buckets: (key, lo, hi, block, root, node).
-
-    A bucket is cut into blocks of about so many rows and shingles, and each two blocks make a cell. A
-    component with more than a block of a bucket has blocks of its own, which never meet each other: a
-    bucket that is one component but for a few rows costs a copy of those few for each of its blocks.
-    """
-    need = F.ceil(F.greatest(F.sum("rows") / block, F.sum("n") / shingles)).cast("int")
-    counts = rest.groupBy("key", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
-    counts = store.put(counts.withColumn("own", F.expr(f"rows > {block} or n > {shingles}")), "counts")
-    layout = counts.withColumn("part", F.when(F.col("own"), F.col("root")).otherwise(0)).groupBy("key", "own", "part").agg(need.alias("blocks"))
-    of = Window.partitionBy("key")
-    layout = layout.select("*", (F.sum("blocks").over(of.orderBy("own", "part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("blocks")).alias("from"), F.sum("blocks").over(of).alias("total"))
-    large = counts.where("own").select("key", "root", "own")
-    dealt = rest.join(large, ["key", "root"], "left").withColumn("own", F.coalesce("own", F.lit(False))).withColumn("part", F.when(F.col("own"), F.col("root")).otherwise(0))
-    dealt = dealt.join(store.put(layout, "layout"), ["key", "own", "part"]).withColumn("block", F.col("from") + F.pmod(F.xxhash64("node"), "blocks"))
-    met = F.explode(F.expr("filter(sequence(0L, total - 1), j -> not own or j < `from` or j >= `from` + blocks)"))
-    dealt = dealt.select("key", "block", "root", "node", met.alias("j"))
-    return dealt.select("key", F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi"), "block", "root", "node")
-
-
-def _confirm(size: int, similarity: int):
-    def run(batches):
-        block = center = None
-        for batch in batches:
-            blocks, lead = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            nodes, texts = batch.column(3).to_pylist(), batch.column(4)
-            sets = []
-            for i in range(0, len(nodes), 64):
-                sets += shingle_sets([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in texts.slice(i, 64)], size)
-            found = []
-            for k, (of, node, own) in enumerate(zip(blocks, nodes, sets, strict=True)):
-                if lead[k] == 0:
-                    block, center = (of, batch.column(1)[k].as_py()), (node, own)
-                elif block and block[0] == of and len(center[1]) and len(own):
-                    both = np.isin(own, center[1], assume_unique=True).sum() if len(own) < 1 << 20 else len(np.intersect1d(own, center[1], assume_unique=True))
-                    if 100 * both >= similarity * (len(own) + len(center[1]) - both):
-                        found.append((center[0], node))
-            if found:
-                yield _rows(a=[x for x, _ in found], b=[y for _, y in found])
-
-    return run
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, store: Store, name: str, size: int, similarity: int, block: int = 256) -> DataFrame:
-    """Of the distinct pairs (a, b) those whose sets are similar enough; texts: (node, text).
-
-    Pairs of one a are cut into blocks, so that a's set comes once a block and no task gets all of a hub's pairs.
-    """
-    pairs = store.put(pairs.distinct(), f"{name}-pairs")
-    salts = store.put(pairs.groupBy("a").agg(F.ceil(F.count("*") / block).alias("salts")), f"{name}-salts")
-    dealt = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
-    dealt = store.put(dealt, f"{name}-dealt")
-    block_of = F.xxhash64("a", "salt")
-    members = dealt.select(block_of.alias("block"), "a", F.lit(1).alias("lead"), F.col("b").alias("node"))
-    members = members.unionByName(dealt.select(block_of.alias("block"), "a", F.lit(0).alias("lead"), F.col("a").alias("node")).distinct())
-    full = members.join(texts, "node").select("block", "a", "lead", "node", "text")
-    n = partitions(pairs.sparkSession)
-    sets = full.repartition(n, "block").sortWithinPartitions("block", "a", "lead").select("block", "a", "lead", "node", "text")
-    return sets.mapInArrow(_confirm(size, similarity), "a long, b long")
-
-
 def _components(docs: DataFrame, size: int = 5, similarity: int = 75, bands: int = 40, rows: int = 2, block: int = 256, shingles: int = 1 << 21) -> tuple[DataFrame, bool]:
     """A row per row of docs: node, lost (without doc_id), n, component, kept; and whether any row is lost.
 
@@ -253,18 +117,8 @@ def _components(docs: DataFrame, size: int = 5, similarity: int = 75, bands: int
     """
     store = Store(docs.sparkSession, "minhash")
     source = docs.select(node_of().alias("node"), "text", F.col("doc_id").isNull().alias("lost"))
-    signed = source.mapInArrow(_sign(size, bands, rows), "node long, lost boolean, n long, d1 long, d2 long, bands array<long>, sig binary")
-    signed = store.put(signed.withColumn("row", F.when(F.col("lost"), F.monotonically_increasing_id())), "signed")
-    some_lost = bool(signed.where("lost").head(1))
-    # of copies without doc_id the first row stands for the node; a document's rows may differ and all do
-    signed = signed.withColumn("stands", F.lit(True))
-    if some_lost:
-        firsts = store.put(signed.where("lost").groupBy("node").agg(F.min("row").alias("first")), "firsts")
-        signed = signed.where("not lost").unionByName(signed.where("lost").join(firsts, "node").withColumn("stands", F.col("row") == F.col("first")).drop("first"))
-    classes = signed.where("n > 0").groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.count("*").alias("copies"))
-    classes = store.put(classes.where("copies > 1").drop("copies"), "classes")
-    own = (F.coalesce("rep", "node") == F.col("node")) & F.col("stands")
-    member = store.put(signed.join(classes, ["d1", "d2"], "left").select("node", "lost", "stands", "n", F.coalesce("rep", "node").alias("rep"), F.when(own, F.col("bands")).alias("bands"), F.when(own, F.col("sig")).alias("sig")), "member")
+    signed = source.mapInArrow(_sign(size, similarity, bands, rows), "node long, lost boolean, n long, d1 long, d2 long, bands array<long>, sig binary, prefix array<long>, counts binary")
+    member, some_lost = members(signed, store, ["bands", "sig", "prefix", "counts"])
     banded = member.where("bands is not null and n > 0")
 
     n = partitions(docs.sparkSession)
@@ -278,37 +132,26 @@ def _components(docs: DataFrame, size: int = 5, similarity: int = 75, bands: int
     first = store.put(star.select(F.least("center", "node").alias("low"), F.greatest("center", "node").alias("high"), F.col("center").alias("a"), F.col("node").alias("b")).dropDuplicates(["low", "high"]).select("a", "b"), "first")
 
     suspects = store.put(first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct(), "suspects")
-    texts = source.join(suspects, "node").select("node", "text", "lost")
-    if some_lost:
-        texts = texts.where("not lost").unionByName(texts.where("lost").dropDuplicates(["node"]))
-    texts = store.put(texts.drop("lost"), "texts")
+    texts = store.put(texts_of(source, suspects, some_lost), "texts")
     links = store.put(confirmed(first, texts, store, "first", size, similarity), "links")
-    copies = member.where("rep <> node").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     roots = connected_components(links, store, "one")
 
     open_ = shared.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), "key")
     cut = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rest = store.put(open_.join(store.put(cut, "cut"), "key").groupBy("key", "root", "node").agg(F.max("n").alias("n")), "rest")
-    agree, order = similarity / 100 - 0.2, ["key", "lo", "hi", "node"]
+    cell_of, order = partial(_Cell, similarity, similarity / 100 - 0.2), ["key", "lo", "hi", "node"]
     signatures = member.where("sig is not null and n > 0").select("node", "n", "sig", "bands")
     dealt = cells(rest, store, block, shingles).join(signatures, "node").where("array_contains(bands, key)")
     dealt = dealt.select("key", "lo", "hi", "block", "root", "node", "n", "sig", "bands").repartition(n, *order[:3]).sortWithinPartitions(*order)
-    meeting = store.put(dealt.mapInArrow(_meeting(similarity, agree), "key long, lo long, hi long, block long, root long, node long").distinct(), "meeting")
-    full = meeting.join(signatures, "node").where("array_contains(bands, key)").join(texts, "node")
+    met = store.put(dealt.mapInArrow(meeting(cell_of), "key long, lo long, hi long, block long, root long, node long").distinct(), "meeting")
+    full = met.join(signatures, "node").where("array_contains(bands, key)").join(texts, "node")
     full = full.select("key", "lo", "hi", "block", "root", "node", "sig", "bands", "text").repartition(n, *order[:3]).sortWithinPartitions(*order)
-    more = store.put(full.mapInArrow(_linked(size, similarity, agree), "a long, b long").distinct(), "more")
+    more = store.put(full.mapInArrow(linked(size, similarity, cell_of), "a long, b long").distinct(), "more")
 
-    roots = connected_components(links.unionByName(more).unionByName(copies.distinct()), store, "all")
-    out = member.join(roots, "node", "left").select("node", "lost", "stands", "n", F.coalesce("root", "node").alias("root"))
-    if not some_lost:
-        return out.select("node", "lost", "n", F.col("root").alias("component"), (F.col("node") == F.col("root")).alias("kept")), False
-    # the least id of each component that the number of a row without one leads
-    led = store.put(out.select("root", "node", "lost").distinct(), "led")
-    least = led.groupBy("root").agg(F.min(F.when(~F.col("lost"), F.col("node"))).alias("least"), F.bool_or("lost").alias("mixed")).where("mixed").drop("mixed")
-    out = out.join(store.put(least, "least"), "root", "left")
-    kept = F.when(F.col("lost") & (F.col("n") == 0), True).when(F.col("least").isNotNull(), F.col("node") == F.col("least")).otherwise((F.col("node") == F.col("root")) & F.col("stands"))
-    component = F.coalesce("least", F.when(~F.col("lost"), F.col("root")))
-    return out.select("node", "lost", "n", component.alias("component"), kept.alias("kept")), True
+    links, small = links.unionByName(more), member.where("prefix is not null").select("node", "n", "prefix", "counts")
+    if small.head(1):
+        links = links.unionByName(tree_links(small, source, some_lost, store, size, similarity, block, shingles, "short"))
+    return settled(member, links, some_lost, store), some_lost
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:

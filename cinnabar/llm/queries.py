@@ -100,7 +100,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, F.sha2(F.expr(listed), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_best_fit_packing, op4_minhash, op5_sketches, op6_toxicity, op7_suffixes, op8_html, op9_line_dedup, op10_decontamination, op11_alignment, op12_periodic_runs)}
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_best_fit_packing, op4_minhash, op5_sketches, op6_toxicity, op7_suffixes, op8_html, op9_line_dedup, op10_decontamination, op11_alignment, op12_periodic_runs, op13_jaccard_join)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -172,4 +178,15 @@ ORACLES = {
         SELECT e.doc_id, coalesce(n_runs, 0) AS n_runs, b.start AS start, b.length AS length, b.period AS period, (1000 * b.length) // b.period AS exponent_milli,
                sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
         FROM e LEFT JOIN t ON t.row = e.row LEFT JOIN l ON l.row = e.row""",
+    "op13_jaccard_join": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({ASCII_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+        n AS (SELECT doc_id, len(s)::BIGINT AS n_shingles FROM s),
+        e AS (SELECT doc_id, unnest(s) AS g FROM s),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n_shingles + q.n_shingles - k)),
+        b AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+        r AS (SELECT doc_id AS v, doc_id AS to_ FROM documents UNION SELECT r.v, b.y FROM r JOIN b ON r.to_ = b.x)
+        SELECT n.doc_id, n_shingles, m AS component_id FROM n JOIN (SELECT v, min(to_) AS m FROM r GROUP BY v) ON v = n.doc_id""",
 }
