@@ -7,10 +7,10 @@ that bound and the sizes still allow a link; what survives is confirmed on the f
 half its elements (a power of two), and points of twice as many groups are folded to meet those of fewer.
 
 Trees are built where sets that may link meet. All elements have one order, by how many texts share an element's slot
-(counted over all texts in a table of ``SLOTS`` slots, so that often shared passages come last), then by hash. Two similar sets
+(counted over all texts in a table of ``SLOTS`` to ``MOST_SLOTS`` slots, so that rare elements come first and passages that texts share last), then by hash. Two similar sets
 have one of their first n - ceil(similarity * n) + 1 elements in common, so those are a set's buckets. Buckets with
-the same sets are one bucket. Sets of a bucket are searched in two rounds: first in blocks of it, where each set keeps
-the first partner that its tree finds, and these pairs are confirmed; then, in the buckets that components still
+the same sets are one bucket. Sets are searched in two rounds: first each in a block of its largest bucket, where it keeps
+the first partner that the tree finds, and these pairs are confirmed; then, in the buckets that components still
 cut, blocks are paired to cells, trees leave out nodes of the searching set's own component, and all partners
 are confirmed inside the task, each in the least bucket it shares. Only links leave a task, never candidate pairs; sets with equal
 elements are one class, of which one is searched. The order of elements steers how much meets, never what is found.
@@ -36,7 +36,9 @@ from .shingles import by_cell, cells, confirmed, linked, meeting, members, node_
 from .store import Store, partitions
 from .text import chunks
 
-SLOTS, SLICES = 1 << 20, 16
+#: Fewest and most slots, powers of two, and about how many bytes of text there are for one.
+SLOTS, MOST_SLOTS, SLOT_BYTES = 1 << 20, 1 << 22, 192
+SLICES = 16
 LEAST, MOST = 64, 8192
 FANOUT = 8
 POINT = "node long, lost boolean, n long, d1 long, d2 long, prefix array<long>, counts binary"
@@ -56,12 +58,15 @@ def point(own: np.ndarray, groups: int) -> np.ndarray:
 
 
 def stored(counts: np.ndarray) -> bytes:
-    """A point as bytes; one byte a group where that suffices."""
-    return b"\x01" + counts.astype("u1").tobytes() if counts.max(initial=0) < 256 else b"\x04" + counts.astype("<u4").tobytes()
+    """A point as bytes; half a byte or one byte a group where that suffices."""
+    if counts.max(initial=0) < 16:
+        return b"\x00" + (counts[0::2] | counts[1::2] << 4).astype("u1").tobytes()
+    return b"\x01" + counts.astype("u1").tobytes() if counts.max() < 256 else b"\x04" + counts.astype("<u4").tobytes()
 
 
 def loaded(value: bytes) -> np.ndarray:
-    return np.frombuffer(value, "u1" if value[0] == 1 else "<u4", offset=1).astype(np.uint32)
+    own = np.frombuffer(value, "<u4" if value[0] == 4 else "u1", offset=1).astype(np.uint32)
+    return own if value[0] else np.stack((own & 15, own >> 4), axis=1).ravel()
 
 
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
@@ -71,15 +76,15 @@ def folded(counts: np.ndarray, groups: int) -> np.ndarray:
 # --- the order of elements ------------------------------------------------------------------
 
 
-def _slots(size: int):
+def _slots(size: int, slots: int):
     """Per task, how many sets have an element in each slot: compressed slices."""
 
     def run(batches):
-        counts = np.zeros(SLOTS, np.int64)
+        counts = np.zeros(slots, "<u4")
         for _, texts in chunks(batches):
             for own in shingle_sets(texts, size):
-                np.add.at(counts, (own & np.uint64(SLOTS - 1)).astype(np.int64), 1)
-        parts = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in np.split(counts, SLICES)]
+                np.add.at(counts, (own & np.uint64(slots - 1)).astype(np.int64), np.uint32(1))
+        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)]
         yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
 
     return run
@@ -88,22 +93,28 @@ def _slots(size: int):
 def _summed(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for i, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(zlib.decompress(counts), "<i8")
-            sums[i] = sums[i] + own if i in sums else own
+        for i, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = np.frombuffer(zlib.decompress(counts.as_buffer()), "<u4")
+            sums[i] = sums.get(i, np.int64(0)) + own
     if sums:
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["slice", "counts"])
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.astype("<i8").tobytes(), 1) for x in sums.values()], pa.binary())], ["slice", "counts"])
+
+
+def ranks_of(counts: np.ndarray) -> np.ndarray:
+    """A byte for each slot, larger where more sets share it: sixteenths of the logarithm of its count over the mean."""
+    return np.clip(np.round(16 * np.log2(np.maximum(counts, 1) / max(1.0, counts.mean()))) + 64, 0, 255).astype(np.uint8)
 
 
 def slot_ranks(texts: DataFrame, size: int) -> np.ndarray:
-    """For each slot how often its elements are shared, as the logarithm of its count over twice the mean; SLOTS bytes."""
+    """For each slot how many sets have its elements, as ranks_of says; a byte a slot, at most MOST_SLOTS."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = min(MOST_SLOTS, max(SLOTS, 1 << (total // SLOT_BYTES).bit_length() - 1 if total >= SLOT_BYTES else 1))
     n = min(SLICES, partitions(texts.sparkSession))
-    rows = texts.select("text").mapInArrow(_slots(size), "slice int, counts binary").repartition(n, "slice").mapInArrow(_summed, "slice int, counts binary").collect()
-    counts = np.zeros((SLICES, SLOTS // SLICES), np.int64)
+    rows = texts.select("text").mapInArrow(_slots(size, slots), "slice int, counts binary").repartition(n, "slice").mapInArrow(_summed, "slice int, counts binary").collect()
+    counts = np.zeros((SLICES, slots // SLICES), np.int64)
     for r in rows:  # at most SLICES rows
         counts[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
-    usual = max(8.0, 2 * counts.mean())
-    return np.clip(np.ceil(np.log2(np.maximum(counts.ravel(), 1) / usual)), 0, 255).astype(np.uint8)
+    return ranks_of(counts.ravel())
 
 
 def prefix_of(own: np.ndarray, similarity: int, ranks: np.ndarray | None) -> np.ndarray:
@@ -111,7 +122,7 @@ def prefix_of(own: np.ndarray, similarity: int, ranks: np.ndarray | None) -> np.
     keep = len(own) - (similarity * len(own) + 99) // 100 + 1
     if ranks is None:
         return own[:keep]
-    rank = ranks[(own & np.uint64(SLOTS - 1)).astype(np.int64)]
+    rank = ranks[(own & np.uint64(len(ranks) - 1)).astype(np.int64)]
     return own[np.argsort(rank, kind="stable")[:keep]]
 
 
@@ -178,13 +189,13 @@ class CountTree:
 class TreeCell:
     """Rows of one cell: two blocks of a bucket, or one block with itself; a tree for each number of groups."""
 
-    def __init__(self, similarity: int, of: tuple, rows: list[tuple]):
-        self.similarity, (self.key, self.lo, self.hi) = similarity, of
+    def __init__(self, similarity: int, once: bool, of: tuple, rows: list[tuple]):
+        self.similarity, self.once, (self.key, self.lo, self.hi) = similarity, once, of
         self.block, self.root, self.node, self.n = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(4))
         self.counts, self.prefix = [loaded(r[4]) for r in rows], [r[5] for r in rows]
 
     def fits(self):
-        """(i, other rows) that may link: other components and blocks, bounds that allow it, no lesser bucket in common; each pair once."""
+        """(i, other rows) that may link: other components and blocks, bounds that allow it, and, if once, no lesser bucket in common; each pair once."""
         groups = np.array([len(c) for c in self.counts])
         earlier: dict[int, set] = {}
         for g in np.unique(groups):
@@ -197,7 +208,7 @@ class TreeCell:
                 fit = fit[(self.root[fit] != self.root[i]) & ((fit > i) | (groups[fit] > g))]
                 if self.lo != self.hi:
                     fit = fit[self.block[fit] != self.block[i]]
-                if len(fit):
+                if len(fit) and self.once:
                     if i not in earlier:
                         earlier[i] = {k for k in self.prefix[i] if k < self.key}
                     fit = np.sort(fit[[earlier[i].isdisjoint(self.prefix[j]) for j in fit]])
@@ -238,21 +249,25 @@ def tree_links(points: DataFrame, source: DataFrame, some_lost: bool, store: Sto
     buckets = store.put(met.groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key", "rows"), of("buckets"))
     shared = store.put(keys.join(buckets, "key"), of("shared"))
 
-    cell_of = partial(TreeCell, similarity)
+    # of its elements a set keeps those whose buckets are left; they have the least that it shares with another
+    left = store.put(shared.groupBy("node").agg(F.collect_set("key").alias("left"), F.max(F.struct("rows", "key")).alias("most")), of("left"))
+    points = store.put(points.join(left, "node").select("node", "n", F.array_intersect("prefix", "left").alias("prefix"), "counts", "most"), of("points"))
+
     order = ["key", "lo", "hi", "node"]
-    blocks = shared.withColumn("lo", F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / block))).select("key", "lo", "node").join(points, "node").where("array_contains(prefix, key)")
-    blocks = blocks.select("key", "lo", F.col("lo").alias("hi"), F.col("lo").alias("block"), F.col("node").alias("root"), "node", "n", "counts", "prefix")
+    blocks = points.where("array_contains(prefix, most.key)").select(F.col("most.key").alias("key"), F.pmod(F.xxhash64("node"), F.ceil(F.col("most.rows") / block)).alias("lo"), "node", "n", "counts")
+    blocks = blocks.select("key", "lo", F.col("lo").alias("hi"), F.col("lo").alias("block"), F.col("node").alias("root"), "node", "n", "counts", F.array().cast("array<long>").alias("prefix"))
     blocks = blocks.repartition(n, "key", "lo").sortWithinPartitions(*order)
+    cell_of = partial(TreeCell, similarity, False)
     first = store.put(blocks.mapInArrow(_first_partners(cell_of), "a long, b long").distinct(), of("first"))
     suspects = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
     texts = store.put(texts_of(source, suspects, some_lost), of("texts"))
     links = store.put(confirmed(first, texts, store, of("first"), size, similarity), of("links"))
     roots = connected_components(links, store, of("one"))
 
-    # rows without a first partner have none at all in their block, but may have in another
     open_ = shared.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), "key")
     cut = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rest = store.put(open_.join(store.put(cut, of("cut")), "key").groupBy("key", "root", "node").agg(F.max("n").alias("n")), of("rest"))
+    cell_of, points = partial(TreeCell, similarity, True), points.drop("most")
     dealt = cells(rest, store, block, shingles).join(points, "node").where("array_contains(prefix, key)")
     dealt = dealt.select("key", "lo", "hi", "block", "root", "node", "n", "counts", "prefix").repartition(n, *order[:3]).sortWithinPartitions(*order)
     meet = store.put(dealt.mapInArrow(meeting(cell_of), "key long, lo long, hi long, block long, root long, node long").distinct(), of("meeting"))
@@ -268,7 +283,7 @@ def jaccard_classes(docs: DataFrame, size: int = 4, similarity: int = 85, block:
     spark = docs.sparkSession
     store = Store(spark, "jaccard")
     source = docs.select(node_of().alias("node"), "text", F.col("doc_id").isNull().alias("lost"))
-    ranks = spark.sparkContext.broadcast(slot_ranks(source, size))  # SLOTS bytes
+    ranks = spark.sparkContext.broadcast(slot_ranks(source, size))  # at most MOST_SLOTS bytes
     member, some_lost = members(source.mapInArrow(_points(size, similarity, ranks), POINT), store, ["prefix", "counts"])
     points = member.where("prefix is not null and n > 0").select("node", "n", "prefix", "counts")
     links = tree_links(points, source, some_lost, store, size, similarity, block, shingles)

@@ -33,7 +33,7 @@ def rows_of(seed):
     rnd = random.Random(seed)
     bases = [[f"w{rnd.randrange(10**6)}" for _ in range(n)] for n in (5, 9, 30, 120, 300)]
     shared, rows = [f"s{i}" for i in range(60)], []
-    for i in range(140):
+    for i in range(90):
         own = list(bases[i % 5])
         for _ in range(rnd.randrange(1 + max(1, len(own) // 25))):
             own[rnd.randrange(len(own))] = f"x{rnd.randrange(10**6)}"
@@ -42,14 +42,14 @@ def rows_of(seed):
     return rows + rows[:5] + [(1001, "another version of it")]
 
 
-@pytest.mark.parametrize("block, size, similarity", [(256, 4, 85), (2, 4, 85), (8, 2, 60)])
+@pytest.mark.parametrize("block, size, similarity", [(256, 4, 85), (4, 2, 60)])
 def test_components_are_those_of_all_pairs(spark, block, size, similarity):
     rows = rows_of(block)
     root, sets = roots_of(sets_of(rows, size), similarity), sets_of(rows, size)
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS n_shingles", "'x' AS node")
     got = jaccard_classes(docs, size, similarity, block=block).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((i, len(s), root[i]) for i in sets for s in sets[i])
-    assert len(set(root.values())) < len(root) - 20
+    assert len(set(root.values())) < len(root) - 10
 
 
 def test_defined_cases(spark):
@@ -105,17 +105,17 @@ def test_cells_meet_each_pair_once():
     sets = [np.unique(np.concatenate((own[0], s[:k]))) for s, k in zip(own, (0, 5, 6, 9, 10, 14), strict=True)]
     rows = [(i % 2, i, i, len(s), stored(point(s, groups_of(len(s)))), prefix_of(s, 85, None).view(np.int64).tolist()) for i, s in enumerate(sets)]
     key = min(set(rows[0][5]) & set(rows[5][5]))
-    pairs = [(min(i, j), max(i, j)) for i, fit in TreeCell(85, (key, 0, 0), rows).fits() for j in fit.tolist()]
+    pairs = [(min(i, j), max(i, j)) for i, fit in TreeCell(85, True, (key, 0, 0), rows).fits() for j in fit.tolist()]
     assert len(pairs) == len(set(pairs)) and (0, 5) in pairs
-    crossing = [(min(i, j), max(i, j)) for i, fit in TreeCell(85, (key, 0, 1), rows).fits() for j in fit.tolist()]
+    crossing = [(min(i, j), max(i, j)) for i, fit in TreeCell(85, True, (key, 0, 1), rows).fits() for j in fit.tolist()]
     assert set(crossing) == {(i, j) for i, j in pairs if (i + j) % 2}
 
 
 def test_short_sets_of_near_dedup_lose_no_link(spark):
     """Pairs of 3 and 4 shingles of 5 words, just at 0.75: the bands alone miss one in 77,000."""
     rows = []
-    for i in range(20_000):
+    for i in range(8_000):
         own = " ".join(f"{c}{i}" for c in "abcdefg")
         rows += [(2 * i, own), (2 * i + 1, own + " last")]
     got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), bands=1).collect()
-    assert len(got) == 40_000 and all(r.component_id == r.doc_id - r.doc_id % 2 for r in got)
+    assert len(got) == 16_000 and all(r.component_id == r.doc_id - r.doc_id % 2 for r in got)
