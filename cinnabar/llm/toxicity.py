@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and their first five bytes, which stand for inflected forms. Labels are fitted on a bounded
-sample of labelled rows (at most ``train_rows`` rows of ``train_bytes`` bytes, the smallest hashes of doc_id); a fifth
+sample of labelled rows (at most ``train_rows`` rows of ``train_bytes`` bytes, the smallest hashes of doc_id; texts of more than a
+sixteenth of those bytes are passed over, so that no long text ends the sample); a fifth
 of it calibrates, and all other rows with all their terms stand in the index. A term weighs
 (1 + log tf) * idf * (floor + association): document frequencies are counted over all documents, and the
 association is how far the term's rows move the share of toxic ones (the divergence of the smoothed share from that of
@@ -13,7 +14,8 @@ isotonic regression on the calibration rows maps the votes' share to a probabili
 
 Defined cases: null and empty texts, and texts without any term of the index, get that share as votes; labels without
 doc_id or toxic are no examples, of repeated labels of a document the largest counts; without examples of both labels
-the score is their share (0 without any); rows without doc_id are scored and not held out; columns of the input
+the score is their share (0 without any); if all labelled texts are too long for the sample, it is the share of their labels;
+very long texts are scored whole; rows without doc_id are scored and not held out; columns of the input
 named like the added ones are replaced; an empty table gives no rows.
 """
 
@@ -34,6 +36,8 @@ EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64
 PREFIX = 5
 BLOCK = 64
 SLICES = 32
+#: A labelled text of more than this part of the sample's bytes is no example.
+LONG = 16
 
 
 def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -297,13 +301,19 @@ def _sample(docs: DataFrame, labels: DataFrame, train_rows: int, train_bytes: in
     sample = store.put(marked.where(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "sample")
     # at most train_rows pairs of numbers are broadcast
     train = store.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text"), "train")
-    rows = sorted(tuple(r) for r in train.select(F.xxhash64("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)), "toxic").collect())
-    within = int((np.cumsum([n for _, n, _ in rows]) <= train_bytes).sum())
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    rows = sorted(tuple(r) for r in train.select(F.xxhash64("doc_id"), size, "toxic").collect())  # three numbers a row, at most train_rows ids
+    longest = train_bytes // LONG
+    short = [r for r in rows if r[1] <= longest]
+    within = int((np.cumsum([n for _, n, _ in short]) <= train_bytes).sum())
     if within < len(rows):
-        last = rows[max(1, within) - 1][0]
-        rows = [r for r in rows if r[0] <= last]
-        train = train.where(F.xxhash64("doc_id") <= last)
-    return train, sum(t for *_, t in rows) / max(1, len(rows))
+        train = train.where(size <= longest)
+        if within < len(short):
+            short = [r for r in short if r[0] < short[within][0]]  # rows of one doc_id are all in or all out
+            last = short[-1][0] if short else -(2**63)
+            train = train.where(F.xxhash64("doc_id") <= last)
+    counted_ = short or rows
+    return train, sum(t for *_, t in counted_) / max(1, len(counted_))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, train_bytes: int = 8 << 20, smooth: float = 8.0, floor: float = 0.02, k: int = 16, prior_votes: float = 0.25) -> Index:
