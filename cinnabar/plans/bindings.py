@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import reactions as kernels
-from ..operators import cgr, clusters, curation, learning, mining, policy, quality, reactions, tree
+from ..operators import cgr, clusters, curation, learning, mining, numbering, policy, quality, reactions, tree
+from ..operators import network as networks
+from ..streaming.curation import curate, kept, record_stream, statistics
+from .stage import Stage
 
 RULES, ORACLES = {}, {}
 
@@ -698,3 +701,86 @@ def joined_logits(spark, d):
 @query(f"WITH RECURSIVE {NODES}, k AS (SELECT node_id, rank() OVER (PARTITION BY parent_id ORDER BY prob DESC) AS r FROM nodes), w AS (SELECT leaf, node_id FROM walk WHERE leaf IN (SELECT node_id FROM nodes WHERE solved)), s AS (SELECT leaf, sum(n.total_value) / (count(*) * count(*)) AS score FROM w JOIN nodes n ON n.node_id = w.node_id GROUP BY leaf) SELECT (SELECT round(max(score), 6) FROM s) AS best_score, (SELECT round(avg(r), 2) FROM w JOIN k ON k.node_id = w.node_id WHERE w.node_id IN (SELECT node_id FROM nodes WHERE parent_id IN (SELECT node_id FROM nodes))) AS mean_rank")
 def winning_summary(spark, d):
     return tree.winning_summary(nodes(spark, d))
+
+
+# --- streams, networks, numbering ------------------------------------------------------------
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value, count(*) AS n FROM events GROUP BY 1, 2")
+def streamed_curation(spark, d):
+    # a pattern, since a stream reads a folder or a pattern, and the table may be a single file
+    own, out, key = read(spark, d, "events"), Stage(spark, "streamed").path, ["user_id", "event_type"]
+    curate(record_stream(spark, f"{d}/event[s].parquet", own.schema), key, "event_id", out).awaitTermination()
+    n = statistics(spark, out, own.schema).groupBy(*key).agg(F.sum("popularity").alias("n"))
+    return kept(spark, out, own.schema).select(*key, "event_id", "value").join(n, key)
+
+
+# an order is a reaction: its first line's part is made of those of its other lines; parts of three sizes of each seven are stock
+NETWORK = """lines AS (SELECT l_orderkey AS reaction, l_partkey AS molecule, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k FROM lineitem),
+products AS (SELECT reaction, molecule AS product FROM lines WHERE k = 1),
+needs AS (SELECT DISTINCT reaction, molecule AS part FROM lines WHERE k > 1),
+solved(molecule, depth, reaction) USING KEY (molecule) AS (
+    SELECT p_partkey, 0, NULL::BIGINT FROM part WHERE p_size % 7 < 3
+    UNION
+    SELECT product, depth, reaction FROM (
+        SELECT product, max(depth) AS depth, min(reaction) AS reaction FROM (
+            SELECT p.product, p.reaction, max(s.depth) + 1 AS depth FROM products p JOIN needs n ON n.reaction = p.reaction LEFT JOIN recurring.solved s ON s.molecule = n.part
+            GROUP BY p.product, p.reaction HAVING count(*) = count(s.molecule)) GROUP BY product)
+    WHERE product NOT IN (SELECT molecule FROM recurring.solved))"""
+
+
+def network(spark, d):
+    line = read(spark, d, "lineitem")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    lines = line.select(F.col("l_orderkey").alias("reaction"), F.col("l_partkey").alias("molecule"), place.alias("k"))
+    stock = read(spark, d, "part").where("p_size % 7 < 3").select(F.col("p_partkey").alias("molecule"))
+    return lines.where("k = 1").select("reaction", F.col("molecule").alias("product")), lines.where("k > 1").select("reaction", F.col("molecule").alias("part")), stock
+
+
+@query(f"WITH RECURSIVE {NETWORK} SELECT p_partkey AS molecule, depth IS NOT NULL AS solved, depth, reaction FROM part LEFT JOIN solved ON molecule = p_partkey")
+def network_search(spark, d):
+    products, parts, stock = network(spark, d)
+    found = networks.solve(products, parts, stock)
+    return read(spark, d, "part").select(F.col("p_partkey").alias("molecule")).join(found, "molecule", "left").select("molecule", F.col("depth").isNotNull().alias("solved"), "depth", "reaction")
+
+
+@query(f"""WITH RECURSIVE {NETWORK}, way(target, molecule) AS (
+    SELECT molecule, molecule FROM solved WHERE molecule % 20 = 0 UNION SELECT w.target, n.part FROM way w JOIN solved s ON s.molecule = w.molecule JOIN needs n ON n.reaction = s.reaction)
+SELECT w.target, count(*) AS molecules, count(s.reaction) AS steps, count(*) FILTER (WHERE s.reaction IS NULL) AS bought, max(s.depth) AS depth FROM way w JOIN solved s ON s.molecule = w.molecule GROUP BY 1""")
+def network_routes(spark, d):
+    products, parts, stock = network(spark, d)
+    targets = read(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("target"))
+    ways = networks.routes(targets, networks.solve(products, parts, stock), parts)
+    return ways.groupBy("target").agg(F.count("*").alias("molecules"), F.count("reaction").alias("steps"), F.count_if(F.col("reaction").isNull()).alias("bought"), F.max("depth").alias("depth"))
+
+
+# a customer is a route, an order a step, a line's part an atom; atoms whose parts end alike are the same
+ATOMS = """a AS (SELECT DISTINCT o_custkey AS route, l_orderkey AS step, l_partkey AS atom, l_partkey % 50 AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+n AS (SELECT *, min((step, atom)) OVER (PARTITION BY route, name) AS first FROM a)"""
+
+
+@query(f"WITH {ATOMS} SELECT route, step, atom, dense_rank() OVER (PARTITION BY route ORDER BY first) AS number FROM n")
+def route_atom_numbers(spark, d):
+    line, order = read(spark, d, "lineitem"), read(spark, d, "orders")
+    own = line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("route"), F.col("l_orderkey").alias("step"), F.col("l_partkey").alias("atom"), (F.col("l_partkey") % 50).alias("name")).distinct()
+    # each atom beside the next of its name: a chain, so that joining it needs the components
+    after = Window.partitionBy("route", "name").orderBy("step", "atom")
+    same = own.select("route", F.col("step").alias("step_a"), F.col("atom").alias("atom_a"), F.lead("step").over(after).alias("step_b"), F.lead("atom").over(after).alias("atom_b"))
+    return numbering.route_numbers(own, same.where("step_b is not null"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT l_suppkey AS route, l_partkey % 400 AS a, l_orderkey % 400 + 400 AS b FROM lineitem WHERE l_quantity < 3),
+t AS (SELECT route, min((a, b)) AS m FROM l GROUP BY route),
+cut AS (SELECT route, m[1] AS inner_, m[2] AS outer_ FROM t),
+e AS (SELECT l.route, a, b FROM l JOIN cut ON cut.route = l.route WHERE a <> inner_ OR b <> outer_),
+u AS (SELECT route, a, b FROM e UNION SELECT route, b, a FROM e),
+s AS (SELECT DISTINCT route, x FROM (SELECT route, a AS x FROM l UNION ALL SELECT route, b FROM l)),
+r(route, x, y) AS (SELECT route, x, x FROM s UNION SELECT r.route, r.x, u.b FROM r JOIN u ON u.route = r.route AND u.a = r.y),
+c AS (SELECT route, x, min(y) AS root FROM r GROUP BY route, x)
+SELECT cut.route, 1 AS mark, i.root AS "inner", o.root AS "outer", (SELECT count(*) FROM c WHERE c.route = cut.route AND c.root = o.root) AS size
+FROM cut JOIN c i ON i.route = cut.route AND i.x = inner_ JOIN c o ON o.route = cut.route AND o.x = outer_""")
+def cut_groups(spark, d):
+    line = read(spark, d, "lineitem").where("l_quantity < 3")
+    bonds = line.select(F.col("l_suppkey").alias("route"), (F.col("l_partkey") % 400).alias("a"), (F.col("l_orderkey") % 400 + 400).alias("b"))
+    least = bonds.groupBy("route").agg(F.min(F.struct("a", "b")).alias("m"))
+    return numbering.leaving_groups(bonds, least.select("route", F.lit(1).alias("mark"), F.col("m.a").alias("inner"), F.col("m.b").alias("outer")))
