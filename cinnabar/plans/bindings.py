@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import reactions as kernels
-from ..operators import cgr, clusters, curation, learning, mining, numbering, policy, quality, reactions, tree
+from ..operators import cgr, clusters, curation, embedding, learning, mining, numbering, policy, quality, reactions, tanimoto, tree
 from ..operators import network as networks
 from ..streaming.curation import curate, kept, record_stream, statistics
 from .stage import Stage
@@ -784,3 +784,40 @@ def cut_groups(spark, d):
     bonds = line.select(F.col("l_suppkey").alias("route"), (F.col("l_partkey") % 400).alias("a"), (F.col("l_orderkey") % 400 + 400).alias("b"))
     least = bonds.groupBy("route").agg(F.min(F.struct("a", "b")).alias("m"))
     return numbering.leaving_groups(bonds, least.select("route", F.lit(1).alias("mark"), F.col("m.a").alias("inner"), F.col("m.b").alias("outer")))
+
+
+@query(r"""WITH s AS (SELECT DISTINCT doc_id AS id, unnest(regexp_split_to_array(text, '[\x20\x09-\x0D]+')) AS element FROM documents),
+k AS (SELECT * FROM s WHERE element <> ''), n AS (SELECT id, count(*) AS n FROM k GROUP BY id),
+p AS (SELECT a.id AS query, b.id AS id, count(*) AS both_ FROM k a JOIN k b ON a.element = b.element AND a.id <> b.id WHERE a.id % 20 = 0 GROUP BY 1, 2)
+SELECT query, p.id, both_ AS "both", x.n + y.n - both_ AS total FROM p JOIN n x ON x.id = query JOIN n y ON y.id = p.id WHERE both_ * 100 >= 60 * (x.n + y.n - both_)""")
+def tanimoto_search(spark, d):
+    words = F.explode(F.split("text", r"[\x20\x09-\x0D]+", -1)).alias("element")
+    sets = read(spark, d, "documents").select(F.col("doc_id").alias("id"), words).where("element <> ''")
+    return tanimoto.similar(sets, sets.where("id % 20 = 0").select("id"), 60)
+
+
+WEIGHTS = [embedding.even_weights(3, 4), embedding.even_weights(4, 2, 1)]
+
+
+def _layer(source: str, weights, last: str) -> str:
+    """SQL of one layer over source(graph, node, x0, ...), with scale s(graph, node, scale) and bonds u(graph, a, b)."""
+    rows, bias = weights
+    x = range(len(rows))
+    sums = ", ".join(f"sum(x{i} * scale) AS x{i}" for i in x)
+    made = ", ".join(f"greatest(0, scale * ({' + '.join(f'x{i} * {rows[i][j]!r}' for i in x)})) AS x{j}" for j in range(len(bias)))
+    return f"""{last} AS (SELECT graph, node, {made} FROM (SELECT t.graph, t.a AS node, {sums} FROM (SELECT graph, a, b FROM u UNION ALL SELECT graph, node, node FROM {source}) t
+        JOIN {source} h ON h.graph = t.graph AND h.node = t.b JOIN s ON s.graph = t.graph AND s.node = t.b GROUP BY 1, 2) JOIN s USING (graph, node))"""
+
+
+# an order is a graph, its parts are atoms, and lines of neighbouring parts are bonds
+@query(f"""WITH a AS (SELECT l_orderkey AS graph, l_partkey AS node, ln(1 + count(*)) AS x0, ln(1 + sum(l_quantity)) AS x1, ln(1 + max(l_linenumber)) AS x2 FROM lineitem GROUP BY 1, 2),
+o AS (SELECT graph, node AS a, lead(node) OVER (PARTITION BY graph ORDER BY node) AS b FROM a),
+u AS (SELECT * FROM o WHERE b IS NOT NULL UNION ALL SELECT graph, b, a FROM o WHERE b IS NOT NULL),
+s AS (SELECT a.graph, a.node, 1 / sqrt(1 + count(u.b)) AS scale FROM a LEFT JOIN u ON u.graph = a.graph AND u.a = a.node GROUP BY 1, 2),
+{_layer('a', WEIGHTS[0], 'h1')}, {_layer('h1', WEIGHTS[1], 'h2')} SELECT graph, round(sum(x0), 6) AS x0, round(sum(x1), 6) AS x1 FROM h2 GROUP BY graph""")
+def graph_embeddings(spark, d):
+    line = read(spark, d, "lineitem")
+    atoms = line.groupBy(F.col("l_orderkey").alias("graph"), F.col("l_partkey").alias("node")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"), F.max("l_linenumber").alias("k"))
+    bonds = atoms.select("graph", F.col("node").alias("a"), F.lead("node").over(Window.partitionBy("graph").orderBy("node")).alias("b")).where("b is not null")
+    out = embedding.embed(atoms, bonds, ["n", "q", "k"], WEIGHTS)
+    return out.select("graph", *(F.round(c, 6).alias(c) for c in ("x0", "x1")))
