@@ -7,7 +7,7 @@ that bound and the sizes still allow a link; what survives is confirmed on the f
 half its elements (a power of two), and points of twice as many groups are folded to meet those of fewer.
 
 Trees are built where sets that may link meet. All elements have one order, by how many texts share an element's slot
-(counted over all texts in a table of ``SLOTS`` to ``MOST_SLOTS`` slots, so that rare elements come first and passages that texts share last), then by hash. Two similar sets
+(counted over all texts in a table of ``SLOTS`` slots, so that rare elements come first and passages that texts share last), then by hash. Two similar sets
 have one of their first n - ceil(similarity * n) + 1 elements in common, so those are a set's buckets. Buckets with
 the same sets are one bucket. Sets are searched in two rounds: first each in a block of its largest bucket, where it keeps
 the first partner that the tree finds, and these pairs are confirmed; then, in the buckets that components still
@@ -28,7 +28,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
@@ -36,9 +36,7 @@ from .shingles import by_cell, cells, confirmed, linked, meeting, members, node_
 from .store import Store, partitions
 from .text import chunks
 
-#: Fewest and most slots, powers of two, and about how many bytes of text there are for one.
-SLOTS, MOST_SLOTS, SLOT_BYTES = 1 << 20, 1 << 22, 192
-SLICES = 16
+SLOTS, SLICES = 1 << 21, 16
 LEAST, MOST = 64, 8192
 FANOUT = 8
 POINT = "node long, lost boolean, n long, d1 long, d2 long, prefix array<long>, counts binary"
@@ -76,14 +74,14 @@ def folded(counts: np.ndarray, groups: int) -> np.ndarray:
 # --- the order of elements ------------------------------------------------------------------
 
 
-def _slots(size: int, slots: int):
+def _slots(size: int):
     """Per task, how many sets have an element in each slot: compressed slices."""
 
     def run(batches):
-        counts = np.zeros(slots, "<u4")
+        counts = np.zeros(SLOTS, "<u4")
         for _, texts in chunks(batches):
             for own in shingle_sets(texts, size):
-                np.add.at(counts, (own & np.uint64(slots - 1)).astype(np.int64), np.uint32(1))
+                np.add.at(counts, (own & np.uint64(SLOTS - 1)).astype(np.int64), np.uint32(1))
         parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)]
         yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
 
@@ -106,12 +104,10 @@ def ranks_of(counts: np.ndarray) -> np.ndarray:
 
 
 def slot_ranks(texts: DataFrame, size: int) -> np.ndarray:
-    """For each slot how many sets have its elements, as ranks_of says; a byte a slot, at most MOST_SLOTS."""
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slots = min(MOST_SLOTS, max(SLOTS, 1 << (total // SLOT_BYTES).bit_length() - 1 if total >= SLOT_BYTES else 1))
+    """For each slot how many sets have its elements, as ranks_of says; SLOTS bytes."""
     n = min(SLICES, partitions(texts.sparkSession))
-    rows = texts.select("text").mapInArrow(_slots(size, slots), "slice int, counts binary").repartition(n, "slice").mapInArrow(_summed, "slice int, counts binary").collect()
-    counts = np.zeros((SLICES, slots // SLICES), np.int64)
+    rows = texts.select("text").mapInArrow(_slots(size), "slice int, counts binary").repartition(n, "slice").mapInArrow(_summed, "slice int, counts binary").collect()
+    counts = np.zeros((SLICES, SLOTS // SLICES), np.int64)
     for r in rows:  # at most SLICES rows
         counts[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
     return ranks_of(counts.ravel())
@@ -244,6 +240,11 @@ def tree_links(points: DataFrame, source: DataFrame, some_lost: bool, store: Sto
     """
     n, of = partitions(points.sparkSession), lambda x: f"{name}-{x}"
     keys = points.select("node", "n", F.explode("prefix").alias("key"))
+    # most elements are of one set; the others are told by their neighbours in one sort
+    beside = Window.partitionBy("key").orderBy("node")
+    keys = keys.withColumn("before", F.lag("node").over(beside)).withColumn("after", F.lead("node").over(beside))
+    # versions of a document that share an element are one row, or their hashes would cancel out
+    keys = store.put(keys.where("before is not null or after is not null").groupBy("key", "node").agg(F.max("n").alias("n")), of("keys"))
     met = keys.groupBy("key").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y")).where("rows > 1")
     # buckets of the same sets are one
     buckets = store.put(met.groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key", "rows"), of("buckets"))
@@ -283,7 +284,7 @@ def jaccard_classes(docs: DataFrame, size: int = 4, similarity: int = 85, block:
     spark = docs.sparkSession
     store = Store(spark, "jaccard")
     source = docs.select(node_of().alias("node"), "text", F.col("doc_id").isNull().alias("lost"))
-    ranks = spark.sparkContext.broadcast(slot_ranks(source, size))  # at most MOST_SLOTS bytes
+    ranks = spark.sparkContext.broadcast(slot_ranks(source, size))  # SLOTS bytes
     member, some_lost = members(source.mapInArrow(_points(size, similarity, ranks), POINT), store, ["prefix", "counts"])
     points = member.where("prefix is not null and n > 0").select("node", "n", "prefix", "counts")
     links = tree_links(points, source, some_lost, store, size, similarity, block, shingles)

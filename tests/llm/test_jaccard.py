@@ -60,6 +60,14 @@ def test_defined_cases(spark):
     assert jaccard_classes(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_versions_of_a_document_do_not_cancel_out(spark):
+    rows = []
+    for i in range(0, 40, 2):
+        own = [f"w{i}-{j}" for j in range(60)]
+        rows += [(100 + i, " ".join(own)), (100 + i, " ".join([*own, "x"])), (101 + i, " ".join([*own, "y"])), (101 + i, " ".join([*own, "z"]))]
+    assert all(r.component_id == r.doc_id - r.doc_id % 2 for r in jaccard_classes(spark.createDataFrame(rows, SCHEMA)).collect())
+
+
 def test_points_bound_the_overlap():
     rnd = np.random.default_rng(1)
     for n in (1, 40, 129, 700, 40_000):
