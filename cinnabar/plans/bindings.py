@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import reactions as kernels
-from ..operators import cgr, clusters, curation, embedding, learning, mining, numbering, policy, quality, reactions, tanimoto, tree
+from ..operators import cgr, clusters, curation, embedding, learning, mining, numbering, policy, quality, reactions, refinement, tanimoto, tree
 from ..operators import network as networks
 from ..streaming.curation import curate, kept, record_stream, statistics
 from .stage import Stage
@@ -821,3 +821,19 @@ def graph_embeddings(spark, d):
     bonds = atoms.select("graph", F.col("node").alias("a"), F.lead("node").over(Window.partitionBy("graph").orderBy("node")).alias("b")).where("b is not null")
     out = embedding.embed(atoms, bonds, ["n", "q", "k"], WEIGHTS)
     return out.select("graph", *(F.round(c, 6).alias(c) for c in ("x0", "x1")))
+
+
+# an order is a graph; lines are atoms labelled by their flag. Lines of odd orders form one ring, of even orders rings of three; the last may be a pair or alone
+@query("""WITH l AS (SELECT l_orderkey AS graph, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity) - 1 AS k, l_returnflag AS f FROM lineitem),
+r AS (SELECT graph, CASE WHEN graph % 2 = 0 THEN k // 3 ELSE 0 END AS ring, string_agg(f, '' ORDER BY k) AS s, count(*) AS n FROM l GROUP BY 1, 2),
+t AS (SELECT graph, ring, n, substr(s || s, i + 1, n) AS s FROM (SELECT *, unnest(range(n)) AS i FROM r)),
+c AS (SELECT graph, ring, min(least(s, reverse(s))) AS s FROM t GROUP BY 1, 2),
+k AS (SELECT graph, string_agg(s, '.' ORDER BY s) AS s FROM c GROUP BY 1)
+SELECT graph, min(graph) OVER (PARTITION BY s) AS first, count(*) OVER (PARTITION BY s) AS size FROM k""")
+def graph_classes(spark, d):
+    line = read(spark, d, "lineitem")
+    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")) - 1
+    own = line.select(F.col("l_orderkey").alias("graph"), k.alias("node"), "l_returnflag").withColumn("ring", F.when(F.col("graph") % 2 == 0, F.floor(F.col("node") / 3)).otherwise(0))
+    ring = Window.partitionBy("graph", "ring")
+    after = F.coalesce(F.lead("node").over(ring.orderBy("node")), F.min("node").over(ring))
+    return refinement.classes(refinement.graph_keys(own, own.select("graph", F.col("node").alias("a"), after.alias("b")), ["l_returnflag"]))
