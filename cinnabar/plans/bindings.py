@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import reactions as kernels
-from ..operators import cgr, clusters, curation, embedding, learning, mining, numbering, policy, quality, reactions, refinement, tanimoto, tree
+from ..operators import cgr, clusters, curation, embedding, learning, mining, numbering, policy, quality, reactions, refinement, tanimoto, training, tree
 from ..operators import network as networks
 from ..streaming.curation import curate, kept, record_stream, statistics
 from .stage import Stage
@@ -837,3 +837,27 @@ def graph_classes(spark, d):
     ring = Window.partitionBy("graph", "ring")
     after = F.coalesce(F.lead("node").over(ring.orderBy("node")), F.min("node").over(ring))
     return refinement.classes(refinement.graph_keys(own, own.select("graph", F.col("node").alias("a"), after.alias("b")), ["l_returnflag"]))
+
+
+def _epochs(epochs: int, rate: float, classes: int = 10, size: int = 64) -> str:
+    """SQL of full-batch training from zeros: examples x(id, y, val, f, v), weights w0 to w of the last epoch, validation losses."""
+    out = [f"w0 AS MATERIALIZED (SELECT c::INT AS c, f::INT AS f, 0.0::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS s FROM range({classes}) t(c), range({size + 1}) u(f))"]
+    for t in range(epochs + 1):
+        out.append(f"""p{t} AS MATERIALIZED (SELECT id, y, val, c, exp(z) / sum(exp(z)) OVER (PARTITION BY id) AS p FROM (SELECT id, y, val, c, sum(v * w) AS z FROM x JOIN w{t} USING (f) GROUP BY id, y, val, c)),
+v{t} AS (SELECT {t} AS t, avg(-ln(p)) AS loss FROM p{t} WHERE val AND c = y)""")
+        if t < epochs:
+            mean, spread = f"0.9 * w{t}.m + 0.1 * g", f"(g - (0.9 * w{t}.m + 0.1 * g))"
+            out.append(f"""g{t} AS (SELECT c, x.f, sum((p - (c = x.y)::INT) * v) / (SELECT count(DISTINCT id) FROM x WHERE NOT val) AS g FROM p{t} JOIN x USING (id) WHERE NOT x.val GROUP BY 1, 2),
+k{t} AS (SELECT c, f, g * least(1, 1 / sqrt(sum(g * g) OVER ())) AS g FROM g{t}),
+w{t + 1} AS MATERIALIZED (SELECT c, f, w - {rate} * m / {1 - 0.9 ** (t + 1)!r} / (sqrt(s / {1 - 0.999 ** (t + 1)!r}) + 1e-8) AS w, m, s
+    FROM (SELECT w{t}.c, w{t}.f, w{t}.w, {mean} AS m, 0.999 * w{t}.s + 0.001 * {spread} * {spread} + 1e-8 AS s FROM w{t} JOIN k{t} USING (c, f)))""")
+    return ",\n".join(out)
+
+
+@query(f"""WITH x AS (SELECT vec_id AS id, label AS y, vec_id % 5 = 0 AS val, unnest(range(65))::INT AS f, unnest(list_append(embedding::DOUBLE[], 1)) AS v FROM embeddings),
+{_epochs(3, 0.05)}, best AS (SELECT arg_min(t, loss) AS t FROM ({' UNION ALL '.join(f'SELECT * FROM v{t}' for t in range(4))}))
+SELECT c AS class, f AS feature, round(w, 6) AS weight FROM ({' UNION ALL '.join(f'SELECT {t} AS t, c, f, w FROM w{t}' for t in range(4))}) JOIN best USING (t)""")
+def softmax_policy(spark, d):
+    own = read(spark, d, "embeddings").withColumn("val", F.col("vec_id") % 5 == 0)
+    model, _ = training.train(own, "embedding", "label", "val", 10, 64, 3, rate=0.05)
+    return model.select("class", "feature", F.round("weight", 6).alias("weight"))
