@@ -3,9 +3,10 @@
 A text's paragraphs (lines) are hashed, and each distinct hash goes to three of 24 cells of (count,
 xor of hashes, xor of check hashes). Cells of two versions subtract cell by cell; peeling cells that
 hold one hash recovers the hashes of the paragraphs that differ; likeness is the share of common ones among all.
-If peeling gets stuck, the sketch is made again with four times as many segments of 24 cells, and
-again; differences that a segment count can't hold by their sizes skip it. Beyond 4 ** 10 segments the
-hashes are compared outright.
+If peeling gets stuck, the hashes are cut into 16 segments with 24 cells each, and those that are
+stuck are cut again; differences that a sketch can't hold by their sizes aren't tried. Segments that are stuck
+after five cuts are compared outright. A hash is looked at as often as its segment is cut, so a text of many
+lines takes time in proportion to them (and to the logarithm of those that differ).
 
 Defined cases: a null or empty text is one empty paragraph; equal texts have equal fingerprints and
 likeness 1; alike rows (doc_id and text) are one document, and each gets its result; rows without
@@ -22,7 +23,7 @@ from .store import Store, partitions
 
 TABLE, TABLES = 8, 3
 CELLS = TABLE * TABLES
-LEVELS = 10
+LEVELS = 5
 NONE_YET = "CAST(array() AS ARRAY<BIGINT>)"
 NIL = "named_struct('cnt', 0L, 'key', 0L, 'chk', 0L)"
 
@@ -58,18 +59,26 @@ def peel(difference: str) -> str:
     return f"aggregate(sequence(1, {2 * CELLS}), {start}, (st, r) -> if(st.on, {step}, st), {done})"
 
 
+def attempt(pair: str, cells_a: str, cells_b: str) -> str:
+    """SQL: (ok, got) of peeling one sketch of a pair; differences that it can't hold by the arrays' sizes are not tried."""
+    return f"if(abs(size({pair}.a) - size({pair}.b)) <= {CELLS}, {peel(subtract(cells_a, cells_b))}, named_struct('ok', false, 'got', {NONE_YET}))"
+
+
+def recovered_from(pair: str, tried: str, level: int = 1) -> str:
+    """SQL: the hashes that only one array of a pair has; tried: the sketch's (ok, got). If stuck, each of 16 segments of the hashes has a sketch of its own."""
+    if level > LEVELS:
+        return f"concat(array_except({pair}.a, {pair}.b), array_except({pair}.b, {pair}.a))"
+    segment = ", ".join(f"'{x}', filter({pair}.{x}, d -> (shiftrightunsigned(d, {20 + 4 * level}) & 15L) = h)" for x in "ab")
+    part = f"part{level}"
+    below = recovered_from(part, attempt(part, cells(f"{part}.a"), cells(f"{part}.b")), level + 1)
+    segments = f"flatten(transform(transform(sequence(0L, 15L), h -> named_struct({segment})), {part} -> {below}))"
+    return f"aggregate(array({tried}), {NONE_YET}, (none, try{level}) -> if(try{level}.ok, try{level}.got, {segments}))"
+
+
 def differing(a: str, b: str, cells_a: str, cells_b: str) -> str:
-    """SQL: the hashes that only one of the arrays has, by peeling ever larger sketches."""
-    # segments are cut twice, by 2 ** k each time, so that no array is looked through once a segment
-    outer, inner = ("d -> (shiftrightunsigned(d, 24) & (side - 1L)) = g", "d -> (shiftrightunsigned(d, 44) & (side - 1L)) = h")
-    segment = f"aggregate(array(named_struct('a', filter(o.a, {inner}), 'b', filter(o.b, {inner}))), named_struct('ok', true, 'got', {NONE_YET}), (z, x) -> {peel(subtract(cells('x.a'), cells('x.b')))})"
-    row = f"aggregate(sequence(0L, side - 1L), y, (acc, h) -> if(acc.ok, aggregate(array({segment}), acc, (u, one) -> named_struct('ok', one.ok, 'got', concat(u.got, one.got))), acc))"
-    level = f"aggregate(sequence(0L, side - 1L), named_struct('ok', true, 'got', {NONE_YET}), (top, g) -> if(top.ok, aggregate(array(named_struct('a', filter({a}, {outer}), 'b', filter({b}, {outer}))), top, (y, o) -> {row}), top))"
-    fits = f"abs(size({a}) - size({b})) <= {CELLS} * side * side"
-    retry = f"aggregate(array(shiftleft(1L, k)), res, (v, side) -> if({fits}, {level}, v))"
-    first = f"if(abs(size({a}) - size({b})) <= {CELLS}, {peel(subtract(cells_a, cells_b))}, named_struct('ok', false, 'got', {NONE_YET}))"
-    outright = f"concat(array_except({a}, {b}), array_except({b}, {a}))"
-    return f"aggregate(sequence(1, {LEVELS}), {first}, (res, k) -> if(res.ok, res, {retry}), res -> if(res.ok, res.got, {outright}))"
+    """SQL: the hashes that only one of the arrays has, by peeling; only segments that are stuck are sketched anew, so work grows with the hashes."""
+    whole = recovered_from("whole", attempt("whole", cells_a, cells_b))
+    return f"aggregate(array(named_struct('a', {a}, 'b', {b})), {NONE_YET}, (nothing, whole) -> {whole})"
 
 
 def shown(cells_: str) -> str:

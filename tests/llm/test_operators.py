@@ -5,6 +5,7 @@ import html as htmllib
 import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -269,6 +270,18 @@ def test_sketches_recover_what_differs(spark):
     assert sketch.fingerprints(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_sketches_of_many_lines(spark):
+    """20,000 lines: all that differ are recovered, also without a common line, in time that grows with the lines."""
+    own = [f"a {j}" for j in range(20_000)]
+    near = [f"b {j}" if j % 4 == 0 else x for j, x in enumerate(own)]
+    rows = [(3, "\n".join(own)), (2, "\n".join(near)), (1, "\n".join(f"c {j}" for j in range(20_000)))]
+    start = time.monotonic()
+    out = {r.doc_id: r for r in sketch.fingerprints(docs(spark, rows), recovered=True).collect()}
+    assert [len(set(out[i].differ_next)) for i in (3, 2, 1)] == [10_000, 40_000, 40_000]
+    assert out[3].near_next == 30_000 / 50_000 and out[2].near_next == out[1].near_next == 0
+    assert time.monotonic() - start < 120
+
+
 def test_block_max_index_is_exact():
     r = np.random.default_rng(4)
     known = np.unique(r.integers(1, 2**63, 40, dtype=np.uint64))
