@@ -7,6 +7,7 @@ job that was killed gives the same weights when it is called again with the same
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,7 +72,8 @@ def gradient(examples: DataFrame, weights: np.ndarray, n_train: int, n_val: int,
     return hop.groupBy("class", "feature").agg((F.sum("value") / F.lit(SCALE)).alias("value"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the table at path was written to its end."""
     mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
@@ -90,7 +92,7 @@ def _step(state: dict, g: np.ndarray, clip: float, betas: tuple[float, float], e
 
 def train(
     rows: DataFrame, features: str, label: str, val: str, classes: int, size: int, epochs: int, path: str | None = None, rate: float = 0.01,
-    patience: int = 3, factor: float = 0.8, min_rate: float = 5e-5, clip: float = 1.0, betas: tuple[float, float] = (0.9, 0.999), eps: float = 1e-8, most_values: int = 4_000_000,
+    patience: int = 3, factor: float = 0.8, min_rate: float = 5e-5, clip: float = 1.0, betas: tuple[float, float] = (0.9, 0.999), eps: float = 1e-8, most_values: int = 4_000_000, start: np.ndarray | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """((class, feature, weight), (epoch, loss, val_loss, val_accuracy, rate)): the weights of least validation loss (of training loss if no row
     validates), feature `size` being the bias, and the losses before each step and after the last.
@@ -98,9 +100,10 @@ def train(
     rows: features an array of `size` numbers, label 0 to classes - 1, val whether the row validates (null: it trains). path: a shared folder; a call
     that finds states of the same settings there goes on after the last, and doesn't read rows again. The rate falls by factor when the
     loss hasn't fallen by a ten-thousandth for more than patience epochs. A model of more than most_values weights is an error, since every task gets it.
+    start: weights of classes rows and size + 1 columns to begin with, else zeros.
 
     Defined cases: rows without features or label are no rows, a null number counts 0; other lengths or labels are errors; repeated rows
-    count as often; extra columns don't matter; without rows that train, weights stay 0.
+    count as often; extra columns don't matter; without rows that train, weights stay those at the start.
     """
     if classes * (size + 1) > most_values:
         raise ValueError(f"{classes * (size + 1)} weights, at most {most_values} are sent to each task")
@@ -109,14 +112,17 @@ def train(
     settings = repr((classes, size, rate, patience, factor, min_rate, clip, betas, eps))
     wanted = rows.where(F.col(features).isNotNull() & F.col(label).isNotNull())
     wanted = wanted.select(F.col(features).cast("array<double>").alias("x"), F.col(label).cast("long").alias("y"), F.coalesce(F.col(val).cast("boolean"), F.lit(False)).alias("val"))
-    if not _exists(spark, f"{stage.path}/examples"):
+    if not exists(spark, f"{stage.path}/examples"):
         stage.put(wanted, "examples")
     examples = spark.read.schema(T.StructType(wanted.schema.fields)).parquet(f"{stage.path}/examples")
     n_train, n_val = examples.agg(F.count_if(~F.col("val")), F.count_if("val")).first()
 
     zeros = np.zeros((classes, size + 1))
-    state = {"epoch": 0, "rate": rate, "best": float("inf"), "wait": 0, "weights": zeros, "mean": zeros, "spread": zeros, "chosen": zeros, "history": []}
-    last = max((e for e in range(1, epochs + 1) if _exists(spark, f"{stage.path}/epoch-{e}")), default=0)
+    first = zeros if start is None else np.asarray(start, float).reshape(zeros.shape)
+    if first.any():
+        settings += f" from {hashlib.sha256(first.tobytes()).hexdigest()}"
+    state = {"epoch": 0, "rate": rate, "best": float("inf"), "wait": 0, "weights": first, "mean": zeros, "spread": zeros, "chosen": first, "history": []}
+    last = max((e for e in range(1, epochs + 1) if exists(spark, f"{stage.path}/epoch-{e}")), default=0)
     if last:
         state = spark.read.parquet(f"{stage.path}/epoch-{last}").first().asDict()
         if state.pop("settings") != settings:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import reactions as kernels
-from ..operators import cgr, clusters, curation, embedding, learning, mining, numbering, policy, quality, reactions, refinement, tanimoto, training, tree
+from ..operators import cgr, clusters, curation, embedding, learning, mining, numbering, policy, quality, reactions, refinement, tanimoto, training, tree, tuning
 from ..operators import network as networks
 from ..streaming.curation import curate, kept, record_stream, statistics
 from .stage import Stage
@@ -839,18 +839,20 @@ def graph_classes(spark, d):
     return refinement.classes(refinement.graph_keys(own, own.select("graph", F.col("node").alias("a"), after.alias("b")), ["l_returnflag"]))
 
 
-def _epochs(epochs: int, rate: float, classes: int = 10, size: int = 64) -> str:
-    """SQL of full-batch training from zeros: examples x(id, y, val, f, v), weights w0 to w of the last epoch, validation losses."""
-    out = [f"w0 AS MATERIALIZED (SELECT c::INT AS c, f::INT AS f, 0.0::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS s FROM range({classes}) t(c), range({size + 1}) u(f))"]
+def _epochs(epochs: int, rate: float, classes: int = 10, size: int = 64, tag: str = "", start: str = "") -> str:
+    """SQL of full-batch training from zeros or the weights of the table start: examples x(id, y, val, f, v), weights w0 to w of the last epoch, validation losses; tag ends all names."""
+    first = f"FROM {start}" if start else f"FROM range({classes}) t(c), range({size + 1}) u(f)"
+    out = [f"w0{tag} AS MATERIALIZED (SELECT c::INT AS c, f::INT AS f, {'w' if start else '0.0::DOUBLE'} AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS s {first})"]
     for t in range(epochs + 1):
-        out.append(f"""p{t} AS MATERIALIZED (SELECT id, y, val, c, exp(z) / sum(exp(z)) OVER (PARTITION BY id) AS p FROM (SELECT id, y, val, c, sum(v * w) AS z FROM x JOIN w{t} USING (f) GROUP BY id, y, val, c)),
-v{t} AS (SELECT {t} AS t, avg(-ln(p)) AS loss FROM p{t} WHERE val AND c = y)""")
+        x, p, v, w, g, k, after = (f"{n}{tag}" for n in ("x", f"p{t}", f"v{t}", f"w{t}", f"g{t}", f"k{t}", f"w{t + 1}"))
+        out.append(f"""{p} AS MATERIALIZED (SELECT id, y, val, c, exp(z) / sum(exp(z)) OVER (PARTITION BY id) AS p FROM (SELECT id, y, val, c, sum(v * w) AS z FROM {x} JOIN {w} USING (f) GROUP BY id, y, val, c)),
+{v} AS (SELECT {t} AS t, avg(-ln(p)) AS loss FROM {p} WHERE val AND c = y)""")
         if t < epochs:
-            mean, spread = f"0.9 * w{t}.m + 0.1 * g", f"(g - (0.9 * w{t}.m + 0.1 * g))"
-            out.append(f"""g{t} AS (SELECT c, x.f, sum((p - (c = x.y)::INT) * v) / (SELECT count(DISTINCT id) FROM x WHERE NOT val) AS g FROM p{t} JOIN x USING (id) WHERE NOT x.val GROUP BY 1, 2),
-k{t} AS (SELECT c, f, g * least(1, 1 / sqrt(sum(g * g) OVER ())) AS g FROM g{t}),
-w{t + 1} AS MATERIALIZED (SELECT c, f, w - {rate} * m / {1 - 0.9 ** (t + 1)!r} / (sqrt(s / {1 - 0.999 ** (t + 1)!r}) + 1e-8) AS w, m, s
-    FROM (SELECT w{t}.c, w{t}.f, w{t}.w, {mean} AS m, 0.999 * w{t}.s + 0.001 * {spread} * {spread} + 1e-8 AS s FROM w{t} JOIN k{t} USING (c, f)))""")
+            mean, spread = f"0.9 * {w}.m + 0.1 * g", f"(g - (0.9 * {w}.m + 0.1 * g))"
+            out.append(f"""{g} AS (SELECT c, {x}.f, sum((p - (c = {x}.y)::INT) * v) / (SELECT count(DISTINCT id) FROM {x} WHERE NOT val) AS g FROM {p} JOIN {x} USING (id) WHERE NOT {x}.val GROUP BY 1, 2),
+{k} AS (SELECT c, f, g * least(1, 1 / sqrt(sum(g * g) OVER ())) AS g FROM {g}),
+{after} AS MATERIALIZED (SELECT c, f, w - {rate} * m / {1 - 0.9 ** (t + 1)!r} / (sqrt(s / {1 - 0.999 ** (t + 1)!r}) + 1e-8) AS w, m, s
+    FROM (SELECT {w}.c, {w}.f, {w}.w, {mean} AS m, 0.999 * {w}.s + 0.001 * {spread} * {spread} + 1e-8 AS s FROM {w} JOIN {k} USING (c, f)))""")
     return ",\n".join(out)
 
 
@@ -861,3 +863,35 @@ def softmax_policy(spark, d):
     own = read(spark, d, "embeddings").withColumn("val", F.col("vec_id") % 5 == 0)
     model, _ = training.train(own, "embedding", "label", "val", 10, 64, 3, rate=0.05)
     return model.select("class", "feature", F.round("weight", 6).alias("weight"))
+
+
+def _rounds(rounds: int, epochs: int, rate: float) -> str:
+    """SQL of value tuning: a round's customers try their two orders of highest value by the round before, and its weights are trained on these."""
+    out = ["c0 AS (SELECT c::INT AS c, f::INT AS f, 0.0::DOUBLE AS w FROM range(2) t(c), range(4) u(f))"]
+    for r in range(1, rounds + 1):
+        losses, weights = (" UNION ALL ".join(q.format(t=t, r=r) for t in range(epochs + 1)) for q in ("SELECT * FROM v{t}_{r}", "SELECT {t} AS t, c, f, w FROM w{t}_{r}"))
+        w = [f"(SELECT sum(w * (2 * c - 1)) FROM c{r - 1} WHERE f = {f})" for f in range(4)]
+        value = f"1 / (1 + exp(-(x0 * {w[0]} + x1 * {w[1]} + x2 * {w[2]} + {w[3]})))"
+        out.append(f"""t_{r} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY {value} DESC, id) AS place FROM o WHERE round = {r}),
+x_{r} AS MATERIALIZED (SELECT id, y, val, unnest(range(4))::INT AS f, unnest([x0, x1, x2, 1]) AS v FROM t_{r} WHERE place <= 2),
+{_epochs(epochs, rate, 2, 3, f"_{r}", f"c{r - 1}")},
+b{r} AS (SELECT arg_min(t, loss) AS t FROM ({losses})),
+c{r} AS MATERIALIZED (SELECT c, f, w FROM ({weights}) JOIN b{r} USING (t))""")
+    return ",\n".join(out)
+
+
+@query(f"""WITH o AS MATERIALIZED (SELECT o_orderkey AS id, o_custkey AS customer, o_custkey % 3 + 1 AS round, (o_orderstatus = 'F')::INT AS y, o_orderkey % 5 < 2 AS val,
+    ln(o_totalprice) / 10 AS x0, month(o_orderdate) / 12 AS x1, left(o_orderpriority, 1)::INT / 5 AS x2 FROM orders),
+{_rounds(3, 4, 0.05)} SELECT c AS class, f AS feature, round(w, 6) AS weight FROM c3""")
+def value_tuning(spark, d):
+    orders = read(spark, d, "orders")
+    features = F.array(F.log("o_totalprice") / 10, F.month("o_orderdate") / 12, F.left("o_orderpriority", F.lit(1)).cast("int") / 5)
+
+    def plan(batch, value):
+        tried = orders.join(batch.select("o_custkey"), "o_custkey").withColumn("features", features).withColumn("value", value(F.col("features")))
+        place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("value"), "o_orderkey"))
+        return tried.withColumn("place", place).where("place <= 2").select(F.col("o_orderkey").alias("key"), "features", (F.col("o_orderstatus") == "F").cast("int").alias("label"), (F.col("o_orderkey") % 5 < 2).alias("val"))
+
+    targets = orders.select("o_custkey", (F.col("o_custkey") % 3 + 1).alias("round")).distinct()
+    model, _ = tuning.tune(targets, plan, 3, epochs=4, ratio=None, rate=0.05)
+    return model.select("class", "feature", F.round("weight", 6).alias("weight"))
