@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import reactions as kernels
-from ..operators import cgr, clusters, curation, embedding, learning, mining, numbering, policy, quality, reactions, refinement, tanimoto, training, tree, tuning
+from ..operators import cgr, clusters, curation, embedding, learning, mapping, mining, numbering, policy, quality, reactions, refinement, tanimoto, training, tree, tuning
 from ..operators import network as networks
 from ..streaming.curation import curate, kept, record_stream, statistics
 from .stage import Stage
@@ -895,3 +895,24 @@ def value_tuning(spark, d):
     targets = orders.select("o_custkey", (F.col("o_custkey") % 3 + 1).alias("round")).distinct()
     model, _ = tuning.tune(targets, plan, 3, epochs=4, ratio=None, rate=0.05)
     return model.select("class", "feature", F.round("weight", 6).alias("weight"))
+
+
+# a supplier is a reaction; lines score a part's atom and an order's atom by price, in one direction or the other; both sides are rings
+@query("""WITH l AS (SELECT l_suppkey AS reaction, l_partkey % 25 AS p, 100 + l_orderkey % 25 AS r, max(CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice END) AS v, max(CASE WHEN l_linenumber % 2 = 1 THEN l_extendedprice END) AS w
+    FROM lineitem GROUP BY 1, 2, 3),
+s AS (SELECT reaction, p, r, coalesce(v, 0) + coalesce(w, 0) AS score FROM l WHERE p % 3 = r % 3 UNION ALL SELECT DISTINCT reaction, p, NULL, 0 FROM l UNION ALL SELECT DISTINCT reaction, -1000, NULL, 0 FROM l),
+m AS (WITH RECURSIVE t(reaction, p, r, score, scope, i, j) AS (
+    SELECT reaction, p, r, score, false, NULL::BIGINT, NULL::BIGINT FROM s
+    UNION ALL SELECT reaction, p, r, CASE WHEN p_near AND r - 100 IN ((bj - 99) % 25, (bj - 76) % 25) THEN score * 1.75::DOUBLE ELSE score END, scope OR p_near, bi, bj
+    FROM (SELECT *, p IN ((bi + 1) % 25, (bi + 24) % 25) AS p_near FROM (SELECT *, -best.p AS bi, -best.r AS bj, best.score AS high
+        FROM (SELECT *, max(struct_pack(scope := scope, score := score, p := -p, r := coalesce(-r, -1000))) OVER (PARTITION BY reaction) AS best FROM t)))
+    WHERE high > 1e-8 AND p <> bi AND (r IS NULL OR r <> bj))
+    SELECT DISTINCT reaction, i, j FROM t WHERE i IS NOT NULL)
+SELECT a.reaction, a.p AS atom, max(j) AS mapped FROM (SELECT DISTINCT reaction, p FROM l) a LEFT JOIN m ON m.reaction = a.reaction AND m.i = a.p GROUP BY 1, 2""")
+def mapped_atoms(spark, d):
+    line = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("reaction"), (F.col("l_partkey") % 25).alias("p"), (F.col("l_orderkey") % 25).alias("k"), (F.col("l_linenumber") % 2 == 0).alias("forth"), "l_extendedprice").withColumn("r", F.col("k") + 100)
+    attention = line.select("reaction", F.when(F.col("forth"), F.col("p")).otherwise(F.col("r")).alias("a"), F.when(F.col("forth"), F.col("r")).otherwise(F.col("p")).alias("b"), F.col("l_extendedprice").alias("value"))
+    own = line.select("reaction", F.col("p").alias("atom"), F.lit("product").alias("side"), (F.col("p") % 3).alias("element"))
+    atoms = own.union(line.select("reaction", "r", F.lit("reactant"), F.col("r") % 3)).distinct()
+    ring = F.floor(F.col("atom") / 100) * 100 + (F.col("atom") % 100 + 1) % 25
+    return mapping.map_atoms(mapping.pair_scores(attention, atoms), atoms, atoms.select("reaction", F.col("atom").alias("a"), ring.alias("b")))
