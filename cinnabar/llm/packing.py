@@ -14,6 +14,7 @@ carried.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable
 
@@ -75,10 +76,19 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
 
 
+#: What a tokenizer that works on words alone may be made of; it must also give the same ids for PROBES in whole and by words.
+NORMALIZERS, SPLITTERS = {"NFC", "Replace", "Lowercase"}, {"Split", "ByteLevel"}
+PROBES = (
+    "The QUICK brown fox, it's 12.5 km (or 3) away: don't stop!!", "  two  spaces\n\nlines \t tab\r\n end ", "Ünïted ÀÉÎ straße naïve coöperate ÿ Þorn", "a,b;c x-y_z a.b.c 'quoted' \"said\" #tag $5 50% A&B",
+    "e\u0301 cafe\u0301 \u00a0nbsp\u00a0 \u2028 line \u3000 wide", "日本語 текст עברית 🙂🙂 İstanbul ﬁne", "supercalifragilistic" * 4, "", " ", "\n", "we're WE'LL they've I'd i'm", "\x00 \x1f \x7f \x85 x",
+)
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizer whose tokens never cross white space and that drops it.
+    """Ids of whole texts by a file of the tokenizers library, without its truncation and padding.
 
-    The distinct words between spaces and line feeds of many texts are found at once. A word of plain
+    Most vocabularies' tokens never cross white space, which they drop, and letters are lower-cased; whether
+    that is so is read from the file and tried on PROBES, and any other tokenizer is given whole texts. For these the distinct words between spaces and line feeds of many texts are found at once. A word of plain
     letters is given to the tokenizer's model in the model's byte letters; marks behind it and every other
     word go to the tokenizer whole. Bounded caches keep both.
     """
@@ -87,13 +97,37 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.stems, self.words = Cache(most, self._letters), Cache(most // 2, self._whole)
         letters = byte_letters()
         self.table = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        self.by_words = self._splits(path) and all(np.array_equal(a, b) for a, b in zip(self._by_words(pa.array(PROBES)), map(self._ids, PROBES), strict=True))
+
+    @staticmethod
+    def _splits(path: str) -> bool:
+        """Whether the file describes byte-level pairs without chance over lower-cased words, and no added token holds white space."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+
+        def parts(step: dict | None) -> list[dict]:
+            inner = (step or {}).get("normalizers") or (step or {}).get("pretokenizers")
+            return [q for p in inner for q in parts(p)] if inner else [step] if step else []
+
+        normalizers, splitters, model = parts(spec["normalizer"]), parts(spec["pre_tokenizer"]), spec["model"]
+        known = {p["type"] for p in normalizers} <= NORMALIZERS and {p["type"] for p in splitters} == SPLITTERS
+        return (
+            known and "Lowercase" in {p["type"] for p in normalizers} and all(p["content"] == " " for p in normalizers if p["type"] == "Replace")
+            and all(p["behavior"] == "Removed" for p in splitters if p["type"] == "Split") and not any(p["add_prefix_space"] for p in splitters if p["type"] == "ByteLevel")
+            and model.get("type") == "BPE" and not model.get("dropout") and not any(set(t["content"]) & set(" \n") for t in spec["added_tokens"])
+        )
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self._ids(text).tobytes()
 
     def _letters(self, stem: str) -> bytes:
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(stem if stem.isascii() else stem.translate(self.table))])
@@ -113,6 +147,9 @@ class Encoder:
         return Ragged(both.flat, both.lengths.reshape(-1, 2).sum(axis=1))
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        return self._by_words(texts) if self.by_words else [self._ids(t or "") for t in texts.to_pylist()]
+
+    def _by_words(self, texts: pa.Array) -> list[np.ndarray]:
         split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
         words = split.flatten().dictionary_encode()
         out = self._distinct(words.dictionary).take(words.indices.to_numpy())
