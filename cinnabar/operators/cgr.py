@@ -69,7 +69,7 @@ def components(bonds: DataFrame) -> DataFrame:
         return (len(parts(near)),)
 
     own = bonds.groupBy("rxn_idx").agg(F.collect_list(F.struct("a", "b")).alias("_pairs"))
-    return arrow.add(own, ["_pairs"], "parts long", count).drop("_pairs")
+    return arrow.add(own, ["_pairs"], "parts long", count, spread=False).drop("_pairs")
 
 
 def strategic_graph(bonds: DataFrame) -> DataFrame:

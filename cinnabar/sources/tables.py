@@ -116,7 +116,7 @@ def read_route_trees(spark: SparkSession, path: str) -> DataFrame:
                 yield route, step, smiles
 
     files = spark.read.text(path, wholetext=True)
-    return arrow.expand(files, ["value"], [], "route_id long, step_id int, smiles string", run)
+    return arrow.expand(files, ["value"], [], "route_id long, step_id int, smiles string", run, spread=False)
 
 
 def _tree(steps: list[tuple[int, str]]) -> str | None:
@@ -149,7 +149,7 @@ def _tree(steps: list[tuple[int, str]]) -> str | None:
 def route_trees(steps: DataFrame) -> DataFrame:
     """(route_id, tree): JSON of each route; a route's steps, few by nature, are gathered."""
     own = steps.groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("step_id", "smiles"))).alias("_steps"))
-    return arrow.add(own, ["_steps"], "tree string", lambda s: (_tree([(x["step_id"], x["smiles"]) for x in s]),)).drop("_steps")
+    return arrow.add(own, ["_steps"], "tree string", lambda s: (_tree([(x["step_id"], x["smiles"]) for x in s]),), spread=False).drop("_steps")
 
 
 def route_levels(trees: DataFrame) -> DataFrame:
