@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.stage import parted
+
 KEY = ["rxn_idx", "a", "b"]
 
 
 def compose(reactants: DataFrame, products: DataFrame) -> DataFrame:
-    """Full outer join of the sides' bonds (rxn_idx, a, b, ord), made unique by their least order, as one aggregation of both."""
+    """Full outer join of the sides' bonds (rxn_idx, a, b, ord), made unique by their least order, as one aggregation of both.
+
+    Bonds are dealt by reaction, over more tasks the more there are; what is grouped by reaction afterwards stays where it is.
+    """
     none = F.lit(None).cast(reactants.schema["ord"].dataType)
     both = reactants.select(*KEY, "ord", none.alias("p_ord")).unionByName(products.select(*KEY, none.alias("ord"), F.col("ord").alias("p_ord")))
-    return both.groupBy(*KEY).agg(F.min("ord").alias("ord"), F.min("p_ord").alias("p_ord"))
+    return parted(both, "rxn_idx").groupBy(*KEY).agg(F.min("ord").alias("ord"), F.min("p_ord").alias("p_ord"))
 
 
 def changed():

@@ -9,7 +9,7 @@ from ..functions import reactions as kernels
 from ..operators import cgr, clusters, curation, embedding, learning, mapping, mining, numbering, policy, quality, reactions, refinement, tanimoto, training, tree, tuning
 from ..operators import network as networks
 from ..streaming.curation import curate, kept, record_stream, statistics
-from .stage import Stage
+from .stage import Stage, parted
 
 RULES, ORACLES = {}, {}
 
@@ -474,7 +474,8 @@ def bond_change_pairs(spark, d):
 
 @query(f"WITH {BONDS}, q AS (SELECT l_orderkey AS rxn_idx, l_suppkey AS atom, min(l_linenumber % 2) AS charge, max(l_linenumber % 2) AS p_charge FROM lineitem GROUP BY 1, 2) SELECT DISTINCT rxn_idx, unnest([a, b]) AS atom FROM bonds WHERE ord IS DISTINCT FROM p_ord UNION SELECT rxn_idx, atom FROM q WHERE charge <> p_charge")
 def center_with_charges(spark, d):
-    atoms = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("rxn_idx"), F.col("l_suppkey").alias("atom")).agg(F.min(F.col("l_linenumber") % 2).alias("charge"), F.max(F.col("l_linenumber") % 2).alias("p_charge"))
+    line = parted(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("rxn_idx"), F.col("l_suppkey").alias("atom"), (F.col("l_linenumber") % 2).alias("c")), "rxn_idx")
+    atoms = line.groupBy("rxn_idx", "atom").agg(F.min("c").alias("charge"), F.max("c").alias("p_charge"))
     return cgr.center_with_charges(bonds(spark, d), atoms)
 
 
@@ -591,8 +592,9 @@ def reaction_curation(spark, d):
 @query(f"WITH {ESTERS} SELECT idx, 'reactant' AS side, (a + b + 4)::BIGINT AS atoms, (a + b + 2)::BIGINT AS bonds FROM est UNION ALL SELECT idx, 'product', (a + b + 4)::BIGINT, (a + b + 2)::BIGINT FROM est")
 def reaction_tables(spark, d):
     own = esterifications(spark, d)
-    n = reactions.atoms(own, "smiles", ["idx"]).groupBy("idx", "side").agg(F.count("*").alias("atoms"))
-    return n.join(reactions.bonds(own, "smiles", ["idx"]).groupBy("idx", "side").agg(F.count("*").alias("bonds")), ["idx", "side"])
+    kinds = [reactions.atoms(own, "smiles", ["idx"]).select("idx", "side", F.lit(1).alias("a"), F.lit(0).alias("b")), reactions.bonds(own, "smiles", ["idx"]).select("idx", "side", F.lit(0), F.lit(1))]
+    # one aggregation of both tables; sides without bonds have no row
+    return kinds[0].union(kinds[1]).groupBy("idx", "side").agg(F.sum("a").alias("atoms"), F.sum("b").alias("bonds")).where("bonds > 0")
 
 
 @query(f"WITH {ESTERS} SELECT idx, 20 AS a, 22 AS b, 1 AS ord, NULL::INT AS p_ord FROM est UNION ALL SELECT idx, 20, 40, NULL, 1 FROM est")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -32,3 +33,16 @@ class Stage:
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of one task of an exchange that parted deals.
+TASK_ROWS = 500_000
+
+
+def parted(df: DataFrame, *keys: str, rows: int = TASK_ROWS) -> DataFrame:
+    """df dealt by keys over so many partitions that a task has about so many rows, however large the table is.
+
+    What is grouped by keys, or by more columns, then needs no exchange of its own. df is counted first, so it should be cheap to read.
+    """
+    n = df.count()
+    return df.repartition(max(math.ceil(n / rows), min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n / 10_000)), 1), *keys)
