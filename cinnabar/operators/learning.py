@@ -34,6 +34,21 @@ def tanimoto(a: Column, b: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(a, b)) / F.when(union > 0, union), F.lit(0.0))
 
 
+def bit_words(bits: Column, size: int) -> list[Column]:
+    """An array of numbers from 1 to size as a set in columns of 63 bits, which one instruction compares."""
+    one = F.lit(1).cast("long")
+    word = lambda w: F.aggregate(F.filter(bits, lambda i: F.floor((i - 1) / 63) == w), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(F.call_function("shiftleft", one, ((i - 1) % 63).cast("int"))))
+    return [word(w) for w in range(max(1, -(-size // 63)))]
+
+
+def word_tanimoto(a: list[Column], b: list[Column]) -> Column:
+    """As tanimoto, of sets in bit_words."""
+    both = sum((F.bit_count(x.bitwiseAND(y)) for x, y in zip(a, b, strict=True)), F.lit(0))
+    total = sum((F.bit_count(x.bitwiseOR(y)) for x, y in zip(a, b, strict=True)), F.lit(0))
+    return F.coalesce(both / F.when(total > 0, total), F.lit(0.0))
+
+
+
 def tanimoto_vectors(a: Column, b: Column) -> Column:
     """dot / (x squared + y squared - dot); 0 if that is 0."""
 
