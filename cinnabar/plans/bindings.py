@@ -797,9 +797,9 @@ k AS (SELECT * FROM s WHERE element <> ''), n AS (SELECT id, count(*) AS n FROM
 p AS (SELECT a.id AS query, b.id AS id, count(*) AS both_ FROM k a JOIN k b ON a.element = b.element AND a.id <> b.id WHERE a.id % 20 = 0 GROUP BY 1, 2)
 SELECT query, p.id, both_ AS "both", x.n + y.n - both_ AS total FROM p JOIN n x ON x.id = query JOIN n y ON y.id = p.id WHERE both_ * 100 >= 60 * (x.n + y.n - both_)""")
 def tanimoto_search(spark, d):
-    words = F.explode(F.split("text", r"[\x20\x09-\x0D]+", -1)).alias("element")
-    sets = read(spark, d, "documents").select(F.col("doc_id").alias("id"), words).where("element <> ''")
-    return tanimoto.similar(sets, sets.where("id % 20 = 0").select("id"), 60)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda x: x != "")
+    sets = read(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("elements"), (F.col("doc_id") % 20 == 0).alias("asked"))
+    return tanimoto.similar_sets(sets, 60)
 
 
 WEIGHTS = [embedding.even_weights(3, 4), embedding.even_weights(4, 2, 1)]

@@ -1,10 +1,13 @@
 """Tanimoto search against all pairs, and message passing against numpy."""
 
+import io
 import random
 from collections import defaultdict
+from contextlib import redirect_stdout
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cinnabar.operators import embedding, tanimoto
 
@@ -47,6 +50,27 @@ def test_index_grows_with_the_sets_not_with_pairs(spark):
     assert index.count() == 3000 and index.where("element < 0").count() == 0
 
 
+def test_pairs_that_meet_are_not_shuffled(spark, monkeypatch):
+    """Sets in many blocks, with elements that share their first hashes: only similar pairs leave a task."""
+    plain, seeds = tanimoto._hash, []
+
+    def shared(element, seed):
+        seeds.append(seed)
+        return F.pmod(plain(element, seed), F.lit(50)) if seed == 0 else plain(element, seed)
+
+    monkeypatch.setattr(tanimoto, "_hash", shared)
+    sets = sets_of(random.Random(1), 120)
+    rows = [(i, [*s, None, *list(s)[:2]], i % 4 == 0) for i, s in sets.items()] + [(900, [], True), (901, None, True), (None, [1], True)]
+    got = tanimoto.similar_sets(spark.createDataFrame(rows, "id long, elements array<long>, asked boolean"), 50, block=10)
+    text = io.StringIO()
+    with redirect_stdout(text):
+        got.explain()
+    assert "Exchange" not in text.getvalue() and "Join" not in text.getvalue() and 2 in seeds
+    want = {(a, b, len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in range(0, 120, 4) for b in sets if a != b and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(want) and set(found) == want and want
+
+
 def plain_embedding(atoms, bonds, layers, concat):
     out = {}
     graphs = defaultdict(dict)
