@@ -768,10 +768,13 @@ n AS (SELECT *, min((step, atom)) OVER (PARTITION BY route, name) AS first FROM
 @query(f"WITH {ATOMS} SELECT route, step, atom, dense_rank() OVER (PARTITION BY route ORDER BY first) AS number FROM n")
 def route_atom_numbers(spark, d):
     line, order = read(spark, d, "lineitem"), read(spark, d, "orders")
-    own = line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("route"), F.col("l_orderkey").alias("step"), F.col("l_partkey").alias("atom"), (F.col("l_partkey") % 50).alias("name")).distinct()
+    n = line.count()
+    own = parted(line, "l_orderkey", count=n).join(parted(order, "o_orderkey", count=n), F.col("l_orderkey") == F.col("o_orderkey"))
+    own = own.select(F.col("o_custkey").alias("route"), F.col("l_orderkey").alias("step"), F.col("l_partkey").alias("atom"), (F.col("l_partkey") % 50).alias("name"))
+    own = Stage(spark, "atoms").put(parted(own, "route", count=n).distinct(), "own")
     # each atom beside the next of its name: a chain, so that joining it needs the components
     after = Window.partitionBy("route", "name").orderBy("step", "atom")
-    same = own.select("route", F.col("step").alias("step_a"), F.col("atom").alias("atom_a"), F.lead("step").over(after).alias("step_b"), F.lead("atom").over(after).alias("atom_b"))
+    same = parted(own, "route", count=n).select("route", F.col("step").alias("step_a"), F.col("atom").alias("atom_a"), F.lead("step").over(after).alias("step_b"), F.lead("atom").over(after).alias("atom_b"))
     return numbering.route_numbers(own, same.where("step_b is not null"))
 
 

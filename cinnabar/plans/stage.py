@@ -39,10 +39,14 @@ class Stage:
 TASK_ROWS = 500_000
 
 
-def parted(df: DataFrame, *keys: str, rows: int = TASK_ROWS) -> DataFrame:
+def tasks(spark: SparkSession, n: int, rows: int = TASK_ROWS) -> int:
+    """How many tasks n rows are dealt over."""
+    return max(math.ceil(n / rows), min(spark.sparkContext.defaultParallelism, math.ceil(n / 10_000)), 1)
+
+
+def parted(df: DataFrame, *keys: str, rows: int = TASK_ROWS, count: int | None = None) -> DataFrame:
     """df dealt by keys over so many partitions that a task has about so many rows, however large the table is.
 
-    What is grouped by keys, or by more columns, then needs no exchange of its own. df is counted first, so it should be cheap to read.
+    What is grouped by keys, or by more columns, then needs no exchange of its own. Without its count df is counted first, so it should be cheap to read.
     """
-    n = df.count()
-    return df.repartition(max(math.ceil(n / rows), min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n / 10_000)), 1), *keys)
+    return df.repartition(tasks(df.sparkSession, df.count() if count is None else count, rows), *keys)

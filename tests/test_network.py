@@ -104,3 +104,28 @@ def test_leaving_groups(spark):
     cut = [(1, 1, 3, 4), (1, 2, 5, 6), (1, 3, 9, 8), (2, 1, 1, 2)]
     got = numbering.leaving_groups(spark.createDataFrame(bonds, "route int, a int, b int"), spark.createDataFrame(cut, "route int, mark int, inner int, outer int")).collect()
     assert sorted(map(tuple, got)) == [(1, 1, 1, 4, 4), (1, 2, 4, 4, 4), (1, 3, 9, 8, 1), (2, 1, 1, 2, 1)]
+
+
+def test_groups_split_among_tasks_or_not(spark):
+    """Chains of structs and texts: a group that one task takes is joined there, a larger one by stars; numbers are the same."""
+    rnd = random.Random(5)
+    atoms = [(f"r{r}", s, a) for r in range(6) for s in range(4) for a in range(1 + 3 * r)]
+    same = [(f"r{r}", s, a, t, b) for r in range(6) for s, a, t, b in ((rnd.randrange(4), rnd.randrange(1 + 3 * r), rnd.randrange(4), rnd.randrange(1 + 3 * r)) for _ in range(8))]
+    a, p = spark.createDataFrame(atoms, "route string, step int, atom long"), spark.createDataFrame(same, "route string, step_a int, atom_a long, step_b int, atom_b long")
+    root = {x: x for x in atoms}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r, *ends in same:
+        x, y = find((r, *ends[:2])), find((r, *ends[2:]))
+        root[max(x, y)] = min(x, y)
+    want = {}
+    for r in {x[0] for x in atoms}:
+        roots = sorted({find(x) for x in atoms if x[0] == r})
+        want |= {x: roots.index(find(x)) + 1 for x in atoms if x[0] == r}
+    for most in (1_000, 30, 1):
+        got = numbering.route_numbers(a, p, most).collect()
+        assert len(got) == len(want) and {tuple(x[:3]): x.number for x in got} == want
