@@ -7,8 +7,8 @@ the colours do and go; what is left falls apart into pieces that are keyed apart
 has ties each atom of its smallest tied colour is marked in a copy of its own, and the copies are refined in turn; a piece's key is made of
 those of all its copies. Copies are rows, not states of a task; a piece of n atoms has at most n copies a level, and each level parts further.
 
-Multisets are hashed by sums of 32-bit halves, so partial sums are added up before the shuffle and no row grows with an atom's bonds.
-Equality is up to hashes: colours of 64 bits within a graph, keys of 128.
+Graphs that have the same rows, numbers of atoms included, are worked on once. Multisets are hashed by sums of 32-bit halves, so partial sums are added up before the shuffle and no row grows with an atom's bonds.
+Equality is up to hashes: colours of 64 bits within a graph, forms and keys of 128.
 """
 
 from __future__ import annotations
@@ -84,6 +84,16 @@ def _pieces(stage: Stage, nodes: DataFrame, edges: DataFrame, name: str) -> tupl
     return parts, left.join(parts.select("task", F.col("node").alias("a"), "piece"), ["task", "a"])
 
 
+def _forms(atoms: DataFrame, bonds: DataFrame, labels: list[str], kind: str | None) -> DataFrame:
+    """(graph, form) of graphs that have atoms: of equal form are graphs with the same rows, by their numbers of atoms too."""
+    marks = lambda *names: [x for c in names for x in (F.col(c).isNull(), F.col(c))]
+    hashes = lambda *x: [F.xxhash64(F.lit(seed), *x).alias(f"h{seed}") for seed in (0, 1)]
+    own = atoms.dropna(subset=["graph", "node"]).select("graph", F.lit(1).alias("atom"), *hashes(F.lit("atom"), F.col("node"), *marks(*labels)))
+    ends = bonds.dropna(subset=["graph"]).where("a <> b").select("graph", F.lit(0).alias("atom"), *hashes(F.lit("bond"), F.least("a", "b"), F.greatest("a", "b"), *marks(*([kind] if kind else []))))
+    rows = own.unionByName(ends).groupBy("graph").agg(*_multiset(F.col("h0"), F.col("h1"), seeds=2), F.count("*").alias("n"), F.sum("atom").alias("atoms"))
+    return rows.where("atoms > 0").select("graph", _key("form", "n", "atoms").alias("form"))
+
+
 def graph_keys(atoms: DataFrame, bonds: DataFrame, labels: list[str], kind: str | None = None) -> DataFrame:
     """(graph, key): a text of 32 hexadecimal digits, equal for graphs that differ by the numbers of their atoms only.
 
@@ -96,6 +106,10 @@ def graph_keys(atoms: DataFrame, bonds: DataFrame, labels: list[str], kind: str
     stage = Stage(atoms.sparkSession, "refinement")
     task = F.col("graph").cast("string").alias("task")
     label = F.struct(*(F.col(c) for c in labels)) if labels else F.struct(F.lit(0))
+    # graphs with the same rows have the same key, so one of each form is worked on
+    forms = stage.put(_forms(atoms, bonds, labels, kind), "forms")
+    chosen = stage.put(forms.groupBy("form").agg(F.min("graph").alias("graph")), "chosen")
+    atoms, bonds = (df.join(chosen.select("graph"), "graph", "left_semi") for df in (atoms, bonds))
     listed = atoms.dropna(subset=["graph", "node"]).groupBy("graph", "node").agg(F.min(label).alias("l"))
     # nulls are told from values by their own mark, since hashes pass over them
     marks = [x for c in labels for x in (F.col(f"l.{c}").isNull(), F.col(f"l.{c}"))]
@@ -145,7 +159,7 @@ def graph_keys(atoms: DataFrame, bonds: DataFrame, labels: list[str], kind: str
         keys = stage.put(told.unionByName(joined), f"{level}-keys")
     if keys is None:
         keys = nodes.select("task", F.lit("").alias("key"))
-    return listed.select("graph", task).distinct().join(keys, "task").select("graph", "key")
+    return forms.join(chosen.select("form", task).join(keys, "task").select("form", "key"), "form").select("graph", "key")
 
 
 def classes(keys: DataFrame) -> DataFrame:

@@ -841,11 +841,13 @@ k AS (SELECT graph, string_agg(s, '.' ORDER BY s) AS s FROM c GROUP BY 1)
 SELECT graph, min(graph) OVER (PARTITION BY s) AS first, count(*) OVER (PARTITION BY s) AS size FROM k""")
 def graph_classes(spark, d):
     line = read(spark, d, "lineitem")
+    line = parted(line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity"), "l_orderkey", count=line.count())
     k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")) - 1
     own = line.select(F.col("l_orderkey").alias("graph"), k.alias("node"), "l_returnflag").withColumn("ring", F.when(F.col("graph") % 2 == 0, F.floor(F.col("node") / 3)).otherwise(0))
     ring = Window.partitionBy("graph", "ring")
     after = F.coalesce(F.lead("node").over(ring.orderBy("node")), F.min("node").over(ring))
-    return refinement.classes(refinement.graph_keys(own, own.select("graph", F.col("node").alias("a"), after.alias("b")), ["l_returnflag"]))
+    own = Stage(spark, "classes").put(own.withColumn("after", after).select("graph", "node", "after", "l_returnflag"), "own")
+    return refinement.classes(refinement.graph_keys(own, own.select("graph", F.col("node").alias("a"), F.col("after").alias("b")), ["l_returnflag"]))
 
 
 def _epochs(epochs: int, rate: float, classes: int = 10, size: int = 64, tag: str = "", start: str = "") -> str:

@@ -76,3 +76,15 @@ def test_odd_rows(spark):
     got = dict(map(tuple, refinement.graph_keys(atoms, bonds, ["label"]).collect()))
     assert set(got) == {"x", "y", "z"} and got["x"] == got["y"] != got["z"]
     assert refinement.graph_keys(atoms.limit(0), bonds, ["label"]).collect() == []
+
+
+def test_equal_graphs_are_worked_on_once(spark, monkeypatch):
+    """Two hundred copies of a chain and of a ring, and a chain that is numbered otherwise: three graphs are refined."""
+    seen, plain = [], refinement.refined
+    monkeypatch.setattr(refinement, "refined", lambda stage, nodes, edges, name: seen.append(nodes.count()) or plain(stage, nodes, edges, name))
+    atoms = [(g, n, "c") for g in range(401) for n in range(4)]
+    ends = lambda g: [(0, 2), (2, 1), (1, 3)] if g == 400 else [(0, 1), (1, 2), (2, 3)] + ([(3, 0)] if g % 2 else [])
+    bonds = [(g, *e) for g in range(401) for e in ends(g)]
+    keys = refinement.graph_keys(spark.createDataFrame(atoms, "graph long, node long, l string"), spark.createDataFrame(bonds, "graph long, a long, b long"), ["l"])
+    got = {tuple(r) for r in refinement.classes(keys).collect()}
+    assert got == {(g, g % 2, 200 if g % 2 else 201) for g in range(401)} and seen[0] == 12
