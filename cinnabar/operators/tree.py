@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from ..plans.stage import Stage
 
 
+def _split(stage: Stage, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of nodes that have children, and of leaves; the rounds need the first only, which are few in a tree that branches."""
+    parents = own.select(F.col("parent_id").alias("node_id")).distinct().withColumn("_inner", F.lit(True))
+    own = stage.put(own.join(parents, "node_id", "left"), "own")
+    return own.where("_inner").drop("_inner"), own.where("_inner IS NULL").drop("_inner")
+
+
 def along(nodes: DataFrame, value: Column | None = None) -> DataFrame:
     """(node_id, depth, length, total): of each node its distance to the root, and over the way from the root to it, both included,
     the number of nodes and the sum of value.
 
-    Ways double in each round, so a tree of depth d takes about log d rounds of one row a node; a node whose parent isn't in
-    the table is a root. Each round is written, which cuts the lineage.
+    Ways double in each round, so a tree of depth d takes about log d rounds of one row a node with children; leaves take theirs from
+    their parents in the end. A node whose parent isn't in the table is a root. Each round is written, which cuts the lineage.
     """
     stage = Stage(nodes.sparkSession, "along")
-    own = nodes.select("node_id", "parent_id", (F.lit(0.0) if value is None else value).cast("double").alias("total"))
+    own, leaves = _split(stage, nodes.select("node_id", "parent_id", (F.lit(0.0) if value is None else value).cast("double").alias("total")))
     known = own.select(F.col("node_id").alias("parent_id"), F.col("node_id").alias("up"))
     # up: the node above the part of the way that total and length cover
     state = stage.put(own.join(known, "parent_id", "left").select("node_id", "up", F.lit(1).cast("long").alias("length"), "total"), "0")
@@ -28,15 +35,19 @@ def along(nodes: DataFrame, value: Column | None = None) -> DataFrame:
         state = stage.put(done.unionByName(more), str(i + 1))
         stage.drop(str(i))
         i += 1
-    return state.select("node_id", (F.col("length") - 1).alias("depth"), "length", "total")
+    above = state.select(F.col("node_id").alias("parent_id"), F.col("length").alias("_length"), F.col("total").alias("_total"))
+    last = leaves.join(above, "parent_id", "left").select("node_id", (F.coalesce("_length", F.lit(0)) + 1).alias("length"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"))
+    return state.select("node_id", "length", "total").unionByName(last).select("node_id", (F.col("length") - 1).alias("depth"), "length", "total")
 
 
 def below(nodes: DataFrame, value: Column) -> DataFrame:
-    """(node_id, total): the sum of value over each node and all nodes below it, by rounds as in along."""
+    """(node_id, total): the sum of value over each node and all nodes below it, by rounds as in along; leaves are added to their parents first."""
     stage = Stage(nodes.sparkSession, "below")
-    own = nodes.select("node_id", "parent_id", value.cast("long").alias("total"))
+    own, leaves = _split(stage, nodes.select("node_id", "parent_id", value.cast("long").alias("total")))
     known = own.select(F.col("node_id").alias("parent_id"), F.col("node_id").alias("up"))
-    state = stage.put(own.join(known, "parent_id", "left").select("node_id", "up", "total"), "0")
+    ends = leaves.groupBy(F.col("parent_id").alias("node_id")).agg(F.sum("total").alias("_ends"))
+    first = own.join(ends, "node_id", "left").withColumn("total", F.col("total") + F.coalesce("_ends", F.lit(0)))
+    state = stage.put(first.join(known, "parent_id", "left").select("node_id", "up", "total"), "0")
     i = 0
     while state.where("up IS NOT NULL").limit(1).count():
         # total covers the nodes up to 2^i - 1 steps below; those of the nodes 2^i steps below are added
@@ -47,7 +58,7 @@ def below(nodes: DataFrame, value: Column) -> DataFrame:
         state = stage.put(moved.select("node_id", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_given", F.lit(0))).alias("total")), str(i + 1))
         stage.drop(str(i))
         i += 1
-    return state.select("node_id", "total")
+    return state.select("node_id", "total").unionByName(leaves.select("node_id", "total"))
 
 
 def walks(nodes: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -214,11 +225,11 @@ def tree_statistics(nodes: DataFrame) -> DataFrame:
 
 def winning_summary(nodes: DataFrame) -> DataFrame:
     """(best_score, mean_rank) over all solved nodes: the best route score, and the mean rank of the rules on their ways."""
-    ranks = rule_ranks(nodes).join(nodes.select("node_id", "parent_id"), ["node_id", "parent_id"])
-    roots = nodes.join(nodes.select(F.col("node_id").alias("parent_id")), "parent_id", "left_anti").select("node_id")
-    below_root = ranks.join(roots, "node_id", "left_anti")
+    nodes = nodes.select("node_id", "parent_id", "total_value", "solved", F.rank().over(Window.partitionBy("parent_id").orderBy(F.desc("prob"))).cast("long").alias("rule_rank"))
+    nodes = Stage(nodes.sparkSession, "winning").put(nodes, "nodes")
     # each solved node counts every node on its way once, so a node counts as often as solved nodes lie at or below it
     passes = below(nodes, F.col("solved").cast("int")).where("total > 0")
+    below_root = nodes.join(nodes.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi").select("node_id", "rule_rank")
     mean = below_root.join(passes, "node_id").agg((F.sum(F.col("rule_rank") * F.col("total")) / F.sum("total")).alias("m"))
     best = route_scores(nodes).agg(F.max("score").alias("b"))
     return best.crossJoin(mean).select(F.round("b", 6).alias("best_score"), F.round("m", 2).alias("mean_rank"))  # one row each
