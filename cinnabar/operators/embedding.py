@@ -1,7 +1,7 @@
 """Graph embeddings by message passing over atom and bond tables: a vertex program of send, add up, update and pool.
 
-A layer joins bonds with the features of their ends, adds up what each atom is sent, and applies given weights; all
-graphs at once, two aggregations a layer at most, nothing collected. Features are columns, so sums stay in generated code.
+A layer joins bonds with the features of their ends, adds up what each atom is sent together with its own row, and applies given weights; all
+graphs at once, one join and one aggregation a layer, nothing collected. Features are columns, so sums stay in generated code.
 """
 
 from __future__ import annotations
@@ -35,20 +35,34 @@ def features(atoms: DataFrame, columns: Sequence[str]) -> DataFrame:
     return atoms.select("graph", "node", *(F.log1p(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(n) for c, n in zip(columns, _names(len(columns)), strict=True)))
 
 
-def degrees(nodes: DataFrame, both: DataFrame) -> DataFrame:
-    """(graph, node, scale): 1 / sqrt(1 + bonds) of each atom."""
-    bonds = both.groupBy("graph", F.col("a").alias("node")).agg(F.count("*").alias("d"))
-    return nodes.select("graph", "node").join(bonds, ["graph", "node"], "left").select("graph", "node", (1 / F.sqrt(1.0 + F.coalesce("d", F.lit(0)))).alias("scale"))
+def _received(nodes: DataFrame, both: DataFrame, own: list[str], sent: list[str], *sums: Column) -> DataFrame:
+    """(graph, node, own, sums) over the sent columns of each listed atom's neighbours; own columns are those of the atom, whose row is marked."""
+    names = ["graph", "node", *own, *sent]
+    given = nodes.select("graph", F.col("node").alias("b"), *sent)
+    around = both.join(given, ["graph", "b"]).select("graph", F.col("a").alias("node"), *(F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in own), *sent, F.lit(False).alias("_listed"))
+    rows = nodes.select(*names, F.lit(True).alias("_listed")).unionByName(around)
+    return rows.groupBy("graph", "node").agg(F.max("_listed").alias("_listed"), *(F.max(c).alias(c) for c in own), *sums).where("_listed").drop("_listed")
 
 
-def convolve(nodes: DataFrame, both: DataFrame, scale: DataFrame, weights: Matrix, bias: Sequence[float]) -> DataFrame:
-    """One layer: relu of (normalised sum over neighbours and the atom itself) · weights + bias."""
-    names = _names(len(weights))
-    own = nodes.join(scale, ["graph", "node"]).select("graph", "node", *((F.col(n) * F.col("scale")).alias(n) for n in names), "scale")
-    sent = both.join(own.drop("scale"), (both.graph == own.graph) & (both.b == own.node)).select(both.graph, F.col("a").alias("node"), *names)
-    summed = sent.unionByName(own.drop("scale")).groupBy("graph", "node").agg(*(F.sum(n).alias(n) for n in names)).join(scale, ["graph", "node"])
-    made = _times(weights, [F.col(n) * F.col("scale") for n in names], bias)
-    return summed.select("graph", "node", *(_relu(c).alias(n) for c, n in zip(made, _names(len(bias)), strict=True)))
+def scaled(nodes: DataFrame, both: DataFrame) -> DataFrame:
+    """nodes with scale: 1 / sqrt(1 + bonds) of each atom, of bonds between listed atoms."""
+    counted = _received(nodes, both, [c for c in nodes.columns if c not in ("graph", "node")], [], F.count("*").alias("_d"))
+    return counted.withColumn("scale", 1 / F.sqrt(F.col("_d").cast("double"))).drop("_d")  # the atom's own row is the one that is added
+
+
+def convolve(nodes: DataFrame, both: DataFrame, weights: Matrix, bias: Sequence[float]) -> DataFrame:
+    """One layer over (graph, node, x0, ..., scale): relu of (normalised sum over neighbours and the atom itself) · weights + bias."""
+    names, made = _names(len(weights)), _names(len(bias))
+    inner = [F.col(n) * F.col("scale") for n in names]
+    early = len(made) < len(names)  # sums of products are products of sums: the fewer columns are sent
+    sent = _times(weights, inner, [0.0] * len(made)) if early else inner
+    own = nodes.select("graph", "node", *(c.alias(n) for c, n in zip(sent, made if early else names, strict=True)), "scale")
+    summed = _received(own, both, ["scale"], made if early else names, *(F.sum(n).alias(n) for n in (made if early else names)))
+    if early:
+        out = [F.col(n) * F.col("scale") + F.lit(float(x)) for n, x in zip(made, bias, strict=True)]
+    else:
+        out = _times(weights, [F.col(n) * F.col("scale") for n in names], bias)
+    return summed.select("graph", "node", *(_relu(c).alias(n) for c, n in zip(out, made, strict=True)), "scale")
 
 
 def embed(atoms: DataFrame, bonds: DataFrame, columns: Sequence[str], layers: Sequence[tuple[Matrix, Sequence[float]]], concat: bool = False) -> DataFrame:
@@ -60,15 +74,13 @@ def embed(atoms: DataFrame, bonds: DataFrame, columns: Sequence[str], layers: Se
     without bonds keeps its own features; empty tables give no rows.
     """
     stage = Stage(atoms.sparkSession, "embedding")
-    nodes = stage.put(features(atoms.dropDuplicates(["graph", "node"]), columns), "0")
+    nodes = stage.put(features(atoms.dropDuplicates(["graph", "node"]), columns), "atoms")
     ends = bonds.where("a <> b").select("graph", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = nodes.select("graph", "node")
-    ends = ends.join(known.withColumnRenamed("node", "a"), ["graph", "a"]).join(known.withColumnRenamed("node", "b"), ["graph", "b"])
-    both = stage.put(ends.select("graph", "a", "b").unionByName(ends.select("graph", F.col("b").alias("a"), F.col("a").alias("b"))), "bonds")
-    scale = stage.put(degrees(nodes, both), "scale")
+    both = stage.put(ends.unionByName(ends.select("graph", F.col("b").alias("a"), F.col("a").alias("b"))), "bonds")
+    nodes = stage.put(scaled(nodes, both), "0")
     seen = []
     for i, (weights, bias) in enumerate(layers, 1):
-        nodes = stage.put(convolve(nodes, both, scale, weights, bias), str(i))
+        nodes = stage.put(convolve(nodes, both, weights, bias), str(i))
         seen.append(nodes.groupBy("graph").agg(*(F.sum(n).alias(n) for n in _names(len(bias)))))
     if not concat or len(seen) < 2:
         return seen[-1] if seen else nodes.groupBy("graph").agg(*(F.sum(n).alias(n) for n in _names(len(columns))))

@@ -826,8 +826,10 @@ s AS (SELECT a.graph, a.node, 1 / sqrt(1 + count(u.b)) AS scale FROM a LEFT JOIN
 {_layer('a', WEIGHTS[0], 'h1')}, {_layer('h1', WEIGHTS[1], 'h2')} SELECT graph, round(sum(x0), 6) AS x0, round(sum(x1), 6) AS x1 FROM h2 GROUP BY graph""")
 def graph_embeddings(spark, d):
     line = read(spark, d, "lineitem")
-    atoms = line.groupBy(F.col("l_orderkey").alias("graph"), F.col("l_partkey").alias("node")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"), F.max("l_linenumber").alias("k"))
-    bonds = atoms.select("graph", F.col("node").alias("a"), F.lead("node").over(Window.partitionBy("graph").orderBy("node")).alias("b")).where("b is not null")
+    atoms = parted(line.select("l_orderkey", "l_partkey", "l_quantity", "l_linenumber"), "l_orderkey", count=line.count())
+    atoms = atoms.groupBy(F.col("l_orderkey").alias("graph"), F.col("l_partkey").alias("node")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"), F.max("l_linenumber").alias("k"))
+    atoms = Stage(spark, "embedded").put(atoms.withColumn("next", F.lead("node").over(Window.partitionBy("graph").orderBy("node"))), "atoms")
+    bonds = atoms.select("graph", F.col("node").alias("a"), F.col("next").alias("b")).where("b is not null")
     out = embedding.embed(atoms, bonds, ["n", "q", "k"], WEIGHTS)
     return out.select("graph", *(F.round(c, 6).alias(c) for c in ("x0", "x1")))
 

@@ -104,3 +104,16 @@ def test_embeddings_are_those_of_numpy(spark, concat):
     want = plain_embedding(atoms, bonds, layers, concat)
     assert set(got) == set(want) and all(np.allclose(got[g], want[g], atol=1e-9) for g in want)
     assert embedding.embed(a.limit(0), b.limit(0), ["p", "q"], layers, concat).collect() == []
+
+
+def test_a_layer_is_one_join_and_the_fewer_columns_are_sent(spark):
+    atoms = spark.createDataFrame([(g, n, 1.0, 2.0, 3.0, 0.5) for g in range(9) for n in range(3)], "graph long, node long, x0 double, x1 double, x2 double, scale double")
+    both = spark.createDataFrame([(g, 0, 1) for g in range(9)] + [(g, 1, 0) for g in range(9)], "graph long, a long, b long")
+    out = embedding.convolve(atoms, both, *embedding.even_weights(3, 1))
+    text = io.StringIO()
+    with redirect_stdout(text):
+        out.explain()
+    assert text.getvalue().count("Join ") == 1 and text.getvalue().count("sum(") == text.getvalue().count("sum(x0") > 0
+    (weights, _) = embedding.even_weights(3, 1)
+    own = 0.25 * sum(x * w[0] for x, w in zip((1.0, 2.0, 3.0), weights, strict=True))
+    assert {(r.node, round(r.x0, 9)) for r in out.collect()} == {(n, round(max(0, own * (2 if n < 2 else 1)), 9)) for n in range(3)}
