@@ -51,7 +51,10 @@ def routes(targets: DataFrame, solved: DataFrame, parts: DataFrame) -> DataFrame
     joins what the round before added. Targets that can't be made give no rows.
     """
     stage = Stage(solved.sparkSession, "routes")
-    parts = parts.select("reaction", F.col("part").alias("molecule")).dropna().distinct()
+    # both are read once a round, so what they are made of is worked out once
+    solved = stage.put(solved, "solved")
+    chosen = solved.where("reaction is not null").select("reaction").distinct()
+    parts = stage.put(parts.select("reaction", F.col("part").alias("molecule")).dropna().join(chosen, "reaction", "left_semi").distinct(), "parts")
     new = targets.select("target").dropna().distinct().join(solved, F.col("target") == F.col("molecule")).select("target", "molecule", "depth", "reaction")
     new = stage.put(new, "0")
     found, level = new, 0

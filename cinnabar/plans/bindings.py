@@ -738,7 +738,8 @@ solved(molecule, depth, reaction) USING KEY (molecule) AS (
 def network(spark, d):
     line = read(spark, d, "lineitem")
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    lines = line.select(F.col("l_orderkey").alias("reaction"), F.col("l_partkey").alias("molecule"), place.alias("k"))
+    line = parted(line.select("l_orderkey", "l_partkey", "l_linenumber"), "l_orderkey", count=line.count())
+    lines = Stage(spark, "lines").put(line.select(F.col("l_orderkey").alias("reaction"), F.col("l_partkey").alias("molecule"), place.alias("k")), "lines")
     stock = read(spark, d, "part").where("p_size % 7 < 3").select(F.col("p_partkey").alias("molecule"))
     return lines.where("k = 1").select("reaction", F.col("molecule").alias("product")), lines.where("k > 1").select("reaction", F.col("molecule").alias("part")), stock
 

@@ -129,3 +129,15 @@ def test_groups_split_among_tasks_or_not(spark):
     for most in (1_000, 30, 1):
         got = numbering.route_numbers(a, p, most).collect()
         assert len(got) == len(want) and {tuple(x[:3]): x.number for x in got} == want
+
+
+def test_routes_work_out_the_parts_once(spark, monkeypatch):
+    """A chain of six reactions: parts are written once, those of chosen reactions only, and rounds read them."""
+    seen, plain = [], network.Stage.put
+    monkeypatch.setattr(network.Stage, "put", lambda stage, df, name: seen.append((name, plain(stage, df, name).count())) or plain(stage, df, name))
+    products, parts = [(i, f"m{i}") for i in range(1, 7)] + [(9, "m3")], [(i, f"m{i - 1}") for i in range(1, 7)] + [(9, "none")]
+    p, q, s = tables(spark, products, parts, ["m0"])
+    solved = network.solve(p, q, s)
+    del seen[:]
+    got = {tuple(r) for r in network.routes(spark.createDataFrame([("m6",)], "target string"), solved, q).collect()}
+    assert got == {("m6", f"m{i}", i, i or None) for i in range(7)} and [n for k, n in seen if k == "parts"] == [6]
