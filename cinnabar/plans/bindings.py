@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import reactions as kernels
 from ..operators import cgr, clusters, curation, embedding, learning, mapping, mining, numbering, policy, quality, reactions, refinement, tanimoto, training, tree, tuning
 from ..operators import network as networks
-from ..streaming.curation import curate, kept, record_stream, statistics
+from ..streaming.curation import BATCH_BYTES, curate, record_stream, statistics
 from .stage import Stage, parted
 
 RULES, ORACLES = {}, {}
@@ -716,9 +716,10 @@ def winning_summary(spark, d):
 def streamed_curation(spark, d):
     # a pattern, since a stream reads a folder or a pattern, and the table may be a single file
     own, out, key = read(spark, d, "events"), Stage(spark, "streamed").path, ["user_id", "event_type"]
-    curate(record_stream(spark, f"{d}/event[s].parquet", own.schema), key, "event_id", out).awaitTermination()
-    n = statistics(spark, out, own.schema).groupBy(*key).agg(F.sum("popularity").alias("n"))
-    return kept(spark, out, own.schema).select(*key, "event_id", "value").join(n, key)
+    curate(record_stream(spark, f"{d}/event[s].parquet", own.schema, bytes_per_batch=BATCH_BYTES), key, "event_id", out).awaitTermination()
+    # merged by event_id, so that it doesn't matter in which order files come
+    parts = statistics(spark, out, own.schema)
+    return parts.groupBy(*key).agg(F.min("first_idx").alias("event_id"), F.min_by("value", "first_idx").alias("value"), F.sum("popularity").alias("n"))
 
 
 # an order is a reaction: its first line's part is made of those of its other lines; parts of three sizes of each seven are stock

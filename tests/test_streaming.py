@@ -66,3 +66,26 @@ def test_null_keys_are_errors_and_an_empty_folder_gives_nothing(spark, tmp_path)
     assert row[:5] == (3, "k", None, None, None) and row.score != row.score
     with pytest.raises(ValueError):
         first_rows(spark.readStream.schema("_key string, n long").parquet(folder), ["_key"], "n")
+
+
+def test_files_that_come_in_any_order_give_the_rows_of_the_table(spark, tmp_path):
+    from cinnabar.plans.bindings import RULES
+
+    folder = f"{tmp_path}/events.parquet"
+    for lo in (200, 100, 0):  # later files hold earlier rows of the same keys
+        spark.range(lo, lo + 100).selectExpr("id AS event_id", "timestamp_micros(id) AS ts", "id % 9 AS user_id", "if(id % 2 = 0, 'view', 'click') AS event_type", "id / 8 AS value", "'' AS props").coalesce(1).write.mode("append").parquet(folder)
+    want = [(k % 9, "view" if k % 2 == 0 else "click", k, k / 8, len(range(k, 300, 18))) for k in range(18)]
+    assert sorted(map(tuple, RULES["streamed_curation"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_batches_by_size_hold_no_state(spark, tmp_path):
+    folder, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for lo in range(0, 60, 10):
+        drop(spark, folder, lo, lo + 10)
+    query = curate(record_stream(spark, folder, SCHEMA, bytes_per_batch=1 << 20), ["cgr_key"], "rxn_idx", out)
+    query.awaitTermination()
+    assert [p.stateOperators for p in query.recentProgress if p.numInputRows] == [[]]
+    drop(spark, folder, 60, 63)  # hot and two known keys
+    run(spark, folder, out)
+    assert [tuple(r) for r in progress(spark, out).collect()] == [(0, 60, 8, 52, 0), (1, 3, 0, 3, 0)]
+    assert len(kept(spark, out, SCHEMA).collect()) == 8
