@@ -2,7 +2,8 @@
 
 A round gives each reaction the pair of its greatest score; pairs at its neighbours gain, and atoms next to a mapped product atom come before all others. What
 a round needs is within a reaction, so rounds are windows over one exchange, a few of them between two written tables; reactions that
-have ended leave the rounds. No matrix is held in a task: a window's rows spill.
+have ended leave the rounds. No matrix is held in a task: a window's rows spill. Rows are dealt over tasks that grow with them. The atoms
+are read several times; write them first if they are dear.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.stage import Stage
+from ..plans.stage import Stage, parted
 
 NOTHING = 1e-8  # a score up to this is none
 
@@ -21,15 +22,16 @@ def pair_scores(attention: DataFrame, atoms: DataFrame) -> DataFrame:
     attention: (reaction, a, b, value), from a to b; of repeated pairs the greatest value counts. atoms: (reaction, atom, side, element), side being
     product or reactant, atoms numbered over both sides. Rows with a null or no number, and of atoms that aren't listed, are none.
     """
-    own = atoms.select("reaction", F.col("atom").cast("long").alias("atom"), "side", "element").dropna().dropDuplicates(["reaction", "atom"])
-    rows = attention.select("reaction", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("value").cast("double").alias("value")).dropna().where(~F.isnan("value"))
-    for c in "ab":
+    own = atoms.select("reaction", F.col("atom").cast("long").alias("atom"), "side", "element").dropna().dropDuplicates(["reaction", "atom"]).where("side in ('product', 'reactant')")
+    rows = attention.select("reaction", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("value").cast("double").alias("value")).dropna().where("not isnan(value) and a <> b")
+    # both directions of a pair become one row in the exchange of the first join
+    rows = parted(rows.select("reaction", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), (F.col("a") < F.col("b")).alias("up"), "value"), "reaction", "x", count=attention.count())
+    one, other = (F.coalesce(F.max(F.when(F.col("up") == f, F.col("value"))), F.lit(0.0)) for f in (True, False))
+    rows = rows.groupBy("reaction", "x", "y").agg((one + other).alias("score"))
+    for c in "xy":
         rows = rows.join(own.select("reaction", F.col("atom").alias(c), F.col("side").alias(f"side_{c}"), F.col("element").alias(f"element_{c}")), ["reaction", c])
-    across = rows.where("side_a <> side_b and element_a = element_b and side_a in ('product', 'reactant') and side_b in ('product', 'reactant')")
-    forth = F.col("side_a") == "product"
-    across = across.select("reaction", F.when(forth, F.col("a")).otherwise(F.col("b")).alias("p"), F.when(forth, F.col("b")).otherwise(F.col("a")).alias("r"), forth.alias("forth"), "value")
-    one, other = (F.coalesce(F.max(F.when(F.col("forth") == f, F.col("value"))), F.lit(0.0)) for f in (True, False))
-    return across.groupBy("reaction", "p", "r").agg((one + other).alias("score"))
+    forth = F.col("side_x") == "product"
+    return rows.where("side_x <> side_y and element_x = element_y").select("reaction", F.when(forth, F.col("x")).otherwise(F.col("y")).alias("p"), F.when(forth, F.col("y")).otherwise(F.col("x")).alias("r"), "score")
 
 
 def _around(bonds: DataFrame, atom: str, name: str, most: int) -> DataFrame:
@@ -70,16 +72,15 @@ def map_atoms(scores: DataFrame, atoms: DataFrame, bonds: DataFrame, multiplier:
     """
     stage = Stage(scores.sparkSession, "mapping")
     listed = atoms.select("reaction", F.col("atom").cast("long").alias("atom"), "side").dropna().distinct()
-    products = listed.where("side = 'product'").select("reaction", F.col("atom").alias("p"))
-    reactants = listed.where("side = 'reactant'").select("reaction", F.col("atom").alias("r"))
+    around = {c: listed.where(F.col("side") == side).select("reaction", F.col("atom").alias(c)).join(_around(bonds, c, f"{c}_around", most_bonds), ["reaction", c], "left") for c, side in (("p", "product"), ("r", "reactant"))}
     own = scores.select("reaction", F.col("p").cast("long").alias("p"), F.col("r").cast("long").alias("r"), F.col("score").cast("double").alias("score")).dropna()
-    own = own.where((F.col("score") > 0) & ~F.isnan("score")).join(products, ["reaction", "p"], "left_semi").join(reactants, ["reaction", "r"], "left_semi")
-    own = own.groupBy("reaction", "p", "r").agg(F.max("score").alias("score")).unionByName(products.withColumn("r", F.lit(None).cast("long")).withColumn("score", F.lit(0.0)))
-    rows = own.withColumn("scope", F.lit(False)).withColumn("taken", F.lit(False))
-    rows = rows.join(_around(bonds, "p", "p_around", most_bonds), ["reaction", "p"], "left").join(_around(bonds, "r", "r_around", most_bonds), ["reaction", "r"], "left")
-    rows = stage.put(rows.select("reaction", "p", "r", "score", "scope", "taken", "p_around", "r_around"), "0")
+    own = own.where((F.col("score") > 0) & ~F.isnan("score")).repartition("reaction", "p").groupBy("reaction", "p", "r").agg(F.max("score").alias("score"))
+    own = own.join(around["p"], ["reaction", "p"]).join(around["r"], ["reaction", "r"])
+    own = own.unionByName(around["p"].withColumn("r", F.lit(None).cast("long")).withColumn("score", F.lit(0.0)), allowMissingColumns=True)
+    rows = stage.put(own.select("reaction", "p", "r", "score", F.lit(False).alias("scope"), F.lit(False).alias("taken"), "p_around", "r_around"), "0")
     ended, i = None, 0
-    while ended is None or rows.head(1):
+    while (count := rows.count()) or ended is None:
+        rows = parted(rows, "reaction", count=count)
         for _ in range(rounds):
             rows = _round(rows, multiplier)
         i += 1

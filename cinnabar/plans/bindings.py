@@ -929,5 +929,6 @@ def mapped_atoms(spark, d):
     attention = line.select("reaction", F.when(F.col("forth"), F.col("p")).otherwise(F.col("r")).alias("a"), F.when(F.col("forth"), F.col("r")).otherwise(F.col("p")).alias("b"), F.col("l_extendedprice").alias("value"))
     own = line.select("reaction", F.col("p").alias("atom"), F.lit("product").alias("side"), (F.col("p") % 3).alias("element"))
     atoms = own.union(line.select("reaction", "r", F.lit("reactant"), F.col("r") % 3)).distinct()
+    atoms = Stage(spark, "mapped").put(atoms, "atoms")  # read six times
     ring = F.floor(F.col("atom") / 100) * 100 + (F.col("atom") % 100 + 1) % 25
     return mapping.map_atoms(mapping.pair_scores(attention, atoms), atoms, atoms.select("reaction", F.col("atom").alias("a"), ring.alias("b")))

@@ -1,6 +1,8 @@
 """Atom mapping from scores against a plain loop over one reaction, ties, stops, and odd rows."""
 
+import io
 import random
+from contextlib import redirect_stdout
 
 import pytest
 
@@ -70,3 +72,24 @@ def test_numbers_and_odd_rows(spark):
     assert mapping.map_atoms(scores.limit(0), atoms.limit(0), bonds.limit(0)).count() == 0
     with pytest.raises(Exception, match="bonds"):
         mapping.map_atoms(scores, atoms, spark.createDataFrame([(1, 3, k) for k in range(5)], BONDS), most_bonds=3).count()
+
+
+def test_attention_is_dealt_twice(spark):
+    n = 30_000_000  # only planned, and counted
+    attention = spark.range(n).selectExpr("id % 1000 AS reaction", "id % 50 AS a", "id % 49 AS b", "id / 7 AS value")
+    atoms = spark.range(n).selectExpr("id AS reaction", "id % 50 AS atom", "'product' AS side", "'C' AS element")
+    text = io.StringIO()
+    with redirect_stdout(text):
+        mapping.pair_scores(attention, atoms).explain()
+    assert text.getvalue().count("Exchange ") == 4  # one for each side of two joins; rows are added up in the first
+    assert ", 60)" in text.getvalue()  # tasks grow with the rows
+
+
+def test_query_writes_its_atoms_once(spark, monkeypatch):
+    from cinnabar.plans.bindings import RULES
+
+    seen = []
+    monkeypatch.setattr(mapping, "map_atoms", lambda *tables: seen.extend(tables) or tables[0])
+    RULES["mapped_atoms"](spark, "/root/testdata/sf0.001")
+    _, atoms, bonds = seen
+    assert not [f for f in [*atoms.inputFiles(), *bonds.inputFiles()] if "lineitem" in f]
