@@ -2,7 +2,7 @@
 
 A round gives each reaction the pair of its greatest score; pairs at its neighbours gain, and atoms next to a mapped product atom come before all others. What
 a round needs is within a reaction, so rounds are windows over one exchange, a few of them between two written tables; reactions that
-have ended leave the rounds. No matrix is held in a task: a window's rows spill. Rows are dealt over tasks that grow with them. The atoms
+have ended leave the rounds. No matrix is held in a task: a window's rows spill. Pairs and rounds are dealt over tasks that grow with the rows. The atoms
 are read several times; write them first if they are dear.
 """
 
