@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stage import tasks
+
+#: Rows of a block of label_pairs, and pairs of a task, about.
+BLOCK_ROWS, TASK_PAIRS = 1000, 2_000_000
+
 
 def stratified_split(df: DataFrame, product: str, rule: str, key: str, small: int = 20, share: float = 0.1) -> DataFrame:
     """Train or val: repeated products and rules of up to small single products train; else max(1, int(share * n)) of a rule's single products, by md5 of key, validate."""
@@ -41,12 +46,34 @@ def bit_words(bits: Column, size: int) -> list[Column]:
     return [word(w) for w in range(max(1, -(-size // 63)))]
 
 
-def word_tanimoto(a: list[Column], b: list[Column]) -> Column:
-    """As tanimoto, of sets in bit_words."""
+def word_tanimoto(a: list[Column], b: list[Column], digits: int | None = None) -> Column:
+    """As tanimoto, of sets in bit_words; rounded half up to so many digits, by whole numbers: F.round takes longer than all the rest."""
     both = sum((F.bit_count(x.bitwiseAND(y)) for x, y in zip(a, b, strict=True)), F.lit(0))
     total = sum((F.bit_count(x.bitwiseOR(y)) for x, y in zip(a, b, strict=True)), F.lit(0))
-    return F.coalesce(both / F.when(total > 0, total), F.lit(0.0))
-
+    if digits is None:
+        return F.coalesce(both / F.when(total > 0, total), F.lit(0.0))
+    unit = 10**digits
+    return F.coalesce(F.floor((both.cast("long") * (2 * unit) + total) / F.when(total > 0, total.cast("long") * 2)) / float(unit), F.lit(0.0))
+
+
+def label_pairs(rows: DataFrame, columns: list[str], block: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, x and y with each of columns): every two rows of (id, label, columns) that have one label, once, with a < b.
+
+    x and y are the columns of the two rows in either order. Rows of a label are dealt over blocks by id, and each two blocks meet in a group of their
+    own, so groups are bounded and a label with many rows has many. There are as many pairs as the result has, by nature the square of a label's rows.
+    rows are read three times. Rows without id or label are in no pair, nor are two rows of one id.
+    """
+    rows = rows.dropna(subset=["id", "label"])
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block))
+    pairs, copies = sizes.agg(F.sum(F.col("n") * F.col("n")) / 2, F.sum(F.col("n") * (F.col("blocks") + 1))).first()
+    own = rows.join(sizes.drop("n"), "label").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    first, last = F.col("block").alias("i"), F.col("block").alias("j")
+    x = own.select("label", first, F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("id").alias("x"), *(F.col(c).alias(f"x{c}") for c in columns))
+    y = own.select("label", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), last, F.col("id").alias("y"), *(F.col(c).alias(f"y{c}") for c in columns))
+    spark, group = rows.sparkSession, ["label", "i", "j"]
+    n = max(tasks(spark, pairs or 0, TASK_PAIRS), tasks(spark, copies or 0))
+    both = x.repartition(n, *group).join(y.repartition(n, *group).hint("merge"), group).where("i < j OR x < y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *(f"{side}{c}" for side in "xy" for c in columns))
 
 
 def tanimoto_vectors(a: Column, b: Column) -> Column:

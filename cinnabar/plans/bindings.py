@@ -418,7 +418,7 @@ def topk_accuracy(spark, d):
     return learning.rank_accuracy(own, own.where("rule_id = label").select("mol_id", "rule_id"))
 
 
-@query("WITH s AS (SELECT vec_id, label, list_filter(range(1, 65), lambda i: embedding[i] > 0) AS s FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS tanimoto FROM s a JOIN s b ON a.label = b.label AND a.vec_id % 20 = 0 AND (a.vec_id < b.vec_id OR (a.vec_id > b.vec_id AND b.vec_id % 20 <> 0))")
+@query("WITH s AS (SELECT vec_id, label, list_filter(range(1, 65), lambda i: embedding[i] > 0) AS s FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS tanimoto FROM s a JOIN s b ON a.label = b.label AND a.vec_id < b.vec_id")
 def tanimoto_pairs(spark, d):
     bits = F.filter(F.transform("embedding", lambda x, i: F.when(x > 0, i + 1)), lambda i: i.isNotNull())
     own = read(spark, d, "embeddings")
@@ -426,10 +426,8 @@ def tanimoto_pairs(spark, d):
     words = [f"w{i}" for i, _ in enumerate(learning.bit_words(bits, size))]
     # sets are made once, not for every pair that they are in
     own = Stage(spark, "bits").put(own.select("vec_id", "label", *(w.alias(n) for n, w in zip(words, learning.bit_words(bits, size), strict=True))), "sets")
-    asked = own.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), "label", *(F.col(n).alias(f"x{n}") for n in words))
-    # every partner of a query; a pair of two queries once. The sets are few bytes and much work, so they are dealt over many tasks
-    both = parted(own.withColumnRenamed("vec_id", "b"), "b", rows=2000).join(asked, "label").where("a < b OR (a > b AND b % 20 <> 0)")
-    return both.select("a", "b", F.round(learning.word_tanimoto([F.col(f"x{n}") for n in words], [F.col(n) for n in words]), 6).alias("tanimoto"))
+    both = learning.label_pairs(own.withColumnRenamed("vec_id", "id"), words)
+    return both.select("a", "b", learning.word_tanimoto([F.col(f"x{n}") for n in words], [F.col(f"y{n}") for n in words], 6).alias("tanimoto"))
 
 
 @query("SELECT coalesce(c_mktsegment, 'TOTAL') AS bucket, count(*) AS targets, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS solve_rate FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ROLLUP (c_mktsegment)")

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cinnabar.operators import embedding, tanimoto
+from cinnabar.operators import embedding, learning, tanimoto
+from cinnabar.plans.bindings import RULES
 
 
 def sets_of(rnd, n):
@@ -71,6 +72,42 @@ def test_pairs_that_meet_are_not_shuffled(spark, monkeypatch):
     assert len(found) == len(want) and set(found) == want and want
 
 
+def test_pairs_of_all_vectors_of_a_label(spark, tmp_path):
+    """No id is divisible by 20, so there would be no pair if only such vectors were compared."""
+    rnd = random.Random(5)
+    rows = [(i, [rnd.choice([-1.0, 0.0, 0.5]) for _ in range(64)], rnd.choice([0, 0, 0, 1, 2, None])) for i in range(1, 80) if i % 20]
+    signs = {i: {k for k, x in enumerate(v) if x > 0} for i, v, _ in rows}
+    spark.createDataFrame([*rows, (None, [1.0] * 64, 0), (200, [1.0] * 64, 9)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [(r.a, r.b, r.tanimoto) for r in RULES["tanimoto_pairs"](spark, str(tmp_path)).collect()]
+    want = {(a, b, round(len(signs[a] & signs[b]) / len(signs[a] | signs[b]), 6)) for a, _, x in rows for b, _, y in rows if a < b and x == y and x is not None}
+    assert len(got) == len(want) > 500 and set(got) == want
+
+
+def test_pairs_of_a_label_in_many_blocks(spark):
+    """Each pair comes once, however a label falls into blocks, and a group has the rows of two blocks, not of a label."""
+    rows = [(i, "many", i) for i in range(200)] + [(i, "few", i) for i in range(200, 203)] + [(300, "one", 0), (7, "many", 900), (None, "many", 0), (400, None, 0)]
+    df = spark.createDataFrame(rows, "id long, label string, w long")
+    got = [tuple(r) for r in learning.label_pairs(df, ["w"], block=9).collect()]
+    known = [r for r in rows if None not in r]
+    want = sorted((a, b, *sorted((v, w))) for a, x, v in known for b, y, w in known if a < b and x == y)
+    assert sorted((a, b, *sorted(w)) for a, b, *w in got) == want
+    text = io.StringIO()
+    with redirect_stdout(text):
+        learning.label_pairs(df, ["w"], block=9).explain()
+    assert "SortMergeJoin [label#" in text.getvalue() and "BroadcastNestedLoop" not in text.getvalue() and "Cartesian" not in text.getvalue()
+    assert learning.label_pairs(df.limit(0), ["w"]).collect() == []
+
+
+def test_rounded_shares_of_bits(spark):
+    """Half up to six digits, as F.round, also where sets have more bits than fit a word, and 0 for two empty sets."""
+    df = spark.createDataFrame([(list(range(1, b + 1)), list(range(1, t + 1))) for t in (0, 1, 3, 7, 64, 128, 640, 2000) for b in {0, 1, t // 3, t // 2 + 1, t} if b <= t], "x array<int>, y array<int>")
+    x, y = ([w.alias(f"{c}{k}") for k, w in enumerate(learning.bit_words(F.col(c), 2000))] for c in "xy")
+    words = df.select(*x, *y)
+    x, y = ([F.col(f"{c}{k}") for k in range(len(x))] for c in "xy")
+    got = words.select(learning.word_tanimoto(x, y, 6).alias("new"), F.round(learning.word_tanimoto(x, y), 6).alias("old")).collect()
+    assert all(r.new == r.old for r in got) and {0.0, 1.0, 0.007813, 0.001563} <= {r.new for r in got}
+
+
 def plain_embedding(atoms, bonds, layers, concat):
     out = {}
     graphs = defaultdict(dict)
